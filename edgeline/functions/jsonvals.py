@@ -39,6 +39,10 @@ def present(v: Column) -> Column:
     return v.isNotNull()
 
 
+def not_null(v: Column) -> Column:
+    return F.coalesce(F.to_json(v) != "null", F.lit(False))
+
+
 def truthy(v: Column) -> Column:
     return F.coalesce(~F.to_json(v).isin(EMPTY_JSON), F.lit(False))
 
@@ -68,9 +72,14 @@ def is_integer(v: Column) -> Column:
     return F.coalesce(F.to_json(v).rlike(r"^-?\d+$"), F.lit(False))
 
 
+def strip(s: Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.btrim(s, F.lit(" \t\n\r\f\x0b"))
+
+
 def integer_text(s: Column) -> Column:
     """Text holding a whole number -> bigint, else null ("100.7" is not one)."""
-    t = F.trim(s)
+    t = strip(s)
     return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint"))
 
 
@@ -87,7 +96,7 @@ def score(v: Column) -> Column:
 
 
 def real(v: Column) -> Column:
-    return F.when(is_string(v), F.trim(text(v)).try_cast("double")).when(
+    return F.when(is_string(v), strip(text(v)).try_cast("double")).when(
         F.to_json(v).rlike(r"^-?\d"), v.try_cast("double")
     )
 

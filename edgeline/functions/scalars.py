@@ -148,7 +148,7 @@ def blank_to_null(s: Column) -> Column:
 
 
 def snake(s: Column) -> Column:
-    return F.translate(F.lower(F.trim(s)), "- ", "__")
+    return F.translate(F.lower(J.strip(s)), "- ", "__")
 
 
 # --- the functions ---------------------------------------------------------
@@ -202,7 +202,7 @@ def waf_action(raw: Column) -> Column:
 
 
 def bot_action(raw: Column) -> Column:
-    return F.coalesce(lookup(F.upper(F.trim(raw)), BOT_ACTIONS), F.lit("ALLOW"))
+    return F.coalesce(lookup(F.upper(J.strip(raw)), BOT_ACTIONS), F.lit("ALLOW"))
 
 
 def auth_type(raw: Column) -> Column:
@@ -213,7 +213,7 @@ def auth_type(raw: Column) -> Column:
 
 
 def discovery_state(raw: Column) -> Column:
-    low = F.lower(F.trim(raw))
+    low = F.lower(J.strip(raw))
     name = F.coalesce(lookup(low, DISCOVERY_STATE_ALIASES), low)
     return F.when(name.isin(DISCOVERY_STATES), name).otherwise(F.lit("unknown"))
 
@@ -343,5 +343,5 @@ def scope(namespace: Column) -> Column:
 
 def client_ip_from_forwarded(forwarded: Column, peer: Column) -> Column:
     """Leftmost address of a forwarded-for list, else the peer's address."""
-    leftmost = blank_to_null(F.trim(F.substring_index(forwarded, ",", 1)))
+    leftmost = blank_to_null(J.strip(F.substring_index(forwarded, ",", 1)))
     return F.when(forwarded.isNull() | (forwarded == ""), peer).otherwise(leftmost)
