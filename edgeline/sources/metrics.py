@@ -43,11 +43,14 @@ API_LATENCIES = {
 
 
 def _series(raw: DataFrame) -> DataFrame:
-    """One row per entry of ``data``, keeping its position."""
+    """One row per entry of ``data``, keeping its position.
+
+    When one batch holds two documents for a load balancer the one landed later
+    wins; without a ``landed_at`` column a digest keeps the choice repeatable.
+    """
     data = J.items(J.pick(document(F.col("payload")), "$.data"))
-    return raw.select(
-        *KEYS, F.monotonically_increasing_id().alias("doc_no"), F.posexplode(data).alias("at", "item")
-    )
+    order = F.col("landed_at") if "landed_at" in raw.columns else F.xxhash64("payload")
+    return raw.select(*KEYS, order.alias("doc_no"), F.posexplode(data).alias("at", "item"))
 
 
 def _time_of(v: Column) -> Column:
