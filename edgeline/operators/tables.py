@@ -37,12 +37,14 @@ def overwrite(df: DataFrame, path: str) -> None:
 def _touched(target: DataFrame, batch: DataFrame, time_col: str) -> DataFrame:
     """Target rows of the days the batch touches.
 
-    A semi join on the partition column: Spark prunes the scan to those days at
-    run time, so the rest of the table is never read.
+    The first and last day are fetched (one row) and become literals, so the
+    scan is pruned to those partitions; the semi join then drops days between
+    them that the batch does not touch and that must not be rewritten.
     """
     day = DATE_COLUMNS[time_col]
     days = batch.select(F.col(time_col).cast("date").alias(day)).distinct()
-    return target.join(days, day, "left_semi")
+    lo, hi = batch.agg(F.min(F.col(time_col).cast("date")), F.max(F.col(time_col).cast("date"))).first()
+    return target.filter(F.col(day).between(lo, hi)).join(days, day, "left_semi")
 
 
 def append_events(batch: DataFrame, path: str, order_col: str) -> None:
@@ -50,6 +52,8 @@ def append_events(batch: DataFrame, path: str, order_col: str) -> None:
     spark = batch.sparkSession
     day = DATE_COLUMNS["event_time"]
     dated = batch.withColumn(day, F.col("event_time").cast("date"))
+    if batch.isEmpty():
+        return
     target = _touched(read(spark, path, dated), batch, "event_time")
     fresh = merge.new_rows(target, batch, merge.EVENT_KEYS, F.col(order_col))
     write_partitioned(cut_lineage(fresh), path, "event_time")
@@ -60,6 +64,8 @@ def upsert_buckets(batch: DataFrame, path: str, keys: list[str], order_col: str)
     spark = batch.sparkSession
     day = DATE_COLUMNS["bucket_time"]
     dated = batch.withColumn(day, F.col("bucket_time").cast("date"))
+    if batch.isEmpty():
+        return
     target = _touched(read(spark, path, dated), batch, "bucket_time").drop(day)
     merged = merge.upsert_overwrite(target, batch, keys, F.col(order_col))
     write_partitioned(cut_lineage(merged), path, "bucket_time", mode="overwrite")
