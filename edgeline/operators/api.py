@@ -137,9 +137,8 @@ def api_topk_error_rate(
     min_requests: int = MIN_REQUESTS_FOR_RATE,
 ) -> DataFrame:
     """Errors per thousand requests of endpoints with enough traffic."""
-    errors = F.sum(F.col("error_4xx_count") + F.col("error_5xx_count")) * 1000
-    per_mille = F.call_function(
-        "div", errors, F.greatest(F.sum("request_count"), F.lit(1))
+    per_mille = F.expr(
+        "sum(error_4xx_count + error_5xx_count) * 1000 div greatest(sum(request_count), 1)"
     )
     rows = _recent(metrics, as_of, lbs, hours=hours)
     return _by_endpoint(rows, per_mille, k, keep=F.col("req") >= min_requests)
