@@ -1,14 +1,16 @@
 """Writing merge results back to parquet tables.
 
 Parquet has no row-level merge: a changed table is read, merged and written.
-The merged rows are checkpointed in the shared folder first, so the write never
-overwrites files its own plan still reads, and only touched partitions change.
+Date-partitioned tables checkpoint the merged rows in the shared folder first,
+so the write never overwrites files its own plan still reads, and only touched
+partitions change. Current-state tables are written as a new version.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from edgeline.functions.timewin import DATE_COLUMNS
 from edgeline.operators import merge
@@ -29,9 +31,40 @@ def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.createDataFrame([], like.schema)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a current-state table (a snapshot, small next to the event tables)."""
-    cut_lineage(df).write.mode("overwrite").parquet(path)
+class SnapshotTable:
+    """A current-state table kept as complete versions ``path/v=<number>``.
+
+    A new version is written beside the old one and counts once its ``_SUCCESS``
+    marker exists, so a job that dies half-way leaves the old state readable.
+    Writing version n from the newest version before n makes a repeated
+    micro-batch produce the same rows again instead of applying them twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def versions(self) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        pattern = hadoop.Path(f"{self.path}/v=*/_SUCCESS")
+        fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(pattern) or []
+        return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        usable = [v for v in self.versions() if before is None or v < before]
+        if not usable:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={usable[-1]}")
+
+    def write(self, df: DataFrame, version: int | None = None, keep: int = 3) -> int:
+        done = self.versions()
+        n = version if version is not None else (done[-1] + 1 if done else 0)
+        df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for old in [v for v in done if v < n][: -keep or None]:
+            gone = hadoop.Path(f"{self.path}/v={old}")
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        return n
 
 
 def _touched(target: DataFrame, batch: DataFrame, time_col: str) -> DataFrame:
