@@ -52,6 +52,11 @@ def first_truthy(*vs: Column) -> Column:
     return F.coalesce(*[F.when(truthy(v), v) for v in vs])
 
 
+def either(*vs: Column) -> Column:
+    """Like ``first_truthy``, but an empty last value is kept (a score of 0 stays 0)."""
+    return F.coalesce(first_truthy(*vs[:-1]), vs[-1])
+
+
 def first_text(*vs: Column) -> Column:
     return text(first_truthy(*vs))
 

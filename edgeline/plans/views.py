@@ -236,7 +236,7 @@ class Views:
             ).alias("value"),
         )
         docs = routes.groupBy((F.col("r") % 5).alias("v")).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(member))).alias("paths")
+            F.map_from_entries(F.collect_list(member)).alias("paths")
         )
         tenants = self.tenant_ids
         spec = F.struct(

@@ -67,7 +67,9 @@ def api_endpoints_from_raw(raw: DataFrame) -> DataFrame:
         ),
         J.text(J.pick(F.col("j_api_definition"), "$.namespace")).alias("api_definition_namespace"),
         J.text(J.pick(F.col("j_api_definition"), "$.name")).alias("api_definition_name"),
-        J.score(_value("discovery_confidence", "confidence")).cast("int").alias(
+        J.score(
+            J.either(F.col("j_discovery_confidence"), F.col("j_confidence"))
+        ).cast("int").alias(
             "discovery_confidence"
         ),
         F.coalesce(J.whole(_value("total_request_samples", "sample_count")), F.lit(0)).alias(
@@ -117,7 +119,7 @@ def api_discovery_state(raw: DataFrame) -> DataFrame:
     return df.select(
         *KEYS,
         S.discovery_state(_first("state")).alias("state"),
-        J.score(_value("confidence_score", "confidence")).cast("int").alias("confidence_score"),
+        J.score(J.either(F.col("j_confidence_score"), F.col("j_confidence"))).cast("int").alias("confidence_score"),
         F.coalesce(
             J.whole(_value("total_endpoints_discovered", "endpoint_count")), F.lit(0)
         ).alias("total_endpoints_discovered"),

@@ -144,7 +144,7 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
             *_origin_columns(),
             S.truncate_text(_first("req_path", "url"), S.URL_CAP).alias("url"),
             S.truncate_text(_agent(), S.USER_AGENT_CAP).alias("user_agent"),
-            J.whole(J.first_truthy(_v("rsp_code"), _v("response_code")))
+            J.whole(J.either(_v("rsp_code"), _v("response_code")))
             .cast("int")
             .alias("response_code"),
             _first("sec_event_name", "violation_name", "primary_signature").alias(
@@ -219,7 +219,7 @@ def bot_events_standard(raw: DataFrame) -> DataFrame:
         _v("bot_category"),
         _v("sec_event_name"),
     )
-    score = J.score(J.first_truthy(bot["bot_score"], _v("bot_score")))
+    score = J.score(J.either(bot["bot_score"], _v("bot_score")))
     challenge = J.pick(_v("bot_defense"), "$.challenge")
     challenged = action == "CHALLENGE"
     readable = ~J.truthy(challenge) | J.is_object(challenge)
@@ -248,7 +248,7 @@ def bot_events_advanced(raw: DataFrame) -> DataFrame:
     """Bot rows from the dedicated feed with scores, challenges and device anomalies."""
     df = _extract(raw, COMMON_FIELDS + BOT_FIELDS)
     action = S.bot_action(_first("action"))
-    score = J.score(J.first_truthy(_v("confidence_score"), _v("bot_score")))
+    score = J.score(J.either(_v("confidence_score"), _v("bot_score")))
     given = J.first_text(J.pick(_v("challenge"), "$.result"), _v("challenge_result"))
     known = F.lower(given).isin(CHALLENGE_RESULTS)
     result = (
