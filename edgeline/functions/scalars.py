@@ -120,7 +120,7 @@ SITE_TYPES = {
 }
 
 SITE_NAME_PATTERN = r"^[a-z]{2,4}\d+-[a-z]{3}$"
-UUID_PATTERN = r"^[0-9a-f]{32}$"
+UUID_PATTERN = r"^([0-9a-f]{32})$"
 
 URL_CAP = 2048
 USER_AGENT_CAP = 512
@@ -317,16 +317,17 @@ def origin_address(origin: Column) -> Column:
 
 
 def as_uuid(hex32: Column) -> Column:
-    parts = [F.substring(hex32, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat_ws("-", *parts)
+    """32 hex digits with the dashes of a UUID."""
+    return F.regexp_replace(hex32, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def stable_event_id(request_id: Column, *parts: Column) -> Column:
     """The request id when it is a UUID, else a digest of the identifying fields."""
-    bare = F.regexp_replace(F.lower(request_id), r"^urn:|uuid:|[{}-]", "")
+    bare = F.regexp_replace(F.lower(request_id), r"urn:|uuid:|[{}-]", "")
     joined = F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
     digest = F.substring(F.sha1(joined.cast("binary")), 1, 32)
-    return F.when(bare.rlike(UUID_PATTERN), as_uuid(bare)).otherwise(as_uuid(digest))
+    given = blank_to_null(F.regexp_extract(bare, UUID_PATTERN, 1))
+    return as_uuid(F.coalesce(given, digest))
 
 
 def truncate_text(s: Column, cap: int) -> Column:

@@ -2,87 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.functions import jsonvals as J
+from edgeline.functions import jsontext as X
 from edgeline.functions import scalars as S
-from edgeline.sources.landing import document
+from edgeline.functions.jsonvals import strip
 
 KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 
 
-def _pull(raw: DataFrame, names: list[str]) -> DataFrame:
-    parsed = raw.withColumn("__doc", document(F.col("payload")))
-    return J.leaves(parsed, F.col("__doc"), {f"j_{n}": f"$.{n}" for n in names})
+def _j(name: str) -> Column:
+    return F.col(f"j_{name}")
 
 
-def _first(*names: str):
-    return J.first_text(*[F.col(f"j_{n}") for n in names])
+def _first(*names: str) -> Column:
+    return X.first(*[_j(n) for n in names])
 
 
-def _value(*names: str):
-    return J.first_truthy(*[F.col(f"j_{n}") for n in names])
+def _plain(*names: str) -> Column:
+    return X.plain(_first(*names))
 
 
 def api_endpoints_from_raw(raw: DataFrame) -> DataFrame:
     """Discovered endpoints; records without a method or a path are dropped."""
-    df = _pull(
-        raw,
-        [
-            "method",
-            "http_method",
-            "path",
-            "endpoint",
-            "url",
-            "api_definition",
-            "discovery_confidence",
-            "confidence",
-            "total_request_samples",
-            "sample_count",
-            "response_codes",
-            "observed_response_codes",
-            "last_seen",
-            "last_seen_at",
-            "first_seen",
-            "first_seen_at",
-            "query_params",
-            "body_params",
-            "auth_type",
-            "authentication",
-        ],
+    names = [
+        "method",
+        "http_method",
+        "path",
+        "endpoint",
+        "url",
+        "api_definition",
+        "discovery_confidence",
+        "confidence",
+        "total_request_samples",
+        "sample_count",
+        "response_codes",
+        "observed_response_codes",
+        "last_seen",
+        "last_seen_at",
+        "first_seen",
+        "first_seen_at",
+        "query_params",
+        "body_params",
+        "auth_type",
+        "authentication",
+    ]
+    definition = F.when(X.is_object(_j("api_definition")), _j("api_definition"))
+    chosen = X.fixed(
+        X.records(raw, names, decimals=True),
+        {
+            "method": strip(F.upper(_plain("method", "http_method"))),
+            "endpoint_path": S.truncate_text(strip(_plain("path", "endpoint", "url")), S.URL_CAP),
+            "definition": F.from_json(definition, X.struct_of(["namespace", "name"])),
+            "confidence": X.either(_j("discovery_confidence"), _j("confidence")),
+            "samples": _first("total_request_samples", "sample_count"),
+            "codes": X.elements(_first("response_codes", "observed_response_codes")),
+            "last": _plain("last_seen", "last_seen_at"),
+            "first": _plain("first_seen", "first_seen_at"),
+            "query_params": F.when(X.is_array(_j("query_params")), X.plain(_j("query_params"))),
+            "body_params": F.when(X.is_array(_j("body_params")), X.plain(_j("body_params"))),
+            "auth": _plain("auth_type", "authentication"),
+        },
+        KEYS,
     )
-    codes = _value("response_codes", "observed_response_codes")
-    listed = F.transform(F.filter(J.items(codes), J.not_null), J.whole)
-    usable = J.is_array(codes) & ~F.exists(listed, lambda c: c.isNull())
-
-    def params(name: str):
-        return F.when(J.is_array(F.col(f"j_{name}")), F.to_json(F.col(f"j_{name}")))
-
-    out = df.select(
+    listed = F.transform(F.array_compact("codes"), X.whole)
+    usable = ~F.exists(listed, lambda c: c.isNull())
+    return chosen.filter((F.col("method") != "") & F.col("endpoint_path").isNotNull()).select(
         *KEYS,
-        J.strip(F.upper(_first("method", "http_method"))).alias("method"),
-        S.truncate_text(J.strip(_first("path", "endpoint", "url")), S.URL_CAP).alias(
-            "endpoint_path"
-        ),
-        J.text(J.pick(F.col("j_api_definition"), "$.namespace")).alias("api_definition_namespace"),
-        J.text(J.pick(F.col("j_api_definition"), "$.name")).alias("api_definition_name"),
-        J.score(
-            J.either(F.col("j_discovery_confidence"), F.col("j_confidence"))
-        ).cast("int").alias(
-            "discovery_confidence"
-        ),
-        F.coalesce(J.whole(_value("total_request_samples", "sample_count")), F.lit(0)).alias(
-            "total_request_samples"
-        ),
-        S.parse_iso(_first("last_seen", "last_seen_at")).alias("last_seen_at"),
-        S.parse_iso(_first("first_seen", "first_seen_at")).alias("first_seen_at"),
+        "method",
+        "endpoint_path",
+        X.plain(F.col("definition.namespace")).alias("api_definition_namespace"),
+        X.plain(F.col("definition.name")).alias("api_definition_name"),
+        X.score(F.col("confidence")).cast("int").alias("discovery_confidence"),
+        F.coalesce(X.whole(F.col("samples")), F.lit(0)).alias("total_request_samples"),
+        S.parse_iso(F.col("last")).alias("last_seen_at"),
+        S.parse_iso(F.col("first")).alias("first_seen_at"),
         F.when(usable, F.transform(listed, lambda c: c.cast("int"))).alias("response_codes"),
-        params("query_params").alias("query_params"),
-        params("body_params").alias("body_params"),
-        S.auth_type(_first("auth_type", "authentication")).alias("auth_type"),
+        "query_params",
+        "body_params",
+        S.auth_type(F.col("auth")).alias("auth_type"),
     )
-    return out.filter((F.col("method") != "") & F.col("endpoint_path").isNotNull())
 
 
 def api_endpoint_inventory(raw: DataFrame, declared: DataFrame) -> DataFrame:
@@ -100,32 +100,37 @@ def api_endpoint_inventory(raw: DataFrame, declared: DataFrame) -> DataFrame:
 
 def api_discovery_state(raw: DataFrame) -> DataFrame:
     """One learning-state row per load balancer document."""
-    df = _pull(
-        raw,
-        [
-            "state",
-            "confidence_score",
-            "confidence",
-            "total_endpoints_discovered",
-            "endpoint_count",
-            "total_traffic_samples",
-            "sample_count",
-            "last_learning_update",
-            "last_update",
-            "state_changed_at",
-            "state_transition_at",
-        ],
+    names = [
+        "state",
+        "confidence_score",
+        "confidence",
+        "total_endpoints_discovered",
+        "endpoint_count",
+        "total_traffic_samples",
+        "sample_count",
+        "last_learning_update",
+        "last_update",
+        "state_changed_at",
+        "state_transition_at",
+    ]
+    df = X.fixed(
+        X.records(raw, names, decimals=True),
+        {
+            "raw_state": _plain("state"),
+            "score": X.either(_j("confidence_score"), _j("confidence")),
+            "endpoints": _first("total_endpoints_discovered", "endpoint_count"),
+            "samples": _first("total_traffic_samples", "sample_count"),
+            "updated": _plain("last_learning_update", "last_update"),
+            "changed": _plain("state_changed_at", "state_transition_at"),
+        },
+        KEYS,
     )
     return df.select(
         *KEYS,
-        S.discovery_state(_first("state")).alias("state"),
-        J.score(J.either(F.col("j_confidence_score"), F.col("j_confidence"))).cast("int").alias("confidence_score"),
-        F.coalesce(
-            J.whole(_value("total_endpoints_discovered", "endpoint_count")), F.lit(0)
-        ).alias("total_endpoints_discovered"),
-        F.coalesce(J.whole(_value("total_traffic_samples", "sample_count")), F.lit(0)).alias(
-            "total_traffic_samples"
-        ),
-        S.parse_iso(_first("last_learning_update", "last_update")).alias("last_learning_update"),
-        S.parse_iso(_first("state_changed_at", "state_transition_at")).alias("state_changed_at"),
+        S.discovery_state(F.col("raw_state")).alias("state"),
+        X.score(F.col("score")).cast("int").alias("confidence_score"),
+        F.coalesce(X.whole(F.col("endpoints")), F.lit(0)).alias("total_endpoints_discovered"),
+        F.coalesce(X.whole(F.col("samples")), F.lit(0)).alias("total_traffic_samples"),
+        S.parse_iso(F.col("updated")).alias("last_learning_update"),
+        S.parse_iso(F.col("changed")).alias("state_changed_at"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeline.functions import jsontext as X
 from edgeline.functions import jsonvals as J
 from edgeline.functions import scalars as S
 from edgeline.sources.landing import document
@@ -201,21 +202,29 @@ def origin_health_from_raw(raw: DataFrame, sites: DataFrame) -> DataFrame:
         "last_status_change",
         "last_probe",
     ]
-    parsed = raw.withColumn("doc", document(F.col("payload")))
-    df = J.leaves(parsed, F.col("doc"), {f"j_{n}": f"$.{n}" for n in names})
-    status = F.upper(F.coalesce(J.first_text(F.col("j_status")), F.lit("UNKNOWN")))
+    j = {n: F.col(f"j_{n}") for n in names}
+    df = X.fixed(
+        X.records(raw, names),
+        {
+            "raw_status": F.upper(F.coalesce(X.first_plain(j["status"]), F.lit("UNKNOWN"))),
+            "changed": X.first_plain(j["last_status_change"]),
+            "probed": X.first_plain(j["last_probe"]),
+            **{n: j[n] for n in ("address", "port", "consecutive_failures")},
+        },
+        ["tenant_id", "pool_id", "site_name"],
+    )
     cells = df.select(
         "tenant_id",
         "pool_id",
-        F.coalesce(J.text(F.col("j_address")), F.lit("")).alias("origin_address"),
-        J.whole(F.col("j_port")).cast("int").alias("origin_port"),
+        F.coalesce(X.plain(F.col("address")), F.lit("")).alias("origin_address"),
+        X.whole(F.col("port")).cast("int").alias("origin_port"),
         "site_name",
-        status.alias("raw_status"),
-        S.origin_status(status).alias("classified_status"),
-        F.coalesce(J.whole(F.col("j_consecutive_failures")), F.lit(0))
+        "raw_status",
+        S.origin_status(F.col("raw_status")).alias("classified_status"),
+        F.coalesce(X.whole(F.col("consecutive_failures")), F.lit(0))
         .cast("int")
         .alias("consecutive_failures"),
-        S.parse_iso(J.first_text(F.col("j_last_status_change"))).alias("last_status_change"),
-        S.parse_iso(J.first_text(F.col("j_last_probe"))).alias("last_probe_at"),
+        S.parse_iso(F.col("changed")).alias("last_status_change"),
+        S.parse_iso(F.col("probed")).alias("last_probe_at"),
     )
     return health_site_type(cells, sites)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.functions import jsonvals as J
+from edgeline.functions import jsontext as X
 from edgeline.functions import scalars as S
-from edgeline.sources.landing import document
 
 KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 
@@ -66,61 +65,59 @@ CHALLENGE_RESULTS = ["passed", "failed", "abandoned", "not_issued"]
 BOT_EVENT_TYPE = "bot_defense_sec_event"
 
 
-def _v(name: str) -> Column:
+def _j(name: str) -> Column:
     return F.col(f"`j_{name}`")
 
 
-def _extract(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Parse each payload once and pull the named top-level fields out of it."""
-    parsed = raw.withColumn("__doc", document(F.col("payload")))
-    paths = {f"j_{n}": f'$["{n}"]' for n in names}
-    return J.leaves(parsed, F.col("__doc"), paths).drop("__doc")
-
-
 def _first(*names: str) -> Column:
-    return J.first_text(*[_v(n) for n in names])
-
-
-def _event_time() -> Column:
-    return S.parse_iso(_first("@timestamp", "event_time", "timestamp", "time"))
-
-
-def _event_id() -> Column:
-    parts = [J.text(_v(n)) for n in ("@timestamp", "src_ip", "req_path", "method", "vh_name")]
-    return S.stable_event_id(_first("req_id", "request_id"), *parts)
+    return X.first_plain(*[_j(n) for n in names])
 
 
 def _is_bot() -> Column:
-    return F.coalesce(J.text(_v("sec_event_type")) == BOT_EVENT_TYPE, F.lit(False)) | J.truthy(
-        _v("bot_defense")
-    ) | J.truthy(_v("bot_classification")) | J.truthy(_v("bot_category")) | J.truthy(
-        _v("bot_score")
-    )
+    typed = F.coalesce(_j("sec_event_type") == BOT_EVENT_TYPE, F.lit(False))
+    fields = ("bot_defense", "bot_classification", "bot_category", "bot_score")
+    return typed | F.greatest(*[X.truthy(_j(n)) for n in fields])
 
 
-def _origin_columns() -> list[Column]:
-    return [
-        _first("src_ip", "source_ip").alias("source_ip"),
-        _first("country", "src_country", "source_country").alias("source_country"),
-        S.parse_asn_value(J.first_truthy(_v("asn"), _v("src_asn"), _v("source_asn"))).alias(
-            "source_asn"
-        ),
-        J.text(_v("method")).alias("method"),
+def _common() -> dict[str, Column]:
+    """Values every event row needs, chosen among their spellings."""
+    parts = [
+        F.coalesce(X.plain(_j(n)), F.lit(""))
+        for n in ("@timestamp", "src_ip", "req_path", "method", "vh_name")
     ]
+    return {
+        "t_time": _first("@timestamp", "event_time", "timestamp", "time"),
+        "t_request": _first("req_id", "request_id"),
+        "t_digest": F.concat_ws("|", *parts),
+        "source_ip": _first("src_ip", "source_ip"),
+        "source_country": _first("country", "src_country", "source_country"),
+        "t_asn": _first("asn", "src_asn", "source_asn"),
+        "method": X.plain(_j("method")),
+        "t_agent": _first("user_agent"),
+    }
 
 
-def _agent() -> Column:
-    return _first("user_agent")
+def _rows(df: DataFrame, chosen: dict[str, Column], cols: list[Column]) -> DataFrame:
+    """Choose values once, drop rows without a readable time, compute the columns."""
+    raw = [*KEYS, "payload"]
+    picked = X.fixed(df, {**_common(), **chosen}, raw)
+    timed = picked.withColumn("event_time", S.parse_iso(F.col("t_time")))
+    return timed.filter(F.col("event_time").isNotNull()).select(
+        "event_time",
+        S.stable_event_id(F.col("t_request"), F.col("t_digest")).alias("id"),
+        *KEYS,
+        *cols,
+        F.col("payload").alias("raw_event"),
+    )
 
 
-def _finish(df: DataFrame, cols: list[Column]) -> DataFrame:
-    keep = [
-        F.col("__time").alias("event_time"),
-        _event_id().alias("id"),
-        *[F.col(k) for k in KEYS],
+def _origin() -> list[Column]:
+    return [
+        F.col("source_ip"),
+        F.col("source_country"),
+        S.parse_asn(F.col("t_asn")).alias("source_asn"),
+        F.col("method"),
     ]
-    rows = df.withColumn("__time", _event_time()).filter(F.col("__time").isNotNull())
-    return rows.select(*keep, *cols, F.col("payload").alias("raw_event"))
 
 
 def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFrame:
@@ -132,36 +129,42 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
     names = COMMON_FIELDS + WAF_FIELDS
     if exclude_bot:
         names = names + ["bot_defense", "bot_classification", "bot_category", "bot_score"]
-    df = _extract(raw, names)
+    df = X.records(raw, names)
     if exclude_bot:
         df = df.filter(~_is_bot())
-    policy, has_policy = _v("waf_policy"), J.truthy(_v("waf_policy"))
-    as_object = J.is_object(policy)
-    return _finish(
+    policy = X.given(_j("waf_policy"))
+    fields = X.struct_of(["namespace", "name"])
+    chosen = {
+        "t_action": _first("action"),
+        "t_path": _first("req_path", "url"),
+        "t_code": X.either(_j("rsp_code"), _j("response_code")),
+        "primary_signature": _first("sec_event_name", "violation_name", "primary_signature"),
+        "signature_ids": _first("violation_ids", "signature_ids"),
+        "threat_categories": _first("sec_event_type", "threat_categories"),
+        "severity": X.plain(_j("severity")),
+        "t_policy": policy,
+        "t_fields": F.when(X.is_object(policy), F.from_json(policy, fields)),
+        "t_event_name": X.plain(_j("sec_event_name")),
+    }
+    as_object, as_text = F.col("t_fields").isNotNull(), F.col("t_policy").isNotNull()
+    return _rows(
         df,
+        chosen,
         [
-            S.waf_action(_first("action")).alias("action"),
-            *_origin_columns(),
-            S.truncate_text(_first("req_path", "url"), S.URL_CAP).alias("url"),
-            S.truncate_text(_agent(), S.USER_AGENT_CAP).alias("user_agent"),
-            J.whole(J.either(_v("rsp_code"), _v("response_code")))
-            .cast("int")
-            .alias("response_code"),
-            _first("sec_event_name", "violation_name", "primary_signature").alias(
-                "primary_signature"
-            ),
-            F.to_json(J.first_truthy(_v("violation_ids"), _v("signature_ids"))).alias(
-                "signature_ids"
-            ),
-            F.to_json(J.first_truthy(_v("sec_event_type"), _v("threat_categories"))).alias(
-                "threat_categories"
-            ),
-            J.text(_v("severity")).alias("severity"),
-            F.when(has_policy & as_object, J.text(J.pick(policy, "$.namespace")))
-            .when(has_policy, F.col("lb_namespace"))
+            S.waf_action(F.col("t_action")).alias("action"),
+            *_origin(),
+            S.truncate_text(F.col("t_path"), S.URL_CAP).alias("url"),
+            S.truncate_text(F.col("t_agent"), S.USER_AGENT_CAP).alias("user_agent"),
+            X.whole(F.col("t_code")).cast("int").alias("response_code"),
+            F.col("primary_signature"),
+            F.col("signature_ids"),
+            F.col("threat_categories"),
+            F.col("severity"),
+            F.when(as_object, X.plain(F.col("t_fields.namespace")))
+            .when(as_text, F.col("lb_namespace"))
             .alias("waf_policy_namespace"),
-            F.when(has_policy & as_object, J.text(J.pick(policy, "$.name")))
-            .when(has_policy, J.text(_v("sec_event_name")))
+            F.when(as_object, X.plain(F.col("t_fields.name")))
+            .when(as_text, F.col("t_event_name"))
             .alias("waf_policy_name"),
         ],
     )
@@ -170,106 +173,122 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
 def bot_filter(raw: DataFrame) -> DataFrame:
     """Raw records that describe a bot decision."""
     names = ["sec_event_type", "bot_defense", "bot_classification", "bot_category", "bot_score"]
-    return _extract(raw, names).filter(_is_bot()).select(*raw.columns)
+    return X.records(raw, names).filter(_is_bot()).select(*raw.columns)
 
 
 def _bot_columns(
-    source: str,
-    action: Column,
-    category: Column,
-    score: Column,
-    result: Column,
-    kind: Column,
-    anomalies: Column,
-    path: Column,
-    policy_ns: Column,
-    policy_name: Column,
+    source: str, category: Column, result: Column, kind: Column, anomalies: Column, policy: Column
 ) -> list[Column]:
+    score = X.score(F.col("t_score"))
     return [
         F.lit(source).alias("source"),
-        action.alias("action"),
+        F.col("action"),
         S.bot_category(category).alias("bot_category"),
         S.confidence_bucket(score).alias("confidence_bucket"),
         score.cast("int").alias("confidence_score"),
         result.alias("challenge_result"),
         kind.alias("challenge_type"),
         anomalies.alias("device_anomalies"),
-        *_origin_columns(),
-        S.truncate_text(path, S.URL_CAP).alias("endpoint_path"),
-        S.truncate_text(_agent(), S.USER_AGENT_CAP).alias("user_agent"),
-        S.ua_family(_agent()).alias("ua_family"),
-        policy_ns.alias("bot_policy_namespace"),
-        policy_name.alias("bot_policy_name"),
+        *_origin(),
+        S.truncate_text(F.col("t_path"), S.URL_CAP).alias("endpoint_path"),
+        S.truncate_text(F.col("t_agent"), S.USER_AGENT_CAP).alias("user_agent"),
+        S.ua_family(F.col("t_agent")).alias("ua_family"),
+        policy["namespace"].alias("bot_policy_namespace"),
+        policy["name"].alias("bot_policy_name"),
     ]
 
 
 def bot_events_standard(raw: DataFrame) -> DataFrame:
     """Bot rows from the shared security feed; records that are not bot events are dropped."""
-    df = _extract(raw, COMMON_FIELDS + BOT_FIELDS).filter(_is_bot())
-    bot = {
-        n: J.pick(_v("bot_defense"), f"$.{n}")
-        for n in ("action", "bot_classification", "automation_type", "insight", "bot_score")
+    df = X.records(raw, COMMON_FIELDS + BOT_FIELDS).filter(_is_bot())
+    names = [
+        "action",
+        "bot_classification",
+        "automation_type",
+        "insight",
+        "bot_score",
+        "challenge",
+        "policy",
+    ]
+    df = X.pull(df, F.when(X.is_object(_j("bot_defense")), _j("bot_defense")), names, "d_")
+    refs = X.struct_of(["namespace", "name"])
+    policy = X.first(_j("bot_policy"), F.col("d_policy"))
+    challenge = X.given(F.col("d_challenge"))
+    chosen = {
+        "action": S.bot_action(X.first_plain(F.col("d_action"), _j("action"))),
+        "t_category": X.first_plain(
+            F.col("d_bot_classification"),
+            F.col("d_automation_type"),
+            F.col("d_insight"),
+            _j("bot_classification"),
+            _j("bot_category"),
+            _j("sec_event_name"),
+        ),
+        "t_score": X.either(F.col("d_bot_score"), _j("bot_score")),
+        "t_challenge": F.from_json(
+            F.when(X.is_object(challenge), challenge), X.struct_of(["type", "result"])
+        ),
+        "t_unreadable": F.coalesce(~X.is_object(challenge) & challenge.isNotNull(), F.lit(False)),
+        "t_path": _first("req_path", "url"),
+        "t_policy": F.from_json(F.when(X.is_object(policy), policy), refs),
+        "t_event_name": X.plain(_j("sec_event_name")),
     }
-    action = S.bot_action(J.first_text(bot["action"], _v("action")))
-    category = J.first_text(
-        bot["bot_classification"],
-        bot["automation_type"],
-        bot["insight"],
-        _v("bot_classification"),
-        _v("bot_category"),
-        _v("sec_event_name"),
-    )
-    score = J.score(J.either(bot["bot_score"], _v("bot_score")))
-    challenge = J.pick(_v("bot_defense"), "$.challenge")
-    challenged = action == "CHALLENGE"
-    readable = ~J.truthy(challenge) | J.is_object(challenge)
-    outcome = F.coalesce(
-        F.lower(J.first_text(J.pick(challenge, "$.result"))), F.lit("abandoned")
+    challenged = F.col("action") == "CHALLENGE"
+    outcome = F.coalesce(F.lower(X.first_plain(F.col("t_challenge.result"))), F.lit("abandoned"))
+    owner = F.struct(
+        F.coalesce(X.first_plain(F.col("t_policy.namespace")), F.col("lb_namespace")).alias(
+            "namespace"
+        ),
+        F.coalesce(X.first_plain(F.col("t_policy.name")), F.col("t_event_name")).alias("name"),
     )
-    policy = J.first_truthy(_v("bot_policy"), J.pick(_v("bot_defense"), "$.policy"))
-    return _finish(
+    return _rows(
         df,
+        chosen,
         _bot_columns(
             "standard",
-            action,
-            category,
-            score,
-            F.when(challenged & readable, outcome).otherwise(F.lit("not_issued")),
-            F.when(challenged, J.text(J.pick(challenge, "$.type"))),
+            F.col("t_category"),
+            F.when(challenged & ~F.col("t_unreadable"), outcome).otherwise(F.lit("not_issued")),
+            F.when(challenged, X.plain(F.col("t_challenge.type"))),
             F.lit(None).cast("array<string>"),
-            _first("req_path", "url"),
-            F.coalesce(J.first_text(J.pick(policy, "$.namespace")), F.col("lb_namespace")),
-            F.coalesce(J.first_text(J.pick(policy, "$.name")), J.text(_v("sec_event_name"))),
+            owner,
         ),
     )
 
 
 def bot_events_advanced(raw: DataFrame) -> DataFrame:
     """Bot rows from the dedicated feed with scores, challenges and device anomalies."""
-    df = _extract(raw, COMMON_FIELDS + BOT_FIELDS)
-    action = S.bot_action(_first("action"))
-    score = J.score(J.either(_v("confidence_score"), _v("bot_score")))
-    given = J.first_text(J.pick(_v("challenge"), "$.result"), _v("challenge_result"))
-    known = F.lower(given).isin(CHALLENGE_RESULTS)
-    result = (
-        F.when(given.isNull() & (action == "CHALLENGE"), F.lit("abandoned"))
-        .when(known, F.lower(given))
-        .otherwise(F.lit("not_issued"))
-    )
-    anomalies = J.first_truthy(_v("device_anomalies"), _v("device_fingerprint_anomalies"))
-    return _finish(
+    df = X.records(raw, COMMON_FIELDS + BOT_FIELDS)
+    df = X.pull(df, F.when(X.is_object(_j("challenge")), _j("challenge")), ["type", "result"], "c_")
+    refs = X.struct_of(["namespace", "name"])
+    anomalies = X.first(_j("device_anomalies"), _j("device_fingerprint_anomalies"))
+    chosen = {
+        "action": S.bot_action(_first("action")),
+        "t_category": _first("bot_category", "classification"),
+        "t_score": X.either(_j("confidence_score"), _j("bot_score")),
+        "t_result": F.lower(X.first_plain(F.col("c_result"), _j("challenge_result"))),
+        "t_kind": X.first_plain(F.col("c_type"), _j("challenge_type")),
+        "t_anomalies": X.elements(anomalies),
+        "t_path": _first("req_path", "url", "endpoint"),
+        "t_policy": F.from_json(
+            F.when(X.is_object(_j("bot_policy")), _j("bot_policy")), refs
+        ),
+    }
+    result = F.col("t_result")
+    return _rows(
         df,
+        chosen,
         _bot_columns(
             "bd_advanced",
-            action,
-            _first("bot_category", "classification"),
-            score,
-            result,
-            J.first_text(J.pick(_v("challenge"), "$.type"), _v("challenge_type")),
-            F.when(J.is_array(anomalies), anomalies.try_cast("array<string>")),
-            _first("req_path", "url", "endpoint"),
-            J.text(J.pick(_v("bot_policy"), "$.namespace")),
-            J.text(J.pick(_v("bot_policy"), "$.name")),
+            F.col("t_category"),
+            F.when(result.isNull() & (F.col("action") == "CHALLENGE"), F.lit("abandoned"))
+            .when(result.isin(CHALLENGE_RESULTS), result)
+            .otherwise(F.lit("not_issued")),
+            F.col("t_kind"),
+            F.transform(F.col("t_anomalies"), X.plain),
+            F.struct(
+                X.plain(F.col("t_policy.namespace")).alias("namespace"),
+                X.plain(F.col("t_policy.name")).alias("name"),
+            ),
         ),
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.functions import jsonvals as J
+from edgeline.functions import jsontext as X
 from edgeline.functions import scalars as S
-from edgeline.sources.landing import document
+from edgeline.functions.jsonvals import integer_text, strip
 
 KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 
@@ -42,48 +42,48 @@ API_LATENCIES = {
 }
 
 
-def _series(raw: DataFrame) -> DataFrame:
-    """One row per entry of ``data``, keeping its position.
+# a cell: [time text, one value]; anything else is not a pair
+PAIR = r'^\[\s*"([^"\\]*)"\s*,\s*("[^"\\]*"|[^\[\]{},"\s]+)\s*\]$'
+
+
+def _series(raw: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per entry of ``data`` with the named fields, keeping its position.
 
     When one batch holds two documents for a load balancer the one landed later
     wins; without a ``landed_at`` column a digest keeps the choice repeatable.
     """
-    data = J.items(J.pick(document(F.col("payload")), "$.data"))
+    data = F.from_json(X.unwrapped(F.col("payload")), "struct<data: array<string>>")["data"]
     order = F.col("landed_at") if "landed_at" in raw.columns else F.xxhash64("payload")
-    return raw.select(*KEYS, order.alias("doc_no"), F.posexplode(data).alias("at", "item"))
-
-
-def _time_of(v: Column) -> Column:
-    return F.when(J.is_string(v), S.parse_iso(J.text(v)))
+    entries = raw.select(*KEYS, order.alias("doc_no"), F.posexplode(data).alias("at", "item"))
+    return X.pull(entries, F.col("item"), fields)
 
 
 def _series_cells(table: dict[str, str]) -> Column:
-    """``values=[[ts, value], ...]`` of a known series; pairs only."""
-    name = S.lookup(J.text(J.pick(F.col("item"), "$.metric")), table)
-    pairs = F.filter(
-        J.items(J.pick(F.col("item"), "$.values")),
-        lambda c: J.is_array(c) & (F.size(J.items(c)) == 2),
-    )
+    """``values=[[ts, value], ...]`` of a known series as (time, counter, value) texts."""
+    name = S.lookup(F.col("j_metric"), table)
     cells = F.transform(
-        pairs,
+        X.elements(F.col("j_values")),
         lambda c: F.struct(
-            J.pick(c, "$[0]").alias("ts"), name.alias("name"), J.pick(c, "$[1]").alias("value")
+            F.regexp_extract(c, PAIR, 1).alias("ts"),
+            name.alias("name"),
+            F.regexp_extract(c, PAIR, 2).alias("value"),
         ),
     )
     return F.when(name.isNotNull(), cells)
 
 
 def _flat_cells(table: dict[str, str]) -> Column:
-    """``{bucket_time, counter: value, ...}`` of the flat shape."""
-    ts = J.first_truthy(
-        J.pick(F.col("item"), "$.bucket_time"), J.pick(F.col("item"), "$.timestamp")
-    )
+    """``{bucket_time, counter: value, ...}`` of the flat shape, in the same form."""
+    ts = X.first_plain(F.col("j_bucket_time"), F.col("j_timestamp"))
+    # the text of a counter as it stands in the item tells a string from a number
     return F.array(
         *[
             F.struct(
                 ts.alias("ts"),
                 F.lit(column).alias("name"),
-                J.pick(F.col("item"), f"$.{field}").alias("value"),
+                F.regexp_extract("item", f'"{field}"\\s*:\\s*("[^"\\\\]*"|[^\\[\\]{{}},"\\s]+)', 1).alias(
+                    "value"
+                ),
             )
             for field, column in table.items()
         ]
@@ -96,19 +96,33 @@ def _cells(series: DataFrame, cells: Column, extra: list[str] = ()) -> DataFrame
         *KEYS,
         *extra,
         F.struct("doc_no", "at", "pos").alias("seq"),
-        _time_of(F.col("cell.ts")).alias("bucket_time"),
+        S.parse_iso(F.col("cell.ts")).alias("bucket_time"),
         F.col("cell.name").alias("name"),
         F.col("cell.value").alias("value"),
     ).filter(F.col("bucket_time").isNotNull())
 
 
+def _unquoted(v: Column) -> Column:
+    return F.btrim(v, F.lit('"'))
+
+
+def _whole(v: Column) -> Column:
+    """Numbers truncate; strings must hold a whole number."""
+    number = F.when(~v.startswith('"'), v.try_cast("double").try_cast("bigint"))
+    return F.coalesce(integer_text(_unquoted(v)), number)
+
+
+def _real(v: Column) -> Column:
+    return strip(_unquoted(v)).try_cast("double")
+
+
 def _last(value: Column, name: str) -> Column:
     """Latest cell of one series in a bucket (a later cell overwrites an earlier one)."""
     return F.max_by(value, F.when(F.col("name") == name, F.col("seq")))
 
 
 def _counters(cells: DataFrame, names: list[str]) -> DataFrame:
-    rows = cells.withColumn("n", J.whole(F.col("value"))).filter(F.col("n").isNotNull())
+    rows = cells.withColumn("n", _whole(F.col("value"))).filter(F.col("n").isNotNull())
     return rows.groupBy("bucket_time", *KEYS).agg(
         *[F.coalesce(_last(F.col("n"), c), F.lit(0)).cast("bigint").alias(c) for c in names]
     )
@@ -116,9 +130,10 @@ def _counters(cells: DataFrame, names: list[str]) -> DataFrame:
 
 def waf_metric_buckets(raw: DataFrame) -> DataFrame:
     """Firewall counters per (bucket, load balancer), from either payload shape."""
-    is_series = J.present(J.pick(F.col("item"), "$.metric"))
+    series = _series(raw, ["metric", "values", "bucket_time", "timestamp"])
+    is_series = F.col("j_metric").isNotNull() | F.col("item").contains('"metric":null')
     cells = F.when(is_series, _series_cells(WAF_SERIES)).otherwise(_flat_cells(WAF_FLAT))
-    return _counters(_cells(_series(raw), cells), list(WAF_SERIES.values()))
+    return _counters(_cells(series, cells), list(WAF_SERIES.values()))
 
 
 def bot_metric_buckets(raw: DataFrame, load_balancers: DataFrame | None = None) -> DataFrame:
@@ -127,30 +142,31 @@ def bot_metric_buckets(raw: DataFrame, load_balancers: DataFrame | None = None)
         from edgeline.sources.events import protected_lb_scope
 
         raw = protected_lb_scope(raw, load_balancers, "has_bot_defense")
-    return _counters(_cells(_series(raw), _series_cells(BOT_SERIES)), list(BOT_SERIES.values()))
+    cells = _cells(_series(raw, ["metric", "values"]), _series_cells(BOT_SERIES))
+    return _counters(cells, list(BOT_SERIES.values()))
 
 
 def api_metric_buckets(raw: DataFrame) -> DataFrame:
     """Per (bucket, load balancer, method, endpoint): counts and latency percentiles."""
-    labels = J.pick(F.col("item"), "$.labels")
-    series = (
-        _series(raw)
-        .withColumn("method", J.strip(F.upper(J.first_text(J.pick(labels, "$.method")))))
-        .withColumn(
-            "endpoint_path",
-            S.truncate_text(
-                J.strip(J.first_text(J.pick(labels, "$.endpoint"), J.pick(labels, "$.path"))),
-                S.URL_CAP,
-            ),
-        )
-        .filter((F.col("method") != "") & F.col("endpoint_path").isNotNull())
-    )
-    cells = _cells(
-        series, _series_cells({**API_COUNTS, **API_LATENCIES}), ["method", "endpoint_path"]
+    series = X.pull(
+        _series(raw, ["metric", "labels", "values"]),
+        F.when(X.is_object(F.col("j_labels")), F.col("j_labels")),
+        ["method", "endpoint", "path"],
+        "l_",
     )
-    n = F.coalesce(J.whole(F.col("value")), F.lit(0))
+    path = strip(X.first(F.col("l_endpoint"), F.col("l_path")))
+    named = X.fixed(
+        series,
+        {
+            "method": strip(F.upper(X.given(F.col("l_method")))),
+            "endpoint_path": S.truncate_text(path, S.URL_CAP),
+        },
+        [*KEYS, "doc_no", "at", "j_metric", "j_values"],
+    ).filter((F.col("method") != "") & F.col("endpoint_path").isNotNull())
+    cells = _cells(named, _series_cells({**API_COUNTS, **API_LATENCIES}), ["method", "endpoint_path"])
+    n = F.coalesce(_whole(F.col("value")), F.lit(0))
     # a bad latency overwrites an earlier good one with null, so rank the wrapped value
-    ms = F.struct(J.real(F.col("value")).alias("ms"))
+    ms = F.struct(_real(F.col("value")).alias("ms"))
     return cells.groupBy("bucket_time", *KEYS, "method", "endpoint_path").agg(
         *[
             F.coalesce(_last(n, c), F.lit(0)).cast("bigint").alias(c)
