@@ -122,7 +122,7 @@ def fields(v: Column) -> Column:
 
 def first_key(payload: Column, path: str) -> Column:
     """First key of an object in text order (VARIANT sorts keys, so read the text)."""
-    return F.json_object_keys(F.get_json_object(payload, path))[0]
+    return F.get(F.json_object_keys(F.get_json_object(payload, path)), F.lit(0))
 
 
 def leaves(df: DataFrame, doc: Column, paths: dict[str, str]) -> DataFrame:

@@ -6,13 +6,14 @@ so AQE decides from the measured size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeline import settings
 from edgeline.functions import scalars as S
 from edgeline.functions.jsonvals import strip
-from edgeline.operators.merge import same_keys
 
 LB_KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 POLICY_REF = ["tenant_id", "policy_type", "policy_namespace", "policy_name"]
@@ -221,13 +222,14 @@ def health_matrix(
     sites = cells.select(*key, "site_name").distinct()
     grid = origins.join(sites, key)
     on = [*key, "origin_address", "origin_port", "site_name"]
-    return (
-        grid.join(cells, same_keys(grid, cells, on), "left")
-        .select(
-            *[grid[c] for c in on],
-            F.coalesce(cells["classified_status"], F.lit("no probe")).alias("status"),
-            cells["consecutive_failures"],
-        )
+    probed = cells.select(
+        *[F.col(c).alias(f"c_{c}") for c in on], "classified_status", "consecutive_failures"
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in on])
+    return grid.join(probed, same, "left").select(
+        *on,
+        F.coalesce("classified_status", F.lit("no probe")).alias("status"),
+        "consecutive_failures",
     )
 
 

@@ -7,8 +7,6 @@ collapse copies and a key with very many copies never lands whole in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +31,6 @@ def _one_per_key(df: DataFrame, keys: list[str], order: Column, *, newest: bool)
     )
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe key equality (null matches null)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def new_rows(
     target: DataFrame, batch: DataFrame, keys: list[str], order: Column
 ) -> DataFrame:

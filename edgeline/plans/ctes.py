@@ -128,6 +128,30 @@ FROM waf_events GROUP BY ALL""",
 FROM (SELECT tenant_id, lb_namespace, lb_name, min(k % 10) AS j, count(*) AS total_traffic_samples,
         count(DISTINCT url) AS total_endpoints_discovered FROM waf_events GROUP BY ALL)""",
     ),
+    "load_balancers": (
+        [],
+        """SELECT s_suppkey AS k, 't' || (s_suppkey % 3) AS tenant_id, 'ns' || (s_suppkey % 4) AS namespace, s_name AS name,
+  lower(s_name) || '.example.com' AS domains,
+  CASE s_suppkey % 4 WHEN 0 THEN 'https' WHEN 1 THEN 'https' WHEN 2 THEN 'http' ELSE 'unknown' END AS lb_type,
+  CASE s_suppkey % 5 WHEN 0 THEN 'advertise_on_public_default_vip' WHEN 1 THEN 'advertise_on_public'
+    WHEN 2 THEN 'advertise_custom' WHEN 3 THEN 'do_not_advertise' END AS advertise_mode,
+  CASE WHEN s_suppkey % 5 IN (0, 1) THEN '__all_re__'
+    WHEN s_suppkey % 5 = 2 THEN 'ny' || (s_suppkey % 25) || '-nyc,virtual:vs' || (s_suppkey % 4) ELSE '' END AS advertised_sites,
+  s_suppkey % 2 = 0 AS has_waf, s_suppkey % 5 = 0 OR s_suppkey % 13 = 0 AS has_service_policy,
+  s_suppkey % 3 = 0 OR s_suppkey % 10 = 1 AS has_bot_defense, s_suppkey % 7 = 0 AS has_api_protection,
+  'pool-' || s_suppkey || ',pool-' || (s_suppkey * 7 % 50) AS origin_pool_refs, 'ns0,ns1' AS origin_pool_ref_namespaces,
+  CASE WHEN s_suppkey % 4 = 1 THEN 'cert-' || s_suppkey END AS cert_ref FROM supplier""",
+    ),
+    "sites": (
+        [],
+        """SELECT t.tenant_id, CASE WHEN n_nationkey % 2 = 0 THEN 'ny' || n_nationkey || '-nyc' ELSE 'branch_' || n_nationkey END
+    AS name,
+  CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 5 = 0 THEN 're' WHEN n_nationkey % 3 = 0 AND n_nationkey % 5 = 1 THEN 'ce'
+    WHEN n_nationkey % 3 = 0 AND n_nationkey % 5 = 2 THEN 'ig' WHEN n_nationkey % 3 = 0 AND n_nationkey % 5 = 3 THEN 'virtual'
+    WHEN n_nationkey % 2 = 0 THEN 're' ELSE 'unknown' END AS site_type, 'ONLINE' AS operational_status,
+  'region-' || n_regionkey AS region, 'aws' AS provider
+FROM nation, (VALUES ('t0'), ('t1'), ('t2')) t(tenant_id)""",
+    ),
     "certificates": (
         [],
         """SELECT 't' || (o_custkey % 3) AS tenant_id, 'ns' || (o_orderkey % 4) AS namespace,

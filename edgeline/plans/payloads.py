@@ -545,7 +545,7 @@ def firewall_objects(v: Views) -> DataFrame:
         monitoring=F.when(c % 3 == 1, F.lit("{}")),
         detection_settings=F.when(c % 5 == 0, F.lit('{"z":1}')),
         default_detection_settings=F.when(c % 5 == 1, F.lit("{}")),
-        default_anonymization=F.when(c % 2 == 0, F.lit('{"zeta":{},"alpha":{}}')).otherwise('"plain"'),
+        default_anonymization=F.when(c % 8 == 0, F.lit('{"zeta":{},"alpha":{}}')).otherwise('"plain"'),
         default_bot_setting=F.when(c % 7 == 0, F.lit('{"malicious":"BLOCK","good":"REPORT"}')),
         violation_settings=F.when(c % 5 < 3, F.lit('{"xss":{},"sqli":{},"blocking":{}}')),
         blocking_settings=F.when(
@@ -570,7 +570,7 @@ def service_policy_objects(v: Views) -> DataFrame:
         c % 5,
     )
     rules = [
-        F.when(c % 2 == 0, F.lit('{"simple_rule":{"action":"Allow","country_list":[]}}')),
+        F.when(c % 8 == 1, F.lit('{"simple_rule":{"action":"Allow","country_list":[]}}')),
         F.when(c % 3 == 0, F.lit('{"custom_rule":{"action":"DENY","ip_matcher":{}}}')),
         F.when(c % 5 == 0, F.lit('{"action":"deny_list","path":{}}')),
         F.when(c % 7 == 0, F.lit('"not a rule"')),
@@ -605,7 +605,7 @@ def api_definition_objects(v: Views) -> DataFrame:
     openapi = F.lit('{"openapi_spec":{"paths":{"/c":{"patch":{}},"/d":"text"}},"validation":{"on":true}}')
     specs = [
         F.when(c % 3 == 0, openapi),
-        F.when(c % 2 == 1, swagger).otherwise('{"name":"bare"}'),
+        F.when(c % 8 == 3, swagger).otherwise('{"name":"bare"}'),
         F.when(c % 7 == 0, F.lit("5")),
     ]
     spec = _json(
