@@ -1 +1,211 @@
-"""."""
+"""Streaming jobs run to completion over the event table.
+
+The source is a file stream, the trigger ``availableNow``; the result is the
+sink table. Append mode emits a window once the watermark (newest event minus
+ten minutes) has passed its end, so the checks cover the closed windows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from edgeline.operators import alerts, rollups, tables
+from edgeline.operators.transitions import state_transitions
+from edgeline.plans.alert_queries import BURST
+from edgeline.plans.event_queries import HOUR, SECURITY_VIEWS, SIGNALS, count_if, sums
+from edgeline.plans.registry import query
+from edgeline.plans.views import Views, nth
+from edgeline.session import scratch_path
+from edgeline.streaming import jobs, transforms
+
+CLOSED = "(SELECT date_trunc('milliseconds', t) - INTERVAL '10 minutes' FROM now_)"
+
+
+class StreamViews(Views):
+    """The event views over a file stream instead of a table."""
+
+    def __init__(self, v: Views):
+        super().__init__(v.spark, v.sf_dir)
+        self.batch = v
+
+    def table(self, name: str) -> DataFrame:
+        schema = self.batch.table(name).schema
+        source = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        return source.parquet(self.sf_dir)
+
+
+def timed(df: DataFrame) -> DataFrame:
+    """Event times as zoned timestamps, the type watermarks work on."""
+    return df.withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
+def event_stream(v: Views) -> DataFrame:
+    return timed(StreamViews(v).waf_events)
+
+
+def pulled_twice(v: Views) -> DataFrame:
+    """Two overlapping pulls: every event arrives twice."""
+    both = event_stream(v).unionByName(event_stream(v))
+    return transforms.overlapping_pull(both)
+
+
+@query(
+    "dedup_stream",
+    "SELECT tenant_id, lb_namespace, lb_name, count(*) AS events FROM waf_events GROUP BY ALL",
+    ["waf_events"],
+)
+def _(v):
+    path = scratch_path(v.spark, "dedup")
+    jobs.append_available(transforms.dedup_stream(pulled_twice(v)), path, path + "-progress")
+    stored = v.spark.read.parquet(path)
+    return stored.groupBy("tenant_id", "lb_namespace", "lb_name").agg(F.count("*").alias("events"))
+
+
+@query(
+    "overlapping_pull",
+    "SELECT id, event_time, tenant_id, action FROM waf_events",
+    ["waf_events"],
+)
+def _(v):
+    path = scratch_path(v.spark, "events")
+    jobs.run_available(pulled_twice(v), jobs.ingest_events(path), path + "-progress")
+    return v.spark.read.parquet(path).select("id", "event_time", "tenant_id", "action")
+
+
+def minute_table(v: Views) -> str:
+    path = scratch_path(v.spark, "minutes")
+    stream = transforms.minute_metrics_stream(transforms.dedup_stream(pulled_twice(v)))
+    jobs.append_available(stream, path, path + "-progress")
+    return path
+
+
+@query(
+    "minute_metrics_stream",
+    f"SELECT * FROM waf_metrics WHERE bucket_time + INTERVAL '1 minute' <= {CLOSED}",
+    ["waf_metrics", "now_"],
+)
+def _(v):
+    return v.spark.read.parquet(minute_table(v))
+
+
+@query(
+    "hourly_rollup_stream",
+    f"""SELECT {HOUR} AS bucket_time, tenant_id, lb_namespace, lb_name,
+  {sums("request_count", "blocked_count", "monitored_count", "error_count")}
+FROM waf_metrics WHERE waf_metrics.bucket_time + INTERVAL '1 minute' <= {CLOSED} GROUP BY ALL""",
+    ["waf_metrics", "now_"],
+)
+def _(v):
+    source = minute_table(v)
+    schema = v.spark.read.parquet(source).schema
+    base = scratch_path(v.spark, "rollup")
+    stream = v.spark.readStream.schema(schema).parquet(source)
+    job = jobs.hourly_rollup(base + "-minutes", base + "-hours")
+    jobs.run_available(stream, job, base + "-progress")
+    return v.spark.read.parquet(base + "-hours").drop("bucket_date")
+
+
+@query(
+    "cred_stuffing_stream",
+    f"""SELECT w AS window_start, w + INTERVAL '60 minutes' AS window_end, tenant_id, source_ip, source_country, source_asn,
+  count(*) AS total, {count_if("challenge_result = 'failed'", "failed")}, max(endpoint_path) AS any_endpoint
+FROM (SELECT *, time_bucket(INTERVAL '30 minutes', event_time) - o * INTERVAL '30 minutes' AS w
+      FROM bot_events, (VALUES (0), (1)) x(o)) WHERE source_ip IS NOT NULL AND action IN ('CHALLENGE', 'BLOCK')
+  AND w + INTERVAL '60 minutes' <= {CLOSED}
+GROUP BY ALL HAVING count(*) >= 1 AND count(*) FILTER (challenge_result = 'failed') * 100.0 >= count(*) * 30.0""",
+    ["bot_events", "now_"],
+)
+def _(v):
+    # the watermark follows all events, so the bot rows are cut from the whole stream
+    bots = transforms.overlapping_pull(timed(StreamViews(v).bot_events))
+    found = transforms.cred_stuffing_stream(
+        bots, min_events=1, failure_pct=30.0, width="60 minutes", slide="30 minutes"
+    )
+    path = scratch_path(v.spark, "stuffing")
+    jobs.append_available(found, path, path + "-progress")
+    return v.spark.read.parquet(path)
+
+
+def snapshots(df: DataFrame) -> DataFrame:
+    """Learning-state snapshots: one per event of a load balancer."""
+    return df.select(
+        "tenant_id",
+        "lb_namespace",
+        "lb_name",
+        nth(["learning", "mature", "enforcing"], F.floor(F.col("value") / 20) % 3).alias("state"),
+        F.col("event_time").cast("timestamp").alias("seen_at"),
+        F.col("event_id").alias("snapshot_id"),
+    )
+
+
+TRANSITIONS = """SELECT tenant_id, lb_namespace, lb_name, event_id AS snapshot_id, p AS from_state, state AS to_state,
+  event_time AS changed_at FROM (SELECT *, lag(state) OVER (PARTITION BY tenant_id, lb_namespace, lb_name
+    ORDER BY event_time, event_id) AS p FROM (SELECT *, CASE CAST(floor(value / 20) AS BIGINT) % 3 WHEN 0 THEN 'learning'
+    WHEN 1 THEN 'mature' ELSE 'enforcing' END AS state FROM waf_events)) WHERE p <> state"""
+
+
+@query("state_transitions", TRANSITIONS, ["waf_events"])
+def _(v):
+    return state_transitions(snapshots(v.waf_events))
+
+
+@query("state_transition_log", TRANSITIONS, ["waf_events"])
+def _(v):
+    base = scratch_path(v.spark, "transitions")
+    stream = snapshots(StreamViews(v).waf_events)
+    job = jobs.transition_log(base + "-states", base + "-log")
+    jobs.run_available(stream, job, base + "-progress")
+    return v.spark.read.parquet(base + "-log").drop("batch")
+
+
+def refreshed(v: Views) -> tuple[str, str]:
+    """Run the refresh job over the event stream; returns the profile and alert tables."""
+    base = scratch_path(v.spark, "refresh")
+    paths = jobs.RefreshPaths(base + "-events", base + "-profiles", base + "-alerts")
+
+    def inputs(events: DataFrame) -> alerts.Tables:
+        return alerts.Tables(
+            waf_metrics=rollups.minute_metrics(events),
+            waf_events=events,
+            bot_events=timed(v.bot_events),
+            states=v.states,
+            endpoints=v.api_endpoints,
+            certificates=v.certificates,
+        )
+
+    rules = alerts.RuleSettings(
+        enabled={"waf.block_burst", "waf.new_attacker"}, arguments={"waf.block_burst": BURST}
+    )
+    job = jobs.profile_and_alert_refresh(paths, timed(v.bot_events), inputs, rules)
+    jobs.run_available(event_stream(v), job, base + "-progress")
+    return paths.profiles, paths.alerts
+
+
+@query(
+    "profile_and_alert_refresh",
+    f"WITH {SIGNALS.format(h=24)} SELECT * FROM profiles",
+    SECURITY_VIEWS,
+)
+def _(v):
+    profiles, _ = refreshed(v)
+    return tables.SnapshotTable(v.spark, profiles, jobs.PROFILE_SCHEMA).read()
+
+
+@query(
+    "alert_refresh",
+    """SELECT tenant_id, 'waf.block_burst' AS rule_id, count(*) AS alerts FROM (SELECT tenant_id, lb_namespace, lb_name
+  FROM waf_metrics WHERE bucket_time >= (SELECT t FROM now_) - INTERVAL '24 hours' AND bucket_time <= (SELECT t FROM now_)
+  GROUP BY ALL HAVING max(blocked_count) >= 1) GROUP BY ALL
+UNION ALL SELECT tenant_id, 'waf.new_attacker', count(*) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
+  ORDER BY n DESC, source_ip) AS rn FROM (SELECT tenant_id, source_ip, count(*) AS n FROM waf_events WHERE action = 'BLOCK'
+    AND source_ip IS NOT NULL AND event_time >= (SELECT t FROM now_) - INTERVAL '1 hour' GROUP BY ALL)) r WHERE rn <= 10
+  AND NOT EXISTS (SELECT 1 FROM waf_events p WHERE p.tenant_id = r.tenant_id AND p.source_ip = r.source_ip
+    AND p.action = 'BLOCK' AND p.event_time >= (SELECT t FROM now_) - INTERVAL '25 hours'
+    AND p.event_time < (SELECT t FROM now_) - INTERVAL '1 hour') GROUP BY ALL""",
+    ["waf_metrics", "waf_events", "now_"],
+)
+def _(v):
+    _, path = refreshed(v)
+    stored = tables.SnapshotTable(v.spark, path, jobs.ALERT_SCHEMA).read()
+    return stored.groupBy("tenant_id", "rule_id").agg(F.sum("occurrence_count").alias("alerts"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -104,18 +104,16 @@ def hourly_rollup(
     return handle
 
 
-def transition_log(
-    spark: SparkSession, state_path: str, log_path: str
-) -> Callable[[DataFrame, int], None]:
+def transition_log(state_path: str, log_path: str) -> Callable[[DataFrame, int], None]:
     """Log state changes; the newest state per load balancer carries over between batches."""
-    states = tables.SnapshotTable(spark, state_path, STATE_SCHEMA)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        states = tables.SnapshotTable(batch.sparkSession, state_path, STATE_SCHEMA)
         known = states.read(before=batch_id)
         rows = known.unionByName(batch.select(*known.columns))
         changes = state_transitions(rows)
         changes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        states.write(last_states(rows), version=batch_id)
+        states.write(last_states(rows).select(*known.columns), version=batch_id)
 
     return handle
 
@@ -130,21 +128,28 @@ class RefreshPaths:
 
 
 def profile_and_alert_refresh(
-    spark: SparkSession,
     paths: RefreshPaths,
     bot_events: DataFrame,
     others: Callable[[DataFrame], A.Tables],
-    as_of: Callable[[DataFrame], Column],
     rules: A.RuleSettings | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """After each ingest: store the events, renew profiles, evaluate the rules."""
-    profiles = tables.SnapshotTable(spark, paths.profiles, PROFILE_SCHEMA)
-    alerts = tables.SnapshotTable(spark, paths.alerts, ALERT_SCHEMA)
+    """After each ingest: store the events, renew profiles, evaluate the rules.
+
+    ``others`` gives the rule inputs for the stored events. Both refreshes run
+    as of the newest stored event, fetched once per batch (one value) so that
+    it prunes the scans as a literal.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        profiles = tables.SnapshotTable(spark, paths.profiles, PROFILE_SCHEMA)
+        alerts = tables.SnapshotTable(spark, paths.alerts, ALERT_SCHEMA)
         tables.append_events(batch, paths.waf_events, "id")
         events = spark.read.parquet(paths.waf_events)
-        now = as_of(events)
+        newest = batch.agg(F.max("event_time").alias("t")).first()["t"]
+        if newest is None:
+            return
+        now = F.lit(newest)
         found = security.attacker_correlation(events, bot_events, as_of=now)
         profiles.write(
             merge.attacker_profile_merge(profiles.read(before=batch_id), found), version=batch_id
