@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this n Spark limits each map task before the shuffle by itself.
-GROUP_LIMIT_MAX = 1000
+# Spark's own bound on the n it limits before the shuffle (row_number() <= n)
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+GROUP_LIMIT_DEFAULT = 1000
 SALTS = 64
 
 
+def _numbered(df: DataFrame, keys: list[str], order: list[Column], last: int) -> DataFrame:
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rn", rn).filter(F.col("__rn") <= last)
+
+
 def top_per_group(
     df: DataFrame,
     group: list[str],
@@ -17,38 +23,28 @@ def top_per_group(
     n: int,
     *,
     offset: int = 0,
-    spread: list[str] | None = None,
     rank: str | None = None,
 ) -> DataFrame:
     """Rows ``offset+1 .. offset+n`` of each group in the given order.
 
     ``row_number() <= n`` lets Spark keep only n rows per group and map task, so
-    a hot group never travels whole to one task. Beyond Spark's limit for that
-    rewrite a first pass keeps n rows per (group, salt), salted on ``spread``.
+    a hot group never travels whole to one task. For a large n the survivors of
+    many map tasks are still too much for one task: a first pass ranks them per
+    (group, salt), where a map task belongs to one salt, and only n rows per
+    salt reach the last pass. The bound up to which Spark applies the early
+    limit is raised for the session when n exceeds it; results do not depend on it.
     """
     last = offset + n
-    if not group:
-        out = df.orderBy(*order).offset(offset).limit(n) if offset else df.orderBy(*order).limit(n)
-        if rank:
-            out = out.withColumn(rank, F.row_number().over(Window.orderBy(*order)) + offset)
-        return out
-    rn = "__rn"
-    if last > GROUP_LIMIT_MAX:
-        if not spread:
-            raise ValueError("a large n needs columns to spread a hot group on")
-        # the columns are told apart from nulls by xxhash64 itself
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-        first = Window.partitionBy(*group, "__salt").orderBy(*order)
-        df = (
-            salted.withColumn(rn, F.row_number().over(first))
-            .filter(F.col(rn) <= last)
-            .drop(rn, "__salt")
-        )
-    out = df.withColumn(rn, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    out = out.filter(F.col(rn) <= last)
+    if last > GROUP_LIMIT_DEFAULT:
+        conf = df.sparkSession.conf
+        if int(conf.get(GROUP_LIMIT_CONF, str(GROUP_LIMIT_DEFAULT))) < last:
+            conf.set(GROUP_LIMIT_CONF, str(last))
+        salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
+        df = _numbered(salted, [*group, "__salt"], order, last).drop("__rn", "__salt")
+    out = _numbered(df, group, order, last)
     if offset:
-        out = out.filter(F.col(rn) > offset)
-    return out.withColumnRenamed(rn, rank) if rank else out.drop(rn)
+        out = out.filter(F.col("__rn") > offset)
+    return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
 
 
 def commonest(value: Column, count: Column) -> Column:

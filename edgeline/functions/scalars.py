@@ -154,12 +154,24 @@ def snake(s: Column) -> Column:
 # --- the functions ---------------------------------------------------------
 
 
+DAY = r"^\d{4}-\d{2}-\d{2}"
+ZONE = r"(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)"
+
+
 def parse_iso(s: Column) -> Column:
     """ISO-8601 text -> timestamp; no zone means UTC; anything else is null."""
+
+    def filled(kept: int, rest: str) -> Column:
+        """Short time completed to seconds, followed by its zone."""
+        zone = F.coalesce(blank_to_null(F.substring(s, kept + 1, 9)), F.lit("Z"))
+        return F.concat(F.left(s, F.lit(kept)), F.lit(rest), zone)
+
     full = (
-        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z")))
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"), s)
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}"), F.concat(s, F.lit("Z")))
+        F.when(s.rlike(DAY + r"[T ]\d{2}:\d{2}:\d{2}.*" + ZONE + "$"), s)
+        .when(s.rlike(DAY + r"[T ]\d{2}:\d{2}:\d{2}"), F.concat(s, F.lit("Z")))
+        .when(s.rlike(DAY + "$"), F.concat(s, F.lit("T00:00:00Z")))
+        .when(s.rlike(DAY + r"[T ]\d{2}:\d{2}" + ZONE + "?$"), filled(16, ":00"))
+        .when(s.rlike(DAY + r"[T ]\d{2}" + ZONE + "?$"), filled(13, ":00:00"))
     )
     return F.try_to_timestamp(full)
 

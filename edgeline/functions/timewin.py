@@ -18,7 +18,11 @@ DATE_COLUMNS = {"event_time": "event_date", "bucket_time": "bucket_date"}
 
 
 def latest(df: DataFrame, time_col: str) -> Column:
-    """Newest time of a table as a scalar subquery."""
+    """Newest time of a table as a scalar subquery; reads the newest day only where days
+    are partitions."""
+    day = DATE_COLUMNS.get(time_col)
+    if day in df.columns:
+        df = df.filter(F.col(day) == df.agg(F.max(day)).scalar())
     return df.agg(F.max(time_col)).scalar()
 
 

@@ -196,7 +196,7 @@ def api_endpoint_list(
         "path": [F.asc("endpoint_path")],
     }[sort]
     return top_per_group(
-        rows, Q.TENANT, first + unique, limit, offset=offset, spread=ENDPOINT
+        rows, Q.TENANT, first + unique, limit, offset=offset
     )
 
 

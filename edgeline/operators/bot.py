@@ -117,7 +117,6 @@ def recent_bot_events(
         Q.TENANT,
         [F.desc("event_time"), F.asc("id")],
         limit,
-        spread=["id"],
     )
 
 

@@ -129,7 +129,7 @@ def attacker_correlation(
         F.asc_nulls_first("source_country"),
     ]
     return top_per_group(
-        profiles, ["tenant_id"], order, max_attackers, spread=["source_ip", "source_asn"]
+        profiles, ["tenant_id"], order, max_attackers
     )
 
 
@@ -237,7 +237,7 @@ def attacker_list(
     ]
     n = min(limit, settings.ATTACKER_LIST_CAP)
     return top_per_group(
-        rows, ["tenant_id"], order, n, offset=offset, spread=["source_ip", "source_asn"]
+        rows, ["tenant_id"], order, n, offset=offset
     )
 
 
@@ -279,4 +279,4 @@ def attacker_timeline(
     )
     merged = w.unionByName(b, allowMissingColumns=True)
     order = [F.desc("event_time"), F.desc("signal"), F.asc("id")]
-    return top_per_group(merged, ["tenant_id", "source_ip"], order, limit, spread=["id"])
+    return top_per_group(merged, ["tenant_id", "source_ip"], order, limit)

@@ -89,7 +89,7 @@ def recent_waf_events(
         "severity",
     ]
     return top_per_group(
-        rows.select(*cols), Q.TENANT, [F.desc("event_time"), F.asc("id")], limit, spread=["id"]
+        rows.select(*cols), Q.TENANT, [F.desc("event_time"), F.asc("id")], limit
     )
 
 

@@ -149,12 +149,14 @@ def _(v):
     return metrics.api_metric_buckets(P.api_metric_documents(v))
 
 
+# a numeric confidence of 0 falls through to the second field, which is absent for odd paths
 @query(
     "api_endpoint_inventory",
     """SELECT tenant_id, lb_namespace, lb_name, method, endpoint_path,
   CASE WHEN NOT is_shadow THEN 'shared' END AS api_definition_namespace,
   CASE WHEN NOT is_shadow THEN 'def-x' END AS api_definition_name,
-  CAST(total_request_samples % 101 AS INTEGER) AS discovery_confidence,
+  CASE WHEN length(endpoint_path) % 2 = 0 OR total_request_samples % 101 <> 0
+    THEN CAST(total_request_samples % 101 AS INTEGER) END AS discovery_confidence,
   CASE WHEN length(endpoint_path) % 2 = 1 THEN total_request_samples ELSE 0 END AS total_request_samples,
   last_seen_at, first_seen_at,
   CASE WHEN length(endpoint_path) % 2 = 1 THEN array_to_string(response_codes, ',') END AS response_codes,
