@@ -15,7 +15,10 @@ from edgeline.plans.event_queries import SECURITY_VIEWS, SIGNALS
 from edgeline.plans.registry import query
 
 MID = "TIMESTAMP '2024-01-16 00:00:00'"
-mid = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+
+
+def mid():
+    return F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
 
 
 @query(
@@ -26,7 +29,7 @@ FROM waf_events""",
 )
 def _(v):
     rows = v.waf_events.select("id", "event_time", "tenant_id", "lb_name")
-    target = rows.filter(F.col("event_time") < mid).withColumn("origin", F.lit("stored"))
+    target = rows.filter(F.col("event_time") < mid()).withColumn("origin", F.lit("stored"))
     # every event is pulled twice; the copy with the lower sequence number comes first
     copies = F.array(
         F.struct(F.lit(1).alias("seq"), F.lit("first").alias("origin")),
@@ -45,7 +48,7 @@ def _(v):
 )
 def _(v):
     metrics = v.waf_metrics
-    target = metrics.filter(F.col("bucket_time") < mid).withColumn("seq", F.lit(0))
+    target = metrics.filter(F.col("bucket_time") < mid()).withColumn("seq", F.lit(0))
     older = metrics.withColumn("request_count", F.lit(0).cast("bigint")).withColumn("seq", F.lit(1))
     newer = metrics.withColumn("request_count", F.col("request_count") + 1).withColumn(
         "seq", F.lit(2)
@@ -55,7 +58,10 @@ def _(v):
 
 
 SYNC = "2024-02-01 00:00:00"
-sync = F.lit(SYNC).cast("timestamp_ntz")
+
+
+def sync():
+    return F.lit(SYNC).cast("timestamp_ntz")
 
 
 def stored_certificates(v):
@@ -72,7 +78,7 @@ def stored_certificates(v):
 def _(v):
     batch = v.certificates.filter("not_after IS NOT NULL").withColumn("subject", F.lit("renewed"))
     return merge.snapshot_upsert(
-        stored_certificates(v), batch, merge.OBJECT_KEYS, sync, F.col("subject")
+        stored_certificates(v), batch, merge.OBJECT_KEYS, sync(), F.col("subject")
     )
 
 
@@ -84,14 +90,14 @@ def _(v):
 def _(v):
     batch = v.certificates.filter("not_after IS NOT NULL")
     after = merge.snapshot_upsert(
-        stored_certificates(v), batch, merge.OBJECT_KEYS, sync, F.col("subject")
+        stored_certificates(v), batch, merge.OBJECT_KEYS, sync(), F.col("subject")
     )
     listings = v.certificates.select(
         "tenant_id", "namespace", F.col("namespace").isin("ns0", "ns2").alias("ok")
     )
     scope = ["tenant_id", "namespace"]
     ok = merge.scopes_with_success(listings, scope)
-    return merge.reap_stale(after, sync, ok, scope).select("tenant_id", "namespace", "name")
+    return merge.reap_stale(after, sync(), ok, scope).select("tenant_id", "namespace", "name")
 
 
 @query(
