@@ -47,6 +47,12 @@ def marked(payload: Column, *, decimals: bool = False) -> Column:
 
 
 def plain(t: Column) -> Column:
+    """A value without its marker (which stands in front)."""
+    return F.ltrim(t, F.lit(MARK))
+
+
+def plain_json(t: Column) -> Column:
+    """Nested JSON text without the markers inside it."""
     return F.translate(t, MARK, "")
 
 
@@ -71,9 +77,20 @@ def pull(df: DataFrame, text: Column, names: list[str], prefix: str = "j_") -> D
     return df.select("*", F.inline(row).alias(*[prefix + n for n in names]))
 
 
-def records(raw: DataFrame, names: list[str], *, decimals: bool = False) -> DataFrame:
-    """Fields of a raw record."""
-    return pull(raw, marked(unwrapped(F.col("payload")), decimals=decimals), names)
+def records(
+    raw: DataFrame, names: list[str], *, decimals: bool = False, filtered: bool = False
+) -> DataFrame:
+    """Fields of a raw record.
+
+    ``filtered`` is for callers that filter on these fields: it puts a barrier
+    behind the parse, which else would be repeated inside the filter.
+    """
+    text = marked(unwrapped(F.col("payload")), decimals=decimals)
+    if filtered:
+        return pull(raw, text, names)
+    parsed = raw.withColumn("__record", F.from_json(text, struct_of(names)))
+    fields = [F.col("__record").getField(n).alias("j_" + n) for n in names]
+    return parsed.select(*raw.columns, *fields)
 
 
 def member(t: Column, name: str) -> Column:

@@ -166,8 +166,12 @@ def parse_iso(s: Column) -> Column:
         zone = F.coalesce(blank_to_null(F.substring(s, kept + 1, 9)), F.lit("Z"))
         return F.concat(F.left(s, F.lit(kept)), F.lit(rest), zone)
 
+    dashes = (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-")
+    # the usual form needs no pattern: the parser itself checks the digits
+    usual = dashes & s.endswith("Z") & (F.char_length(s) >= 20)
     full = (
-        F.when(s.rlike(DAY + r"[T ]\d{2}:\d{2}:\d{2}.*" + ZONE + "$"), s)
+        F.when(usual, s)
+        .when(s.rlike(DAY + r"[T ]\d{2}:\d{2}:\d{2}.*" + ZONE + "$"), s)
         .when(s.rlike(DAY + r"[T ]\d{2}:\d{2}:\d{2}"), F.concat(s, F.lit("Z")))
         .when(s.rlike(DAY + "$"), F.concat(s, F.lit("T00:00:00Z")))
         .when(s.rlike(DAY + r"[T ]\d{2}:\d{2}" + ZONE + "?$"), filled(16, ":00"))

@@ -20,6 +20,8 @@ def build_session(app: str = "edgeline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.variant.allowDuplicateKeys": "true",
+        # recording a call site for every column call makes building wide plans slow
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():

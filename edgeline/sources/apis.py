@@ -60,8 +60,8 @@ def api_endpoints_from_raw(raw: DataFrame) -> DataFrame:
             "codes": X.elements(_first("response_codes", "observed_response_codes")),
             "last": _plain("last_seen", "last_seen_at"),
             "first": _plain("first_seen", "first_seen_at"),
-            "query_params": F.when(X.is_array(_j("query_params")), X.plain(_j("query_params"))),
-            "body_params": F.when(X.is_array(_j("body_params")), X.plain(_j("body_params"))),
+            "query_params": F.when(X.is_array(_j("query_params")), X.plain_json(_j("query_params"))),
+            "body_params": F.when(X.is_array(_j("body_params")), X.plain_json(_j("body_params"))),
             "auth": _plain("auth_type", "authentication"),
         },
         KEYS,

@@ -129,7 +129,7 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
     names = COMMON_FIELDS + WAF_FIELDS
     if exclude_bot:
         names = names + ["bot_defense", "bot_classification", "bot_category", "bot_score"]
-    df = X.records(raw, names)
+    df = X.records(raw, names, filtered=exclude_bot)
     if exclude_bot:
         df = df.filter(~_is_bot())
     policy = X.given(_j("waf_policy"))
@@ -139,8 +139,10 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
         "t_path": _first("req_path", "url"),
         "t_code": X.either(_j("rsp_code"), _j("response_code")),
         "primary_signature": _first("sec_event_name", "violation_name", "primary_signature"),
-        "signature_ids": _first("violation_ids", "signature_ids"),
-        "threat_categories": _first("sec_event_type", "threat_categories"),
+        "signature_ids": X.plain_json(X.first(_j("violation_ids"), _j("signature_ids"))),
+        "threat_categories": X.plain_json(
+            X.first(_j("sec_event_type"), _j("threat_categories"))
+        ),
         "severity": X.plain(_j("severity")),
         "t_policy": policy,
         "t_fields": F.when(X.is_object(policy), F.from_json(policy, fields)),
@@ -173,7 +175,7 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
 def bot_filter(raw: DataFrame) -> DataFrame:
     """Raw records that describe a bot decision."""
     names = ["sec_event_type", "bot_defense", "bot_classification", "bot_category", "bot_score"]
-    return X.records(raw, names).filter(_is_bot()).select(*raw.columns)
+    return X.records(raw, names, filtered=True).filter(_is_bot()).select(*raw.columns)
 
 
 def _bot_columns(
@@ -200,7 +202,7 @@ def _bot_columns(
 
 def bot_events_standard(raw: DataFrame) -> DataFrame:
     """Bot rows from the shared security feed; records that are not bot events are dropped."""
-    df = X.records(raw, COMMON_FIELDS + BOT_FIELDS).filter(_is_bot())
+    df = X.records(raw, COMMON_FIELDS + BOT_FIELDS, filtered=True).filter(_is_bot())
     names = [
         "action",
         "bot_classification",
