@@ -62,14 +62,16 @@ def lb_pools(
     return refs.drop("ref").join(p, on)
 
 
-def declared_endpoints(attachments: DataFrame, api_definitions: DataFrame) -> DataFrame:
-    """(load balancer, method, path) triples declared by attached API definitions."""
-    links = attachments.filter(F.col("policy_type") == "api_definition").select(
+def _definition_links(attachments: DataFrame) -> DataFrame:
+    return attachments.filter(F.col("policy_type") == "api_definition").select(
         *LB_KEYS,
         F.col("policy_namespace").alias("namespace"),
         F.col("policy_name").alias("name"),
     )
-    pairs = api_definitions.select(
+
+
+def _declared_pairs(api_definitions: DataFrame) -> DataFrame:
+    return api_definitions.select(
         "tenant_id", "namespace", "name", F.inline("declared_endpoints")
     ).select(
         "tenant_id",
@@ -78,21 +80,37 @@ def declared_endpoints(attachments: DataFrame, api_definitions: DataFrame) -> Da
         strip(F.upper("method")).alias("method"),
         strip(F.col("path")).alias("endpoint_path"),
     )
+
+
+def declared_endpoints(attachments: DataFrame, api_definitions: DataFrame) -> DataFrame:
+    """(load balancer, method, path) triples declared by attached API definitions."""
+    pairs = _declared_pairs(api_definitions)
     return (
-        links.join(pairs, ["tenant_id", "namespace", "name"])
+        _definition_links(attachments)
+        .join(pairs, ["tenant_id", "namespace", "name"])
         .select(*LB_KEYS, "method", "endpoint_path")
         .distinct()
     )
 
 
-def shadow_detection(endpoints: DataFrame, declared: DataFrame) -> DataFrame:
+def shadow_detection(
+    endpoints: DataFrame, attachments: DataFrame, api_definitions: DataFrame
+) -> DataFrame:
     """Endpoints with ``is_shadow``: not declared for their load balancer.
 
     Only exact paths match; a template such as ``/users/{id}`` covers no
-    concrete path.
+    concrete path. Each endpoint is looked up in the few definitions its load
+    balancer has, so a definition shared by very many load balancers is never
+    expanded into one row per load balancer and path.
     """
     keys = [*LB_KEYS, "method", "endpoint_path"]
-    known = declared.select(*keys).distinct().withColumn("__declared", F.lit(True))
+    linked = endpoints.select(*keys).join(_definition_links(attachments).distinct(), LB_KEYS)
+    found = linked.join(
+        _declared_pairs(api_definitions),
+        ["tenant_id", "namespace", "name", "method", "endpoint_path"],
+        "left_semi",
+    )
+    known = found.select(*keys).distinct().withColumn("__declared", F.lit(True))
     return (
         endpoints.join(known, keys, "left")
         .withColumn("is_shadow", F.col("__declared").isNull())
@@ -164,23 +182,24 @@ def probe_targets(load_balancers: DataFrame, sites: DataFrame, pools: DataFrame)
     )
     virtual = F.col("ref").startswith(S.VIRTUAL_PREFIX)
     bare = F.substring(F.col("ref"), len(S.VIRTUAL_PREFIX) + 1, 255)
-    named = refs.filter(F.col("ref") != S.ALL_RE_SITES).select(
-        "tenant_id", "pool_name", F.when(virtual, bare).otherwise(F.col("ref")).alias("site_name")
-    )
-    everywhere = refs.filter(F.col("ref") == S.ALL_RE_SITES).select(
-        "tenant_id",
-        "pool_name",
-        F.pmod(F.xxhash64("pool_name"), F.lit(SITE_SALTS)).alias("salt"),
+    everywhere = F.col("ref") == S.ALL_RE_SITES
+    # named sites get negative salts: they match no RE site and stay spread
+    spread = F.xxhash64("pool_name", "ref")
+    salt = F.when(everywhere, F.pmod(spread, F.lit(SITE_SALTS))).otherwise(
+        F.lit(-1) - F.pmod(spread, F.lit(1024))
     )
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SITE_SALTS - 1).cast("bigint"))
     re_sites = sites.filter(F.col("site_type") == "re").select(
-        "tenant_id",
-        F.col("name").alias("site_name"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SITE_SALTS - 1).cast("bigint"))).alias(
-            "salt"
-        ),
+        "tenant_id", F.col("name").alias("re_site"), F.explode(salts).alias("salt")
+    )
+    site = F.when(everywhere, F.col("re_site")).when(virtual, bare).otherwise(F.col("ref"))
+    return (
+        refs.withColumn("salt", salt)
+        .join(re_sites, ["tenant_id", "salt"], "left")
+        .select("tenant_id", "pool_name", site.alias("site_name"))
+        .filter(F.col("site_name").isNotNull())
+        .distinct()
     )
-    expanded = everywhere.join(re_sites, ["tenant_id", "salt"]).select(*named.columns)
-    return named.unionByName(expanded).distinct()
 
 
 def health_site_type(cells: DataFrame, sites: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgeline.operators.joins import declared_endpoints
 from edgeline.plans import payloads as P
 from edgeline.plans.registry import query
 from edgeline.plans.scalar_queries import DASHED, HEX
@@ -165,8 +164,9 @@ def _(v):
     ["api_endpoints"],
 )
 def _(v):
-    declared = declared_endpoints(v.event_attachments, v.api_definitions)
-    return apis.api_endpoint_inventory(P.endpoint_records(v), declared)
+    return apis.api_endpoint_inventory(
+        P.endpoint_records(v), v.event_attachments, v.api_definitions
+    )
 
 
 @query(

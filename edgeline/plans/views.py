@@ -281,10 +281,9 @@ class Views:
 
     @cached_property
     def api_endpoints(self) -> DataFrame:
-        from edgeline.operators.joins import declared_endpoints, shadow_detection
+        from edgeline.operators.joins import shadow_detection
 
-        declared = declared_endpoints(self.event_attachments, self.api_definitions)
-        return shadow_detection(self.endpoint_stats, declared)
+        return shadow_detection(self.endpoint_stats, self.event_attachments, self.api_definitions)
 
     @cached_property
     def states(self) -> DataFrame:

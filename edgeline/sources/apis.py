@@ -85,14 +85,16 @@ def api_endpoints_from_raw(raw: DataFrame) -> DataFrame:
     )
 
 
-def api_endpoint_inventory(raw: DataFrame, declared: DataFrame) -> DataFrame:
+def api_endpoint_inventory(
+    raw: DataFrame, attachments: DataFrame, api_definitions: DataFrame
+) -> DataFrame:
     """Discovered endpoints with their shadow flag.
 
     The API definition is reported only for declared endpoints.
     """
     from edgeline.operators.joins import shadow_detection
 
-    out = shadow_detection(api_endpoints_from_raw(raw), declared)
+    out = shadow_detection(api_endpoints_from_raw(raw), attachments, api_definitions)
     for c in ("api_definition_namespace", "api_definition_name"):
         out = out.withColumn(c, F.when(~F.col("is_shadow"), F.col(c)))
     return out

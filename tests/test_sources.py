@@ -271,13 +271,13 @@ def test_shadow_needs_an_exact_declaration(spark):
         "tenant_id string, lb_namespace string, lb_name string, policy_type string, "
         "policy_namespace string, policy_name string",
     )
-    declared = declared_endpoints(links, definitions)
+    assert declared_endpoints(links, definitions).count() == 2
     items = [{"method": "get", "path": p, "api_definition": {"name": "d"}} for p in ("/a", "/u/7")]
-    got = apis.api_endpoint_inventory(raw(spark, *items), declared)
+    got = apis.api_endpoint_inventory(raw(spark, *items), links, definitions)
     picked = got.select("endpoint_path", "is_shadow", "api_definition_name")
     assert rows(picked) == [("/a", False, "d"), ("/u/7", True, None)]
     other = raw(spark, *items, lb="other")
-    assert apis.api_endpoint_inventory(other, declared).filter("is_shadow").count() == 2
+    assert apis.api_endpoint_inventory(other, links, definitions).filter("is_shadow").count() == 2
 
 
 def test_load_balancer_shapes(spark):
