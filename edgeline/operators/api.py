@@ -200,13 +200,6 @@ def api_endpoint_list(
     )
 
 
-def api_endpoint_detail(endpoints: DataFrame, **identity: str) -> DataFrame:
-    """The inventory row(s) with the given identity columns."""
-    for column, value in identity.items():
-        endpoints = endpoints.filter(F.col(column) == value)
-    return endpoints
-
-
 def discovery_state_list(states: DataFrame) -> DataFrame:
     return states.orderBy("tenant_id", "lb_name", "lb_namespace")
 

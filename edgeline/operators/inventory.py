@@ -13,6 +13,13 @@ from edgeline.operators.joins import POLICY_TYPES, unattached_policies
 TENANT = ["tenant_id"]
 
 
+def detail(table: DataFrame, **identity: str) -> DataFrame:
+    """The row(s) of a current-state table with the given identity columns."""
+    for column, value in identity.items():
+        table = table.filter(F.col(column) == value)
+    return table
+
+
 # --- load balancers --------------------------------------------------------
 
 

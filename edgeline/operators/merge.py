@@ -21,7 +21,8 @@ PROFILE_KEYS = ["tenant_id", "source_ip", "source_asn", "source_country"]
 ALERT_KEYS = ["tenant_id", "rule_id", "dedupe_key"]
 
 
-def _one_per_key(df: DataFrame, keys: list[str], order: Column, *, newest: bool) -> DataFrame:
+def one_per_key(df: DataFrame, keys: list[str], order: Column, *, newest: bool) -> DataFrame:
+    """The first or last row of each key in the given order."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if newest else F.min_by
     return (
@@ -35,7 +36,7 @@ def new_rows(
     target: DataFrame, batch: DataFrame, keys: list[str], order: Column
 ) -> DataFrame:
     """Batch rows whose key the target lacks; the first of equal keys is kept."""
-    return _one_per_key(batch, keys, order, newest=False).join(
+    return one_per_key(batch, keys, order, newest=False).join(
         target.select(*keys), keys, "left_anti"
     )
 
@@ -55,7 +56,7 @@ def upsert_overwrite(
     An anti join against the (usually small) batch lets AQE broadcast the batch
     keys, so the target is not shuffled.
     """
-    newest = _one_per_key(batch, keys, order, newest=True)
+    newest = one_per_key(batch, keys, order, newest=True)
     kept = target.join(newest.select(*keys), keys, "left_anti")
     return kept.unionByName(newest)
 

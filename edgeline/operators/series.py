@@ -107,3 +107,33 @@ def observe_totals(df: DataFrame, name: str, conditions: dict[str, Column]) -> D
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(c).alias(n) for n, c in conditions.items()],
     )
+
+
+def distinct_values(columns: list[str], *tables: DataFrame) -> DataFrame:
+    """Distinct rows of the given columns over several tables.
+
+    Each table is made distinct by itself first, so the union moves only
+    distinct rows.
+    """
+    out = tables[0].select(*columns).distinct()
+    for other in tables[1:]:
+        out = out.unionByName(other.select(*columns).distinct())
+    return out.distinct() if len(tables) > 1 else out
+
+
+def distinct_counts(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Exact distinct non-null values per tenant of several columns.
+
+    Rows become (column, value) pairs that are made distinct before they are
+    counted: one hot tenant is spread over its values.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value"))
+            for n, c in names.items()
+        ]
+    )
+    values = rows.select(*TENANT, F.inline(pairs)).distinct()
+    counted = values.groupBy(*TENANT)
+    present = F.col("value").isNotNull()
+    return counted.agg(*[F.count_if(present & (F.col("name") == n)).alias(n) for n in names])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edgeline.operators import alerts, joins, merge
+from edgeline.operators import alerts, inventory, joins, merge
 from edgeline.plans.ctes import pct, rnd
 from edgeline.plans.registry import query
 from edgeline.plans.views import nth, word
@@ -351,3 +351,11 @@ def _(v):
 )
 def _(v):
     return alerts.alert_list(order_alerts(v), status="all", rule_id="rule-2", limit=2000)
+
+
+@query(
+    "alert_detail",
+    f"SELECT {ALERT} FROM ({ALERTS}) WHERE rule_id = 'rule-2' AND dedupe_key = 'key:8'",
+)
+def _(v):
+    return inventory.detail(order_alerts(v), rule_id="rule-2", dedupe_key="key:8")

@@ -264,3 +264,39 @@ def _(v):
 def _(v):
     rows = config.only_watched(load_balancers(v), config.watched_namespaces(tenants(v)))
     return rows.select("tenant_id", "namespace", "name")
+
+
+@query(
+    "all_certificates",
+    """SELECT auto_cert, count(*) AS certificates, count(not_after) AS with_expiry FROM (
+  SELECT o_orderkey % 3 = 0 AS auto_cert, CASE WHEN o_orderkey % 3 < 2 THEN 1 END AS not_after FROM orders
+  UNION ALL SELECT true, 1 FROM load_balancers WHERE k % 8 = 0) GROUP BY auto_cert""",
+    ["load_balancers"],
+)
+def _(v):
+    listed = config.certificate_config(P.certificate_objects(v), P.decoded_certificates(v))
+    every = config.all_certificates(listed, load_balancers(v))
+    return every.groupBy("auto_cert").agg(
+        F.count("*").alias("certificates"), F.count("not_after").alias("with_expiry")
+    )
+
+
+@query(
+    "all_bot_policies",
+    """SELECT tenant_id, namespace, name, protected_endpoint_count, protected_paths, has_block FROM (
+  SELECT 't' || (c_custkey % 3) AS tenant_id, CASE WHEN c_nationkey = 0 THEN 'shared' ELSE 'ns' || (c_custkey % 3) END
+    AS namespace, 'pol-' || c_custkey AS name, CASE WHEN c % 10 <> 6 THEN 1 + CAST(c % 3 = 0 AS INTEGER) +
+    CAST(c % 5 = 0 AS INTEGER) + CAST(c % 7 = 0 AS INTEGER) ELSE 0 END AS protected_endpoint_count,
+    CASE WHEN c % 10 <> 6 THEN '/a,/b' ELSE '' END AS protected_paths, c % 10 <> 6 AND c % 3 = 0 AS has_block
+  FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 2))
+UNION ALL SELECT tenant_id, namespace, 'ep-' || (k % 7), 1, '/p' || (k % 7) || ',/x', k % 2 = 0 FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, namespace, k % 7 ORDER BY name DESC) AS rn FROM load_balancers
+  WHERE k % 3 = 0 AND k % 9 <> 0) WHERE rn = 1""",
+    ["load_balancers"],
+)
+def _(v):
+    listed = policies.bot_policy_config(P.bot_policy_objects(v))
+    every = policies.all_bot_policies(listed, load_balancers(v))
+    return every.select(
+        "tenant_id", "namespace", "name", "protected_endpoint_count", "protected_paths", "has_block"
+    )

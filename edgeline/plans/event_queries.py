@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from edgeline.operators import api, bot, rollups, security, series, waf
+from edgeline.operators import api, bot, inventory, rollups, security, series, waf
 from edgeline.plans.ctes import pct, rnd
 from edgeline.plans.registry import query
 
@@ -440,7 +440,7 @@ def _(v):
     ["api_endpoints"],
 )
 def _(v):
-    return api.api_endpoint_detail(v.api_endpoints, lb_name="lb-1", method="POST")
+    return inventory.detail(v.api_endpoints, lb_name="lb-1", method="POST")
 
 
 STATE = "tenant_id, lb_namespace, lb_name, state, confidence_score, total_endpoints_discovered, total_traffic_samples, state_changed_at"
@@ -717,3 +717,54 @@ def _(v):
 )
 def _(v):
     return series.metric_totals_per_sync(v.states, "state")
+
+
+# --- set operations -------------------------------------------------------------------
+
+
+@query(
+    "union_of_signals",
+    f"""WITH {SIGNALS.format(h=168)} SELECT tenant_id, lb, count(*) AS signals, count(*) FILTER (hostile) AS hostile,
+  count(*) FILTER (wb) AS waf_block, count(*) FILTER (bc) AS bot_challenge FROM sig GROUP BY ALL""",
+    SECURITY_VIEWS,
+)
+def _(v):
+    from edgeline.functions.timewin import within
+
+    recent = [
+        within(df, "event_time", v.as_of, timedelta(hours=WEEK), to_second=False).filter(
+            "source_ip IS NOT NULL"
+        )
+        for df in (v.waf_events, v.bot_events)
+    ]
+    return security.attack_signals(*recent).groupBy("tenant_id", "lb").agg(
+        F.count("*").alias("signals"),
+        F.count_if("hostile").alias("hostile"),
+        F.count_if("waf_block").alias("waf_block"),
+        F.count_if("bot_challenge").alias("bot_challenge"),
+    )
+
+
+@query(
+    "distinct_sources",
+    """SELECT DISTINCT tenant_id, source_ip, source_country FROM waf_events
+UNION SELECT DISTINCT tenant_id, source_ip, source_country FROM bot_events""",
+    ["waf_events", "bot_events"],
+)
+def _(v):
+    return series.distinct_values(
+        ["tenant_id", "source_ip", "source_country"], v.waf_events, v.bot_events
+    )
+
+
+@query(
+    "distinct_counts",
+    """SELECT tenant_id, count(DISTINCT source_country) AS countries, count(DISTINCT source_ip) AS addresses,
+  count(DISTINCT lb_namespace || '/' || lb_name) AS lbs FROM waf_events GROUP BY tenant_id""",
+    ["waf_events"],
+)
+def _(v):
+    return series.distinct_counts(
+        v.waf_events.withColumn("lb", F.concat_ws("/", "lb_namespace", "lb_name")),
+        {"countries": "source_country", "addresses": "source_ip", "lbs": "lb"},
+    )

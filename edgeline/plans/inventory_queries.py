@@ -18,6 +18,15 @@ def _(v):
     return inventory.lb_list(load_balancers(v), "ns1").drop("raw_spec")
 
 
+@query(
+    "lb_detail",
+    f"SELECT {LB} FROM load_balancers WHERE tenant_id = 't1' AND namespace = 'ns1'",
+    ["load_balancers"],
+)
+def _(v):
+    return inventory.detail(load_balancers(v), tenant_id="t1", namespace="ns1").drop("raw_spec")
+
+
 LB_STATS = """SELECT tenant_id, count(*) AS total, count(*) FILTER (has_waf) AS with_waf,
   count(*) FILTER (has_bot_defense) AS with_bot_defense, count(*) FILTER (has_api_protection) AS with_api_protection,
   count(*) FILTER (has_service_policy) AS with_service_policy, count(*) FILTER (lb_type = 'https') AS https,
@@ -108,6 +117,16 @@ def _(v):
     )
 
 
+@query(
+    "certificate_get",
+    f"SELECT {CERT} FROM cert_status WHERE name = 'cert-42'",
+    ["cert_status"],
+)
+def _(v):
+    rows = inventory.detail(v.certificates, name="cert-42")
+    return inventory.certificate_list(rows, as_of=v.cert_as_of)
+
+
 @query(
     "cert_stats",
     """SELECT tenant_id, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,

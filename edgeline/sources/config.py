@@ -190,6 +190,11 @@ def auto_certificates(load_balancers: DataFrame) -> DataFrame:
     return rows.filter(F.col("subject").isNotNull() | F.col("not_after").isNotNull())
 
 
+def all_certificates(listed: DataFrame, load_balancers: DataFrame) -> DataFrame:
+    """Listed certificates together with those managed for load balancers."""
+    return listed.unionByName(auto_certificates(load_balancers))
+
+
 def origin_health_from_raw(raw: DataFrame, sites: DataFrame) -> DataFrame:
     """Health cells: ``raw`` has ``tenant_id, pool_id, site_name, payload`` per origin."""
     from edgeline.operators.joins import health_site_type

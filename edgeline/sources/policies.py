@@ -284,6 +284,20 @@ def inline_bot_policies(load_balancers: DataFrame) -> DataFrame:
     )
 
 
+def all_bot_policies(listed: DataFrame, load_balancers: DataFrame) -> DataFrame:
+    """Listed bot policies together with those written inline on load balancers.
+
+    Two load balancers may use one endpoint name in a namespace; the key keeps
+    the one of the load balancer that sorts last.
+    """
+    from edgeline.operators.merge import OBJECT_KEYS, one_per_key
+
+    inline = one_per_key(
+        inline_bot_policies(load_balancers), OBJECT_KEYS, F.col("lb_name"), newest=True
+    )
+    return listed.unionByName(inline.drop("lb_name"))
+
+
 def policy_attachments_from_lbs(load_balancers: DataFrame) -> DataFrame:
     """Every policy a load balancer refers to, once each.
 
