@@ -42,9 +42,21 @@ ALERT_SCHEMA = (
 def run_available(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], progress: str
 ) -> StreamingQuery:
-    """Process everything that has arrived, then stop; restart-safe through ``progress``."""
+    """Process everything that has arrived, then stop; restart-safe through ``progress``.
+
+    A batch is kept while it is handled, as the handlers read it several times;
+    a lost block is computed again from the source.
+    """
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(kept)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
