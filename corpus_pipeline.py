@@ -8,8 +8,9 @@ Parquet and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeline.llm import neardup, packing, quality
+from edgeline.llm import mixing, neardup, packing, passages, quality
 from edgeline.llm.common import documents, keep
 from edgeline.llm.queries import table, word_tokenizer
 
@@ -24,6 +25,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.drop_near_copies(docs, shingle=4, radius=4)
 
 
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that near-duplicate an earlier document's."""
+    out = passages.drop_passages(docs, min_words=50, shingle=5, similarity=0.8)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of the sources' weights, repeated up to three times."""
+    return mixing.mix(docs, weights=(1, 2, 3), repeats=3)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 tokens."""
     return packing.pack_documents(docs, word_tokenizer()).withColumnRenamed("id", "doc_id")
@@ -32,10 +44,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", classify),
     ("SimHash near-dedup", near_dedup),
+    ("substring dedup", drop_passages),
+    ("mixing sources to target weights", mix),
     ("best-fit packing", pack),
 ]
 
-#: The stages need trained scores, BK-trees and a tokenizer: no SQL, tested against brute force.
+#: The stages need trained scores, BK-trees, compact windows and a tokenizer: no SQL, tested against brute force.
 ORACLE_SQL = None
 
 

@@ -30,45 +30,84 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import col, keep, rank_in_groups
+from edgeline.llm.common import col, keep, rank_in_groups, slices
 
 Pattern = list[tuple[int, int]]  # (length, pieces of it), longest first
 
-#: A chunk is text between blanks and line breaks; this many stay encoded in a worker.
-CACHED = 400_000
-_ENCODERS: dict[str, tuple[object, dict[str, bytes]]] = {}
-
-
-def encode(text: str, path: str) -> bytes:
-    """Token ids of a text as 32-bit numbers.
-
-    The tokenizers this serves end every token at white space, so a text is
-    encoded chunk by chunk and frequent chunks are looked up; ``separable``
-    tells whether a tokenizer is of that kind.
+#: A chunk is text between blanks and line breaks; so many chunks, and words of them, stay encoded in a worker.
+CHUNKS, WORDS = 300_000, 1_000_000
+_ENCODERS: dict[str, tuple] = {}
+
+
+def _encode_parts(tokenizer, parts: list[str]) -> dict[str, bytes]:
+    """Token ids of words and other parts; plain words go through the tokenizer as one text, told apart by its word numbers."""
+    plain = [p for p in parts if p.isalpha() and max(p) < "\u0130"]
+    other = [p for p in parts if not (p.isalpha() and max(p) < "\u0130")]
+    out = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+    for i in range(0, len(plain), 4096):
+        words = plain[i : i + 4096]
+        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        edges = [0, *(4 * (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1)).tolist(), 4 * len(found.ids)]
+        if len(edges) == len(words) + 1:
+            data = np.array(found.ids, np.uint32).tobytes()
+            out.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
+        else:
+            out.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
+    return out
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """Token ids of texts as 32-bit numbers.
+
+    The tokenizers this serves drop white space and end every token there, and
+    keep letters and punctuation apart, so a text is encoded chunk by chunk, and
+    a word with ASCII punctuation behind it is the word (lowered, if ASCII) and
+    the punctuation. Chunks and words already met are looked up.
     """
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {"": b""})
-    tokenizer, known = _ENCODERS[path]
-    chunks = text.replace("\n", " ").split(" ")
-    found = list(map(known.get, chunks))
-    if None in found:
-        fresh = list({c for c, f in zip(chunks, found, strict=True) if f is None})
-        if len(known) + len(fresh) > CACHED:
+        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, known, words = _ENCODERS[path]
+    chunks = [t.replace("\n", " ").split(" ") for t in texts]
+    fresh = set()
+    for c in chunks:
+        fresh.update(c)
+    fresh = fresh.difference(known)
+    here = {}
+    if fresh:
+        halves = []
+        for c in fresh:
+            word = c.rstrip(punctuation)
+            if word.isalpha():
+                halves.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
+            else:
+                halves.append((c, c, ""))
+        need = {word for _, word, _ in halves}
+        need.update({tail for _, _, tail in halves})
+        got = {w: words[w] for w in need if w in words}
+        got.update(_encode_parts(tokenizer, [w for w in need if w not in got]))
+        here = {c: got[word] + got[tail] for c, word, tail in halves}
+        if len(words) + len(got) > WORDS:
+            words.clear()
+        words.update((w, v) for w, v in got.items() if len(w) <= 64)
+        if len(known) + len(here) > CHUNKS:
+            here.update((c, known[c]) for c in set().union(*chunks).difference(here))
             known.clear()
-            known[""] = b""
-        ids = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True)}
-        known.update((c, v) for c, v in ids.items() if len(c) <= 64)
-        found = [ids[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
-    return b"".join(found)
+        known.update(here)
+    out = [b"".join(map(known.__getitem__, c)) for c in chunks]
+    for c in here:
+        if len(c) > 64:
+            del known[c]
+    return out
 
 
 def pieces(
@@ -89,8 +128,9 @@ def pieces(
     def run(batches):
         for b in batches:
             owner, no, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                data = encode(text or "", tokenizer) + end
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            groups = (encode(texts[lo:hi], tokenizer) for lo, hi in slices(texts, 1 << 20))
+            for i, data in enumerate(x + end for g in groups for x in g):
                 for k, at in enumerate(range(0, len(data), wide)):
                     part = data[at : at + wide]
                     owner.append(i)
