@@ -183,6 +183,8 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_00
     found = docs.mapInArrow(occur, "pivot long, id long").repartition("pivot")
     shared = found.groupBy("pivot").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     wanted = found.join(shared.select("pivot", (F.col("n") > hot).alias("hot")), "pivot")
+    # dealt out as plain rows: lists gathered by map tasks would hold one pivot each
+    wanted = wanted.select("id", "hot", "pivot").repartition("id")
     wanted = keep(wanted.groupBy("id", "hot").agg(F.collect_set("pivot").alias("pivots")), "pivots")
 
     def strings(single: bool):
@@ -197,37 +199,44 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_00
                     for d in range(hi - lo):
                         if not pivots[lo + d].is_valid:
                             continue
+                        # a string that a text repeats travels once, with all its places
+                        places: dict[tuple[int, bytes], list[int]] = {}
                         mine = slice(edge[d], edge[d + 1])
                         take = np.flatnonzero(np.isin(p.hash[mine], pivots[lo + d].values.to_numpy().view(np.uint64))) + edge[d]
                         t = texts[lo + d]
                         for h, s, w in zip(p.hash[take].view(np.int64).tolist(), p.start[take].tolist(), p.windows[take].tolist(), strict=True):
                             for a, size in [(s + i, length) for i in range(w)] if single else [(s, w + length - 1)]:
-                                out[0].append(h)
-                                out[1].append(ids[lo + d])
-                                out[2].append(a)
-                                out[3].append(t[a : a + size])
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                                places.setdefault((h, t[a : a + size]), []).append(a)
+                        out[0].extend(h for h, _ in places)
+                        out[1].extend([ids[lo + d]] * len(places))
+                        out[2].extend(places.values())
+                        out[3].extend(x for _, x in places)
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["pivot", "id", "at", "bytes"])
 
         return run
 
     def find(batches):
         def solve(parts):
-            owner, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            owner = np.concatenate([p[1] for p in parts])
             item, window = copies([t for p in parts for t in p[3]], owner, length)
             head = np.ones(len(item), bool)
             head[1:] = (item[1:] != item[:-1]) | (window[1:] != window[:-1] + 1)
             first, last = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True)) if len(head) else np.empty(0, np.int64)
-            base = at[item[first]]
+            places = [a for p in parts for a in p[2]]
+            run = item[first]
+            times = np.array([len(places[i]) for i in run], np.int64)
+            base = np.array([a for i in run for a in places[i]], np.int64)
+            begin, end = np.repeat(window[first], times), np.repeat(window[last], times)
             return pa.RecordBatch.from_arrays(
-                [pa.array(owner[item[first]]), pa.array(base + window[first]), pa.array(base + window[last] + length)], names=["id", "lo", "hi"]
+                [pa.array(np.repeat(owner[run], times)), pa.array(base + begin), pa.array(base + end + length)], names=["id", "lo", "hi"]
             )
 
         parts, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [b.column(3).to_pylist()]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [b.column(i).to_pylist() for i in (2, 3)]
             # what stands before the last pivot of this batch is complete
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if parts and parts[-1][0][-1] != cols[0][0] and size >= held:
@@ -244,14 +253,14 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_00
 
     def texts_with(hot_ones: bool) -> DataFrame:
         mine = wanted.where(F.col("hot") if hot_ones else ~F.col("hot")).select("id", "pivots")
-        return docs.join(mine, "id", "left").mapInArrow(strings(hot_ones), "pivot long, id long, at long, bytes binary")
+        return docs.join(mine, "id", "left").mapInArrow(strings(hot_ones), "pivot long, id long, at array<long>, bytes binary")
 
     cool = texts_with(False)
     spans = cool.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(find, "id long, lo long, hi long")
     if not wanted.where("hot").isEmpty():
         single = keep(texts_with(True), "windows")
         least = single.groupBy("bytes").agg(F.min("id").alias("least"))
-        more = single.join(least, "bytes").where("least < id")
+        more = single.join(least, "bytes").where("least < id").select("id", F.explode("at").alias("at"))
         spans = spans.union(more.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
     return spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
