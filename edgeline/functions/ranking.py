@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark's own bound on the n it limits before the shuffle (row_number() <= n)
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-GROUP_LIMIT_DEFAULT = 1000
 SALTS = 64
+GROUP_SALT = "__salt"
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], last: int) -> DataFrame:
@@ -27,20 +25,14 @@ def top_per_group(
 ) -> DataFrame:
     """Rows ``offset+1 .. offset+n`` of each group in the given order.
 
-    ``row_number() <= n`` lets Spark keep only n rows per group and map task, so
-    a hot group never travels whole to one task. For a large n the survivors of
-    many map tasks are still too much for one task: a first pass ranks them per
-    (group, salt), where a map task belongs to one salt, and only n rows per
-    salt reach the last pass. The bound up to which Spark applies the early
-    limit is raised for the session when n exceeds it; results do not depend on it.
+    Two passes for every n. The first ranks within (group, salt), where a map
+    task belongs to one salt, and Spark drops what is beyond n before the shuffle
+    where its own bound allows; so of a hot group only n rows per salt reach the
+    task of the last pass, however many map tasks hold it.
     """
     last = offset + n
-    if last > GROUP_LIMIT_DEFAULT:
-        conf = df.sparkSession.conf
-        if int(conf.get(GROUP_LIMIT_CONF, str(GROUP_LIMIT_DEFAULT))) < last:
-            conf.set(GROUP_LIMIT_CONF, str(last))
-        salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
-        df = _numbered(salted, [*group, "__salt"], order, last).drop("__rn", "__salt")
+    salted = df.withColumn(GROUP_SALT, F.spark_partition_id() % SALTS)
+    df = _numbered(salted, [*group, GROUP_SALT], order, last).drop("__rn", GROUP_SALT)
     out = _numbered(df, group, order, last)
     if offset:
         out = out.filter(F.col("__rn") > offset)

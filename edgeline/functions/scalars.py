@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgeline.functions import jsonvals as J
 
 # --- fixed values ----------------------------------------------------------
+# Unordered maps and sets are sorted by key.
 
 # User-agent families, tried in this order, case-insensitive.
 UA_FAMILIES = [
@@ -122,14 +123,6 @@ SITE_TYPES = {
 SITE_NAME_PATTERN = r"^[a-z]{2,4}\d+-[a-z]{3}$"
 UUID_PATTERN = r"^([0-9a-f]{32})$"
 
-URL_CAP = 2048
-USER_AGENT_CAP = 512
-UA_FALLBACK_CAP = 64
-AUDIT_USER_AGENT_CAP = 500
-AUDIT_USERNAME_CAP = 120
-AUDIT_TYPE_CAP = 80
-AUDIT_TARGET_CAP = 255
-
 SHARED_NAMESPACE = "shared"
 ALL_RE_SITES = "__all_re__"
 VIRTUAL_PREFIX = "virtual:"
@@ -195,7 +188,7 @@ def ua_family(ua: Column) -> Column:
     chain_ = F.when(ua.isNull() | (ua == ""), F.lit(None).cast("string"))
     for pattern, family in UA_FAMILIES:
         chain_ = chain_.when(ua.rlike(f"(?i){pattern}"), F.lit(family))
-    return chain_.otherwise(F.lower(F.left(F.substring_index(ua, "/", 1), F.lit(UA_FALLBACK_CAP))))
+    return chain_.otherwise(F.lower(F.substring_index(ua, "/", 1)))
 
 
 def bot_category(raw: Column) -> Column:
@@ -347,6 +340,7 @@ def stable_event_id(request_id: Column, *parts: Column) -> Column:
 
 
 def truncate_text(s: Column, cap: int) -> Column:
+    """At most ``cap`` characters, for display; stored columns and keys keep the whole text."""
     return blank_to_null(F.left(s, F.lit(cap)))
 
 

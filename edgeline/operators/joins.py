@@ -6,12 +6,9 @@ so AQE decides from the measured size.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline import settings
 from edgeline.functions import scalars as S
 from edgeline.functions.jsonvals import strip
 
@@ -181,7 +178,7 @@ def probe_targets(load_balancers: DataFrame, sites: DataFrame, pools: DataFrame)
         "left_semi",
     )
     virtual = F.col("ref").startswith(S.VIRTUAL_PREFIX)
-    bare = F.substring(F.col("ref"), len(S.VIRTUAL_PREFIX) + 1, 255)
+    bare = F.substr(F.col("ref"), F.lit(len(S.VIRTUAL_PREFIX) + 1))
     everywhere = F.col("ref") == S.ALL_RE_SITES
     # named sites get negative salts: they match no RE site and stay spread
     spread = F.xxhash64("pool_name", "ref")
@@ -208,60 +205,25 @@ def health_site_type(cells: DataFrame, sites: DataFrame) -> DataFrame:
     return cells.drop("site_type").join(kinds, ["tenant_id", "site_name"], "left")
 
 
-def matrix_sizes(origin_health: DataFrame) -> DataFrame:
-    """Origins, sites and grid cells of each pool."""
-    key = ["tenant_id", "pool_id"]
-    origins = (
-        origin_health.select(*key, "origin_address", "origin_port")
-        .distinct()
-        .groupBy(*key)
-        .agg(F.count("*").alias("origins"))
-    )
-    sites = (
-        origin_health.select(*key, "site_name")
-        .distinct()
-        .groupBy(*key)
-        .agg(F.count("*").alias("sites"))
-    )
-    return origins.join(sites, key).withColumn("cells", F.col("origins") * F.col("sites"))
-
+def health_matrix(origin_health: DataFrame) -> DataFrame:
+    """Probed cells of every pool, each with the number of the pool's sites its origin has no probe from.
 
-def health_matrix(
-    origin_health: DataFrame, max_cells: int = settings.MATRIX_MAX_CELLS
-) -> DataFrame:
-    """Origin x site grid of each pool, ``no probe`` where a cell is missing.
-
-    Only pools whose grid has at most ``max_cells`` cells are expanded, so the
-    product is bounded per pool; larger pools are shown by ``health_by_origin``.
+    One shape for pools of any size: no grid is built. Cells are gathered per
+    origin (as many as the pool has sites), which meets its pool's site count in
+    one join.
     """
     key = ["tenant_id", "pool_id"]
-    small = matrix_sizes(origin_health).filter(F.col("cells") <= max_cells).select(*key)
-    cells = origin_health.join(small, key, "left_semi")
-    origins = cells.select(*key, "origin_address", "origin_port").distinct()
-    sites = cells.select(*key, "site_name").distinct()
-    grid = origins.join(sites, key)
-    on = [*key, "origin_address", "origin_port", "site_name"]
-    probed = cells.select(
-        *[F.col(c).alias(f"c_{c}") for c in on], "classified_status", "consecutive_failures"
+    origin = [*key, "origin_address", "origin_port"]
+    cell = F.struct("site_name", F.col("classified_status").alias("status"), "consecutive_failures")
+    origins = origin_health.groupBy(*origin).agg(
+        F.collect_list(cell).alias("cells"), F.count_distinct("site_name").alias("probed")
     )
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in on])
-    return grid.join(probed, same, "left").select(
-        *on,
-        F.coalesce("classified_status", F.lit("no probe")).alias("status"),
-        "consecutive_failures",
+    sites = origin_health.groupBy(*key).agg(F.count_distinct("site_name").alias("sites"))
+    return origins.join(sites, key).select(
+        *origin, (F.col("sites") - F.col("probed")).alias("sites_without_probe"), F.inline("cells")
     )
 
 
-def large_matrices(
-    origin_health: DataFrame, max_cells: int = settings.MATRIX_MAX_CELLS
-) -> DataFrame:
-    """Grouped view (per origin) of the pools too large for the grid."""
-    from edgeline.operators.inventory import health_by_origin
-
-    big = matrix_sizes(origin_health).filter(F.col("cells") > max_cells)
-    return health_by_origin(origin_health.join(big, ["tenant_id", "pool_id"], "left_semi"))
-
-
 def new_vs_prior(recent: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
     """Recent rows whose key does not occur before; recent rows keep their columns."""
     return recent.join(prior.select(*key), key, "left_anti")

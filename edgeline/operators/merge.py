@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from edgeline.functions.timewin import AsOf
 
-EVENT_KEYS = ["event_time", "id"]
 LB_KEYS = ["tenant_id", "lb_namespace", "lb_name"]
+# records without an identifier get a digest of a few fields, so the owner is part of the key
+EVENT_KEYS = ["event_time", "id", *LB_KEYS]
 METRIC_KEYS = ["bucket_time", *LB_KEYS]
 API_METRIC_KEYS = [*METRIC_KEYS, "method", "endpoint_path"]
 OBJECT_KEYS = ["tenant_id", "namespace", "name"]
@@ -22,12 +23,12 @@ ALERT_KEYS = ["tenant_id", "rule_id", "dedupe_key"]
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: Column, *, newest: bool) -> DataFrame:
-    """The first or last row of each key in the given order."""
+    """The first or last row of each key in the given order; a digest of the row decides ties."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if newest else F.min_by
     return (
         df.groupBy(*keys)
-        .agg(pick(F.struct(*rest), order).alias("__row"))
+        .agg(pick(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("__row"))
         .select(*[c if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
     )
 

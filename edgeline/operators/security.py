@@ -60,7 +60,7 @@ def attacker_correlation(
     *,
     as_of: AsOf,
     window: timedelta = timedelta(minutes=settings.PROFILE_WINDOW_MINUTES),
-    max_attackers: int = settings.MAX_ATTACKERS,
+    max_attackers: int | None = None,
     drop_zero: bool = False,
 ) -> DataFrame:
     """Per (address, ASN, country): counters of every signal and what was attacked.
@@ -70,7 +70,8 @@ def attacker_correlation(
     busy address over everything it touched; the second sees only the partial
     sums. Two shuffles in all, no join, and nothing collected. An address with
     allowed rows only keeps a zero row unless ``drop_zero`` is set. A blocked
-    403 counts as a block and as a client error.
+    403 counts as a block and as a client error. All profiles are returned, or
+    the busiest ``max_attackers`` of each tenant where that is asked for.
     """
     recent = [
         within(df, "event_time", as_of, window, to_second=False).filter(
@@ -122,6 +123,8 @@ def attacker_correlation(
     profiles = profiles.withColumn("total_events", total)
     if drop_zero:
         profiles = profiles.filter(F.col("total_events") > 0)
+    if max_attackers is None:
+        return profiles
     order = [
         F.desc("total_events"),
         F.asc("source_ip"),
@@ -235,10 +238,7 @@ def attacker_list(
         F.asc_nulls_first("source_asn"),
         F.asc_nulls_first("source_country"),
     ]
-    n = min(limit, settings.ATTACKER_LIST_CAP)
-    return top_per_group(
-        rows, ["tenant_id"], order, n, offset=offset
-    )
+    return top_per_group(rows, ["tenant_id"], order, limit, offset=offset)
 
 
 def attacker_timeline(

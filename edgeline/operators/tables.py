@@ -1,21 +1,21 @@
 """Writing merge results back to parquet tables.
 
 Parquet has no row-level merge: a changed table is read, merged and written.
-Date-partitioned tables checkpoint the merged rows in the shared folder first,
-so the write never overwrites files its own plan still reads, and only touched
-partitions change. Current-state tables are written as a new version.
+Rewritten partitions are checkpointed in the shared folder first, so the write
+never overwrites files its own plan still reads, and only touched partitions
+change. Current-state tables are written as a new version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from edgeline.functions.timewin import DATE_COLUMNS
 from edgeline.operators import merge
 from edgeline.session import cut_lineage
-from edgeline.sources.landing import write_partitioned
+from edgeline.sources.landing import partitions, write_partitioned
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -67,38 +67,69 @@ class SnapshotTable:
         return n
 
 
-def _touched(target: DataFrame, batch: DataFrame, time_col: str) -> DataFrame:
-    """Target rows of the days the batch touches.
+def span(batch: DataFrame, time_col: str) -> tuple[Column, Column]:
+    """First and last time of a batch as literals (one fetched row), so that they prune a scan.
 
-    The first and last day are fetched (one row) and become literals, so the
-    scan is pruned to those partitions; the semi join then drops days between
-    them that the batch does not touch and that must not be rewritten.
+    Fetched as text: a clock time would pass through the driver's own time zone.
     """
+    kind = batch.schema[time_col].dataType
+    row = batch.agg(F.min(time_col).cast("string").alias("lo"), F.max(time_col).cast("string").alias("hi")).first()
+    return F.lit(row["lo"]).cast(kind), F.lit(row["hi"]).cast(kind)
+
+
+def between(table: DataFrame, time_col: str, lo: Column, hi: Column) -> DataFrame:
+    """Rows of ``[lo, hi]``; also filters the date partitions."""
     day = DATE_COLUMNS[time_col]
-    days = batch.select(F.col(time_col).cast("date").alias(day)).distinct()
-    lo, hi = batch.agg(F.min(F.col(time_col).cast("date")), F.max(F.col(time_col).cast("date"))).first()
-    return target.filter(F.col(day).between(lo, hi)).join(days, day, "left_semi")
+    if day in table.columns:
+        table = table.filter(F.col(day).between(lo.cast("date"), hi.cast("date")))
+    return table.filter(F.col(time_col).between(lo, hi))
+
 
+def _in_partitions_of(table: DataFrame, rows: DataFrame, time_col: str) -> DataFrame:
+    """Rows of the table in the partitions that ``rows`` fall into."""
+    parts = partitions(time_col)
+    lo, hi = span(rows, time_col)
+    table = table.filter(F.col(DATE_COLUMNS[time_col]).between(lo.cast("date"), hi.cast("date")))
+    touched = rows.select(*[c.alias(n) for n, c in parts.items()]).distinct()
+    return table.join(touched, list(parts), "left_semi")
 
-def append_events(batch: DataFrame, path: str, order_col: str) -> None:
-    """Append the events the table lacks; nothing already stored is rewritten."""
-    spark = batch.sparkSession
-    day = DATE_COLUMNS["event_time"]
-    dated = batch.withColumn(day, F.col("event_time").cast("date"))
+
+def append_events(batch: DataFrame, path: str, order_col: str = "landed_at") -> None:
+    """Append the events the table lacks; of equal keys in the batch the one landed first.
+
+    Equal keys have equal times, so only the batch's span of the table is read.
+    Nothing stored is rewritten, so the plan may read the table it appends to.
+    """
     if batch.isEmpty():
         return
-    target = _touched(read(spark, path, dated), batch, "event_time")
+    dated = batch.withColumns(partitions("event_time"))
+    target = between(read(batch.sparkSession, path, dated), "event_time", *span(batch, "event_time"))
     fresh = merge.new_rows(target, batch, merge.EVENT_KEYS, F.col(order_col))
-    write_partitioned(cut_lineage(fresh), path, "event_time")
+    write_partitioned(fresh, path, "event_time")
 
 
-def upsert_buckets(batch: DataFrame, path: str, keys: list[str], order_col: str) -> None:
-    """Replace metric buckets; only the days the batch touches are rewritten."""
-    spark = batch.sparkSession
-    day = DATE_COLUMNS["bucket_time"]
-    dated = batch.withColumn(day, F.col("bucket_time").cast("date"))
+def upsert_buckets(batch: DataFrame, path: str, keys: list[str], order_col: str = "landed_at") -> None:
+    """Replace metric buckets by the newest of the batch; only the hours it touches are rewritten."""
     if batch.isEmpty():
         return
-    target = _touched(read(spark, path, dated), batch, "bucket_time").drop(day)
+    parts = partitions("bucket_time")
+    target = read(batch.sparkSession, path, batch.withColumns(parts))
+    target = _in_partitions_of(target, batch, "bucket_time").drop(*parts)
     merged = merge.upsert_overwrite(target, batch, keys, F.col(order_col))
     write_partitioned(cut_lineage(merged), path, "bucket_time", mode="overwrite")
+
+
+def replace_buckets(fresh: DataFrame, path: str) -> None:
+    """Store recomputed buckets: all rows of a bucket give way to the fresh ones.
+
+    A bucket that was stored is never recomputed to nothing, as events are only
+    added, so every partition that changes is written.
+    """
+    fresh = cut_lineage(fresh)
+    if fresh.isEmpty():
+        return
+    parts = partitions("bucket_time")
+    target = read(fresh.sparkSession, path, fresh.withColumns(parts))
+    target = _in_partitions_of(target, fresh, "bucket_time").drop(*parts)
+    kept = target.join(fresh.select("bucket_time").distinct(), "bucket_time", "left_anti")
+    write_partitioned(cut_lineage(kept.select(*fresh.columns).unionByName(fresh)), path, "bucket_time", mode="overwrite")

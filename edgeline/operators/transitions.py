@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 LB_KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 
 
-def state_transitions(snapshots: DataFrame, seq: str = "seen_at", slot: str = "hour") -> DataFrame:
-    """Rows whose state differs from the snapshot before, with the earlier state.
+def with_previous(snapshots: DataFrame, seq: str = "seen_at", slot: str = "hour") -> DataFrame:
+    """Every snapshot with the state of the one before as ``from_state``, null for the first.
 
     ``lag`` runs within (load balancer, time slot), so one load balancer with a
     third of all snapshots is spread over its slots. The first row of a slot
     takes the last state of the slot before from a summary with one row per
     slot, which stays small. ``seq`` orders the snapshots of a load balancer.
+    A task sorts one load balancer's slot, so its snapshots of an hour are the bound.
     """
     order = [F.asc(seq), F.asc("snapshot_id")]
     rows = snapshots.withColumn("__slot", F.date_trunc(slot, seq))
@@ -29,15 +30,21 @@ def state_transitions(snapshots: DataFrame, seq: str = "seen_at", slot: str = "h
     before = ends.select(*LB_KEYS, "__slot", F.lag("__end").over(across).alias("__before"))
     joined = marked.join(before, [*LB_KEYS, "__slot"], "left")
     prev = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))
-    return (
-        joined.withColumn("from_state", prev)
-        .filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("state")))
-        .select(
-            *LB_KEYS, "snapshot_id", "from_state", F.col("state").alias("to_state"), F.col(seq).alias("changed_at")
-        )
+    return joined.withColumn("from_state", prev).select(*snapshots.columns, "from_state")
+
+
+def changes(rows: DataFrame, seq: str = "seen_at") -> DataFrame:
+    """The rows of ``with_previous`` at which the state changed."""
+    return rows.filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("state"))).select(
+        *LB_KEYS, "snapshot_id", "from_state", F.col("state").alias("to_state"), F.col(seq).alias("changed_at")
     )
 
 
+def state_transitions(snapshots: DataFrame, seq: str = "seen_at", slot: str = "hour") -> DataFrame:
+    """Rows whose state differs from the snapshot before, with the earlier state."""
+    return changes(with_previous(snapshots, seq, slot), seq)
+
+
 def last_states(snapshots: DataFrame, seq: str = "seen_at") -> DataFrame:
     """Newest snapshot of each load balancer."""
     row = F.max_by(F.struct("state", seq, "snapshot_id"), F.struct(seq, "snapshot_id"))

@@ -56,18 +56,17 @@ SHADOW = dict(min_samples=50)
 STATE = dict(poll_seconds=600)
 
 BURST_SQL = """SELECT tenant_id, 'waf.block_burst' AS rule_id, 'warning' AS severity,
-  'lb:' || lb_namespace || '/' || lb_name AS dedupe_key, 'WAF block burst on ' || lb_name AS title,
-  'Peak ' || peak || ' blocks/min on ' || lb_name || ' in last 1440 minutes (threshold 1).' AS description,
+  'lb:' || lb_namespace || '/' || lb_name AS dedupe_key, 'Blocks spike at ' || lb_name AS title,
+  lb_name || ': ' || peak || ' blocked requests in the worst of 1440 minutes, limit 1' AS description,
   json_object('lb_namespace', lb_namespace, 'lb_name', lb_name, 'peak_blocks_per_min', peak, 'threshold', 1)::VARCHAR
     AS context, 0 AS ord
 FROM (SELECT tenant_id, lb_namespace, lb_name, max(blocked_count) AS peak FROM waf_metrics
   WHERE bucket_time >= (SELECT t FROM now_) - INTERVAL '24 hours' AND bucket_time <= (SELECT t FROM now_)
   GROUP BY ALL HAVING max(blocked_count) >= 1)"""
 NEW_SQL = """SELECT tenant_id, 'waf.new_attacker' AS rule_id, 'info' AS severity, 'ip:' || source_ip AS dedupe_key,
-  'New WAF attacker: ' || source_ip AS title,
-  'Source IP ' || source_ip || ' (' || coalesce(source_country, 'unknown') || ', AS' ||
-    coalesce(CAST(source_asn AS VARCHAR), '?') || ') entered the top-10 with ' || n ||
-    ' blocks in the last hour — not seen in prior 24h window.' AS description,
+  'First blocks from ' || source_ip AS title,
+  source_ip || ' [' || coalesce(source_country, 'unknown') || ', ASN ' || coalesce(CAST(source_asn AS VARCHAR), '?') ||
+    '] had ' || n || ' requests blocked within the hour and none in the day before' AS description,
   json_object('source_ip', source_ip, 'source_country', source_country, 'source_asn', source_asn, 'block_count', n)::VARCHAR
     AS context, rn AS ord
 FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, source_ip) AS rn FROM (
@@ -77,9 +76,9 @@ WHERE rn <= 10 AND NOT EXISTS (SELECT 1 FROM waf_events p WHERE p.tenant_id = r.
   AND p.action = 'BLOCK' AND p.event_time >= (SELECT t FROM now_) - INTERVAL '25 hours'
   AND p.event_time < (SELECT t FROM now_) - INTERVAL '1 hour')"""
 STUFFING_SQL = f"""SELECT tenant_id, 'bot.cred_stuffing' AS rule_id, 'critical' AS severity, 'ip:' || source_ip AS dedupe_key,
-  'Suspected credential stuffing from ' || source_ip AS title,
-  failed || '/' || total || ' bot challenges failed (' || CAST({rnd("failed::DOUBLE / total * 100.0", 0)} AS BIGINT) ||
-    '%) in last 10080 min from ' || source_ip || ' (' || coalesce(source_country, 'unknown') || ').' AS description,
+  'Failed bot challenges pile up for ' || source_ip AS title,
+  failed || ' of ' || total || ' challenges failed, ' || CAST({rnd("failed::DOUBLE / total * 100.0", 0)} AS BIGINT) ||
+    ' % within 10080 minutes, country ' || coalesce(source_country, 'unknown') AS description,
   json_object('source_ip', source_ip, 'source_country', source_country, 'source_asn', source_asn, 'total_attempts', total,
     'failed_challenges', failed, 'failure_pct', {pct("failed", "total", 1)}, 'endpoint_sample', ep)::VARCHAR AS context,
   0 AS ord
@@ -90,18 +89,17 @@ FROM (SELECT tenant_id, source_ip, source_country, source_asn, count(*) AS total
 WHERE failed * 100.0 >= total * 30.0"""
 STATE_SQL = """SELECT tenant_id, 'api.state_change' AS rule_id, 'info' AS severity,
   'lb:' || lb_namespace || '/' || lb_name || ':' || state AS dedupe_key,
-  'API discovery on ' || lb_name || ' → ' || state AS title,
-  'ML model state changed to ''' || state || ''' on ' || lb_name || ' (confidence ' ||
-    coalesce(CAST(confidence_score AS VARCHAR), '?') || '%, ' || total_endpoints_discovered ||
-    ' endpoints discovered).' AS description,
+  lb_name || ' is now ' || state AS title,
+  'Learning at ' || lb_name || ' became ' || state || ', confidence ' ||
+    coalesce(CAST(confidence_score AS VARCHAR), '?') || ', known endpoints ' || total_endpoints_discovered AS description,
   json_object('lb_namespace', lb_namespace, 'lb_name', lb_name, 'state', state, 'confidence_score', confidence_score,
     'endpoints', total_endpoints_discovered)::VARCHAR AS context, 0 AS ord
 FROM states WHERE state_changed_at >= (SELECT t FROM now_) - INTERVAL '660 seconds'"""
 SHADOW_SQL = """SELECT tenant_id, 'api.shadow_emergence' AS rule_id, 'warning' AS severity,
   'ep:' || lb_name || ':' || method || ':' || endpoint_path AS dedupe_key,
-  'New shadow endpoint: ' || method || ' ' || endpoint_path AS title,
-  total_request_samples || ' requests to undeclared endpoint ' || method || ' ' || endpoint_path || ' on ' || lb_name ||
-    ' in the last 24h. Auth: ' || coalesce(auth_type, 'unknown') || '.' AS description,
+  'Undeclared endpoint in use: ' || method || ' ' || endpoint_path AS title,
+  lb_name || ' served ' || total_request_samples || ' requests for ' || method || ' ' || endpoint_path ||
+    ', which no definition declares; authentication ' || coalesce(auth_type, 'unknown') AS description,
   json_object('endpoint_id', lb_namespace || '/' || lb_name || '/' || method || '/' || endpoint_path, 'lb_name', lb_name,
     'method', method, 'path', endpoint_path, 'samples', total_request_samples, 'auth_type', auth_type)::VARCHAR AS context,
   0 AS ord
@@ -110,9 +108,9 @@ FROM api_endpoints WHERE is_shadow AND total_request_samples >= 50
   AND first_seen_at <= TIMESTAMP '2024-02-02'"""
 CERT_SQL = """SELECT tenant_id, 'cert.expiry' AS rule_id, CASE WHEN d <= 1 THEN 'critical' ELSE 'warning' END AS severity,
   'cert:' || namespace || ':' || name AS dedupe_key,
-  'Certificate ' || CASE WHEN d < 0 THEN 'expired' ELSE 'expiring soon' END || ': ' || name AS title,
-  'Certificate ' || name || ' in namespace ' || namespace || CASE WHEN d < 0 THEN ' expired ' || abs(d) || ' day(s) ago.'
-    ELSE ' expires in ' || d || ' day(s).' END AS description,
+  name || CASE WHEN d < 0 THEN ' has expired' ELSE ' runs out soon' END AS title,
+  namespace || '/' || name || CASE WHEN d < 0 THEN ': over for ' || abs(d) || ' days' ELSE ': days left ' || d END
+    AS description,
   json_object('namespace', namespace, 'name', name, 'not_after', strftime(not_after, '%Y-%m-%dT%H:%M:%S') || '+00:00',
     'days_until_expiry', d)::VARCHAR AS context, 0 AS ord
 FROM cert_status WHERE not_after <= TIMESTAMP '1998-06-01' + INTERVAL '7 days'"""
@@ -158,9 +156,7 @@ def early(v):
     ["api_endpoints"],
 )
 def _(v):
-    return alerts.api_shadow_emergence(
-        v.api_endpoints.filter(F.col("first_seen_at") <= early(v)), as_of=early(v), **SHADOW
-    )
+    return alerts.api_shadow_emergence(v.api_endpoints, as_of=early(v), **SHADOW)
 
 
 @query("rule_cert_expiry", *RULE_SQL["cert.expiry"])

@@ -145,7 +145,7 @@ WHO = """'t' || (c_custkey % 3) AS tenant_id, CASE WHEN c_nationkey = 0 THEN 'sh
   CASE c % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS custom_rule_count,
   CASE WHEN c % 13 = 0 THEN 2 WHEN c % 5 = 3 THEN 4 ELSE 0 END AS exclusion_rule_count,
   CASE c % 5 WHEN 0 THEN '200,302' WHEN 1 THEN '404,500' END AS allowed_response_codes
-FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 0)""",
+FROM (SELECT *, c_custkey AS c FROM customer)""",
 )
 def _(v):
     return policies.app_firewall_config(P.firewall_objects(v)).drop("raw_spec")
@@ -159,12 +159,22 @@ def _(v):
   CAST(c % 8 = 1 AS INTEGER) AS allow_rule_count,
   CAST(c % 3 = 0 AS INTEGER) + CAST(c % 5 = 0 AS INTEGER) AS deny_rule_count,
   c % 8 = 1 AS has_geo_rules, c % 3 = 0 AS has_ip_rules, c % 5 = 0 AS has_path_rules
-FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 1)""",
+FROM (SELECT *, c_custkey AS c FROM customer)""",
 )
 def _(v):
     return policies.service_policy_config(P.service_policy_objects(v)).drop("raw_spec")
 
 
+@query(
+    "service_policy_two_specs",
+    """SELECT 't' || (c_custkey % 3) AS tenant_id, 'pol-' || c_custkey AS name,
+  CASE c_custkey % 3 WHEN 1 THEN 'NEXT' WHEN 2 THEN 'DENY' END AS default_action FROM customer""",
+)
+def _(v):
+    out = policies.service_policy_config(P.two_spec_objects(v))
+    return out.select("tenant_id", "name", "default_action")
+
+
 @query(
     "bot_policy_config",
     f"""SELECT {WHO}, CASE WHEN c % 10 <> 6 THEN 1 + CAST(c % 3 = 0 AS INTEGER) + CAST(c % 5 = 0 AS INTEGER)
@@ -172,7 +182,7 @@ def _(v):
   CASE WHEN c % 10 <> 6 THEN '/a,/b' ELSE '' END AS protected_paths, c % 10 <> 6 AS has_javascript_challenge,
   c % 10 <> 6 AND c % 3 = 0 AS has_captcha_challenge, c % 10 <> 6 AND c % 5 = 0 AS has_redirect,
   c % 10 <> 6 AND c % 3 = 0 AS has_block
-FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 2)""",
+FROM (SELECT *, c_custkey AS c FROM customer)""",
 )
 def _(v):
     return policies.bot_policy_config(P.bot_policy_objects(v)).drop("raw_spec")
@@ -187,7 +197,7 @@ def _(v):
   (c % 5 <> 4 AND c % 3 = 0) OR c % 11 = 0 AS has_validation_rules,
   CASE WHEN c % 5 = 4 THEN NULL WHEN c % 3 = 0 AND c % 8 = 3 THEN 'DELETE /b,GET /a,PATCH /c,POST /a'
     WHEN c % 3 = 0 THEN 'PATCH /c' WHEN c % 8 = 3 THEN 'DELETE /b,GET /a,POST /a' END AS declared_endpoints
-FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 3)""",
+FROM (SELECT *, c_custkey AS c FROM customer)""",
 )
 def _(v):
     out = policies.api_definition_config(P.api_definition_objects(v)).drop("raw_spec")
@@ -288,7 +298,7 @@ def _(v):
     AS namespace, 'pol-' || c_custkey AS name, CASE WHEN c % 10 <> 6 THEN 1 + CAST(c % 3 = 0 AS INTEGER) +
     CAST(c % 5 = 0 AS INTEGER) + CAST(c % 7 = 0 AS INTEGER) ELSE 0 END AS protected_endpoint_count,
     CASE WHEN c % 10 <> 6 THEN '/a,/b' ELSE '' END AS protected_paths, c % 10 <> 6 AND c % 3 = 0 AS has_block
-  FROM (SELECT *, c_custkey AS c FROM customer WHERE c_custkey % 4 = 2))
+  FROM (SELECT *, c_custkey AS c FROM customer))
 UNION ALL SELECT tenant_id, namespace, 'ep-' || (k % 7), 1, '/p' || (k % 7) || ',/x', k % 2 = 0 FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, namespace, k % 7 ORDER BY name DESC) AS rn FROM load_balancers
   WHERE k % 3 = 0 AND k % 9 <> 0) WHERE rn = 1""",

@@ -69,7 +69,7 @@ FROM ev""",
     ELSE 'customagent' END AS ua_family,
   CASE k % 4 WHEN 0 THEN 'standard' ELSE 'bd_advanced' END AS source, {ADDRESS},
   {METHOD} AS method, '/api/v' || (k % 5) || '/r' || (k % 20) AS endpoint_path, k
-FROM ev WHERE k % 2 = 0""",
+FROM ev""",
     ),
     "waf_metrics": (
         ["waf_events"],
@@ -201,7 +201,7 @@ FROM (SELECT *, CAST(floor((epoch_us(not_after) - epoch_us(TIMESTAMP '1998-06-01
         """SELECT DISTINCT p.tenant_id, p.policy_type, p.namespace AS policy_namespace,
   CASE WHEN o_orderkey % 17 = 0 THEN 'ghost-' || o_custkey ELSE 'pol-' || o_custkey END AS policy_name,
   'ns' || (o_orderkey % 10 % 2) AS lb_namespace, 'lb-' || (o_orderkey % 10) AS lb_name
-FROM orders JOIN policies p ON p.name = 'pol-' || o_custkey WHERE o_orderstatus = 'F'""",
+FROM orders JOIN policies p ON p.name = 'pol-' || o_custkey""",
     ),
 }
 

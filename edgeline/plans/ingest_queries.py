@@ -130,7 +130,31 @@ def _(v):
 
 @query("waf_metric_buckets", "SELECT * FROM waf_metrics", ["waf_metrics"])
 def _(v):
-    return metrics.waf_metric_buckets(P.waf_metric_documents(v))
+    return metrics.waf_metric_buckets(P.waf_metric_documents(v)).drop("landed_at")
+
+
+@query(
+    "waf_metric_corrections",
+    """SELECT bucket_time, tenant_id, lb_namespace, lb_name, request_count, TIMESTAMP '2024-03-01 00:09:00' AS landed_at
+FROM waf_metrics""",
+    ["waf_metrics"],
+)
+def _(v):
+    out = metrics.waf_metric_buckets(P.corrected_waf_documents(v))
+    return out.select("bucket_time", *P.KEYS, "request_count", "landed_at")
+
+
+@query(
+    "waf_events_long_paths",
+    """SELECT event_time, tenant_id, url, length(url) AS n, md5(raw_event) AS raw_md5 FROM (
+  SELECT event_time, tenant_id, '/' || repeat('x', 3000) || url AS url,
+    '{"time":"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%fZ') || '","method":"' || method || '","url":"/' || repeat('x', 3000)
+      || url || '"}' AS raw_event FROM waf_events)""",
+    ["waf_events"],
+)
+def _(v):
+    out = events.waf_events_from_raw(P.long_path_records(v))
+    return out.select("event_time", "tenant_id", "url", F.length("url").cast("bigint").alias("n"), F.md5(F.col("raw_event").cast("binary")).alias("raw_md5"))
 
 
 @query(
@@ -140,12 +164,12 @@ def _(v):
     ["bot_metrics", "event_lbs"],
 )
 def _(v):
-    return metrics.bot_metric_buckets(P.bot_metric_documents(v), v.event_lbs)
+    return metrics.bot_metric_buckets(P.bot_metric_documents(v), v.event_lbs).drop("landed_at")
 
 
 @query("api_metric_buckets", "SELECT * FROM api_metrics", ["api_metrics"])
 def _(v):
-    return metrics.api_metric_buckets(P.api_metric_documents(v))
+    return metrics.api_metric_buckets(P.api_metric_documents(v)).drop("landed_at")
 
 
 # a numeric confidence of 0 falls through to the second field, which is absent for odd paths

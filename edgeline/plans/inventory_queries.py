@@ -96,6 +96,21 @@ def _(v):
     return joins.probe_targets(load_balancers(v), sites(v), v.origin_pools)
 
 
+@query(
+    "probe_targets_long_names",
+    """SELECT DISTINCT p.tenant_id, p.name AS pool_name, repeat('v', 300) || p.pool_id AS site_name FROM origin_pools p""",
+    ["origin_pools"],
+)
+def _(v):
+    name = F.concat(F.lit("v" * 300), F.col("pool_id"))
+    lbs = v.origin_pools.select(
+        "tenant_id",
+        F.array("name").alias("origin_pool_refs"),
+        F.array(F.concat(F.lit("virtual:"), name)).alias("advertised_sites"),
+    )
+    return joins.probe_targets(lbs, sites(v), v.origin_pools)
+
+
 # --- certificates -----------------------------------------------------------------
 
 CERT = "tenant_id, namespace, name, subject, not_after, d AS days_until_expiry, status"
@@ -189,8 +204,10 @@ def _(v):
 @query(
     "pool_detail",
     """SELECT h.tenant_id, h.pool_id, namespace, name, port, lb_algorithm, origin_count, origin_address, origin_port,
-  site_name, raw_status, classified_status, consecutive_failures, last_probe_at
-FROM origin_health h JOIN origin_pools p ON p.tenant_id = h.tenant_id AND p.pool_id = h.pool_id""",
+  site_name, raw_status, classified_status, consecutive_failures, last_probe_at, sites
+FROM origin_health h JOIN origin_pools p ON p.tenant_id = h.tenant_id AND p.pool_id = h.pool_id
+JOIN (SELECT tenant_id, pool_id, array_to_string(list_sort(list_distinct(list(site_name))), ',') AS sites
+  FROM origin_health GROUP BY tenant_id, pool_id) s ON s.tenant_id = h.tenant_id AND s.pool_id = h.pool_id""",
     ["origin_pools", "origin_health"],
 )
 def _(v):
@@ -219,34 +236,27 @@ def _(v):
     return out.drop("raw_status", "consecutive_failures", "last_probe_at")
 
 
-SIZES = """SELECT tenant_id, pool_id, count(DISTINCT origin_address || ':' || coalesce(CAST(origin_port AS VARCHAR), '-'))
-  * count(DISTINCT site_name) AS cells FROM order_health GROUP BY ALL"""
+POOL_SITES = "SELECT tenant_id, pool_id, count(DISTINCT site_name) AS sites FROM order_health GROUP BY ALL"
+ORIGIN_SITES = """SELECT tenant_id, pool_id, origin_address, origin_port, count(DISTINCT site_name) AS probed
+FROM order_health GROUP BY ALL"""
 
 
 @query(
     "health_matrix",
-    f"""WITH small AS (SELECT tenant_id, pool_id FROM ({SIZES}) WHERE cells <= 24),
-o AS (SELECT DISTINCT tenant_id, pool_id, origin_address, origin_port FROM order_health),
-s AS (SELECT DISTINCT tenant_id, pool_id, site_name FROM order_health)
-SELECT o.tenant_id, o.pool_id, o.origin_address, o.origin_port, s.site_name,
-  coalesce(h.classified_status, 'no probe') AS status, h.consecutive_failures
-FROM small JOIN o USING (tenant_id, pool_id) JOIN s USING (tenant_id, pool_id)
-LEFT JOIN order_health h ON h.tenant_id = o.tenant_id AND h.pool_id = o.pool_id AND h.origin_address = o.origin_address
-  AND h.origin_port IS NOT DISTINCT FROM o.origin_port AND h.site_name = s.site_name""",
+    f"""SELECT h.tenant_id, h.pool_id, h.origin_address, h.origin_port, h.site_name, h.classified_status AS status,
+  h.consecutive_failures, s.sites - o.probed AS sites_without_probe
+FROM order_health h JOIN ({POOL_SITES}) s ON s.tenant_id = h.tenant_id AND s.pool_id = h.pool_id
+JOIN ({ORIGIN_SITES}) o ON o.tenant_id = h.tenant_id AND o.pool_id = h.pool_id AND o.origin_address = h.origin_address
+  AND o.origin_port IS NOT DISTINCT FROM h.origin_port""",
     ["order_health"],
 )
 def _(v):
     return joins.health_matrix(v.order_health)
 
 
-@query(
-    "health_matrix_large_pools",
-    f"""{BY_ORIGIN} FROM order_health JOIN (SELECT tenant_id, pool_id FROM ({SIZES}) WHERE cells > 24)
-  USING (tenant_id, pool_id) GROUP BY ALL""",
-    ["order_health"],
-)
+@query("health_matrix_large_pools", f"{BY_ORIGIN} FROM order_health GROUP BY ALL", ["order_health"])
 def _(v):
-    return joins.large_matrices(v.order_health)
+    return inventory.health_by_origin(v.order_health)
 
 
 # --- policies --------------------------------------------------------------------------
@@ -353,7 +363,7 @@ def audit(v):
 
 
 AUDIT = """SELECT o_orderkey AS id, 't' || (o_custkey % 3) AS tenant_id, 'user' || o_custkey AS actor_username,
-  o_orderstatus AS event_type, left(repeat(o_orderpriority, 60), 255) AS target, 'success' AS result,
+  o_orderstatus AS event_type, repeat(o_orderpriority, 60) AS target, 'success' AS result,
   CASE WHEN o_orderkey % 2 = 0 THEN '10.1.1.1' ELSE '10.3.3.' || (o_orderkey % 250) END AS request_ip,
   CAST(NULL AS VARCHAR) AS user_agent, o_orderdate AS created_at FROM orders"""
 

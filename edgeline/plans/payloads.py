@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from edgeline.functions import scalars as S
 from edgeline.plans.views import Views, nth, word
+from edgeline.sources.metrics import API_COUNTS, API_LATENCIES, BOT_SERIES, WAF_SERIES
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 KEYS = ["tenant_id", "lb_namespace", "lb_name"]
 
 
+def landed(minute: int = 0) -> Column:
+    """When a record arrived."""
+    return F.lit(f"2024-03-01 00:{minute:02d}:00").cast("timestamp").alias("landed_at")
+
+
 def iso(c: str | Column) -> Column:
     return F.date_format(c, ISO)
 
@@ -93,6 +99,13 @@ def security_records(v: Views) -> DataFrame:
     return rows.select("event_id", *KEYS, wrapped(damaged(F.col("body"))).alias("payload"))
 
 
+def long_path_records(v: Views) -> DataFrame:
+    """Firewall events whose paths differ only behind 3,000 equal characters."""
+    path = F.concat(F.lit("/" + "x" * 3000), F.col("url"))
+    body = record(time=iso("event_time"), method=F.col("method"), url=path)
+    return v.waf_events.select(*KEYS, body.alias("payload"))
+
+
 def standard_bot_records(v: Views) -> DataFrame:
     """Bot events in the shared security feed; a third of the records are not bot events."""
     n = F.col("event_id") % 3
@@ -184,13 +197,9 @@ def _series_text(metric: str, cells: str, labels: Column | None = None, bad: str
 
 def waf_metric_documents(v: Views) -> DataFrame:
     """One document per load balancer and day; even days as series, odd days flat."""
-    names = {
-        "loadbalancer.request_count": "request_count",
-        "loadbalancer.waf_blocked_count": "blocked_count",
-        "loadbalancer.waf_monitored_count": "monitored_count",
-        "loadbalancer.error_count": "error_count",
-    }
+    names = WAF_SERIES
     flat = record(
+        by_site=F.struct(F.lit(3).alias("request_count"), F.lit("4").alias("error_count")),
         bucket_time=iso("bucket_time"),
         request_count=F.col("request_count"),
         waf_blocked_count=F.col("blocked_count"),
@@ -210,34 +219,35 @@ def waf_metric_documents(v: Views) -> DataFrame:
     flats = F.concat(F.concat_ws(",", "flat"), F.lit(',{"bucket_time":"bad","request_count":1}'))
     data = F.when(F.day("day") % 2 == 0, series).otherwise(flats)
     return docs.select(
-        *KEYS, F.concat(F.lit('{"step":"60s","data":['), data, F.lit("]}")).alias("payload")
+        *KEYS, landed(), F.concat(F.lit('{"step":"60s","data":['), data, F.lit("]}")).alias("payload")
     )
 
 
+def corrected_waf_documents(v: Views) -> DataFrame:
+    """Per load balancer and day a first document, and one landed later with fewer requests a minute."""
+
+    def documents(minute: int, count: Column) -> DataFrame:
+        cells = F.concat(F.lit('["'), iso("bucket_time"), F.lit('",'), count.cast("string"), F.lit("]"))
+        docs = v.waf_metrics.groupBy(*KEYS, F.to_date("bucket_time").alias("day")).agg(F.collect_list(cells).alias("cells"))
+        text = F.concat(F.lit('{"data":['), _series_text("loadbalancer.request_count", "cells"), F.lit("]}"))
+        return docs.select(*KEYS, landed(minute), text.alias("payload"))
+
+    n = F.col("request_count")
+    return documents(9, n).unionByName(documents(5, n + 1000))
+
+
 def bot_metric_documents(v: Views) -> DataFrame:
-    names = {
-        "loadbalancer.bot_request_count": "request_count",
-        "loadbalancer.bot_challenge_count": "challenge_count",
-        "loadbalancer.bot_block_count": "block_count",
-        "loadbalancer.bot_allow_count": "allow_count",
-    }
+    names = BOT_SERIES
     docs = v.bot_metrics.groupBy(*KEYS, F.to_date("bucket_time").alias("day")).agg(
         *[F.collect_list(_cell(F.col(c))).alias(f"s_{c}") for c in names.values()]
     )
     series = F.concat_ws(",", *[_series_text(m, f"s_{c}", bad=BAD_CELLS) for m, c in names.items()])
-    return docs.select(*KEYS, F.concat(F.lit('{"data":['), series, F.lit("]}")).alias("payload"))
+    return docs.select(*KEYS, landed(), F.concat(F.lit('{"data":['), series, F.lit("]}")).alias("payload"))
 
 
 def api_metric_documents(v: Views) -> DataFrame:
     """One document per endpoint and day, six labelled series each."""
-    names = {
-        "loadbalancer.request_count": "request_count",
-        "loadbalancer.http_4xx_count": "error_4xx_count",
-        "loadbalancer.http_5xx_count": "error_5xx_count",
-        "loadbalancer.latency_p50": "latency_p50_ms",
-        "loadbalancer.latency_p95": "latency_p95_ms",
-        "loadbalancer.latency_p99": "latency_p99_ms",
-    }
+    names = {**API_COUNTS, **API_LATENCIES}
     day = F.to_date("bucket_time").alias("day")
     docs = v.api_metrics.groupBy(*KEYS, "method", "endpoint_path", day).agg(
         *[F.collect_list(_cell(F.col(c))).alias(f"s_{c}") for c in names.values()]
@@ -251,7 +261,7 @@ def api_metric_documents(v: Views) -> DataFrame:
     series = F.concat_ws(",", *[_series_text(m, f"s_{c}", labels) for m, c in names.items()])
     unlabelled = F.lit(',{"metric":"loadbalancer.request_count","labels":{},"values":[["2024-01-01T00:00:00Z",5]]}')
     return docs.select(
-        *KEYS, F.concat(F.lit('{"data":['), series, unlabelled, F.lit("]}")).alias("payload")
+        *KEYS, landed(), F.concat(F.lit('{"data":['), series, unlabelled, F.lit("]}")).alias("payload")
     )
 
 
@@ -524,12 +534,11 @@ def health_records(v: Views) -> DataFrame:
     return v.origin_health.select("tenant_id", "pool_id", "site_name", body.alias("payload"))
 
 
-def policy_objects(v: Views, kind: int, spec: Column) -> DataFrame:
-    """Customers of one policy type (c_custkey % 4) as policy objects."""
+def policy_objects(v: Views, spec: Column) -> DataFrame:
+    """Every customer as a policy object of the given settings."""
     c = F.col("c_custkey")
     ns = F.when(F.col("c_nationkey") == 0, "shared").otherwise(word("ns", c % 3))
-    rows = v.table("customer").filter(c % 4 == kind)
-    return rows.select(*_object(word("t", c % 3), ns, word("pol-", c), spec))
+    return v.table("customer").select(*_object(word("t", c % 3), ns, word("pol-", c), spec))
 
 
 def _json(**members: Column) -> Column:
@@ -560,7 +569,7 @@ def firewall_objects(v: Views) -> DataFrame:
             c % 5 == 1, F.lit("[404,1.5,500]")
         ),
     )
-    return policy_objects(v, 0, spec)
+    return policy_objects(v, spec)
 
 
 def service_policy_objects(v: Views) -> DataFrame:
@@ -580,7 +589,22 @@ def service_policy_objects(v: Views) -> DataFrame:
         default_action_choice=action,
         rules=F.concat(F.lit("["), F.concat_ws(",", *rules), F.lit("]")),
     )
-    return policy_objects(v, 1, spec)
+    return policy_objects(v, spec)
+
+
+def two_spec_objects(v: Views) -> DataFrame:
+    """Service policies whose read spec lacks the default action that the other spec has; every third is wrapped."""
+    c = F.col("c_custkey")
+    chosen = nth(['{"rules":[]}', '{"rules":[],"default_action_choice":{"next":{},"allow_list":{}}}', "{}"], c % 3)
+    body = F.concat(
+        F.lit('{"name":"pol-'), c.cast("string"), F.lit('","get_spec":'), chosen,
+        F.lit(',"spec":{"default_action_choice":{"deny_list":{}}}}'),
+    )
+    quoted = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    payload = F.when(c % 2 == 0, quoted).otherwise(body)
+    return v.table("customer").select(
+        word("t", c % 3).alias("tenant_id"), word("ns", c % 3).alias("namespace"), payload.alias("payload")
+    )
 
 
 def bot_policy_objects(v: Views) -> DataFrame:
@@ -596,7 +620,7 @@ def bot_policy_objects(v: Views) -> DataFrame:
             c % 10 != 6, F.concat(F.lit("["), F.concat_ws(",", *eps), F.lit("]"))
         )
     )
-    return policy_objects(v, 2, spec)
+    return policy_objects(v, spec)
 
 
 def api_definition_objects(v: Views) -> DataFrame:
@@ -612,4 +636,4 @@ def api_definition_objects(v: Views) -> DataFrame:
         api_specs=F.when(c % 5 != 4, F.concat(F.lit("["), F.concat_ws(",", *specs), F.lit("]"))),
         validation_rules=F.when(c % 11 == 0, F.lit('{"r":1}')),
     )
-    return policy_objects(v, 3, spec)
+    return policy_objects(v, spec)

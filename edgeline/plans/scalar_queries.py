@@ -215,11 +215,14 @@ def _(v):
 
 @query(
     "truncate_text",
-    "SELECT doc_id, length(CASE WHEN left(text, 2048) <> '' THEN left(text, 2048) END) AS kept FROM documents",
+    """SELECT doc_id, length(text) AS whole, length(CASE WHEN left(text, 2048) <> '' THEN left(text, 2048) END) AS kept
+FROM documents""",
 )
 def _(v):
-    kept = S.truncate_text(F.col("text"), S.URL_CAP)
-    return v.table("documents").select("doc_id", F.char_length(kept).cast("bigint").alias("kept"))
+    kept = S.truncate_text(F.col("text"), 2048)
+    return v.table("documents").select(
+        "doc_id", F.char_length("text").cast("bigint").alias("whole"), F.char_length(kept).cast("bigint").alias("kept")
+    )
 
 
 @query(

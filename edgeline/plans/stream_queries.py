@@ -1,27 +1,27 @@
 """Streaming jobs run to completion over the event table.
 
 The source is a file stream, the trigger ``availableNow``; the result is the
-sink table. Append mode emits a window once the watermark (newest event minus
-ten minutes) has passed its end, so the checks cover the closed windows.
+stored table, with every window of every event.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.operators import alerts, rollups, tables
-from edgeline.operators.transitions import state_transitions
-from edgeline.plans.alert_queries import BURST
+from edgeline.operators.transitions import changes, state_transitions
+from edgeline.plans.alert_queries import ALL_RULES, RULE_VIEWS, RULES, SHIFTED
+from edgeline.plans.alert_queries import tables as rule_tables
 from edgeline.plans.event_queries import HOUR, SECURITY_VIEWS, SIGNALS, count_if, sums
+from edgeline.plans.payloads import landed
 from edgeline.plans.registry import query
 from edgeline.plans.views import Views, nth
 from edgeline.session import scratch_path
 from edgeline.streaming import jobs, transforms
 
-CLOSED = "(SELECT date_trunc('milliseconds', t) - INTERVAL '10 minutes' FROM now_)"
-
-
 class StreamViews(Views):
     """The event views over a file stream instead of a table."""
 
@@ -40,13 +40,13 @@ def timed(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.col("event_time").cast("timestamp"))
 
 
-def event_stream(v: Views) -> DataFrame:
-    return timed(StreamViews(v).waf_events)
+def event_stream(v: Views, minute: int = 0) -> DataFrame:
+    return timed(StreamViews(v).waf_events).withColumn("landed_at", landed(minute))
 
 
 def pulled_twice(v: Views) -> DataFrame:
     """Two overlapping pulls: every event arrives twice."""
-    both = event_stream(v).unionByName(event_stream(v))
+    both = event_stream(v).unionByName(event_stream(v, 5))
     return transforms.overlapping_pull(both)
 
 
@@ -73,37 +73,26 @@ def _(v):
     return v.spark.read.parquet(path).select("id", "event_time", "tenant_id", "action")
 
 
-def minute_table(v: Views) -> str:
-    path = scratch_path(v.spark, "minutes")
-    stream = transforms.minute_metrics_stream(transforms.dedup_stream(pulled_twice(v)))
-    jobs.append_available(stream, path, path + "-progress")
-    return path
-
-
-@query(
-    "minute_metrics_stream",
-    f"SELECT * FROM waf_metrics WHERE bucket_time + INTERVAL '1 minute' <= {CLOSED}",
-    ["waf_metrics", "now_"],
-)
+@query("minute_metrics_stream", "SELECT * FROM waf_metrics", ["waf_metrics"])
 def _(v):
-    return v.spark.read.parquet(minute_table(v))
+    base = scratch_path(v.spark, "minutes")
+    job = jobs.event_metrics(base + "-events", base + "-minutes")
+    jobs.run_available(pulled_twice(v), job, base + "-progress")
+    return v.spark.read.parquet(base + "-minutes").drop("bucket_date", "bucket_hour")
 
 
 @query(
     "hourly_rollup_stream",
     f"""SELECT {HOUR} AS bucket_time, tenant_id, lb_namespace, lb_name,
   {sums("request_count", "blocked_count", "monitored_count", "error_count")}
-FROM waf_metrics WHERE waf_metrics.bucket_time + INTERVAL '1 minute' <= {CLOSED} GROUP BY ALL""",
-    ["waf_metrics", "now_"],
+FROM waf_metrics GROUP BY ALL""",
+    ["waf_metrics"],
 )
 def _(v):
-    source = minute_table(v)
-    schema = v.spark.read.parquet(source).schema
     base = scratch_path(v.spark, "rollup")
-    stream = v.spark.readStream.schema(schema).parquet(source)
-    job = jobs.hourly_rollup(base + "-minutes", base + "-hours")
-    jobs.run_available(stream, job, base + "-progress")
-    return v.spark.read.parquet(base + "-hours").drop("bucket_date")
+    job = jobs.event_metrics(base + "-events", base + "-minutes", base + "-hours")
+    jobs.run_available(pulled_twice(v), job, base + "-progress")
+    return v.spark.read.parquet(base + "-hours").drop("bucket_date", "bucket_hour")
 
 
 @query(
@@ -112,19 +101,17 @@ def _(v):
   count(*) AS total, {count_if("challenge_result = 'failed'", "failed")}, max(endpoint_path) AS any_endpoint
 FROM (SELECT *, time_bucket(INTERVAL '30 minutes', event_time) - o * INTERVAL '30 minutes' AS w
       FROM bot_events, (VALUES (0), (1)) x(o)) WHERE source_ip IS NOT NULL AND action IN ('CHALLENGE', 'BLOCK')
-  AND w + INTERVAL '60 minutes' <= {CLOSED}
 GROUP BY ALL HAVING count(*) >= 1 AND count(*) FILTER (challenge_result = 'failed') * 100.0 >= count(*) * 30.0""",
-    ["bot_events", "now_"],
+    ["bot_events"],
 )
 def _(v):
-    # the watermark follows all events, so the bot rows are cut from the whole stream
-    bots = transforms.overlapping_pull(timed(StreamViews(v).bot_events))
-    found = transforms.cred_stuffing_stream(
-        bots, min_events=1, failure_pct=30.0, width="60 minutes", slide="30 minutes"
-    )
-    path = scratch_path(v.spark, "stuffing")
-    jobs.append_available(found, path, path + "-progress")
-    return v.spark.read.parquet(path)
+    bots = timed(StreamViews(v).bot_events).withColumn("landed_at", landed())
+    base = scratch_path(v.spark, "stuffing")
+    job = jobs.stuffing_windows(base + "-events", base + "-windows", width="60 minutes", slide="30 minutes")
+    jobs.run_available(bots, job, base + "-progress")
+    stored = v.spark.read.parquet(base + "-windows").drop("bucket_date", "bucket_hour")
+    found = transforms.stuffing_alerts(stored, min_events=1, failure_pct=30.0)
+    return found.withColumnRenamed("bucket_time", "window_start")
 
 
 def snapshots(df: DataFrame) -> DataFrame:
@@ -154,9 +141,8 @@ def _(v):
 def _(v):
     base = scratch_path(v.spark, "transitions")
     stream = snapshots(StreamViews(v).waf_events)
-    job = jobs.transition_log(base + "-states", base + "-log")
-    jobs.run_available(stream, job, base + "-progress")
-    return v.spark.read.parquet(base + "-log").drop("batch")
+    jobs.run_available(stream, jobs.transition_log(base), base + "-progress")
+    return changes(v.spark.read.parquet(base))
 
 
 def refreshed(v: Views) -> tuple[str, str]:
@@ -165,19 +151,11 @@ def refreshed(v: Views) -> tuple[str, str]:
     paths = jobs.RefreshPaths(base + "-events", base + "-profiles", base + "-alerts")
 
     def inputs(events: DataFrame) -> alerts.Tables:
-        return alerts.Tables(
-            waf_metrics=rollups.minute_metrics(events),
-            waf_events=events,
-            bot_events=timed(v.bot_events),
-            states=v.states,
-            endpoints=v.api_endpoints,
-            certificates=v.certificates,
+        return replace(
+            rule_tables(v), waf_metrics=rollups.minute_metrics(events), waf_events=events, bot_events=timed(v.bot_events)
         )
 
-    rules = alerts.RuleSettings(
-        enabled={"waf.block_burst", "waf.new_attacker"}, arguments={"waf.block_burst": BURST}
-    )
-    job = jobs.profile_and_alert_refresh(paths, timed(v.bot_events), inputs, rules)
+    job = jobs.profile_and_alert_refresh(paths, timed(v.bot_events), inputs, RULES)
     jobs.run_available(event_stream(v), job, base + "-progress")
     return paths.profiles, paths.alerts
 
@@ -194,16 +172,9 @@ def _(v):
 
 @query(
     "alert_refresh",
-    """SELECT tenant_id, 'waf.block_burst' AS rule_id, count(*) AS alerts FROM (SELECT tenant_id, lb_namespace, lb_name
-  FROM waf_metrics WHERE bucket_time >= (SELECT t FROM now_) - INTERVAL '24 hours' AND bucket_time <= (SELECT t FROM now_)
-  GROUP BY ALL HAVING max(blocked_count) >= 1) GROUP BY ALL
-UNION ALL SELECT tenant_id, 'waf.new_attacker', count(*) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
-  ORDER BY n DESC, source_ip) AS rn FROM (SELECT tenant_id, source_ip, count(*) AS n FROM waf_events WHERE action = 'BLOCK'
-    AND source_ip IS NOT NULL AND event_time >= (SELECT t FROM now_) - INTERVAL '1 hour' GROUP BY ALL)) r WHERE rn <= 10
-  AND NOT EXISTS (SELECT 1 FROM waf_events p WHERE p.tenant_id = r.tenant_id AND p.source_ip = r.source_ip
-    AND p.action = 'BLOCK' AND p.event_time >= (SELECT t FROM now_) - INTERVAL '25 hours'
-    AND p.event_time < (SELECT t FROM now_) - INTERVAL '1 hour') GROUP BY ALL""",
-    ["waf_metrics", "waf_events", "now_"],
+    f"""WITH {SHIFTED} SELECT tenant_id, rule_id, CAST(count(*) AS BIGINT) AS alerts FROM (
+  SELECT tenant_id, rule_id FROM ({ALL_RULES})) GROUP BY ALL""",
+    RULE_VIEWS,
 )
 def _(v):
     _, path = refreshed(v)

@@ -108,9 +108,9 @@ class Views:
 
     @cached_property
     def bot_raw(self) -> DataFrame:
-        """Bot events before normalisation (even k only: half the load balancers run bot defense)."""
+        """Bot events before normalisation, one per event."""
         k, e = F.col("k"), F.col("event_type")
-        return self.events.filter(k % 2 == 0).select(
+        return self.events.select(
             "event_id",
             word("b", F.col("event_id")).alias("id"),
             F.col("ts").alias("event_time"),
@@ -393,9 +393,9 @@ class Views:
 
     @cached_property
     def attachments(self) -> DataFrame:
-        """Links from finished orders: the customer's policy to one of ten load balancers."""
+        """Links from orders: the customer's policy to one of ten load balancers."""
         c, j = F.col("c_custkey"), F.col("o_orderkey") % 10
-        orders = self.table("orders").filter(F.col("o_orderstatus") == "F")
+        orders = self.table("orders")
         ns = F.when(F.col("c_nationkey") == 0, "shared").otherwise(word("ns", c % 3))
         name = F.when(F.col("o_orderkey") % 17 == 0, word("ghost-", c)).otherwise(word("pol-", c))
         return (

@@ -3,11 +3,8 @@
 TOP_K = 12
 ENDPOINT_BREAKDOWN_LIMIT = 50
 DONUT_SLICES = 5
-MATRIX_MAX_CELLS = 24
 
 PROFILE_WINDOW_MINUTES = 1440
-MAX_ATTACKERS = 2000
-ATTACKER_LIST_CAP = TOP_K * 50
 TIMELINE_LIMIT = 200
 
 CERT_WARN_DAYS = 30

@@ -53,7 +53,7 @@ def api_endpoints_from_raw(raw: DataFrame) -> DataFrame:
         X.records(raw, names, decimals=True),
         {
             "method": strip(F.upper(_plain("method", "http_method"))),
-            "endpoint_path": S.truncate_text(strip(_plain("path", "endpoint", "url")), S.URL_CAP),
+            "endpoint_path": S.blank_to_null(strip(_plain("path", "endpoint", "url"))),
             "definition": F.from_json(definition, X.struct_of(["namespace", "name"])),
             "confidence": X.either(_j("discovery_confidence"), _j("confidence")),
             "samples": _first("total_request_samples", "sample_count"),

@@ -29,6 +29,7 @@ def open_object(raw: DataFrame) -> DataFrame:
             "j_spec": "$.spec",
         },
     )
+    text = X.unwrapped(F.col("payload"))
     listed_in = F.col("namespace") if "namespace" in raw.columns else F.lit("")
     return parsed.select(
         "tenant_id",
@@ -37,6 +38,10 @@ def open_object(raw: DataFrame) -> DataFrame:
         "payload",
         "doc",
         J.first_truthy(F.col("j_get"), F.col("j_spec")).alias("spec"),
+        # the same object as text: VARIANT sorts keys, and the first one as written counts
+        F.when(J.first_truthy(F.col("j_get")).isNotNull(), F.get_json_object(text, "$.get_spec"))
+        .otherwise(F.get_json_object(text, "$.spec"))
+        .alias("spec_text"),
     )
 
 

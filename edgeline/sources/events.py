@@ -99,7 +99,8 @@ def _common() -> dict[str, Column]:
 
 def _rows(df: DataFrame, chosen: dict[str, Column], cols: list[Column]) -> DataFrame:
     """Choose values once, drop rows without a readable time, compute the columns."""
-    raw = [*KEYS, "payload"]
+    landed = [c for c in ("landed_at",) if c in df.columns]
+    raw = [*KEYS, *landed, "payload"]
     picked = X.fixed(df, {**_common(), **chosen}, raw)
     timed = picked.withColumn("event_time", S.parse_iso(F.col("t_time")))
     return timed.filter(F.col("event_time").isNotNull()).select(
@@ -107,6 +108,7 @@ def _rows(df: DataFrame, chosen: dict[str, Column], cols: list[Column]) -> DataF
         S.stable_event_id(F.col("t_request"), F.col("t_digest")).alias("id"),
         *KEYS,
         *cols,
+        *landed,
         F.col("payload").alias("raw_event"),
     )
 
@@ -155,8 +157,8 @@ def waf_events_from_raw(raw: DataFrame, *, exclude_bot: bool = False) -> DataFra
         [
             S.waf_action(F.col("t_action")).alias("action"),
             *_origin(),
-            S.truncate_text(F.col("t_path"), S.URL_CAP).alias("url"),
-            S.truncate_text(F.col("t_agent"), S.USER_AGENT_CAP).alias("user_agent"),
+            S.blank_to_null(F.col("t_path")).alias("url"),
+            S.blank_to_null(F.col("t_agent")).alias("user_agent"),
             X.whole(F.col("t_code")).cast("int").alias("response_code"),
             F.col("primary_signature"),
             F.col("signature_ids"),
@@ -192,8 +194,8 @@ def _bot_columns(
         kind.alias("challenge_type"),
         anomalies.alias("device_anomalies"),
         *_origin(),
-        S.truncate_text(F.col("t_path"), S.URL_CAP).alias("endpoint_path"),
-        S.truncate_text(F.col("t_agent"), S.USER_AGENT_CAP).alias("user_agent"),
+        S.blank_to_null(F.col("t_path")).alias("endpoint_path"),
+        S.blank_to_null(F.col("t_agent")).alias("user_agent"),
         S.ua_family(F.col("t_agent")).alias("ua_family"),
         policy["namespace"].alias("bot_policy_namespace"),
         policy["name"].alias("bot_policy_name"),

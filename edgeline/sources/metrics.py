@@ -50,10 +50,10 @@ def _series(raw: DataFrame, fields: list[str]) -> DataFrame:
     """One row per entry of ``data`` with the named fields, keeping its position.
 
     When one batch holds two documents for a load balancer the one landed later
-    wins; without a ``landed_at`` column a digest keeps the choice repeatable.
+    wins; a digest decides between documents landed at one time.
     """
     data = F.from_json(X.unwrapped(F.col("payload")), "struct<data: array<string>>")["data"]
-    order = F.col("landed_at") if "landed_at" in raw.columns else F.xxhash64("payload")
+    order = F.struct("landed_at", F.xxhash64("payload").alias("digest"))
     entries = raw.select(*KEYS, order.alias("doc_no"), F.posexplode(data).alias("at", "item"))
     return X.pull(entries, F.col("item"), fields)
 
@@ -72,18 +72,20 @@ def _series_cells(table: dict[str, str]) -> Column:
     return F.when(name.isNotNull(), cells)
 
 
+def _member(value: Column) -> Column:
+    """A marked counter as JSON text: what looked like a decimal but was a string is quoted again."""
+    return F.when(value.startswith(X.MARK), F.concat(F.lit('"'), X.plain(value), F.lit('"'))).otherwise(value)
+
+
 def _flat_cells(table: dict[str, str]) -> Column:
     """``{bucket_time, counter: value, ...}`` of the flat shape, in the same form."""
     ts = X.first_plain(F.col("j_bucket_time"), F.col("j_timestamp"))
-    # the text of a counter as it stands in the item tells a string from a number
     return F.array(
         *[
             F.struct(
                 ts.alias("ts"),
                 F.lit(column).alias("name"),
-                F.regexp_extract("item", f'"{field}"\\s*:\\s*("[^"\\\\]*"|[^\\[\\]{{}},"\\s]+)', 1).alias(
-                    "value"
-                ),
+                _member(F.col(f"f_{field}")).alias("value"),
             )
             for field, column in table.items()
         ]
@@ -124,7 +126,8 @@ def _last(value: Column, name: str) -> Column:
 def _counters(cells: DataFrame, names: list[str]) -> DataFrame:
     rows = cells.withColumn("n", _whole(F.col("value"))).filter(F.col("n").isNotNull())
     return rows.groupBy("bucket_time", *KEYS).agg(
-        *[F.coalesce(_last(F.col("n"), c), F.lit(0)).cast("bigint").alias(c) for c in names]
+        *[F.coalesce(_last(F.col("n"), c), F.lit(0)).cast("bigint").alias(c) for c in names],
+        F.max("seq.doc_no.landed_at").alias("landed_at"),
     )
 
 
@@ -132,6 +135,9 @@ def waf_metric_buckets(raw: DataFrame) -> DataFrame:
     """Firewall counters per (bucket, load balancer), from either payload shape."""
     series = _series(raw, ["metric", "values", "bucket_time", "timestamp"])
     is_series = F.col("j_metric").isNotNull() | F.col("item").contains('"metric":null')
+    # the members of the item itself; nested ones of the same name are no counters
+    flat = F.when(~is_series, X.marked(F.col("item"), decimals=True))
+    series = X.pull(series, flat, list(WAF_FLAT), "f_")
     cells = F.when(is_series, _series_cells(WAF_SERIES)).otherwise(_flat_cells(WAF_FLAT))
     return _counters(_cells(series, cells), list(WAF_SERIES.values()))
 
@@ -159,7 +165,7 @@ def api_metric_buckets(raw: DataFrame) -> DataFrame:
         series,
         {
             "method": strip(F.upper(X.given(F.col("l_method")))),
-            "endpoint_path": S.truncate_text(path, S.URL_CAP),
+            "endpoint_path": S.blank_to_null(path),
         },
         [*KEYS, "doc_no", "at", "j_metric", "j_values"],
     ).filter((F.col("method") != "") & F.col("endpoint_path").isNotNull())
@@ -173,4 +179,5 @@ def api_metric_buckets(raw: DataFrame) -> DataFrame:
             for c in API_COUNTS.values()
         ],
         *[_last(ms, c)["ms"].alias(c) for c in API_LATENCIES.values()],
+        F.max("seq.doc_no.landed_at").alias("landed_at"),
     )

@@ -45,10 +45,7 @@ def _base() -> list[Column]:
 def _choice(field: str) -> Column:
     """First key of an object setting, or the setting itself when it is text."""
     v = _s(field)
-    first = F.coalesce(
-        J.first_key(F.col("payload"), f"$.get_spec.{field}"),
-        J.first_key(F.col("payload"), f"$.spec.{field}"),
-    )
+    first = J.first_key(F.col("spec_text"), f"$.{field}")
     return F.when(J.is_object(v), first).when(J.is_string(v), J.text(v))
 
 
@@ -132,10 +129,7 @@ def service_policy_config(raw: DataFrame) -> DataFrame:
             )
         )
 
-    first = F.coalesce(
-        J.first_key(F.col("payload"), "$.get_spec.default_action_choice"),
-        J.first_key(F.col("payload"), "$.spec.default_action_choice"),
-    )
+    first = J.first_key(F.col("spec_text"), "$.default_action_choice")
     return open_object(raw).select(
         *_base(),
         F.coalesce(S.lookup(first, DEFAULT_ACTIONS), F.upper(first)).alias("default_action"),

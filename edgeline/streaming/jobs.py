@@ -1,9 +1,11 @@
 """Micro-batch jobs: each applies batch operators to what has just arrived.
 
-Progress logs and tables live in folders the caller names (shared storage). A
-repeated micro-batch gives the same tables: events are inserted only if absent,
-recomputed hours replace themselves, and snapshot versions are numbered by
-batch.
+Progress logs and tables live in folders the caller names (shared storage). Rows
+may come in any order and at any delay: a job stores what is new, then computes
+the windows it touches again from the stored rows, so its tables equal one batch
+run over all rows and nothing waits in state. A repeated micro-batch gives the
+same tables: events are inserted only if absent, recomputed windows replace
+themselves, and snapshot versions are numbered by batch.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgeline.functions.timewin import DATE_COLUMNS
+from edgeline.functions.timewin import bucket
 from edgeline.operators import alerts as A
 from edgeline.operators import merge, rollups, security, tables
-from edgeline.operators.transitions import last_states, state_transitions
+from edgeline.operators.transitions import last_states, with_previous
+from edgeline.session import cut_lineage
+from edgeline.sources.landing import partitions, write_partitioned
+from edgeline.streaming import transforms
 
 STATE_SCHEMA = (
     "tenant_id string, lb_namespace string, lb_name string, state string, "
@@ -83,49 +88,118 @@ def ingest_events(path: str) -> Callable[[DataFrame, int], None]:
     """Append the events of a batch that the table lacks."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        tables.append_events(batch, path, "id")
+        tables.append_events(batch, path)
 
     return handle
 
 
+def _refresh_hours(touched: DataFrame, minute_path: str, hour_path: str, rollup) -> None:
+    """Recompute the hours of the touched minutes; only these hours of the minute table are read."""
+    hours = rollups.hours_to_refresh(touched)
+    lo, hi = tables.span(hours, "hour")
+    minutes = touched.sparkSession.read.parquet(minute_path)
+    minutes = tables.between(minutes, "bucket_time", lo, hi + F.expr("INTERVAL 1 HOUR"))
+    minutes = minutes.drop(*partitions("bucket_time"))
+    tables.replace_buckets(rollups.recompute_hours(minutes, hours, rollup), hour_path)
+
+
 def hourly_rollup(
     minute_path: str, hour_path: str, rollup=rollups.waf_rollup_1hour
 ) -> Callable[[DataFrame, int], None]:
     """Store the minute rows of a batch, then recompute the hours they fall into.
 
-    Late rows only cost the hours they touch. The scan of the minute table is
-    limited to the first and last touched hour (one fetched row).
+    Late rows only cost the hours they touch. Of two values of one minute the
+    one landed later counts.
     """
-    day = DATE_COLUMNS["bucket_time"]
 
     def handle(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
-        tables.upsert_buckets(batch, minute_path, merge.METRIC_KEYS, "request_count")
-        hours = rollups.hours_to_refresh(batch)
-        lo, hi = hours.agg(F.min("hour"), F.max("hour")).first()
-        minutes = spark.read.parquet(minute_path).filter(
-            F.col(day).between(lo.date(), hi.date())
-            & (F.col("bucket_time") >= lo)
-            & (F.col("bucket_time") < F.lit(hi) + F.expr("INTERVAL 1 HOUR"))
-        )
-        fresh = rollups.recompute_hours(minutes.drop(day), hours, rollup)
-        tables.upsert_buckets(fresh, hour_path, merge.METRIC_KEYS, "request_count")
+        tables.upsert_buckets(batch, minute_path, merge.METRIC_KEYS)
+        _refresh_hours(batch, minute_path, hour_path, rollup)
 
     return handle
 
 
-def transition_log(state_path: str, log_path: str) -> Callable[[DataFrame, int], None]:
-    """Log state changes; the newest state per load balancer carries over between batches."""
+def event_metrics(
+    event_path: str, minute_path: str, hour_path: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Store the events of a batch, then count the minutes, and the hours, they fall into again."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        states = tables.SnapshotTable(batch.sparkSession, state_path, STATE_SCHEMA)
-        known = states.read(before=batch_id)
-        rows = known.unionByName(batch.select(*known.columns))
-        changes = state_transitions(rows)
-        changes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        states.write(last_states(rows).select(*known.columns), version=batch_id)
+    def handle(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        tables.append_events(batch, event_path)
+        minutes = batch.select(bucket("event_time", "1 minute").alias("bucket_time")).distinct()
+        lo, hi = tables.span(minutes, "bucket_time")
+        events = batch.sparkSession.read.parquet(event_path)
+        events = tables.between(events, "event_time", lo, hi + F.expr("INTERVAL 1 MINUTE"))
+        events = events.withColumn("bucket_time", bucket("event_time", "1 minute"))
+        events = events.join(minutes, "bucket_time", "left_semi").drop("bucket_time")
+        tables.replace_buckets(rollups.minute_metrics(events), minute_path)
+        if hour_path:
+            _refresh_hours(minutes, minute_path, hour_path, rollups.waf_rollup_1hour)
+
+    return handle
+
+
+def stuffing_windows(
+    event_path: str, window_path: str, width: str = "10 minutes", slide: str = "5 minutes"
+) -> Callable[[DataFrame, int], None]:
+    """Store the bot events of a batch, then count the sliding windows they fall into again.
+
+    The table holds the counts of every group; ``transforms.stuffing_alerts``
+    applies the rule's thresholds, so a group may come and go as rows arrive.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        tables.append_events(batch, event_path)
+        touched = batch.select(F.window("event_time", width, slide)["start"].alias("bucket_time")).distinct()
+        lo, hi = tables.span(touched, "bucket_time")
+        events = batch.sparkSession.read.parquet(event_path)
+        events = tables.between(events, "event_time", lo, hi + F.expr(f"INTERVAL {width}"))
+        counted = transforms.stuffing_counts(events, width=width, slide=slide)
+        counted = counted.withColumnRenamed("window_start", "bucket_time")
+        tables.replace_buckets(counted.join(touched, "bucket_time", "left_semi"), window_path)
+
+    return handle
+
+
+def transition_log(path: str) -> Callable[[DataFrame, int], None]:
+    """Keep every snapshot with the state before it; ``transitions.changes`` of the table is the log.
+
+    A snapshot changes its own row and the row after it. So for the load
+    balancers of a batch the rows from its first time on are computed again,
+    preceded by each one's last snapshot before; other rows of the rewritten days stay as
+    they are. A snapshot that is stored already is left out.
+    """
+    key = ["snapshot_id", *merge.LB_KEYS]
+    day = partitions("seen_at")
+
+    def handle(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        cols = [c for c in batch.columns if c != "from_state"]
+        batch = batch.select(*cols)
+        like = batch.withColumn("from_state", F.lit(None).cast("string")).withColumns(day)
+        stored = tables.read(batch.sparkSession, path, like)
+        lo, hi = tables.span(batch, "seen_at")
+        known = tables.between(stored, "seen_at", lo, hi)
+        fresh = merge.one_per_key(batch, key, F.col("seen_at"), newest=False).join(known.select(*key), key, "left_anti")
+        owners = batch.select(*merge.LB_KEYS).distinct()
+        from_lo = stored.filter((F.col("seen_date") >= lo.cast("date")))
+        mine = from_lo.join(owners, merge.LB_KEYS, "left_semi").filter(F.col("seen_at") >= lo)
+        before = stored.filter((F.col("seen_date") <= lo.cast("date")) & (F.col("seen_at") < lo))
+        before = last_states(before.join(owners, merge.LB_KEYS, "left_semi")).select(*cols)
+        rows = with_previous(before.unionByName(mine.select(*cols)).unionByName(fresh.select(*cols)))
+        rows = rows.filter(F.col("seen_at") >= lo)
+        days = rows.select(*[c.alias(n) for n, c in day.items()]).distinct()
+        others = from_lo.join(days, list(day), "left_semi")
+        others = others.join(owners.withColumn("_mine", F.lit(True)), merge.LB_KEYS, "left")
+        others = others.filter(F.col("_mine").isNull() | (F.col("seen_at") < lo)).select(*rows.columns)
+        write_partitioned(cut_lineage(rows.unionByName(others)), path, "seen_at", mode="overwrite")
 
     return handle
 
@@ -144,31 +218,36 @@ def profile_and_alert_refresh(
     bot_events: DataFrame,
     others: Callable[[DataFrame], A.Tables],
     rules: A.RuleSettings | None = None,
+    report: Callable[[dict[str, int], list[str]], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """After each ingest: store the events, renew profiles, evaluate the rules.
 
     ``others`` gives the rule inputs for the stored events. Both refreshes run
-    as of the newest stored event, fetched once per batch (one value) so that
-    it prunes the scans as a literal.
+    as of the newest stored event, whatever the batch holds, fetched once per
+    batch (one value) so that it prunes the scans as a literal. Rules that
+    failed are logged and, where ``report`` is given, handed to it with the
+    number of candidates of each rule.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         profiles = tables.SnapshotTable(spark, paths.profiles, PROFILE_SCHEMA)
         alerts = tables.SnapshotTable(spark, paths.alerts, ALERT_SCHEMA)
-        tables.append_events(batch, paths.waf_events, "id")
-        events = spark.read.parquet(paths.waf_events)
-        newest = batch.agg(F.max("event_time").alias("t")).first()["t"]
-        if newest is None:
+        tables.append_events(batch, paths.waf_events)
+        if not tables.exists(spark, paths.waf_events):
             return
-        now = F.lit(newest)
+        events = spark.read.parquet(paths.waf_events)
+        newest = events.filter(F.col("event_date") == events.agg(F.max("event_date")).scalar())
+        _, now = tables.span(newest, "event_time")
         found = security.attacker_correlation(events, bot_events, as_of=now)
         profiles.write(
             merge.attacker_profile_merge(profiles.read(before=batch_id), found), version=batch_id
         )
-        merged = A.evaluate_and_merge(
+        cycle = A.evaluate_and_merge(
             alerts.read(before=batch_id), others(events), now, rules, batch_id
         )
-        alerts.write(merged, version=batch_id)
+        alerts.write(cycle.alerts, version=batch_id)
+        if report:
+            report(cycle.counts, cycle.failed)
 
     return handle

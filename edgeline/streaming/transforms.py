@@ -1,4 +1,8 @@
-"""Streaming forms of the ingest and alert queries (plain DataFrame transforms)."""
+"""Streaming forms of the ingest and alert queries (plain DataFrame transforms).
+
+The watermark bounds the state of ``dedup_stream`` only. Tables are kept by
+``jobs``, which take rows of any delay.
+"""
 
 from __future__ import annotations
 
@@ -22,35 +26,12 @@ def dedup_stream(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["event_time", "id"])
 
 
-def minute_metrics_stream(events: DataFrame) -> DataFrame:
-    """One-minute firewall counters of closed minutes."""
-    action = F.col("action")
-    return (
-        events.groupBy(F.window("event_time", "1 minute").alias("w"), *LB_KEYS)
-        .agg(
-            F.count("*").alias("request_count"),
-            F.count_if(action == "BLOCK").alias("blocked_count"),
-            F.count_if(action == "MONITOR").alias("monitored_count"),
-            F.count_if(action == "ALLOW").alias("error_count"),
-        )
-        .select(F.col("w.start").alias("bucket_time"), *LB_KEYS, F.col("request_count"),
-                "blocked_count", "monitored_count", "error_count")
-    )
-
-
-def cred_stuffing_stream(
-    bot_events: DataFrame,
-    *,
-    min_events: int = settings.ALERT_CRED_STUFFING_MIN_EVENTS,
-    failure_pct: float = settings.ALERT_CRED_STUFFING_FAILURE_PCT,
-    width: str = "10 minutes",
-    slide: str = "5 minutes",
+def stuffing_counts(
+    bot_events: DataFrame, *, width: str = "10 minutes", slide: str = "5 minutes"
 ) -> DataFrame:
-    """The credential-stuffing rule over a sliding window."""
+    """Attempts per address and sliding window, whatever the thresholds."""
     windows = F.window("event_time", width, slide)
-    rows = credential_stuffing_groups(
-        bot_events.withColumn("w", windows), ["w"], min_events, failure_pct
-    )
+    rows = credential_stuffing_groups(bot_events.withColumn("w", windows), ["w"], 0, 0.0)
     return rows.select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -62,3 +43,15 @@ def cred_stuffing_stream(
         "failed",
         "any_endpoint",
     )
+
+
+def stuffing_alerts(
+    counts: DataFrame,
+    *,
+    min_events: int = settings.ALERT_CRED_STUFFING_MIN_EVENTS,
+    failure_pct: float = settings.ALERT_CRED_STUFFING_FAILURE_PCT,
+) -> DataFrame:
+    """The windows in which the credential-stuffing rule holds."""
+    return counts.filter(
+        (F.col("total") >= min_events) & (F.col("failed") * 100.0 >= F.col("total") * failure_pct)
+    )

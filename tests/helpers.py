@@ -15,9 +15,10 @@ def column(spark, values, function, kind="string"):
 
 def raw(spark, *payloads, tenant="t", ns="ns", lb="lb"):
     texts = [p if isinstance(p, str) else json.dumps(p) for p in payloads]
+    # each landed a minute after the one before
     return spark.createDataFrame(
-        [(tenant, ns, lb, p) for p in texts],
-        "tenant_id string, lb_namespace string, lb_name string, payload string",
+        [(tenant, ns, lb, datetime(2024, 6, 1, 0, i), p) for i, p in enumerate(texts)],
+        "tenant_id string, lb_namespace string, lb_name string, landed_at timestamp, payload string",
     )
 
 

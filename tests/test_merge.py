@@ -9,28 +9,36 @@ from helpers import dt, rows
 T0 = datetime(2024, 5, 1, 12)
 
 
-def event_rows(spark, data):
-    return spark.createDataFrame(
-        data, "event_time timestamp, id string, tenant_id string, lb_name string, seq int"
-    )
-
-
 def test_append_twice_is_once(spark, folder):
     day = timedelta(days=1)
-    batch = event_rows(
-        spark,
-        [(T0, "a", "t", "first", 1), (T0, "a", "t", "copy", 2), (T0 + day, "b", "t", "b", 1)],
-    )
+    schema = "event_time timestamp, id string, tenant_id string, lb_namespace string, lb_name string, action string, seq int"
+
+    def batch(*data):
+        return spark.createDataFrame([(t, i, "t", "n", lb, a, s) for t, i, lb, a, s in data], schema)
+
     path = folder + "/events"
-    tables.append_events(batch, path, "seq")
-    tables.append_events(batch, path, "seq")
-    later = event_rows(spark, [(T0, "a", "t", "again", 0), (T0 - day, "c", "t", "c", 1)])
-    tables.append_events(later, path, "seq")
+    first = batch((T0, "a", "lb", "kept", 1), (T0, "a", "lb", "copy", 2), (T0 + day, "b", "lb", "b", 1))
+    tables.append_events(first, path, "seq")
+    tables.append_events(first, path, "seq")
+    # the same identifier at another load balancer is another event
+    tables.append_events(batch((T0, "a", "lb", "again", 0), (T0, "a", "other", "x", 0), (T0 - day, "c", "lb", "c", 1)), path, "seq")
     stored = spark.read.parquet(path)
-    assert rows(stored.select("id", "lb_name")) == [("a", "first"), ("b", "b"), ("c", "c")]
+    assert rows(stored.select("id", "lb_name", "action")) == [
+        ("a", "lb", "kept"),
+        ("a", "other", "x"),
+        ("b", "lb", "b"),
+        ("c", "lb", "c"),
+    ]
     assert "event_date" in stored.columns
 
 
+def test_ties_in_landing_order_repeat(spark):
+    rows_ = [("k", 1, f"v{i}") for i in range(50)]
+    frames = [spark.createDataFrame(r, "k string, at int, v string").repartition(n) for n, r in ((3, rows_), (5, rows_[::-1]))]
+    got = {merge.one_per_key(f, ["k"], F.col("at"), newest=True).first()["v"] for f in frames}
+    assert len(got) == 1
+
+
 def test_bucket_upsert_rewrites_touched_days_only(spark, folder):
     schema = "bucket_time timestamp, tenant_id string, lb_namespace string, lb_name string, request_count bigint, seq int"
 

@@ -219,7 +219,7 @@ def test_block_burst_bounds_are_inclusive(spark):
     assert rows(got.select("dedupe_key")) == [("lb:n/at",), ("lb:n/edge",)]
 
 
-def test_matrix_fills_missing_cells(spark):
+def test_matrix_counts_missing_cells(spark):
     cells = [("t", "p", "a", 1, "s1", "healthy", 0), ("t", "p", "b", None, "s2", "unhealthy", 3)]
     big = [("t", "big", f"o{i}", 1, f"s{j}", "healthy", 0) for i in range(5) for j in range(5)]
     df = spark.createDataFrame(
@@ -227,11 +227,7 @@ def test_matrix_fills_missing_cells(spark):
         "tenant_id string, pool_id string, origin_address string, origin_port int, site_name string, "
         "classified_status string, consecutive_failures int",
     )
-    got = joins.health_matrix(df).select("origin_address", "site_name", "status")
-    assert rows(got) == [
-        ("a", "s1", "healthy"),
-        ("a", "s2", "no probe"),
-        ("b", "s1", "no probe"),
-        ("b", "s2", "unhealthy"),
-    ]
-    assert joins.large_matrices(df).count() == 5
+    got = joins.health_matrix(df)
+    small = got.filter("pool_id = 'p'").select("origin_address", "origin_port", "site_name", "status", "sites_without_probe")
+    assert rows(small) == [("a", 1, "s1", "healthy", 1), ("b", None, "s2", "unhealthy", 1)]
+    assert got.filter("pool_id = 'big' AND sites_without_probe = 0").count() == 25

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from edgeline.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = [
@@ -41,7 +42,7 @@ def cell(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = sorted(tuple(cell(r[c]) for c in sorted(df.columns)) for r in df.collect())
@@ -57,7 +58,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_a_check():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry_runs(spark):
@@ -81,3 +82,35 @@ def test_literal_windows_reach_the_scan(spark):
     rows = within(v.waf_events, "event_time", datetime(2024, 1, 20), timedelta(hours=1))
     plan = rows._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts,2024-01-19T23:00" in plan
+
+
+def test_a_hot_group_is_split_for_every_n(spark):
+    from pyspark.sql import functions as F
+
+    from edgeline.functions.ranking import GROUP_SALT, top_per_group
+
+    for n in (5, 5000):
+        plan = top_per_group(spark.range(100).withColumn("g", F.lit(1)), ["g"], [F.asc("id")], n)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert GROUP_SALT in text
+
+
+def test_an_append_reads_only_the_span_of_the_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from edgeline.operators import tables
+
+    schema = "event_time timestamp, id string, tenant_id string, lb_namespace string, lb_name string, landed_at timestamp"
+    start = datetime(2024, 5, 1)
+    data = [(start + timedelta(hours=i), f"e{i}", "t", "n", "lb", start) for i in range(100)]
+    path = f"{tmp_path}/events"
+    tables.append_events(spark.createDataFrame(data, schema), path)
+    batch = spark.createDataFrame(data[30:32], schema)
+    read = tables.between(spark.read.parquet(path), "event_time", *tables.span(batch, "event_time"))
+    assert read.count() == 2
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "event_date" in plan.split("PartitionFilters")[1][:200]
+    assert "GreaterThanOrEqual(event_time" in plan
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 1

@@ -78,7 +78,7 @@ def test_empty_values_fall_through(spark):
     }
     got = first(events.waf_events_from_raw(raw(spark, item)))
     assert (got["source_ip"], got["source_country"]) == ("10.0.0.9", "FR")
-    assert len(got["url"]) == 2048 and len(got["user_agent"]) == 512
+    assert len(got["url"]) == 3000 and len(got["user_agent"]) == 600
 
 
 def test_bot_filter(spark):

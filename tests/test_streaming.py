@@ -1,20 +1,24 @@
+import random
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from edgeline.operators import merge, rollups, tables
-from edgeline.operators.transitions import state_transitions
+from edgeline.operators.transitions import changes, state_transitions
 from edgeline.streaming import jobs, transforms
 from helpers import rows
 
 T0 = datetime(2024, 5, 1, 12)
 EVENT = (
-    "event_time timestamp, id string, tenant_id string, lb_namespace string, lb_name string, action string"
+    "event_time timestamp, id string, tenant_id string, lb_namespace string, lb_name string, action string, "
+    "landed_at timestamp"
 )
 
 
-def event(minute, key, action="BLOCK", lb="lb"):
-    return (T0 + timedelta(minutes=minute), key, "t", "n", lb, action)
+def event(minute, key, action="BLOCK", lb="lb", landed=0):
+    return (T0 + timedelta(minutes=minute), key, "t", "n", lb, action, T0 + timedelta(days=9, minutes=landed))
 
 
 def stream(spark, path, schema):
@@ -25,33 +29,70 @@ def land(spark, path, data, schema):
     spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_duplicates_and_late_rows_over_batches(spark, folder):
-    src, out, progress = folder + "/in", folder + "/out", folder + "/progress"
-
-    def run():
-        pulled = transforms.overlapping_pull(stream(spark, src, EVENT))
-        minutes = transforms.minute_metrics_stream(transforms.dedup_stream(pulled))
-        jobs.append_available(minutes, out, progress)
-
-    land(spark, src, [event(0, "a"), event(1, "b"), event(1, "b")], EVENT)
-    run()
-    # the overlap brings "b" again and a late row for minute 0
-    land(spark, src, [event(1, "b"), event(0, "late", "ALLOW"), event(20, "c")], EVENT)
-    run()
-    # far too late: minute 0 is closed
-    land(spark, src, [event(0, "too late"), event(60, "d")], EVENT)
-    run()
-    got = spark.read.parquet(out).select("bucket_time", "request_count", "blocked_count", "error_count")
-    assert rows(got) == [
-        (T0, 2, 1, 1),
-        (T0 + timedelta(minutes=1), 1, 1, 0),
-        (T0 + timedelta(minutes=20), 1, 1, 0),
+def shuffled_batches(seed, n=6):
+    """Events over four days in random order, every fourth landing twice, cut into batches."""
+    r = random.Random(seed)
+    events = [event(r.randint(0, 4 * 1440), f"e{i}", r.choice(["BLOCK", "ALLOW", "MONITOR"]), f"lb{i % 3}") for i in range(240)]
+    rows_ = events + [(*e[:5], "ALLOW", e[6] + timedelta(hours=1)) for e in events[::4]]
+    r.shuffle(rows_)
+    return [rows_[i::n] for i in range(n)], events
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_minutes_and_hours_equal_one_batch(spark, folder, zone, monkeypatch):
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        batches, events = shuffled_batches(1)
+        handle = jobs.event_metrics(folder + "/e", folder + "/m", folder + "/h")
+        handle(spark.createDataFrame([], EVENT), 0)
+        for i, data in enumerate(batches):
+            handle(spark.createDataFrame(data, EVENT), i)
+        handle(spark.createDataFrame(batches[2], EVENT), 2)
+        whole = spark.createDataFrame(events, EVENT)
+        keys = ["bucket_time", "lb_name", "request_count"]
+        minutes = rollups.minute_metrics(whole)
+        stored = spark.read.parquet(folder + "/m")
+        assert rows(stored.groupBy("bucket_time", "lb_name").agg(F.sum("request_count").alias("n"))) == rows(
+            minutes.groupBy("bucket_time", "lb_name").agg(F.sum("request_count").alias("n"))
+        )
+        assert rows(spark.read.parquet(folder + "/h").select(*keys)) == rows(rollups.waf_rollup_1hour(minutes).select(*keys))
+        assert spark.read.parquet(folder + "/e").count() == len(events)
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_the_copy_landed_first_stays(spark, folder):
+    handle = jobs.ingest_events(folder + "/e")
+    late, first = event(0, "a", "ALLOW", landed=5), event(0, "a", "BLOCK", landed=1)
+    handle(spark.createDataFrame([late, first], EVENT), 0)
+    handle(spark.createDataFrame([event(0, "a", "MONITOR"), event(0, "a", "BLOCK", "other")], EVENT), 1)
+    got = spark.read.parquet(folder + "/e").select("lb_name", "action")
+    assert rows(got) == [("lb", "BLOCK"), ("other", "BLOCK")]
+
+
+def test_stuffing_windows_equal_one_batch(spark, folder):
+    r = random.Random(3)
+    schema = EVENT + ", source_ip string, source_country string, source_asn bigint, challenge_result string, endpoint_path string"
+    data = [
+        event(r.randint(0, 900), f"b{i}", r.choice(["CHALLENGE", "BLOCK", "ALLOW"]))
+        + (f"10.0.0.{i % 4}", r.choice(["US", None]), r.choice([1, None]), r.choice(["failed", "passed"]), f"/p{i % 3}")
+        for i in range(300)
     ]
+    handle = jobs.stuffing_windows(folder + "/e", folder + "/w")
+    for i in range(5):
+        handle(spark.createDataFrame(data[i::5], schema), i)
+    handle(spark.createDataFrame(data[1::5], schema), 1)
+    stored = spark.read.parquet(folder + "/w").withColumnRenamed("bucket_time", "window_start")
+    want = transforms.stuffing_counts(spark.createDataFrame(data, schema))
+    assert rows(stored.select(*want.columns)) == rows(want)
+    assert 0 < transforms.stuffing_alerts(stored, min_events=2).count() < stored.count()
 
 
 MINUTE = (
     "bucket_time timestamp, tenant_id string, lb_namespace string, lb_name string, "
-    "request_count bigint, blocked_count bigint, monitored_count bigint, error_count bigint"
+    "request_count bigint, blocked_count bigint, monitored_count bigint, error_count bigint, landed_at timestamp"
 )
 
 
@@ -59,47 +100,53 @@ def test_hourly_rollup_recomputes_late_hours(spark, folder):
     minutes, hours, src = folder + "/m", folder + "/h", folder + "/in"
     handle = jobs.hourly_rollup(minutes, hours)
 
-    def minute(m, n):
-        return (T0 + timedelta(minutes=m), "t", "n", "lb", n, 0, 0, n)
+    def minute(m, n, landed=0):
+        return (T0 + timedelta(minutes=m), "t", "n", "lb", n, 0, 0, n, T0 + timedelta(minutes=landed))
 
-    batches = [[minute(0, 1), minute(1, 2), minute(70, 5)], [minute(30, 4)], [minute(-60 * 30, 7)]]
+    # a value of nine is corrected to one, in one batch
+    batches = [[minute(0, 1, 4), minute(0, 9, 2), minute(1, 2), minute(70, 5)], [minute(30, 4)], [minute(-60 * 30, 7)]]
     for data in batches:
         land(spark, src, data, MINUTE)
         jobs.run_available(stream(spark, src, MINUTE), handle, folder + "/progress")
-    stored = spark.read.parquet(minutes).drop("bucket_date")
+    stored = spark.read.parquet(minutes).drop("bucket_date", "bucket_hour", "landed_at")
+    assert rows(stored.filter(F.col("bucket_time") == F.lit(T0)).select("request_count")) == [(1,)]
     want = rollups.waf_rollup_1hour(stored)
-    got = spark.read.parquet(hours).drop("bucket_date")
+    got = spark.read.parquet(hours).drop("bucket_date", "bucket_hour")
     assert rows(got) == rows(want) and got.count() == 3
     # a repeated batch changes nothing
     handle(spark.createDataFrame(batches[1], MINUTE), 99)
-    assert rows(spark.read.parquet(hours).drop("bucket_date")) == rows(want)
+    assert rows(spark.read.parquet(hours).drop("bucket_date", "bucket_hour")) == rows(want)
 
 
-def test_transition_log_over_batches(spark, folder):
-    src, states, log = folder + "/in", folder + "/states", folder + "/log"
+def test_transition_log_over_shuffled_batches(spark, folder):
     schema = jobs.STATE_SCHEMA
+    r = random.Random(7)
+    data = [("t", "n", f"lb{i % 2}", r.choice("abc"), T0 + timedelta(minutes=37 * i), i) for i in range(150)]
+    order = list(data)
+    r.shuffle(order)
+    handle = jobs.transition_log(folder + "/log")
+    handle(spark.createDataFrame([], schema), 0)
+    for i in range(4):
+        handle(spark.createDataFrame(order[i::4], schema), i)
+    # repeating a micro-batch gives the same log
+    handle(spark.createDataFrame(order[1::4], schema), 1)
+    cols = ["lb_name", "snapshot_id", "from_state", "to_state"]
+    want = rows(state_transitions(spark.createDataFrame(data, schema)).select(*cols))
+    assert rows(changes(spark.read.parquet(folder + "/log")).select(*cols)) == want
+    assert spark.read.parquet(folder + "/log").count() == len(data)
 
-    def snap(i, state, lb="lb"):
-        return ("t", "n", lb, state, T0 + timedelta(minutes=i), i)
 
-    batches = [
-        [snap(0, "a"), snap(1, "a"), snap(2, "b")],
-        [snap(3, "b"), snap(4, "c"), snap(5, "x", "other")],
-        [snap(6, "x", "other"), snap(7, "a")],
-    ]
-    handle = jobs.transition_log(states, log)
-    for data in batches:
-        land(spark, src, data, schema)
-        jobs.run_available(stream(spark, src, schema), handle, folder + "/progress")
-    whole = spark.createDataFrame([r for b in batches for r in b], schema)
-    cols = ["lb_name", "snapshot_id", "from_state", "to_state"]
-    want = rows(state_transitions(whole).select(*cols))
-    assert rows(spark.read.parquet(log).select(*cols)) == want and len(want) == 3
-    # repeating the last micro-batch gives the same log and the same states
-    before = rows(tables.SnapshotTable(spark, states, schema).read())
-    handle(spark.createDataFrame(batches[2], schema), 2)
-    assert rows(spark.read.parquet(log).select(*cols)) == want
-    assert rows(tables.SnapshotTable(spark, states, schema).read()) == before
+def test_a_late_snapshot_moves_the_transition(spark, folder):
+    schema = jobs.STATE_SCHEMA
+
+    def snap(i, state):
+        return ("t", "n", "lb", state, T0 + timedelta(minutes=i), i)
+
+    handle = jobs.transition_log(folder + "/log")
+    for i, data in enumerate([[snap(0, "a"), snap(2, "b")], [snap(1, "b")]]):
+        handle(spark.createDataFrame(data, schema), i)
+    got = changes(spark.read.parquet(folder + "/log"))
+    assert rows(got.select("snapshot_id", "from_state", "to_state")) == [(1, "a", "b")]
 
 
 def test_refresh_replay_does_not_count_twice(spark, folder):
@@ -131,7 +178,10 @@ def test_refresh_replay_does_not_count_twice(spark, folder):
     rules = alerts.RuleSettings(
         enabled={"waf.block_burst"}, arguments={"waf.block_burst": {"threshold": 1}}
     )
-    handle = jobs.profile_and_alert_refresh(paths, bots, inputs, rules)
+    seen = []
+    handle = jobs.profile_and_alert_refresh(paths, bots, inputs, rules, lambda counts, failed: seen.append((counts, failed)))
+    handle(batch(0, []), 0)
+    assert not tables.exists(spark, paths.alerts)
     handle(batch(0, ["a", "b"]), 0)
     handle(batch(2, ["c"]), 1)
     handle(batch(2, ["c"]), 1)
@@ -140,4 +190,11 @@ def test_refresh_replay_does_not_count_twice(spark, folder):
     profile = tables.SnapshotTable(spark, paths.profiles, jobs.PROFILE_SCHEMA).read().first()
     assert profile["waf_block_count"] == 3 and profile["total_events"] == 6
     assert spark.read.parquet(paths.waf_events).count() == 3
+    assert seen[0] == ({"waf.block_burst": 1}, [])
+    # a late event neither narrows the profile nor moves the alert back
+    before = tables.SnapshotTable(spark, paths.alerts, jobs.ALERT_SCHEMA).read().first()["last_seen_at"]
+    handle(batch(-60, ["d"]), 2)
+    profile = tables.SnapshotTable(spark, paths.profiles, jobs.PROFILE_SCHEMA).read().first()
+    assert profile["waf_block_count"] == 4
+    assert tables.SnapshotTable(spark, paths.alerts, jobs.ALERT_SCHEMA).read().first()["last_seen_at"] >= before
     assert merge.PROFILE_KEYS[0] == "tenant_id"
