@@ -175,11 +175,14 @@ def _(v):
     return out.select("tenant_id", "name", "default_action")
 
 
+BOT_PATHS = "CASE WHEN c % 10 = 6 THEN '' WHEN c % 2 = 0 THEN '/a,/b' WHEN c % 3 = 0 THEN '/a' ELSE '' END"
+
+
 @query(
     "bot_policy_config",
-    f"""SELECT {WHO}, CASE WHEN c % 10 <> 6 THEN 1 + CAST(c % 3 = 0 AS INTEGER) + CAST(c % 5 = 0 AS INTEGER)
+    f"""SELECT {WHO}, CASE WHEN c % 10 <> 6 THEN CAST(c % 2 = 0 AS INTEGER) + CAST(c % 3 = 0 AS INTEGER) + CAST(c % 5 = 0 AS INTEGER)
     + CAST(c % 7 = 0 AS INTEGER) ELSE 0 END AS protected_endpoint_count,
-  CASE WHEN c % 10 <> 6 THEN '/a,/b' ELSE '' END AS protected_paths, c % 10 <> 6 AS has_javascript_challenge,
+  {BOT_PATHS} AS protected_paths, c % 10 <> 6 AND c % 2 = 0 AS has_javascript_challenge,
   c % 10 <> 6 AND c % 3 = 0 AS has_captcha_challenge, c % 10 <> 6 AND c % 5 = 0 AS has_redirect,
   c % 10 <> 6 AND c % 3 = 0 AS has_block
 FROM (SELECT *, c_custkey AS c FROM customer)""",
@@ -293,11 +296,11 @@ def _(v):
 
 @query(
     "all_bot_policies",
-    """SELECT tenant_id, namespace, name, protected_endpoint_count, protected_paths, has_block FROM (
+    f"""SELECT tenant_id, namespace, name, protected_endpoint_count, protected_paths, has_block FROM (
   SELECT 't' || (c_custkey % 3) AS tenant_id, CASE WHEN c_nationkey = 0 THEN 'shared' ELSE 'ns' || (c_custkey % 3) END
-    AS namespace, 'pol-' || c_custkey AS name, CASE WHEN c % 10 <> 6 THEN 1 + CAST(c % 3 = 0 AS INTEGER) +
-    CAST(c % 5 = 0 AS INTEGER) + CAST(c % 7 = 0 AS INTEGER) ELSE 0 END AS protected_endpoint_count,
-    CASE WHEN c % 10 <> 6 THEN '/a,/b' ELSE '' END AS protected_paths, c % 10 <> 6 AND c % 3 = 0 AS has_block
+    AS namespace, 'pol-' || c_custkey AS name, CASE WHEN c % 10 <> 6 THEN CAST(c % 2 = 0 AS INTEGER) +
+    CAST(c % 3 = 0 AS INTEGER) + CAST(c % 5 = 0 AS INTEGER) + CAST(c % 7 = 0 AS INTEGER) ELSE 0 END AS protected_endpoint_count,
+    {BOT_PATHS} AS protected_paths, c % 10 <> 6 AND c % 3 = 0 AS has_block
   FROM (SELECT *, c_custkey AS c FROM customer))
 UNION ALL SELECT tenant_id, namespace, 'ep-' || (k % 7), 1, '/p' || (k % 7) || ',/x', k % 2 = 0 FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, namespace, k % 7 ORDER BY name DESC) AS rn FROM load_balancers

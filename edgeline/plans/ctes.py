@@ -199,7 +199,7 @@ FROM (SELECT *, CAST(floor((epoch_us(not_after) - epoch_us(TIMESTAMP '1998-06-01
     "attachments": (
         ["policies"],
         """SELECT DISTINCT p.tenant_id, p.policy_type, p.namespace AS policy_namespace,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'ghost-' || o_custkey ELSE 'pol-' || o_custkey END AS policy_name,
+  CASE WHEN o_orderkey % 17 = 0 OR o_custkey % 5 = 0 THEN 'ghost-' || o_custkey ELSE 'pol-' || o_custkey END AS policy_name,
   'ns' || (o_orderkey % 10 % 2) AS lb_namespace, 'lb-' || (o_orderkey % 10) AS lb_name
 FROM orders JOIN policies p ON p.name = 'pol-' || o_custkey""",
     ),

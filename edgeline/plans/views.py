@@ -393,11 +393,12 @@ class Views:
 
     @cached_property
     def attachments(self) -> DataFrame:
-        """Links from orders: the customer's policy to one of ten load balancers."""
+        """Links from orders: the customer's policy, or one that is unknown, to one of ten load balancers."""
         c, j = F.col("c_custkey"), F.col("o_orderkey") % 10
         orders = self.table("orders")
         ns = F.when(F.col("c_nationkey") == 0, "shared").otherwise(word("ns", c % 3))
-        name = F.when(F.col("o_orderkey") % 17 == 0, word("ghost-", c)).otherwise(word("pol-", c))
+        lost = (F.col("o_orderkey") % 17 == 0) | (c % 5 == 0)
+        name = F.when(lost, word("ghost-", c)).otherwise(word("pol-", c))
         return (
             orders.join(self.table("customer"), F.col("o_custkey") == c)
             .select(

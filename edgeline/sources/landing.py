@@ -48,15 +48,16 @@ def partitions(time_col: str) -> dict[str, Column]:
 def write_partitioned(df: DataFrame, path: str, time_col: str, mode: str = "append") -> None:
     """Write a table partitioned by ``partitions`` of its time column.
 
-    Files of one day are sorted by the columns most reads filter on, so parquet
-    min/max statistics can skip row groups. No repartition by day: one day may
-    hold most of the rows, and AQE sizes the write tasks.
+    Files are sorted by the columns most reads filter on, so parquet min/max
+    statistics can skip row groups. Rows are rebalanced by partition: AQE joins
+    small partitions' rows and splits a day that holds most of them.
     """
     parts = partitions(time_col)
     out = df.withColumns(parts)
     sort_cols = [c for c in (*parts, "tenant_id", "lb_name", "source_ip") if c in out.columns]
     (
-        out.sortWithinPartitions(*sort_cols)
+        out.hint("rebalance", *[F.col(p) for p in parts])
+        .sortWithinPartitions(*sort_cols)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)
