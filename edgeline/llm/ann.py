@@ -6,6 +6,9 @@ at random. Every vector is then indexed: it has one leaf in each tree. A query
 walks all trees at once, best margin first, through one shared priority queue
 until the leaves taken hold ``share`` of the sample each way or ``least``
 candidates. The vectors of these leaves are scored exactly, in double precision.
+The sample's vectors are vectors of the index, so the (k + 1)-th best of them (a
+query may be among them) bounds a query's result from below, and what lies under
+the bound is not sent on.
 
 For inner products, vectors are lengthened by one component that makes all
 norms equal, and queries by zero; the longest norm is one number.
@@ -90,11 +93,17 @@ class Forest:
         rng = np.random.default_rng(seed)
         x = self.lengthen(sample)
         self.trees = [Tree(x, leaf, rng) for _ in range(trees)]
-        self.size = len(sample)
+        self.size, self.sample = len(sample), sample
 
     def lengthen(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x**2).sum(1), 0))[:, None]], 1)
 
+    def bound(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """A score that at least k + 1 vectors of the sample reach, for each query."""
+        if self.size <= k:
+            return np.full(len(queries), -np.inf)
+        return np.partition(queries @ self.sample.T, -k - 1, axis=1)[:, -k - 1]
+
     def leaves(self, query: np.ndarray, wanted: int) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of the shared queue until they hold ``wanted`` rows of the sample."""
         q = np.append(query / (np.linalg.norm(query) or 1.0) * self.top, 0.0)
@@ -139,7 +148,7 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    trees: int = 16,
+    trees: int = 8,
     leaf: int = 128,
     sample: int = 16384,
     share: float = 1.0,
@@ -171,7 +180,8 @@ def nearest(
             x = f.lengthen(b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1))
             for i, t in enumerate(f.trees):
                 n = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(t.place(x).astype(np.int32)), b.column(0), b.column(1)], names=["tree", "leaf", "id", "vec"])
+                none = pa.nulls(n, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(t.place(x).astype(np.int32)), b.column(0), b.column(1), none], names=["tree", "leaf", "id", "vec", "least"])
 
     def walk(batches):
         f = shared.value
@@ -181,22 +191,23 @@ def nearest(
             x = b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1)
             for lo in range(0, len(x), 256):
                 who, tree, node = [], [], []
+                least = f.bound(x[lo : lo + 256], k)
                 for i in range(lo, min(lo + 256, len(x))):
                     for t, v in f.leaves(x[i], wanted):
                         who.append(i)
                         tree.append(t)
                         node.append(v)
                 at = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), b.column(0).take(at), b.column(1).take(at)], names=["tree", "leaf", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(least[np.array(who, int) - lo])], names=["tree", "leaf", "id", "vec", "least"])
 
-    shape = f"tree int, leaf int, id {kind}, vec {own.schema['vec'].dataType.simpleString()}"
+    shape = f"tree int, leaf int, id {kind}, vec {own.schema['vec'].dataType.simpleString()}, least double"
     placed = keep(entries.select("id", "vec").mapInArrow(index, shape), "leaves")
     asked = own.where("asked").select("id", "vec").mapInArrow(walk, shape)
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = F.broadcast(sizes)  # at most as many rows as the forest has leaves
     placed = placed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     asked = asked.join(sizes, ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["tree", "leaf", "block", "asks", "id", "vec"]
+    cols = ["tree", "leaf", "block", "asks", "id", "vec", "least"]
     both = placed.withColumn("asks", F.lit(False)).select(cols).union(asked.withColumn("asks", F.lit(True)).select(cols))
     both = both.repartition("tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block", "asks")
 
@@ -216,6 +227,7 @@ def nearest(
             place = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
             ids = b.column(4).to_numpy(zero_copy_only=False)
             x = b.column(5).flatten().to_numpy().astype(float).reshape(b.num_rows, -1)
+            least = b.column(6).to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, [len(place)]])
             for lo, hi in zip(edges[:-1], edges[1:], strict=False):
                 here = tuple(place[lo, :3])
@@ -230,7 +242,8 @@ def nearest(
                 if ready is None:
                     ready = np.concatenate(held_ids), np.concatenate(held)
                 for s in range(lo, hi, 512):
-                    found = _best(ids[s : min(hi, s + 512)], x[s : min(hi, s + 512)], *ready, k + 1)
+                    mine = slice(s, min(hi, s + 512))
+                    found = _best(ids[mine], x[mine], least[mine], *ready, k + 1)
                     best.append(found)
                     rows += len(found)
             if rows > 400_000:
@@ -249,14 +262,14 @@ def nearest(
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k largest inner products of every query; sums run over the components in order, in double precision."""
+def _best(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k largest inner products of every query from its bound on; sums run over the components in order, in double precision."""
     rough = q @ x.T
+    floor = least
     if rough.shape[1] > k:
-        floor = np.partition(rough, -k, axis=1)[:, -k] - 1e-9 * (1 + np.abs(rough).max())
-        a, b = np.nonzero(rough >= floor[:, None])
-    else:
-        a, b = (i.ravel() for i in np.indices(rough.shape))
+        floor = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k])
+    slack = 1e-9 * (1 + np.abs(rough).max())
+    a, b = np.nonzero(rough >= floor[:, None] - slack)
     score = np.zeros(len(a))
     for j in range(q.shape[1]):
         score += q[a, j] * x[b, j]

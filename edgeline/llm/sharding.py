@@ -97,7 +97,7 @@ def assign(
     rows = _range_of(rows, points, "coarse")
     share = total / shards if total else 1.0
 
-    near = share / 8
+    near = share / 4
     cut, filled = {}, 0
     for r in rows.groupBy("coarse").agg(F.sum("size").alias("size")).orderBy("coarse").collect():
         if _boundary(filled, filled + r["size"], share, shards, near) is not None:
@@ -124,10 +124,19 @@ def assign(
     so_far = 0
     for k in range(shards):
         # what lies at the boundary behind shard k fills it, largest first, as far as it fits
+        over = []
         for r in sorted(edge.get(k, []), key=lambda r: (-r["size"], r["range"])):
-            to = k if so_far + used[k] + r["size"] / 2 <= (k + 1) * share else k + 1
-            held[r["range"]] = to
-            used[to] += r["size"]
+            if so_far + used[k] + r["size"] <= (k + 1) * share:
+                held[r["range"]] = k
+                used[k] += r["size"]
+            else:
+                over.append(r)
+        if over and so_far + used[k] + over[-1]["size"] / 2 <= (k + 1) * share:
+            held[over[-1]["range"]] = k
+            used[k] += over.pop()["size"]
+        for r in over:
+            held[r["range"]] = k + 1
+            used[k + 1] += r["size"]
         so_far += used[k]
     table, begin = [], [0] * shards
     for r in fine:
@@ -145,14 +154,18 @@ def assign(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", files: int = 1, **options) -> None:
-    """Write every record with all its columns under ``path``/shard=N, ``files`` files a shard."""
+    """Write every record with all its columns under ``path``/shard=N, ``files`` files a shard.
+
+    Documents with a column named shard are written under shard_no=N.
+    """
+    into = "shard_no" if "shard" in docs.columns else "shard"
     places = assign(docs, shards, id_col, text_col, **options).select(
-        F.col("id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard"
+        F.col("id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col("shard").alias(into)
     )
     # records equal in id and text are alike: they share the shard of the first
-    places = places.groupBy("_id", "_crc", "_size").agg(F.min("shard").alias("shard"))
+    places = places.groupBy("_id", "_crc", "_size").agg(F.min(into).alias(into))
     text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
     match = col(id_col).eqNullSafe(F.col("_id")) & (F.crc32(text) == F.col("_crc"))
     out = docs.join(places, match & (F.octet_length(text) + options.get("overhead", 8) == F.col("_size")))
     out = out.drop("_id", "_crc", "_size").withColumn("_file", F.pmod(F.xxhash64(col(id_col)), F.lit(files)))
-    out.repartition(shards * files, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    out.repartition(shards * files, into, "_file").drop("_file").write.partitionBy(into).parquet(path)
