@@ -6,9 +6,9 @@ at random. Every vector is then indexed: it has one leaf in each tree. A query
 walks all trees at once, best margin first, through one shared priority queue
 until the leaves taken hold ``share`` of the sample each way or ``least``
 candidates. The vectors of these leaves are scored exactly, in double precision.
-The sample's vectors are vectors of the index, so the (k + 1)-th best of them (a
-query may be among them) bounds a query's result from below, and what lies under
-the bound is not sent on.
+Vectors of the sample are in the index too, so the (k + 1)-th best of those in a
+query's leaves (it may be among them) bounds its result from below, and what
+lies under the bound is not sent on.
 
 For inner products, vectors are lengthened by one component that makes all
 norms equal, and queries by zero; the longest norm is one number.
@@ -98,11 +98,23 @@ class Forest:
     def lengthen(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x**2).sum(1), 0))[:, None]], 1)
 
-    def bound(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """A score that at least k + 1 vectors of the sample reach, for each query."""
-        if self.size <= k:
-            return np.full(len(queries), -np.inf)
-        return np.partition(queries @ self.sample.T, -k - 1, axis=1)[:, -k - 1]
+    def remember(self) -> None:
+        """Note which vectors of the sample each leaf holds."""
+        x = self.lengthen(self.sample)
+        self.members = []
+        for t in self.trees:
+            at = t.place(x)
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(t.leaf) + 1))
+            self.members.append((order, first))
+
+    def bound(self, query: np.ndarray, leaves: list[tuple[int, int]], k: int) -> float:
+        """A score that at least k + 1 vectors of these leaves reach."""
+        rows = [order[first[v] : first[v + 1]] for t, v in leaves for order, first in (self.members[t],)]
+        rows = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
+        if len(rows) <= k:
+            return -np.inf
+        return float(np.partition(self.sample[rows] @ query, -k - 1)[-k - 1])
 
     def leaves(self, query: np.ndarray, wanted: int) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of the shared queue until they hold ``wanted`` rows of the sample."""
@@ -139,6 +151,7 @@ def build(entries: DataFrame, trees: int, leaf: int, sample: int, seed: int) ->
     forest = Forest(x, trees, leaf, seed)
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     forest.top = float(entries.agg(F.max(F.sqrt(norm))).first()[0] or 1.0)
+    forest.remember()
     return forest
 
 
@@ -151,7 +164,7 @@ def nearest(
     trees: int = 8,
     leaf: int = 128,
     sample: int = 16384,
-    share: float = 1.0,
+    share: float = 1.5,
     block: int = 4096,
     seed: int = 29,
 ) -> DataFrame:
@@ -191,14 +204,16 @@ def nearest(
             x = b.column(1).flatten().to_numpy().astype(float).reshape(b.num_rows, -1)
             for lo in range(0, len(x), 256):
                 who, tree, node = [], [], []
-                least = f.bound(x[lo : lo + 256], k)
+                least = []
                 for i in range(lo, min(lo + 256, len(x))):
-                    for t, v in f.leaves(x[i], wanted):
+                    found = f.leaves(x[i], wanted)
+                    least += [f.bound(x[i], found, k)] * len(found)
+                    for t, v in found:
                         who.append(i)
                         tree.append(t)
                         node.append(v)
                 at = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(least[np.array(who, int) - lo])], names=["tree", "leaf", "id", "vec", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(least, pa.float64())], names=["tree", "leaf", "id", "vec", "least"])
 
     shape = f"tree int, leaf int, id {kind}, vec {own.schema['vec'].dataType.simpleString()}, least double"
     placed = keep(entries.select("id", "vec").mapInArrow(index, shape), "leaves")

@@ -18,6 +18,9 @@ one pivot travel as one string of at most 2 * length - gram bytes. A task sorts
 the suffixes of such strings, pivots complete, a few megabytes at a time; equal
 strings are sorted once. A recursion deeper than ``length`` bytes is not needed.
 
+Rows whose whole text a smaller id has too go whole and are left out of the
+search (compared by SHA-256).
+
 A pivot in more than ``hot`` documents would fill a task. Its windows are dealt
 out one by one instead: the least id of each string is a pre-aggregated minimum.
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import _powers, col, keep, mix, slices
+from edgeline.llm.common import _powers, col, mix, slices
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -162,16 +165,29 @@ def copies(text: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarra
     return item[hit], at[hit]
 
 
-def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_000, held: int = 4 << 20) -> DataFrame:
-    """docs(id, text as bytes) -> (id, spans): the byte ranges [lo, hi) that go, unmerged."""
+def equal_texts(docs: DataFrame) -> DataFrame:
+    """(id, shas): digests of the whole texts of an id that a smaller id has too."""
+    named = docs.select("id", F.sha2("text", 256).alias("sha"))
+    least = named.groupBy("sha").agg(F.min("id").alias("first"))
+    return named.join(least, "sha").where("first < id").groupBy("id").agg(F.collect_set("sha").alias("shas"))
+
+
+def spans_of(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = 50_000, held: int = 4 << 20) -> DataFrame:
+    """docs(id, text as bytes, copy, key) -> (id, spans): the byte ranges [lo, hi) that go, unmerged.
+
+    ``key`` tells texts of one id apart; a range names the key of its text.
+
+    A text that a smaller id has too goes whole, and no other text loses more
+    for it: such rows, marked ``copy``, take no part in the search.
+    """
     if not 8 <= gram <= length:
         raise ValueError("a gram has from 8 bytes to the window's length")
 
     def occur(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(texts):
+            texts = [b"" if c else t or b"" for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            for lo, hi in slices(texts, 1 << 20):
                 p = Pivots(texts[lo:hi], length, gram)
                 order = np.lexsort((p.doc, p.hash))
                 h, d = p.hash[order], p.doc[order]
@@ -185,19 +201,19 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_00
     wanted = found.join(shared.select("pivot", (F.col("n") > hot).alias("hot")), "pivot")
     # dealt out as plain rows: lists gathered by map tasks would hold one pivot each
     wanted = wanted.select("id", "hot", "pivot").repartition("id")
-    wanted = keep(wanted.groupBy("id", "hot").agg(F.collect_set("pivot").alias("pivots")), "pivots")
+    wanted = wanted.groupBy("id", "hot").agg(F.collect_set("pivot").alias("pivots"))
 
     def strings(single: bool):
         def run(batches):
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
-                pivots = b.column(2)
-                for lo, hi in slices(texts):
+                copy, keys, pivots = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+                for lo, hi in slices(texts, 1 << 20):
                     p = Pivots(texts[lo:hi], length, gram)
                     edge = np.searchsorted(p.doc, np.arange(hi - lo + 1))
-                    out = [], [], [], []
+                    out = [], [], [], [], []
                     for d in range(hi - lo):
-                        if not pivots[lo + d].is_valid:
+                        if copy[lo + d] or not pivots[lo + d].is_valid:
                             continue
                         # a string that a text repeats travels once, with all its places
                         places: dict[tuple[int, bytes], list[int]] = {}
@@ -209,60 +225,62 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 12, hot: int = 50_00
                                 places.setdefault((h, t[a : a + size]), []).append(a)
                         out[0].extend(h for h, _ in places)
                         out[1].extend([ids[lo + d]] * len(places))
-                        out[2].extend(places.values())
-                        out[3].extend(x for _, x in places)
-                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["pivot", "id", "at", "bytes"])
+                        out[2].extend([keys[lo + d]] * len(places))
+                        out[3].extend(places.values())
+                        out[4].extend(x for _, x in places)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["pivot", "id", "key", "at", "bytes"])
 
         return run
 
     def find(batches):
         def solve(parts):
-            owner = np.concatenate([p[1] for p in parts])
-            item, window = copies([t for p in parts for t in p[3]], owner, length)
+            owner, key = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            item, window = copies([t for p in parts for t in p[4]], owner, length)
             head = np.ones(len(item), bool)
             head[1:] = (item[1:] != item[:-1]) | (window[1:] != window[:-1] + 1)
             first, last = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True)) if len(head) else np.empty(0, np.int64)
-            places = [a for p in parts for a in p[2]]
+            places = [a for p in parts for a in p[3]]
             run = item[first]
             times = np.array([len(places[i]) for i in run], np.int64)
             base = np.array([a for i in run for a in places[i]], np.int64)
             begin, end = np.repeat(window[first], times), np.repeat(window[last], times)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(owner[run], times)), pa.array(base + begin), pa.array(base + end + length)], names=["id", "lo", "hi"]
+                [pa.array(np.repeat(owner[run], times)), pa.array(np.repeat(key[run], times)), pa.array(base + begin), pa.array(base + end + length)],
+                names=["id", "key", "lo", "hi"],
             )
 
         parts, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [b.column(i).to_pylist() for i in (2, 3)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [b.column(i).to_pylist() for i in (3, 4)]
             # what stands before the last pivot of this batch is complete
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if parts and parts[-1][0][-1] != cols[0][0] and size >= held:
                 yield solve(parts)
                 parts, size = [], 0
-            if size + sum(map(len, cols[3][:cut])) >= held and cut:
+            if size + sum(map(len, cols[4][:cut])) >= held and cut:
                 yield solve([*parts, [c[:cut] for c in cols]])
                 parts, size = [], 0
                 cols = [c[cut:] for c in cols]
             parts.append(cols)
-            size += sum(map(len, cols[3]))
+            size += sum(map(len, cols[4]))
         if parts:
             yield solve(parts)
 
     def texts_with(hot_ones: bool) -> DataFrame:
         mine = wanted.where(F.col("hot") if hot_ones else ~F.col("hot")).select("id", "pivots")
-        return docs.join(mine, "id", "left").mapInArrow(strings(hot_ones), "pivot long, id long, at array<long>, bytes binary")
+        return docs.join(mine, "id", "left").mapInArrow(strings(hot_ones), "pivot long, id long, key long, at array<long>, bytes binary")
 
-    cool = texts_with(False)
-    spans = cool.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(find, "id long, lo long, hi long")
-    if not wanted.where("hot").isEmpty():
-        single = keep(texts_with(True), "windows")
-        least = single.groupBy("bytes").agg(F.min("id").alias("least"))
-        more = single.join(least, "bytes").where("least < id").select("id", F.explode("at").alias("at"))
-        spans = spans.union(more.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
-    return spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = texts_with(False).repartition("pivot").sortWithinPartitions("pivot").mapInArrow(find, "id long, key long, lo long, hi long")
+    single = texts_with(True).select("bytes", "id", "key", "at").repartition("bytes", "id")
+    least = single.groupBy("bytes").agg(F.min("id").alias("least"))
+    more = single.join(least, "bytes").where("least < id").select("id", "key", F.explode("at").alias("lo"))
+    whole = docs.where(F.col("copy") & (F.octet_length("text") >= length))
+    whole = whole.select("id", "key", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
+    spans = spans.union(more.select("id", "key", "lo", (F.col("lo") + length).alias("hi"))).union(whole)
+    return spans.groupBy("id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -283,11 +301,17 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, **options) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept): of every row the merged ranges that go, and the bytes that stay."""
-    rows = _dealt(docs.where(col(id_col).isNotNull()), id_col, text_col)
+    named = docs.where(col(id_col).isNotNull())
+    rows = _dealt(named, id_col, text_col)
+    texts = named.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    copy = F.when(F.col("shas").isNotNull(), F.array_contains("shas", F.sha2(F.coalesce("text", F.lit(b"")), 256)))
+    marked = rows.join(equal_texts(texts), "id", "left").select("id", "text", F.coalesce(copy, F.lit(False)).alias("copy"), F.xxhash64("text").alias("key"))
     nameless = docs.where(col(id_col).isNull()).select(
-        F.lit(None).cast("long").alias("id"), col(text_col).cast("binary").alias("text"), F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans")
+        F.lit(None).cast("long").alias("id"), col(text_col).cast("binary").alias("text"), F.lit(None).cast("array<struct<key:bigint,lo:bigint,hi:bigint>>").alias("spans")
     )
-    out = rows.join(spans_of(rows, length, **options), "id", "left").select("id", "text", "spans").union(nameless)
+    out = rows.join(spans_of(marked, length, **options), "id", "left")
+    mine = F.filter("spans", lambda x: x["key"] == F.xxhash64("text"))
+    out = out.select("id", "text", mine.alias("spans")).union(nameless)
 
     def run(batches):
         for b in batches:

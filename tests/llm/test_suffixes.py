@@ -50,6 +50,7 @@ def test_messy_rows_against_all_strings(spark, hot, held):
     passage = fx.words(rng, 30)
     docs += [(2000 + i, fx.words(rng, 12) + passage[rng.randint(0, 9) :] + fx.words(rng, 12), "en", "s") for i in range(25)]
     docs += [(3000, "a" * 400, "en", "s"), (3001, "a" * 90 + "b" + "a" * 60, "en", "s"), (3002, "ab" * 100, "en", "s"), (3003, "\0" * 70, "en", "s"), (3004, "\0" * 70, "en", "s")]
+    docs += [(3005, docs[6][1], "en", "s"), (3005, "another text of the same id " * 9, "en", "s")]
     rows = suffixes.repeats(fx.frame(spark, docs, clash=True), length=40, hot=hot, held=held).collect()
     got = [(r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows]
     same(got, slow([(d[0], (d[1] or "").encode()) for d in docs], 40))
