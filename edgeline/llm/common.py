@@ -65,7 +65,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` bytes or characters; a longer text is a range of its own."""
     start, held = 0, 0
     for i, t in enumerate(texts):

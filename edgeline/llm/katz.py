@@ -114,7 +114,7 @@ def unigrams(train: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = utf8(b.column(0))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 4 << 20):
                 keys, n = np.unique(Words(texts[lo:hi]).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(keys, np.uint64(END)).view(np.int64)), pa.array(np.append(n, hi - lo))], names=["word", "n"]
@@ -141,7 +141,7 @@ def bigrams(train: DataFrame, words) -> DataFrame:
         u = words.value
         for b in batches:
             texts = utf8(b.column(0))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 4 << 20):
                 _, _, cur, prev, _ = u.numbers(Words(texts[lo:hi]))
                 keys, n = np.unique(prev * u.wide + cur, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])

@@ -42,7 +42,7 @@ from edgeline.llm.common import col, keep, rank_in_groups, slices
 Pattern = list[tuple[int, int]]  # (length, pieces of it), longest first
 
 #: A chunk is text between blanks and line breaks; so many chunks, and words of them, stay encoded in a worker.
-CHUNKS, WORDS = 300_000, 1_000_000
+CHUNKS, WORDS = 200_000, 600_000
 _ENCODERS: dict[str, tuple] = {}
 
 
