@@ -13,11 +13,26 @@ from pyspark.sql import functions as F
 from edgeline.session import scratch_path
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    ``drop_shuffles`` frees the shuffle files of the job as soon as the table is
+    written, for plans whose shuffles are large and not read again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    if drop_shuffles:
+        spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

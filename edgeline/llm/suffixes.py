@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import _powers, col, mix, slices
+from edgeline.llm.common import _powers, col, keep, mix, slices
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = 50_00
     wanted = found.join(shared.select("pivot", (F.col("n") > hot).alias("hot")), "pivot")
     # dealt out as plain rows: lists gathered by map tasks would hold one pivot each
     wanted = wanted.select("id", "hot", "pivot").repartition("id")
-    wanted = wanted.groupBy("id", "hot").agg(F.collect_set("pivot").alias("pivots"))
+    wanted = keep(wanted.groupBy("id", "hot").agg(F.collect_set("pivot").alias("pivots")), "pivots", drop_shuffles=True)
 
     def strings(single: bool):
         def run(batches):
@@ -274,12 +274,11 @@ def spans_of(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = 50_00
         return docs.join(mine, "id", "left").mapInArrow(strings(hot_ones), "pivot long, id long, key long, at array<long>, bytes binary")
 
     spans = texts_with(False).repartition("pivot").sortWithinPartitions("pivot").mapInArrow(find, "id long, key long, lo long, hi long")
-    single = texts_with(True).select("bytes", "id", "key", "at").repartition("bytes", "id")
-    least = single.groupBy("bytes").agg(F.min("id").alias("least"))
-    more = single.join(least, "bytes").where("least < id").select("id", "key", F.explode("at").alias("lo"))
-    whole = docs.where(F.col("copy") & (F.octet_length("text") >= length))
-    whole = whole.select("id", "key", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
-    spans = spans.union(more.select("id", "key", "lo", (F.col("lo") + length).alias("hi"))).union(whole)
+    if not wanted.where("hot").isEmpty():
+        single = keep(texts_with(True).select("bytes", "id", "key", "at"), "windows", drop_shuffles=True)
+        least = single.groupBy("bytes").agg(F.min("id").alias("least"))
+        more = single.join(least, "bytes").where("least < id").select("id", "key", F.explode("at").alias("lo"))
+        spans = spans.union(more.select("id", "key", "lo", (F.col("lo") + length).alias("hi")))
     return spans.groupBy("id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("spans"))
 
 
@@ -309,8 +308,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     nameless = docs.where(col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("id"), col(text_col).cast("binary").alias("text"), F.lit(None).cast("array<struct<key:bigint,lo:bigint,hi:bigint>>").alias("spans")
     )
-    out = rows.join(spans_of(marked, length, **options), "id", "left")
-    mine = F.filter("spans", lambda x: x["key"] == F.xxhash64("text"))
+    out = marked.join(spans_of(marked, length, **options), "id", "left")
+    size = F.octet_length("text").cast("long")
+    whole = F.array(F.struct(F.col("key"), F.lit(0).cast("long").alias("lo"), size.alias("hi")))
+    mine = F.filter("spans", lambda x: x["key"] == F.col("key"))
+    mine = F.when(F.col("copy") & (size >= length), whole).otherwise(mine)
     out = out.select("id", "text", mine.alias("spans")).union(nameless)
 
     def run(batches):
