@@ -2,9 +2,10 @@
 
 Tokens are words, A-Z lowered, and one end per text. Counts are taken over all
 training texts. Unigrams: P1(w) = (c(w) + 1) / (N + V + 1), one place being kept
-for words never seen, so P1 sums to one. The ``vocabulary`` most frequent words
-(and the end) have bigrams of their own; the other words share one class as
-context and as successor, and a word's share of its class is P1(w) / P1(class).
+for words never seen, so P1 sums to one. All words have bigrams of their own.
+Only if ``vocabulary`` is given, just so many of the most frequent words (and the
+end) have them; the other words then share one class as context and as
+successor, and a word's share of its class is P1(w) / P1(class).
 
 For a bigram (v, w) seen n times after a context seen t times
 
@@ -15,13 +16,12 @@ discounts left, divided by the P1 mass of all successors not seen. If the
 discounts left nothing, t is one more; if every successor was seen, the seen ones
 are scaled to one. So the successors of every context sum to one.
 
-Words and bigrams are told apart by 64-bit hashes and by numbers of vocabulary
-words. The discounted bigrams are a table with two partitions: the ``cached``
-most frequent, which every task holds (a fixed bound), and all others, which
-are joined by key. The same holds for unigram counts: the ``common`` most
-frequent are held, the others joined. Texts are scored token by token; for what a
-task does not hold it emits the key with the value that backing off would give,
-and the join decides.
+Words are told apart by 64-bit hashes, bigrams by those of both words. Counts of
+words, counts of bigrams, and t and a(v) of contexts are three tables joined by
+key; only counts of counts reach the driver. Logarithms add up, so a text's
+score is a sum over joins with the three. The ``cached`` most frequent bigrams and
+the ``common`` most frequent words are also held by each task (fixed bounds), so
+that hot keys need no join; this changes no result.
 
 Cases: null text is empty and has the end alone; rows with a null id are scored
 but teach nothing; equal rows count and are scored each; without training texts
@@ -41,48 +41,33 @@ from pyspark.sql import functions as F
 
 from edgeline.llm.common import Words, col, keep, slices, utf8
 
-END = 0  # the end token's key among word hashes
+# keys beside the word hashes: the end, the begin, the class of words outside a given vocabulary
+END, BEGIN, OTHER = 0, 1, 2
 
 
 @dataclass
 class Unigrams:
-    """The commonest words' counts and numbers; N, V and the end's count."""
+    """The commonest words' counts; N, V and the end's count; all words have bigrams, or those ``inside`` a vocabulary."""
 
     keys: np.ndarray  # sorted hashes of the common words
     counts: np.ndarray
-    number: np.ndarray  # vocabulary number, or that of the class of other words
-    size: int  # vocabulary words
+    inside: np.ndarray | None
     tokens: int
     types: int
     ends: int
 
     @property
-    def other(self) -> int:
-        return self.size
-
-    @property
-    def end(self) -> int:
-        return self.size + 1
-
-    @property
-    def begin(self) -> int:
-        return self.size + 2
+    def total(self) -> int:
+        """Of all units of P1 mass; a word has one more than its count."""
+        return self.tokens + self.types + 1
 
     @property
-    def wide(self) -> int:
-        return self.size + 3
+    def other(self) -> int:
+        """Units of the class of words outside the vocabulary."""
+        return self.total - int(self.counts[self.inside].sum()) - int(self.inside.sum()) - (self.ends + 1 if self.tokens else 0)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.tokens + self.types + 1.0))
-
-    def chances(self) -> np.ndarray:
-        """P1 by number: vocabulary words, the class of the others, the end; no text begins inside a text."""
-        p = np.zeros(self.wide)
-        mine = self.number < self.size
-        p[self.number[mine]] = 10 ** self.base(self.counts[mine])
-        p[self.end] = 10 ** self.base(np.array(self.ends))
-        p[self.other] = max(1.0 - p.sum(), 0.0) if self.tokens else 1.0
-        return p
+        return np.log10((counts + 1.0) / self.total)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index among the common words, whether it is one)."""
@@ -91,17 +76,25 @@ class Unigrams:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return at, self.keys[at] == hashes
 
-    def numbers(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words: index, whether common; of all tokens, ends included: number, context, text."""
-        at, there = self.find(w.hash)
+    def classed(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Whether words found at ``at`` are in the class of the others."""
+        if self.inside is None:
+            return np.zeros(len(at), bool)
+        return ~there | ~self.inside[at] if len(self.keys) else np.ones(len(at), bool)
+
+    def pairs(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(prev, cur) of the bigrams of texts, ends included, each once; which of them each token ends; the token's text."""
         n = len(w.counts)
-        cur = np.full(len(w.hash) + n, self.end, np.int64)
-        if len(w.hash):
-            cur[np.arange(len(w.hash)) + w.doc] = np.where(there, self.number[at] if len(self.keys) else 0, self.other)
+        words, which = np.unique(w.hash, return_inverse=True)
+        names = np.concatenate([np.array([END, BEGIN], np.uint64), np.where(self.classed(*self.find(words)), np.uint64(OTHER), words)])
+        names, name = np.unique(names, return_inverse=True)
+        cur = np.full(len(w.hash) + n, name[0], np.int64)
+        cur[np.arange(len(w.hash)) + w.doc] = name[which + 2]
         prev = np.empty_like(cur)
         prev[1:] = cur[:-1]
-        prev[w.first[:-1] + np.arange(n)] = self.begin
-        return at, there, cur, prev, np.repeat(np.arange(n), w.counts + 1)
+        prev[w.first[:-1] + np.arange(n)] = name[1]
+        pair, which = np.unique(prev * len(names) + cur, return_inverse=True)
+        return names[pair // len(names)], names[pair % len(names)], which, np.repeat(np.arange(n), w.counts + 1)
 
 
 def held_out(id_: Column, folds: int, fold: int) -> Column:
@@ -123,30 +116,29 @@ def unigrams(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def commonest(counts: DataFrame, vocabulary: int, common: int) -> Unigrams:
+def commonest(counts: DataFrame, vocabulary: int | None, common: int) -> Unigrams:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == END).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(max(common, vocabulary)).toArrow()
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(max(common, vocabulary or 0)).toArrow()
     keys = top.column("word").to_numpy().view(np.uint64)
-    rank = np.arange(len(keys))
     order = np.argsort(keys)
-    size = min(vocabulary, len(keys))
-    return Unigrams(keys[order], top.column("n").to_numpy()[order], np.minimum(rank, size)[order], size, tokens, types, ends["n"] if ends else 0)
+    inside = None if vocabulary is None else (np.arange(len(keys)) < vocabulary)[order]
+    return Unigrams(keys[order], top.column("n").to_numpy()[order], inside, tokens, types, ends["n"] if ends else 0)
 
 
 def bigrams(train: DataFrame, words) -> DataFrame:
-    """(pair, n) over the texts of ``train``; ``words`` is the broadcast Unigrams."""
+    """(prev, cur, n) over the texts of ``train``; ``words`` is the broadcast Unigrams."""
 
     def run(batches):
         u = words.value
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in slices(texts, 4 << 20):
-                _, _, cur, prev, _ = u.numbers(Words(texts[lo:hi]))
-                keys, n = np.unique(prev * u.wide + cur, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+                prev, cur, which, _ = u.pairs(Words(texts[lo:hi]))
+                n = np.bincount(which, minlength=len(prev))
+                yield pa.RecordBatch.from_arrays([pa.array(prev.view(np.int64)), pa.array(cur.view(np.int64)), pa.array(n)], names=["prev", "cur", "n"])
 
-    return train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(run, "prev long, cur long, n long").groupBy("prev", "cur").agg(F.sum("n").alias("n"))
 
 
 def discounts(of: dict[int, int], k: int) -> list[float]:
@@ -161,31 +153,31 @@ def discounts(of: dict[int, int], k: int) -> list[float]:
     return out
 
 
-def model(pairs: DataFrame, u: Unigrams, k: int, cached: int) -> tuple[DataFrame, np.ndarray]:
-    """The table (pair, logp) in partitions ``held``, and log10 a(v) by context number."""
-    spark = pairs.sparkSession
+def kept(pairs: DataFrame, k: int) -> Column:
+    """d(n) n of a bigram's count n."""
     of = {r["n"]: r["of"] for r in pairs.where(F.col("n") <= k + 1).groupBy("n").agg(F.count("*").alias("of")).collect()}
     d = F.array(*[F.lit(x) for x in [*discounts(of, k), 1.0]])
-    kept = F.col("n") * F.element_at(d, F.least(F.col("n"), F.lit(k + 1)).cast("int"))
-    chance = spark.createDataFrame([(i, float(p)) for i, p in enumerate(u.chances())], "cur int, p double")
-    rows = pairs.withColumn("prev", F.floor(F.col("pair") / u.wide).cast("int")).withColumn("cur", (F.col("pair") % u.wide).cast("int"))
-    rows = rows.withColumn("kept", kept)
-    # one row a context, of at most vocabulary + 2 bigrams each
-    contexts = rows.join(F.broadcast(chance), "cur").groupBy("prev").agg(F.sum("n").alias("t"), F.sum("kept").alias("s"), F.sum("p").alias("b")).collect()
-    backoff = np.zeros(u.wide)
-    below = []
-    for r in contexts:
-        t, s, b = float(r["t"]), r["s"], r["b"]
-        if 1 - b < 1e-12:  # every successor was seen
-            t = s
-        elif t - s < 1e-9 * t:  # no discount left anything
-            t += 1
-        below.append((r["prev"], t))
-        left = (t - s) / t
-        backoff[r["prev"]] = np.log10(left / (1 - b)) if left > 0 else -np.inf
-    totals = F.broadcast(spark.createDataFrame(below, "prev int, t double"))
-    table = rows.join(totals, "prev").select("pair", "n", F.log10(F.col("kept") / F.col("t")).alias("logp"))
-    # the smallest count among the cached most frequent: a count above it is held
+    return F.col("n") * F.element_at(d, F.least(F.col("n"), F.lit(k + 1)).cast("int"))
+
+
+def contexts(pairs: DataFrame, counts: DataFrame, hot: DataFrame, share: Column, u: Unigrams) -> DataFrame:
+    """(prev, lt, la): log10 of t and of a(v) of every context; ``hot`` (word, units) are the words every task holds."""
+    rows = pairs.withColumn("kept", share).join(F.broadcast(hot), F.col("cur") == F.col("word"), "left")
+    # successors that are not held meet their counts by key; sums of both parts make a context
+    cold = rows.where("units is null").select("prev", "cur").join(counts, F.col("cur") == counts["word"])
+    cold = cold.select("prev", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("s"), (counts["n"] + 1).alias("b"))
+    rows = rows.select("prev", F.col("n").alias("t"), F.col("kept").alias("s"), F.coalesce("units", F.lit(0)).alias("b"))
+    rows = rows.union(cold).groupBy("prev").agg(F.sum("t").cast("double").alias("t"), F.sum("s").alias("s"), F.sum("b").alias("b"))
+    unseen = (F.lit(u.total) - F.col("b")) / F.lit(float(u.total))
+    # every successor was seen; no discount left anything
+    t = F.when(unseen <= 0, F.col("s")).when(F.col("t") - F.col("s") < 1e-9 * F.col("t"), F.col("t") + 1).otherwise(F.col("t"))
+    rows = rows.select("prev", t.alias("t"), "s", unseen.alias("unseen"))
+    left = (F.col("t") - F.col("s")) / F.col("t")
+    return rows.select("prev", F.log10("t").alias("lt"), F.when((left > 0) & (F.col("unseen") > 0), F.log10(left / F.col("unseen"))).otherwise(0.0).alias("la"))
+
+
+def held_from(pairs: DataFrame, cached: int) -> int:
+    """The smallest count that only the ``cached`` most frequent bigrams reach."""
     ranks = pairs.groupBy("n").agg(F.count("*").alias("of")).orderBy(F.desc("n"))
     least, got = 1, 0
     for r in ranks.toLocalIterator():
@@ -193,16 +185,26 @@ def model(pairs: DataFrame, u: Unigrams, k: int, cached: int) -> tuple[DataFrame
             least = r["n"] + 1
             break
         got += r["of"]
-    return table.withColumn("held", F.col("n") >= least), backoff
+    return least
 
 
-def write_model(table: DataFrame) -> DataFrame:
-    """The bigram table, written in its two partitions."""
-    from edgeline.session import scratch_path
+class Held:
+    """Bigrams that every task holds, with a value each."""
 
-    path = scratch_path(table.sparkSession, "bigrams")
-    table.drop("n").write.partitionBy("held").parquet(path)
-    return table.sparkSession.read.schema("pair long, logp double, held boolean").parquet(path)
+    def __init__(self, prev: np.ndarray, cur: np.ndarray, value: np.ndarray):
+        self.words = np.unique(np.concatenate([prev, cur]))
+        code = np.searchsorted(self.words, prev) * len(self.words) + np.searchsorted(self.words, cur)
+        order = np.argsort(code)
+        self.code, self.value = code[order], value[order]
+
+    def find(self, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is held, the value) of bigrams."""
+        if not len(self.code):
+            return np.zeros(len(prev), bool), np.zeros(len(prev))
+        i, j = (np.minimum(np.searchsorted(self.words, x), len(self.words) - 1) for x in (prev, cur))
+        code = i * len(self.words) + j
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return (self.code[at] == code) & (self.words[i] == prev) & (self.words[j] == cur), self.value[at]
 
 
 def score_texts(
@@ -211,7 +213,7 @@ def score_texts(
     text_col: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    vocabulary: int = 8192,
+    vocabulary: int | None = None,
     common: int = 1 << 18,
     cached: int = 1 << 20,
     k: int = 5,
@@ -221,52 +223,62 @@ def score_texts(
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("id"), folds, held_fold))
     train = rows.where(~F.col("held_out") & F.col("id").isNotNull())
-    counts = keep(unigrams(train), "unigrams")
+    counts = keep(unigrams(train), "unigrams", drop_shuffles=True)
     u = commonest(counts, vocabulary, common)
     words = spark.sparkContext.broadcast(u)
-    pairs = keep(bigrams(train, words), "pairs")
-    table, backoff = model(pairs, u, k, cached)
-    table = write_model(table)
-    hot = table.where("held").select("pair", "logp").toArrow()
-    order = np.argsort(hot.column("pair").to_numpy())
-    held = spark.sparkContext.broadcast((hot.column("pair").to_numpy()[order], hot.column("logp").to_numpy()[order], backoff, np.log10(np.maximum(u.chances(), 1e-300))))
+    pairs = keep(bigrams(train, words), "pairs", drop_shuffles=True)
+    inside = slice(None) if u.inside is None else u.inside
+    extra = [(END, u.ends + 1 if u.tokens else 1)] + ([] if u.inside is None else [(OTHER, max(u.other, 1))])
+    hot = spark.createDataFrame(
+        pa.table(
+            {
+                "word": np.append(u.keys[inside].view(np.int64), [x for x, _ in extra]),
+                "units": np.append(u.counts[inside] + 1, [x for _, x in extra]),
+            }
+        )
+    )
+    hot = keep(hot, "common_words")
+    share = kept(pairs, k)
+    table = keep(contexts(pairs, counts, hot, share, u), "contexts", drop_shuffles=True)
+    begin = spark.createDataFrame([(BEGIN,)], "word long")
+    known = keep(table.join(F.broadcast(hot.select("word").union(begin)), F.col("prev") == F.col("word")).select("prev", "lt", "la"), "common_contexts")
+    least = held_from(pairs, cached)
+    top = pairs.where(F.col("n") >= least).withColumn("kept", share).join(table, "prev").select("prev", "cur", (F.log10("kept") - F.col("lt")).alias("logp")).toArrow()
+    held = spark.sparkContext.broadcast(
+        Held(*(top.column(x).to_numpy().view(np.uint64) for x in ("prev", "cur")), top.column("logp").to_numpy())
+    )
     kind = rows.schema["id"].dataType.simpleString()
+    other = 0.0 if u.inside is None else float(np.log10(max(u.other, 1) / u.total))
 
     def lists(doc: np.ndarray, n_docs: int, *values: np.ndarray) -> list[pa.Array]:
         offsets = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32))
         return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
 
     def run(batches):
-        u, (keys, logp, backoff, chance) = words.value, held.value
+        u, cache = words.value, held.value
         task, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             texts = utf8(batch.column(2))
             for lo, hi in slices(texts, 2 << 20):
                 n = hi - lo
                 w = Words(texts[lo:hi])
-                at, there, cur, prev, doc = u.numbers(w)
-                pair, which = np.unique(prev * u.wide + cur, return_inverse=True)
-                p, c = pair // u.wide, pair % u.wide
-                value = backoff[p] + chance[c]
-                near = np.zeros(len(pair), bool)
-                if len(keys):
-                    i = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    near = keys[i] == pair
-                    value[near] = logp[i[near]]
+                at, there = u.find(w.hash)
+                prev, cur, which, doc = u.pairs(w)
+                near, value = cache.find(prev, cur)
                 known = near[which]
                 score = np.zeros(n) + np.bincount(doc[known], value[which[known]], n)
                 # the rest, one entry for each text and bigram
-                far, far_n = np.unique(doc[~known] * len(pair) + which[~known], return_counts=True)
-                far_doc, far_at = far // max(len(pair), 1), far % max(len(pair), 1)
+                far, far_n = np.unique(doc[~known] * len(prev) + which[~known], return_counts=True)
+                far_doc, far_at = far // max(len(prev), 1), far % max(len(prev), 1)
                 # unigrams: the end, common words, and the hashes of the others
                 base = np.full(n, float(u.base(np.array(u.ends))))
                 common_ = u.base(u.counts[at[there]].astype(float)) if len(u.keys) else np.zeros(0)
                 base += np.bincount(w.doc[there], common_, n)
-                if there.any():
-                    classed = u.number[at[there]] == u.other
-                    score += np.bincount(w.doc[there][classed], common_[classed] - chance[u.other], n)
+                # of words outside the vocabulary the share of their class
+                classed = u.classed(at, there)
+                score -= np.bincount(w.doc[classed], minlength=n) * other
+                score += np.bincount(w.doc[there][classed[there]], common_[classed[there]], n)
                 rare, rare_doc = w.hash[~there], w.doc[~there]
-                score -= np.bincount(rare_doc, minlength=n) * chance[u.other]
                 order = np.lexsort((rare, rare_doc))
                 rare, rare_doc = rare[order], rare_doc[order]
                 first = np.ones(len(rare), bool)
@@ -279,35 +291,52 @@ def score_texts(
                     [
                         pa.array(task + row + np.arange(n)), ids, out, pa.array(w.counts + 1), pa.array(seen), pa.array(base), pa.array(score),
                         *lists(rare_doc[begin], n, rare[begin].view(np.int64), times),
-                        *lists(far_doc, n, pair[far_at], far_n, value[far_at]),
+                        *lists(far_doc, n, prev[far_at].view(np.int64), cur[far_at].view(np.int64), far_n),
                     ],
-                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n", "far", "far_n", "far_else"],
+                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n", "far_prev", "far_cur", "far_n"],
                 )
                 row += n
 
     scored = rows.select("id", "held_out", "text").mapInArrow(
         run,
         f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<long>, rare_n array<long>, far array<long>, far_n array<long>, far_else array<double>",
+        "rare array<long>, rare_n array<long>, far_prev array<long>, far_cur array<long>, far_n array<long>",
     )
     scored = keep(scored, "scored")
-    total = u.tokens + u.types + 1.0
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
-    rare = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.select(
-        "row", (F.col("times") * F.log10((F.col("n") + 1.0) / total)).alias("base"), F.lit(0.0).alias("pairs"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"),
+    far = scored.select("row", F.explode(F.arrays_zip("far_prev", "far_cur", "far_n")).alias("x")).select(
+        "row", F.col("x.far_prev").alias("prev"), F.col("x.far_cur").alias("cur"), F.col("x.far_n").alias("times")
     )
-    far = scored.select("row", F.explode(F.arrays_zip("far", "far_n", "far_else")).alias("x")).select(
-        "row", F.col("x.far").alias("pair"), F.col("x.far_n").alias("times"), F.col("x.far_else").alias("else")
+    far = far.join(pairs.where(F.col("n") < least).select("prev", "cur", share.alias("kept")), ["prev", "cur"], "left")
+    far = far.join(F.broadcast(known), "prev", "left").join(F.broadcast(hot), F.col("cur") == F.col("word"), "left")
+    # what the held words tell, and keys of what others must
+    total = F.lit(float(u.total))
+    found = F.col("kept").isNotNull()
+    value = F.when(found, F.log10("kept") - F.coalesce("lt", F.lit(0.0))).otherwise(
+        F.coalesce("la", F.lit(0.0)) + F.coalesce(F.log10(F.col("units") / total), F.lit(0.0))
     )
-    far = far.join(table.where(~F.col("held")).select("pair", "logp"), "pair", "left")
-    far = far.select("row", F.lit(0.0).alias("base"), (F.col("times") * F.coalesce("logp", "else")).alias("pairs"), F.lit(0).cast("long").alias("known"))
-    more = rare.union(far).groupBy("row").agg(F.sum("base").alias("base"), F.sum("pairs").alias("pairs"), F.sum("known").alias("known"))
+    far = far.select(
+        "row", "times", found.alias("found"), (F.col("times") * value).alias("pairs"),
+        F.when(F.col("lt").isNull(), F.col("prev")).alias("prev"), F.when(~found & F.col("units").isNull(), F.col("cur")).alias("cur"),
+    )
+    far = keep(
+        far.groupBy("row", "prev", "cur", "found").agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs")), "far", drop_shuffles=True
+    )
+    none = F.lit(0).cast("long")
+    direct = far.select("row", F.lit(0.0).alias("base"), "pairs", none.alias("known"))
+    after = far.where("prev is not null").join(table, "prev").select(
+        "row", F.lit(0.0).alias("base"), (F.col("times") * F.when(F.col("found"), -F.col("lt")).otherwise(F.col("la"))).alias("pairs"), none.alias("known")
+    )
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
+    # words of a class score their share of it, all others score by bigrams
+    rare = rare.select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"), (F.lit(0) if u.inside is None else F.col("x.rare_n")).cast("long").alias("scored"))
+    rare = rare.union(far.where("cur is not null").select("row", "cur", none, "times"))
+    rare = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chance = F.log10((F.col("n") + 1.0) / total)
+    rare = rare.select("row", (F.col("times") * chance).alias("base"), (F.col("scored") * chance).alias("pairs"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
+    more = direct.union(after).union(rare).groupBy("row").agg(F.sum("base").alias("base"), F.sum("pairs").alias("pairs"), F.sum("known").alias("known"))
     out = scored.select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
-    base = F.coalesce("base", F.lit(0.0))
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(u.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + base).alias("base_score"),
-        (F.col("score") + base + F.coalesce("pairs", F.lit(0.0))).alias("score"),
+        F.lit(u.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("pairs", F.lit(0.0))).alias("score"),
     )

@@ -112,6 +112,40 @@ def test_the_test_table_against_dictionaries(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+class Whole(Slow):
+    """All words have bigrams; sums over a context's row are made once."""
+
+    def __init__(self, docs, vocabulary, k=5):
+        super().__init__(docs, vocabulary, k)
+        self.sums = {}
+        for prev, row in self.rows.items():
+            kept = {w: n * self.d.get(n, 1.0) for w, n in row.items()}
+            t, s = sum(row.values()), sum(kept.values())
+            self.sums[prev] = kept, t + 1 if t - s < 1e-9 * t else t, s, sum(self.p1(w) for w in row)
+
+    def pc(self, w):
+        return 1 / (self.n + self.v + 1) if w == "<other>" else self.p1(w)
+
+    def chance(self, prev, cur):
+        if prev not in self.sums:
+            return self.pc(cur)
+        kept, t, s, b = self.sums[prev]
+        return kept[cur] / t if cur in kept else (t - s) / t / (1 - b) * self.pc(cur)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"common": 300, "cached": 200}])
+def test_every_word_has_bigrams(spark, monkeypatch, bounds):
+    """26,000 words, far more than are frequent; the bounds on what tasks hold change nothing."""
+    monkeypatch.setitem(globals(), "Slow", Whole)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = [tuple(d) for d in table.select("doc_id", "text").collect()]
+    rows = katz.score_texts(table, **bounds) if bounds else QUERIES["op7_katz_scores"](spark, SF).withColumnRenamed("doc_id", "id")
+    slow = check(rows.collect(), docs, 10**9)
+    assert len(slow.vocabulary) > 20_000
+    for prev in ["<s>", *random.Random(3).sample(sorted(slow.vocabulary), 3)]:
+        assert sum(slow.chance(prev, c) for c in [*slow.vocabulary, None, "<other>"]) == pytest.approx(1.0)
+
+
 def test_no_training_rows_and_no_rows(spark):
     only = [(i, "a b c", "en", "s") for i in range(200) if out_of(i)]
     rows = katz.score_texts(fx.frame(spark, only)).collect()
