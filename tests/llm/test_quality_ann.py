@@ -112,6 +112,22 @@ def test_recall_on_the_test_table(spark):
     assert recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_with_a_sample_smaller_than_the_table(spark, clustered):
+    """Trees fitted on 512 of about 2,000 vectors, those of the test table and clustered ones."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    if clustered:
+        rng = np.random.default_rng(7)
+        centres = rng.normal(size=(25, 32))
+        made = [(i, [float(v) for v in centres[i % 25] + 0.3 * rng.normal(size=32)]) for i in range(2000)]
+        vectors = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    assert len(rows) > 3 * 512
+    want = exact(rows, lambda i: i % 20 == 0, 20)
+    got = ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20, sample=512).collect()
+    assert recall(got, want) >= 0.9, recall(got, want)
+
+
 def test_vectors_that_take_no_part_copies_and_ties(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]
