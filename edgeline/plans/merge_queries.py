@@ -23,12 +23,12 @@ def mid():
 
 @query(
     "insert_if_absent",
-    f"""SELECT id, event_time, tenant_id, lb_name, CASE WHEN event_time < {MID} THEN 'stored' ELSE 'first' END AS origin
+    f"""SELECT id, event_time, tenant_id, lb_namespace, lb_name, CASE WHEN event_time < {MID} THEN 'stored' ELSE 'first' END AS origin
 FROM waf_events""",
     ["waf_events"],
 )
 def _(v):
-    rows = v.waf_events.select("id", "event_time", "tenant_id", "lb_name")
+    rows = v.waf_events.select("id", "event_time", "tenant_id", "lb_namespace", "lb_name")
     target = rows.filter(F.col("event_time") < mid()).withColumn("origin", F.lit("stored"))
     # every event is pulled twice; the copy with the lower sequence number comes first
     copies = F.array(

@@ -79,7 +79,7 @@ def test_ua_family_order_and_fallback(spark):
         "python_http",
         "custom agent",
         "plain",
-        "x" * 64,
+        "x" * 100,  # grouped whole: nothing is cut
         None,
         None,
     ]
