@@ -122,15 +122,17 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: where they start and end, whose they are, their hashes.
 
     ``hash`` is a polynomial hash modulo 2^64 of the bytes with A-Z lowered,
-    mixed; all words of all texts are hashed by array arithmetic.
+    mixed; all words of all texts are hashed by array arithmetic. ``apart`` tells
+    of each byte whether it separates words.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], apart: np.ndarray = _SPACE):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n = len(raw)
-        inside = ~_SPACE[raw]
+        self.raw = raw
+        inside = ~apart[raw]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         before = np.empty(n + 1, bool)
