@@ -17,8 +17,10 @@ which also start one coordinate of the vectors.
 
 The fit uses at most ``sample`` labelled texts of each class of at most ``longest``
 bytes, those with the smallest hashes of their ids outside the held-out fold
-(documented bounds; about 5 MB on the driver at usual lengths, where numpy
-trains the network). Scoring reads every text whole.
+(documented bounds, 32 MB of text at most); one task trains on them in numpy and
+returns the weights. Only words and strings whose share differs between the
+classes by several standard deviations get vectors. Scoring reads every text
+whole.
 
 Cases: null text is empty; an empty text is a window of padding, which training
 shows as class 0; rows with several labels count with each, null labels count
@@ -29,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import Words, col, slices, utf8
+from edgeline.llm.common import Words, col, keep, slices, utf8
 from edgeline.llm.quality import bucket
 
 WIDTH, STEP = 32, 16
@@ -247,8 +250,8 @@ class Network:
         return g
 
 
-def _telling(keys: np.ndarray, text: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` keys whose shares of texts differ most between the classes, and their log-odds."""
+def _telling(keys: np.ndarray, text: np.ndarray, y: np.ndarray, most: int, surely: float = 3.8) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` keys whose shares of texts differ most between the classes, by ``surely`` deviations at least, and their log-odds."""
     names, which = np.unique(keys, return_inverse=True)
     pair = np.unique(which * len(y) + text)
     which, text = pair // len(y), pair % len(y)
@@ -260,6 +263,7 @@ def _telling(keys: np.ndarray, text: np.ndarray, y: np.ndarray, most: int) -> tu
     z = (p1 - p0) / spread
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     top = np.argsort(-np.abs(z) - 1e-9 * p1, kind="stable")[:most]
+    top = top[np.abs(z[top]) >= surely]
     top = top[np.argsort(names[top])]
     return names[top], odds[top]
 
@@ -319,8 +323,8 @@ def train(
         pool = np.union1d(pool, np.concatenate([top[y[text[top]] == 0], second[y[text[second]] == 0]]))
         ones = top[y[text[top]] == 1]
         weigh = max(1, round(len(pool) / max(len(ones), 1)))
-        # texts of class 1 as often as the rest, up to four times; one in fifty is the empty window
-        chosen = np.concatenate([pool, np.repeat(ones, min(weigh, 4)), np.full(len(pool) // 50 + 1, len(start) - 1)])
+        # texts of class 1 as often as the rest, up to twice; one in twenty is the empty window
+        chosen = np.concatenate([pool, np.repeat(ones, min(weigh, 2)), np.full(len(pool) // 20 + 1, len(start) - 1)])
         for _ in range(epochs):
             mixed = rng.permutation(chosen)
             for lo in range(0, len(mixed), batch):
@@ -343,7 +347,7 @@ def score(
     text_col: str = "text",
     folds: int = 5,
     held_fold: int = 0,
-    sample: int = 800,
+    sample: int = 1000,
     longest: int = 16384,
     **options,
 ) -> DataFrame:
@@ -353,12 +357,22 @@ def score(
     taught = labels.select(col(id_col).alias("_id"), col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     short = rows.where(~F.col("held_out") & (F.octet_length("text") <= longest)).select("id", "text")
     taught = short.join(taught, F.col("id") == F.col("_id")).withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(13)))
-    held = [taught.where(F.col("y") == k).orderBy("order", "id", "text").limit(sample).select("text", "y").toArrow() for k in (0, 1)]
-    known = pa.concat_tables(held)
-    y = known.column("y").to_numpy()
-    model = train(utf8(known.column("text").combine_chunks()), y, **options) if 0 < y.sum() < len(y) else None
-    share = float(y.mean()) if len(y) else 0.5
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = [taught.where(F.col("y") == k).orderBy("order", "id", "text").limit(sample) for k in (0, 1)]
+    held = held[0].unionAll(held[1]).coalesce(1).sortWithinPartitions("y", "order", "id", "text").select("text", "y")
+
+    def fit(batches):
+        texts, y = [], []
+        for b in batches:
+            texts += utf8(b.column(0))
+            y += b.column(1).to_pylist()
+        share = sum(y) / len(y) if y else 0.5
+        net = train(texts, np.array(y), **options) if 0 < share < 1 else None
+        yield pa.RecordBatch.from_arrays([pa.array([share]), pa.array([pickle.dumps(net)])], names=["share", "net"])
+
+    # a table, so that the weights are fitted once
+    model = keep(held.mapInArrow(fit, "share double, net binary"), "network").first()
+    share = model["share"] if model else 0.5
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.loads(model["net"]) if model else None)
 
     def run(batches):
         for b in batches:
