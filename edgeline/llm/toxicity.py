@@ -23,8 +23,8 @@ classes by several standard deviations get vectors. Scoring reads every text
 whole.
 
 Cases: null text is empty; an empty text is a window of padding, which training
-shows as class 0; rows with several labels count with each, null labels count
-nowhere; without rows of both classes every score is the share of class 1 (0.5
+shows as class 0; equal rows teach once, rows with several labels with each, null
+labels not at all; without rows of both classes every score is the share of class 1 (0.5
 without any); equal texts score alike; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -355,10 +355,15 @@ def score(
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(bucket(F.col("id"), folds) == held_fold, F.lit(False)))
     taught = labels.select(col(id_col).alias("_id"), col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    short = rows.where(~F.col("held_out") & (F.octet_length("text") <= longest)).select("id", "text")
-    taught = short.join(taught, F.col("id") == F.col("_id")).withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(13)))
-    held = [taught.where(F.col("y") == k).orderBy("order", "id", "text").limit(sample) for k in (0, 1)]
-    held = held[0].unionAll(held[1]).coalesce(1).sortWithinPartitions("y", "order", "id", "text").select("text", "y")
+    key = F.xxhash64("text").alias("key")
+    short = rows.where(~F.col("held_out") & (F.octet_length("text") <= longest)).select("id", key)
+    # ids and hashes only are joined and ranked; the few chosen rows then fetch their texts
+    taught = short.join(taught, F.col("id") == F.col("_id")).select("id", "key", "y").distinct()
+    taught = taught.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(13)))
+    held = [taught.where(F.col("y") == k).orderBy("order", "id", "key").limit(sample) for k in (0, 1)]
+    held = keep(held[0].unionAll(held[1]), "sample")
+    held = rows.select("id", key, "text").join(F.broadcast(held), ["id", "key"]).dropDuplicates(["id", "key", "y"])
+    held = held.coalesce(1).sortWithinPartitions("y", "order", "id", "text").select("text", "y")
 
     def fit(batches):
         texts, y = [], []
