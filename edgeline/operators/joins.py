@@ -224,6 +224,61 @@ def health_matrix(origin_health: DataFrame) -> DataFrame:
     )
 
 
+NO_PROBE = "no probe"
+
+
+def health_grid(origin_health: DataFrame) -> DataFrame:
+    """Every origin of a pool with every site of the pool; a cell without a probe says ``no probe``.
+
+    The sites of a pool are one sorted array, as long as the pool has sites. An
+    origin's cells meet it in one join and the sites they lack are added as
+    empty cells, so no pairs are built beyond the grid itself and the null port
+    of an origin stays a value. The cells of one pool are grouped by origin, and
+    nothing is gathered by pool after the join, so AQE may split a pool with
+    very many origins. Cells without a site are not part of a grid.
+    """
+    key = ["tenant_id", "pool_id"]
+    origin = [*key, "origin_address", "origin_port"]
+    probed = origin_health.filter(F.col("site_name").isNotNull())
+    cell = F.struct("site_name", F.col("classified_status").alias("status"), "consecutive_failures")
+    origins = probed.groupBy(*origin).agg(F.collect_list(cell).alias("cells"))
+    sites = (
+        probed.select(*key, "site_name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("site_name")).alias("sites"))
+    )
+    kind = probed.schema["consecutive_failures"].dataType
+    lacking = F.transform(
+        F.array_except("sites", F.col("cells.site_name")),
+        lambda s: F.struct(
+            s.alias("site_name"), F.lit(NO_PROBE).alias("status"), F.lit(None).cast(kind).alias("consecutive_failures")
+        ),
+    )
+    return origins.join(sites, key).select(*origin, F.inline(F.concat("cells", lacking)))
+
+
+def health_grid_by_origin(origin_health: DataFrame) -> DataFrame:
+    """The grid with one row per origin: cells per status, sites without a probe, and their names in order.
+
+    For callers that show large pools grouped; it holds what ``health_grid`` does
+    and builds no cell for a missing probe.
+    """
+    key = ["tenant_id", "pool_id"]
+    origin = [*key, "origin_address", "origin_port"]
+    probed = origin_health.filter(F.col("site_name").isNotNull())
+    status = F.col("classified_status")
+    origins = probed.groupBy(*origin).agg(
+        F.count_if(status == "healthy").alias("healthy"),
+        F.count("*").alias("probes"),
+        F.collect_set("site_name").alias("seen"),
+    )
+    sites = (
+        probed.select(*key, "site_name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("site_name")).alias("sites"))
+    )
+    blind = F.array_except("sites", "seen")
+    return origins.join(sites, key).select(
+        *origin, "healthy", "probes", F.size(blind).cast("long").alias("no_probe"), blind.alias("blind_sites")
+    )
+
+
 def new_vs_prior(recent: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
     """Recent rows whose key does not occur before; recent rows keep their columns."""
     return recent.join(prior.select(*key), key, "left_anti")

@@ -8,6 +8,8 @@ change. Current-state tables are written as a new version.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,43 +69,49 @@ class SnapshotTable:
         return n
 
 
-def span(batch: DataFrame, time_col: str) -> tuple[Column, Column]:
-    """First and last time of a batch as literals (one fetched row), so that they prune a scan.
+def newest(table: DataFrame, time_col: str) -> Column:
+    """Newest time of a table as a literal (one fetched value), so that it prunes a scan.
 
     Fetched as text: a clock time would pass through the driver's own time zone.
     """
-    kind = batch.schema[time_col].dataType
-    row = batch.agg(F.min(time_col).cast("string").alias("lo"), F.max(time_col).cast("string").alias("hi")).first()
-    return F.lit(row["lo"]).cast(kind), F.lit(row["hi"]).cast(kind)
+    text = table.agg(F.max(time_col).cast("string")).first()[0]
+    return F.lit(text).cast(table.schema[time_col].dataType)
+
+
+def days_of(rows: DataFrame, *times: Column | str) -> list[date]:
+    """The days that some times of the rows fall on: at most as many values as the calendar has days."""
+    days = F.explode(F.array_distinct(F.array(*[(F.col(t) if isinstance(t, str) else t).cast("date") for t in times])))
+    return sorted(r[0] for r in rows.select(days.alias("day")).where("day is not null").distinct().collect())
 
 
-def between(table: DataFrame, time_col: str, lo: Column, hi: Column) -> DataFrame:
-    """Rows of ``[lo, hi]``; also filters the date partitions."""
+def on_days(table: DataFrame, time_col: str, days: list[date]) -> DataFrame:
+    """Rows on the given days, which are literals: a table partitioned by day reads only these partitions.
+
+    A day between two others is not read, so one row with an old or wrong clock
+    costs a batch one more day and not all days since.
+    """
     day = DATE_COLUMNS[time_col]
-    if day in table.columns:
-        table = table.filter(F.col(day).between(lo.cast("date"), hi.cast("date")))
-    return table.filter(F.col(time_col).between(lo, hi))
+    column = F.col(day) if day in table.columns else F.col(time_col).cast("date")
+    return table.filter(column.isin(days) if days else F.lit(False))
 
 
 def _in_partitions_of(table: DataFrame, rows: DataFrame, time_col: str) -> DataFrame:
     """Rows of the table in the partitions that ``rows`` fall into."""
     parts = partitions(time_col)
-    lo, hi = span(rows, time_col)
-    table = table.filter(F.col(DATE_COLUMNS[time_col]).between(lo.cast("date"), hi.cast("date")))
     touched = rows.select(*[c.alias(n) for n, c in parts.items()]).distinct()
-    return table.join(touched, list(parts), "left_semi")
+    return on_days(table, time_col, days_of(rows, time_col)).join(touched, list(parts), "left_semi")
 
 
 def append_events(batch: DataFrame, path: str, order_col: str = "landed_at") -> None:
     """Append the events the table lacks; of equal keys in the batch the one landed first.
 
-    Equal keys have equal times, so only the batch's span of the table is read.
+    Equal keys have equal times, so only the batch's days of the table are read.
     Nothing stored is rewritten, so the plan may read the table it appends to.
     """
     if batch.isEmpty():
         return
     dated = batch.withColumns(partitions("event_time"))
-    target = between(read(batch.sparkSession, path, dated), "event_time", *span(batch, "event_time"))
+    target = on_days(read(batch.sparkSession, path, dated), "event_time", days_of(batch, "event_time"))
     fresh = merge.new_rows(target, batch, merge.EVENT_KEYS, F.col(order_col))
     write_partitioned(fresh, path, "event_time")
 

@@ -259,6 +259,37 @@ def _(v):
     return inventory.health_by_origin(v.order_health)
 
 
+GRID = """o AS (SELECT DISTINCT tenant_id, pool_id, origin_address, origin_port FROM {t}),
+s AS (SELECT DISTINCT tenant_id, pool_id, site_name FROM {t}),
+grid AS (SELECT o.*, s.site_name, coalesce(h.classified_status, 'no probe') AS status, h.consecutive_failures
+  FROM o JOIN s ON s.tenant_id = o.tenant_id AND s.pool_id = o.pool_id
+  LEFT JOIN {t} h ON h.tenant_id = o.tenant_id AND h.pool_id = o.pool_id AND h.origin_address = o.origin_address
+    AND h.origin_port IS NOT DISTINCT FROM o.origin_port AND h.site_name = s.site_name)"""
+
+
+@query("health_grid", f"WITH {GRID.format(t='order_health')} SELECT * FROM grid", ["order_health"])
+def _(v):
+    return joins.health_grid(v.order_health)
+
+
+@query("health_grid_few_pools", f"WITH {GRID.format(t='origin_health')} SELECT * FROM grid", ["origin_health"])
+def _(v):
+    return joins.health_grid(v.origin_health)
+
+
+@query(
+    "health_grid_by_origin",
+    f"""WITH {GRID.format(t='order_health')} SELECT tenant_id, pool_id, origin_address, origin_port,
+  count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status <> 'no probe') AS probes,
+  count(*) FILTER (status = 'no probe') AS no_probe,
+  coalesce(string_agg(site_name, ',' ORDER BY site_name) FILTER (status = 'no probe'), '') AS blind_sites
+FROM grid GROUP BY ALL""",
+    ["order_health"],
+)
+def _(v):
+    return joins.health_grid_by_origin(v.order_health)
+
+
 # --- policies --------------------------------------------------------------------------
 
 ATTACHED = """EXISTS (SELECT 1 FROM attachments a WHERE a.tenant_id = p.tenant_id AND a.policy_type = p.policy_type

@@ -96,9 +96,8 @@ def ingest_events(path: str) -> Callable[[DataFrame, int], None]:
 def _refresh_hours(touched: DataFrame, minute_path: str, hour_path: str, rollup) -> None:
     """Recompute the hours of the touched minutes; only these hours of the minute table are read."""
     hours = rollups.hours_to_refresh(touched)
-    lo, hi = tables.span(hours, "hour")
     minutes = touched.sparkSession.read.parquet(minute_path)
-    minutes = tables.between(minutes, "bucket_time", lo, hi + F.expr("INTERVAL 1 HOUR"))
+    minutes = tables.on_days(minutes, "bucket_time", tables.days_of(hours, "hour"))
     minutes = minutes.drop(*partitions("bucket_time"))
     tables.replace_buckets(rollups.recompute_hours(minutes, hours, rollup), hour_path)
 
@@ -131,9 +130,8 @@ def event_metrics(
             return
         tables.append_events(batch, event_path)
         minutes = batch.select(bucket("event_time", "1 minute").alias("bucket_time")).distinct()
-        lo, hi = tables.span(minutes, "bucket_time")
         events = batch.sparkSession.read.parquet(event_path)
-        events = tables.between(events, "event_time", lo, hi + F.expr("INTERVAL 1 MINUTE"))
+        events = tables.on_days(events, "event_time", tables.days_of(minutes, "bucket_time"))
         events = events.withColumn("bucket_time", bucket("event_time", "1 minute"))
         events = events.join(minutes, "bucket_time", "left_semi").drop("bucket_time")
         tables.replace_buckets(rollups.minute_metrics(events), minute_path)
@@ -157,9 +155,11 @@ def stuffing_windows(
             return
         tables.append_events(batch, event_path)
         touched = batch.select(F.window("event_time", width, slide)["start"].alias("bucket_time")).distinct()
-        lo, hi = tables.span(touched, "bucket_time")
         events = batch.sparkSession.read.parquet(event_path)
-        events = tables.between(events, "event_time", lo, hi + F.expr(f"INTERVAL {width}"))
+        # a window may reach into the days after its start; an hour and a day at a time none is skipped
+        reach = F.explode(F.sequence("bucket_time", F.col("bucket_time") + F.expr(f"INTERVAL {width}"), F.expr("INTERVAL 1 HOUR")))
+        reach = touched.select(reach.alias("at"), (F.col("bucket_time") + F.expr(f"INTERVAL {width}")).alias("end"))
+        events = tables.on_days(events, "event_time", tables.days_of(reach, "at", "end"))
         counted = transforms.stuffing_counts(events, width=width, slide=slide)
         counted = counted.withColumnRenamed("window_start", "bucket_time")
         tables.replace_buckets(counted.join(touched, "bucket_time", "left_semi"), window_path)
@@ -237,8 +237,8 @@ def profile_and_alert_refresh(
         if not tables.exists(spark, paths.waf_events):
             return
         events = spark.read.parquet(paths.waf_events)
-        newest = events.filter(F.col("event_date") == events.agg(F.max("event_date")).scalar())
-        _, now = tables.span(newest, "event_time")
+        last_day = events.filter(F.col("event_date") == events.agg(F.max("event_date")).scalar())
+        now = tables.newest(last_day, "event_time")
         found = security.attacker_correlation(events, bot_events, as_of=now)
         profiles.write(
             merge.attacker_profile_merge(profiles.read(before=batch_id), found), version=batch_id

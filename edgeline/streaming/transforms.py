@@ -1,7 +1,8 @@
 """Streaming forms of the ingest and alert queries (plain DataFrame transforms).
 
-The watermark bounds the state of ``dedup_stream`` only. Tables are kept by
-``jobs``, which take rows of any delay.
+The watermark bounds the state of ``dedup_stream`` only: a row later than that
+is dropped by it. Where every row counts, ``jobs.ingest_events`` stores rows of
+any delay and drops repeated ones by the stored table instead.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeline import settings
+from edgeline.operators import merge
 from edgeline.operators.alerts import credential_stuffing_groups
 
 LB_KEYS = ["tenant_id", "lb_namespace", "lb_name"]
@@ -22,8 +24,8 @@ def overlapping_pull(stream: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def dedup_stream(stream: DataFrame) -> DataFrame:
-    """Each event once; needs the watermark of ``overlapping_pull``."""
-    return stream.dropDuplicatesWithinWatermark(["event_time", "id"])
+    """Each event of an owner once; needs the watermark of ``overlapping_pull``."""
+    return stream.dropDuplicatesWithinWatermark(merge.EVENT_KEYS)
 
 
 def stuffing_counts(

@@ -95,7 +95,8 @@ def test_a_hot_group_is_split_for_every_n(spark):
         assert GROUP_SALT in text
 
 
-def test_an_append_reads_only_the_span_of_the_batch(spark, tmp_path):
+def test_an_append_reads_only_the_days_of_the_batch(spark, tmp_path):
+    """One row of last year and many of today read two days, not the year between."""
     from datetime import datetime, timedelta
 
     from pyspark.sql import functions as F
@@ -104,13 +105,18 @@ def test_an_append_reads_only_the_span_of_the_batch(spark, tmp_path):
 
     schema = "event_time timestamp, id string, tenant_id string, lb_namespace string, lb_name string, landed_at timestamp"
     start = datetime(2024, 5, 1)
-    data = [(start + timedelta(hours=i), f"e{i}", "t", "n", "lb", start) for i in range(100)]
+    data = [(start + timedelta(days=i), f"e{i}", "t", "n", "lb", start) for i in range(100)]
     path = f"{tmp_path}/events"
     tables.append_events(spark.createDataFrame(data, schema), path)
-    batch = spark.createDataFrame(data[30:32], schema)
-    read = tables.between(spark.read.parquet(path), "event_time", *tables.span(batch, "event_time"))
+    again = [(t + timedelta(minutes=m), f"{k}-{m}" if m else k, *rest) for t, k, *rest in (data[0], data[99]) for m in range(20)]
+    batch = spark.createDataFrame(again, schema)
+    read = tables.on_days(spark.read.parquet(path), "event_time", tables.days_of(batch, "event_time"))
     assert read.count() == 2
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "event_date" in plan.split("PartitionFilters")[1][:200]
-    assert "GreaterThanOrEqual(event_time" in plan
-    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 1
+    assert "event_date" in plan.split("PartitionFilters")[1][:200]
+    files = {f.split("event_date=")[1][:10] for f in read.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert files == {"2024-05-01", "2024-08-08"}
+    assert "numPartitions" not in plan or "selectedPartitions: 2" in plan
+    tables.append_events(batch, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 100 + 38 and stored.select("id").distinct().count() == 138
