@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from edgeline.functions.timewin import bucket
 from edgeline.operators import alerts as A
 from edgeline.operators import merge, rollups, security, tables
-from edgeline.operators.transitions import last_states, with_previous
+from edgeline.operators.transitions import last_states, link_fresh
 from edgeline.session import cut_lineage
 from edgeline.sources.landing import partitions, write_partitioned
 from edgeline.streaming import transforms
@@ -167,39 +167,64 @@ def stuffing_windows(
     return handle
 
 
+HEAD_SCHEMA = "tenant_id string, lb_namespace string, lb_name string, seen_date date"
+
+
 def transition_log(path: str) -> Callable[[DataFrame, int], None]:
     """Keep every snapshot with the state before it; ``transitions.changes`` of the table is the log.
 
-    A snapshot changes its own row and the row after it. So for the load
-    balancers of a batch the rows from its first time on are computed again,
-    preceded by each one's last snapshot before; other rows of the rewritten days stay as
-    they are. A snapshot that is stored already is left out.
+    Two small tables are kept beside it: ``-last`` holds the newest snapshot of
+    each load balancer, ``-days`` the days on which each has snapshots,
+    partitioned by day. Of the log a batch reads its own days and, for load
+    balancers with late rows, the next day on which they have any: the snapshot
+    after a late one tells what came before it, so older days are never read.
+    A batch that changes no stored snapshot is appended; otherwise the days with
+    changes are rewritten. A snapshot that is stored already is left out, and the
+    small tables are merged from whole batches, so a repeated batch gives the
+    same tables.
     """
     key = ["snapshot_id", *merge.LB_KEYS]
-    day = partitions("seen_at")
+    day = F.col("seen_at").cast("date")
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        spark = batch.sparkSession
         cols = [c for c in batch.columns if c != "from_state"]
-        batch = batch.select(*cols)
-        like = batch.withColumn("from_state", F.lit(None).cast("string")).withColumns(day)
-        stored = tables.read(batch.sparkSession, path, like)
-        lo, hi = tables.span(batch, "seen_at")
-        known = tables.between(stored, "seen_at", lo, hi)
-        fresh = merge.one_per_key(batch, key, F.col("seen_at"), newest=False).join(known.select(*key), key, "left_anti")
-        owners = batch.select(*merge.LB_KEYS).distinct()
-        from_lo = stored.filter((F.col("seen_date") >= lo.cast("date")))
-        mine = from_lo.join(owners, merge.LB_KEYS, "left_semi").filter(F.col("seen_at") >= lo)
-        before = stored.filter((F.col("seen_date") <= lo.cast("date")) & (F.col("seen_at") < lo))
-        before = last_states(before.join(owners, merge.LB_KEYS, "left_semi")).select(*cols)
-        rows = with_previous(before.unionByName(mine.select(*cols)).unionByName(fresh.select(*cols)))
-        rows = rows.filter(F.col("seen_at") >= lo)
-        days = rows.select(*[c.alias(n) for n, c in day.items()]).distinct()
-        others = from_lo.join(days, list(day), "left_semi")
-        others = others.join(owners.withColumn("_mine", F.lit(True)), merge.LB_KEYS, "left")
-        others = others.filter(F.col("_mine").isNull() | (F.col("seen_at") < lo)).select(*rows.columns)
-        write_partitioned(cut_lineage(rows.unionByName(others)), path, "seen_at", mode="overwrite")
+        batch = merge.one_per_key(batch.select(*cols), key, F.col("seen_at"), newest=False)
+        like = batch.withColumn("from_state", F.lit(None).cast("string")).withColumns(partitions("seen_at"))
+        log = tables.read(spark, path, like)
+        latest = tables.SnapshotTable(spark, path + "-last", STATE_SCHEMA)
+        last = latest.read(before=batch_id)
+        heads = tables.read(spark, path + "-days", spark.createDataFrame([], HEAD_SCHEMA))
+
+        mine = batch.select(*merge.LB_KEYS, day.alias("seen_date")).distinct()
+        late = batch.join(last.select(*merge.LB_KEYS, F.col("seen_at").alias("__last")), merge.LB_KEYS)
+        late = late.filter(F.col("seen_at") <= F.col("__last")).select(*merge.LB_KEYS, day.alias("__day")).distinct()
+        # the first day with snapshots after each day of a late row
+        oldest = late.agg(F.min("__day")).first()[0]
+        after = heads.filter(F.col("seen_date") > F.lit(oldest)) if oldest else heads.limit(0)
+        after = late.join(after, merge.LB_KEYS).filter(F.col("seen_date") > F.col("__day"))
+        after = after.groupBy(*merge.LB_KEYS, "__day").agg(F.min("seen_date").alias("seen_date"))
+        reads = cut_lineage(mine.unionByName(after.select(*mine.columns)).distinct())
+        days = tables.days_of(reads, "seen_date")
+        stored = tables.on_days(log, "seen_at", days)
+        near = stored.join(reads, [*merge.LB_KEYS, "seen_date"], "left_semi").select(*cols, "from_state")
+        fresh = batch.join(near.select(*key), key, "left_anti")
+        linked = cut_lineage(link_fresh(near, fresh, last))
+        rows = linked.drop("fresh")
+        if linked.filter(~F.col("fresh")).isEmpty():
+            write_partitioned(rows, path, "seen_at")
+        else:
+            whole = tables.on_days(log, "seen_at", tables.days_of(rows, "seen_at"))
+            others = whole.join(rows.select(*key), key, "left_anti").select(*rows.columns)
+            write_partitioned(cut_lineage(rows.unionByName(others)), path, "seen_at", mode="overwrite")
+
+        known = tables.on_days(heads, "seen_at", tables.days_of(mine, "seen_date")).select(*mine.columns)
+        new_heads = mine.join(known, mine.columns, "left_anti")
+        new_heads.coalesce(1).write.mode("append").partitionBy("seen_date").parquet(path + "-days")
+        newest = last_states(last.unionByName(batch.select(*last.columns)))
+        latest.write(newest.select(*last.columns), version=batch_id)
 
     return handle
 

@@ -136,6 +136,45 @@ def test_transition_log_over_shuffled_batches(spark, folder):
     assert spark.read.parquet(folder + "/log").count() == len(data)
 
 
+def test_linked_rows_equal_one_batch_whatever_the_order(spark, folder):
+    """Many small batches in any order, equal times, long gaps and repeats; the log equals that of all rows at once."""
+    schema = jobs.STATE_SCHEMA
+    r = random.Random(21)
+    data = [("t", "n", f"lb{i % 3}", r.choice("abc"), T0 + timedelta(hours=r.choice([0, 1, 30, 31, 80, 200]), minutes=r.randint(0, 3)), i) for i in range(60)]
+    r.shuffle(data)
+    handle = jobs.transition_log(folder + "/log")
+    for i in range(7):
+        handle(spark.createDataFrame(data[i::7] + data[i::14], schema), i)
+    cols = ["lb_name", "snapshot_id", "from_state", "to_state"]
+    want = rows(state_transitions(spark.createDataFrame(data, schema)).select(*cols))
+    log = spark.read.parquet(folder + "/log")
+    assert rows(changes(log).select(*cols)) == want
+    assert log.count() == len(data)
+
+
+def test_transition_log_reads_no_older_days(spark, folder, monkeypatch):
+    schema = jobs.STATE_SCHEMA
+    handle = jobs.transition_log(folder + "/log")
+    data = [("t", "n", "lb", "ab"[i % 2], T0 + timedelta(days=i), i) for i in range(0, 30, 3)]
+    handle(spark.createDataFrame(data, schema), 0)
+    read = []
+    whole = tables.on_days
+    monkeypatch.setattr(tables, "on_days", lambda t, c, d: read.append(list(d)) or whole(t, c, d))
+    mark = [p.name for p in sorted((__import__("pathlib").Path(folder) / "log").iterdir())]
+    handle(spark.createDataFrame([("t", "n", "lb", "c", T0 + timedelta(days=40), 40)], schema), 1)
+    assert {d for days in read for d in days} == {(T0 + timedelta(days=40)).date()}
+    read.clear()
+    # a late row reads its own day and the next one with snapshots, and rewrites only these
+    files = {f: f.stat().st_mtime_ns for f in (__import__("pathlib").Path(folder) / "log").glob("*/*.parquet")}
+    handle(spark.createDataFrame([("t", "n", "lb", "d", T0 + timedelta(days=10), 100)], schema), 2)
+    assert {d for days in read for d in days} == {(T0 + timedelta(days=n)).date() for n in (10, 12)}
+    kept = {f for f in files if f.exists()}
+    assert {f.parent.name for f in set(files) - kept} == {f"seen_date={(T0 + timedelta(days=12)).date()}"}
+    assert len(mark) >= 10
+    got = {r["snapshot_id"]: r["from_state"] for r in spark.read.parquet(folder + "/log").collect()}
+    assert (got[100], got[12], got[40]) == ("b", "d", "b")
+
+
 def test_a_late_snapshot_moves_the_transition(spark, folder):
     schema = jobs.STATE_SCHEMA
 
