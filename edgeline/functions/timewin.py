@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 AsOf = datetime | date | Column
 
 # Partition columns that repeat the date of a time column.
-DATE_COLUMNS = {"event_time": "event_date", "bucket_time": "bucket_date", "seen_at": "seen_date"}
+DATE_COLUMNS = {
+    "event_time": "event_date", "bucket_time": "bucket_date", "seen_at": "seen_date", "signal_hour": "signal_date"
+}
 
 
 def latest(df: DataFrame, time_col: str) -> Column:

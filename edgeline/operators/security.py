@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeline import settings
 from edgeline.functions.ranking import commonest, top_per_group
-from edgeline.functions.timewin import AsOf, within
+from edgeline.functions.timewin import DATE_COLUMNS, AsOf, bucket, moment, span, within
 
 ATTACKER = ["tenant_id", "source_ip", "source_asn", "source_country"]
 
@@ -54,32 +54,11 @@ def attack_signals(waf: DataFrame, bot: DataFrame) -> DataFrame:
     return w.unionByName(b)
 
 
-def attacker_correlation(
-    waf: DataFrame,
-    bot: DataFrame,
-    *,
-    as_of: AsOf,
-    window: timedelta = timedelta(minutes=settings.PROFILE_WINDOW_MINUTES),
-    max_attackers: int | None = None,
-    drop_zero: bool = False,
-) -> DataFrame:
-    """Per (address, ASN, country): counters of every signal and what was attacked.
+COUNTERS = ["waf_block", "waf_monitor", "bot_block", "bot_challenge", "api_4xx"]
 
-    Each row is counted under its load balancer, its endpoint and its signature.
-    The first shuffle groups by (attacker, kind, value), which spreads one very
-    busy address over everything it touched; the second sees only the partial
-    sums. Two shuffles in all, no join, and nothing collected. An address with
-    allowed rows only keeps a zero row unless ``drop_zero`` is set. A blocked
-    403 counts as a block and as a client error. All profiles are returned, or
-    the busiest ``max_attackers`` of each tenant where that is asked for.
-    """
-    recent = [
-        within(df, "event_time", as_of, window, to_second=False).filter(
-            F.col("source_ip").isNotNull() & (F.col("source_ip") != "")
-        )
-        for df in (waf, bot)
-    ]
-    signals = attack_signals(*recent)
+
+def signals_by_value(signals: DataFrame, *more: Column) -> DataFrame:
+    """Signals counted per attacker and load balancer, endpoint and signature (``kind``, ``value``), and ``more``."""
     hostile = F.col("hostile")
 
     def part(kind: str, value: Column) -> Column:
@@ -93,34 +72,114 @@ def attacker_correlation(
         part("endpoint", attacked("endpoint")),
         part("signature", attacked("signature")),
     )
-    counters = ["waf_block", "waf_monitor", "bot_block", "bot_challenge", "api_4xx"]
     seen = F.when(hostile, F.col("event_time"))
-    by_value = (
-        signals.select(*ATTACKER, "event_time", "hostile", *counters, F.inline(parts))
+    return (
+        signals.select(*ATTACKER, "event_time", "hostile", *COUNTERS, F.inline(parts))
         .filter((F.col("kind") == "lb") | F.col("value").isNotNull())
-        .groupBy(*ATTACKER, "kind", "value")
+        .groupBy(*ATTACKER, "kind", "value", *more)
         .agg(
             F.count_if(hostile).alias("n"),
-            *[F.count_if(c).alias(c) for c in counters],
+            *[F.count_if(c).alias(c) for c in COUNTERS],
             F.min(seen).alias("first"),
             F.max(seen).alias("last"),
         )
     )
+
+
+def profiles_of(by_value: DataFrame) -> DataFrame:
+    """Profiles from one row per attacker, kind and value."""
     whole = F.col("kind") == "lb"
 
     def top(kind: str) -> Column:
         return commonest(F.when(F.col("kind") == kind, F.col("value")), F.col("n"))
 
     profiles = by_value.groupBy(*ATTACKER).agg(
-        *[F.sum(F.when(whole, F.col(c))).alias(f"{c}_count") for c in counters],
+        *[F.sum(F.when(whole, F.col(c))).alias(f"{c}_count") for c in COUNTERS],
         top("endpoint").alias("top_endpoint"),
         top("signature").alias("top_signature"),
         F.count_if(whole & (F.col("n") > 0)).alias("distinct_lbs"),
         F.min("first").alias("first_seen_at"),
         F.max("last").alias("last_seen_at"),
     )
-    total = sum((F.col(f"{c}_count") for c in counters[1:]), F.col(f"{counters[0]}_count"))
-    profiles = profiles.withColumn("total_events", total)
+    total = sum((F.col(f"{c}_count") for c in COUNTERS[1:]), F.col(f"{COUNTERS[0]}_count"))
+    return profiles.withColumn("total_events", total)
+
+
+def known_address() -> Column:
+    return F.coalesce(F.col("source_ip") != "", F.lit(False))
+
+
+def attacker_hours(waf: DataFrame, bot: DataFrame) -> DataFrame:
+    """``signals_by_value`` for every hour: counts that add up over hours to those of any span of whole hours."""
+    signals = attack_signals(waf.filter(known_address()), bot.filter(known_address()))
+    return signals_by_value(signals, bucket("event_time", "1 hour").alias("signal_hour"))
+
+
+def added_up(by_hour: DataFrame) -> DataFrame:
+    """The rows of many hours as one per attacker, kind and value."""
+    return by_hour.groupBy(*ATTACKER, "kind", "value").agg(
+        *[F.sum(c).alias(c) for c in ("n", *COUNTERS)], F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
+def attacker_correlation_from_hours(
+    hours: DataFrame,
+    waf: DataFrame,
+    bot: DataFrame,
+    *,
+    as_of: AsOf,
+    window: timedelta = timedelta(minutes=settings.PROFILE_WINDOW_MINUTES),
+) -> DataFrame:
+    """``attacker_correlation`` from stored ``attacker_hours``: whole hours from there, the two hours at the ends from the events."""
+    end = moment(waf, "event_time", as_of)
+    start = end - span(window)
+    kind = waf.schema["event_time"].dataType
+    first = F.date_trunc("hour", start + F.expr("INTERVAL '3599.999999' SECOND")).cast(kind)
+    final = F.date_trunc("hour", end).cast(kind)
+    whole = (F.col("signal_hour") >= first) & (F.col("signal_hour") < final)
+    day = DATE_COLUMNS["signal_hour"]
+    if day in hours.columns:
+        whole &= F.col(day).between(first.cast("date"), final.cast("date"))
+
+    def ends(df: DataFrame) -> DataFrame:
+        t = F.col("event_time")
+        rows = df.filter((t >= start) & (t <= end) & ((t < first) | (t >= final)) & known_address())
+        day = DATE_COLUMNS["event_time"]
+        if day in df.columns:
+            rows = rows.filter(F.col(day).isin(start.cast("date"), first.cast("date"), end.cast("date")))
+        return rows
+
+    cols = [*ATTACKER, "kind", "value", "n", *COUNTERS, "first", "last"]
+    edges = signals_by_value(attack_signals(ends(waf), ends(bot)))
+    return profiles_of(added_up(hours.filter(whole).select(*cols).unionByName(edges.select(*cols))))
+
+
+def attacker_correlation(
+    waf: DataFrame,
+    bot: DataFrame,
+    *,
+    as_of: AsOf,
+    window: timedelta = timedelta(minutes=settings.PROFILE_WINDOW_MINUTES),
+    max_attackers: int | None = None,
+    drop_zero: bool = False,
+) -> DataFrame:
+    """Per (address, ASN, country): counters of every signal and what was attacked.
+
+    Each row is counted under its load balancer, its endpoint and its signature.
+    The first shuffle groups by (attacker, kind, value), which spreads one very
+    busy address over everything it touched; the second sees only the partial
+    sums. Two shuffles in all, no join, and nothing collected. An address with
+    allowed rows only keeps a zero row unless ``drop_zero`` is set. A blocked
+    403 counts as a block and as a client error. All profiles are returned, or
+    the busiest ``max_attackers`` of each tenant where that is asked for.
+    """
+    recent = [
+        within(df, "event_time", as_of, window, to_second=False).filter(
+            F.col("source_ip").isNotNull() & (F.col("source_ip") != "")
+        )
+        for df in (waf, bot)
+    ]
+    profiles = profiles_of(signals_by_value(attack_signals(*recent)))
     if drop_zero:
         profiles = profiles.filter(F.col("total_events") > 0)
     if max_attackers is None:

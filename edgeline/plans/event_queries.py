@@ -563,6 +563,18 @@ def _(v):
     return profiles(v)
 
 
+@query(
+    "attacker_correlation_from_hours",
+    f"WITH {SIGNALS.format(h=168)} SELECT * FROM profiles",
+    SECURITY_VIEWS,
+)
+def _(v):
+    hours = security.attacker_hours(v.waf_events, v.bot_events)
+    return security.attacker_correlation_from_hours(
+        hours, v.waf_events, v.bot_events, as_of=v.as_of, window=timedelta(hours=WEEK)
+    )
+
+
 @query(
     "attacker_correlation_default_window",
     f"WITH {SIGNALS.format(h=24)} SELECT * FROM profiles WHERE total_events > 0",

@@ -174,6 +174,24 @@ def _(v):
     return tables.SnapshotTable(v.spark, profiles, jobs.PROFILE_SCHEMA).read()
 
 
+@query(
+    "incremental_profiles",
+    f"WITH {SIGNALS.format(h=24)} SELECT * FROM profiles",
+    SECURITY_VIEWS,
+)
+def _(v):
+    """Hourly counts kept by two streams, then the profiles of the last day merged from them."""
+    base = scratch_path(v.spark, "attackers")
+    paths = jobs.AttackerPaths(*[f"{base}-{name}" for name in ("waf", "bot", "hours", "profiles")], buckets=8)
+    waf, bot = event_stream(v), timed(StreamViews(v).bot_events).withColumn("landed_at", landed())
+    likes = [v.spark.createDataFrame([], s.schema) for s in (waf, bot)]
+    for kind, source in (("waf", waf), ("bot", bot)):
+        jobs.run_available(source, jobs.attacker_hours(paths, kind, *likes), f"{base}-{kind}-progress")
+    now = tables.newest(v.spark.read.parquet(paths.waf_events), "event_time")
+    jobs.refresh_profiles(v.spark, paths, now, *likes)
+    return v.spark.read.parquet(paths.profiles).drop("bucket")
+
+
 @query(
     "alert_refresh",
     f"""WITH {SHIFTED} SELECT tenant_id, rule_id, CAST(count(*) AS BIGINT) AS alerts FROM (

@@ -13,11 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgeline.functions.timewin import bucket
+from edgeline.functions.timewin import AsOf, bucket
 from edgeline.operators import alerts as A
 from edgeline.operators import merge, rollups, security, tables
 from edgeline.operators.transitions import last_states, link_fresh
@@ -276,3 +276,98 @@ def profile_and_alert_refresh(
             report(cycle.counts, cycle.failed)
 
     return handle
+
+
+@dataclass
+class AttackerPaths:
+    """Tables kept for attacker profiles; ``hours`` and ``profiles`` are cut into ``buckets`` by attacker."""
+
+    waf_events: str
+    bot_events: str
+    hours: str
+    profiles: str
+    buckets: int = 64
+
+
+def _attacker() -> Column:
+    """A hash of the attacker in which a null and a text never meet."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in security.ATTACKER])
+
+
+def _bucket_of(buckets: int) -> Column:
+    return F.pmod(_attacker(), F.lit(buckets)).cast("int")
+
+
+def attacker_hours(paths: AttackerPaths, kind: str, waf_like: DataFrame, bot_like: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Store the events of a batch (``kind``: ``waf`` or ``bot``), then count again the hours of the attackers it holds.
+
+    Only the events of the batch's days are read, of them only the attackers and
+    hours it touches are counted, and only the partitions (day, bucket) of these are
+    rewritten. Counts come from the stored events, so a repeated batch changes
+    nothing and late rows find their hour. ``waf_like`` and ``bot_like`` give the
+    columns of an event table that is not written yet.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        tables.append_events(batch, paths.waf_events if kind == "waf" else paths.bot_events)
+        hour = bucket("event_time", "1 hour").alias("signal_hour")
+        touched = batch.filter(security.known_address()).select(hour, _attacker().alias("attacker")).distinct()
+        days = tables.days_of(touched, "signal_hour")
+        key = ["signal_hour", "attacker"]
+
+        def again(path: str, like: DataFrame) -> DataFrame:
+            rows = tables.on_days(tables.read(spark, path, like.withColumns(partitions("event_time"))), "event_time", days)
+            rows = rows.select("*", hour, _attacker().alias("attacker"))
+            return rows.join(touched, key, "left_semi").select(*like.columns)
+
+        fresh = security.attacker_hours(again(paths.waf_events, waf_like), again(paths.bot_events, bot_like))
+        fresh = cut_lineage(
+            fresh.withColumns({"signal_date": F.col("signal_hour").cast("date"), "bucket": _bucket_of(paths.buckets)})
+        )
+        if fresh.isEmpty():
+            return
+        stored = tables.on_days(tables.read(spark, paths.hours, fresh), "signal_hour", days)
+        parts = ["signal_date", "bucket"]
+        stored = stored.join(fresh.select(*parts).distinct(), parts, "left_semi").withColumn("attacker", _attacker())
+        kept = stored.join(touched, key, "left_anti").select(*fresh.columns)
+        _write_buckets(kept.unionByName(fresh), paths.hours, parts)
+
+    return handle
+
+
+def _write_buckets(rows: DataFrame, path: str, parts: list[str]) -> None:
+    """Replace the partitions that ``rows`` fall into, and no others."""
+    (
+        cut_lineage(rows)
+        .hint("rebalance", *[F.col(p) for p in parts])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*parts)
+        .parquet(path)
+    )
+
+
+def refresh_profiles(spark: SparkSession, paths: AttackerPaths, as_of: AsOf, waf_like: DataFrame, bot_like: DataFrame, **window) -> None:
+    """Merge the window's profiles into the table; only buckets in which a profile changed are rewritten.
+
+    The merge replaces counters and widens the times seen, so repeating it changes nothing.
+    """
+    events = [
+        tables.read(spark, path, like.withColumns(partitions("event_time")))
+        for path, like in ((paths.waf_events, waf_like), (paths.bot_events, bot_like))
+    ]
+    found = security.attacker_correlation_from_hours(spark.read.parquet(paths.hours), *events, as_of=as_of, **window)
+    like = found.withColumn("bucket", _bucket_of(paths.buckets))
+    stored = tables.read(spark, paths.profiles, like)
+    merged = cut_lineage(
+        merge.attacker_profile_merge(stored.drop("bucket"), found.select(*[c for c in stored.columns if c != "bucket"]))
+        .withColumn("bucket", _bucket_of(paths.buckets))
+        .select(*stored.columns)
+    )
+    changed = merged.exceptAll(stored).select("bucket").distinct()
+    rows = merged.join(cut_lineage(changed), "bucket", "left_semi")
+    if not rows.isEmpty():
+        _write_buckets(rows, paths.profiles, ["bucket"])

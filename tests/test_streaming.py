@@ -237,3 +237,59 @@ def test_refresh_replay_does_not_count_twice(spark, folder):
     assert profile["waf_block_count"] == 4
     assert tables.SnapshotTable(spark, paths.alerts, jobs.ALERT_SCHEMA).read().first()["last_seen_at"] >= before
     assert merge.PROFILE_KEYS[0] == "tenant_id"
+
+
+ATTACK = EVENT + ", source_ip string, source_asn bigint, source_country string, url string, primary_signature string, response_code int"
+BOT_ATTACK = EVENT + ", source_ip string, source_asn bigint, source_country string, endpoint_path string"
+
+
+def attacks(seed, n=160):
+    r = random.Random(seed)
+    who = [(f"10.0.0.{i % 9}", r.choice([None, 1]), r.choice([None, "US"])) for i in range(12)] + [(None, 1, "US"), ("", None, None)]
+    waf = [
+        event(r.randint(0, 3 * 1440), f"w{i}", r.choice(["BLOCK", "ALLOW", "MONITOR"]), f"lb{i % 3}")
+        + r.choice(who) + (r.choice(["/a", "/b", "", None]), r.choice(["S", None]), r.choice([200, 403, None]))
+        for i in range(n)
+    ]
+    bot = [
+        event(r.randint(0, 3 * 1440), f"b{i}", r.choice(["CHALLENGE", "BLOCK", "ALLOW"]), f"lb{i % 2}") + r.choice(who) + (r.choice(["/a", "/c", None]),)
+        for i in range(n)
+    ]
+    return waf, bot
+
+
+def test_profiles_from_hours_equal_those_from_events(spark, folder):
+    from pathlib import Path
+
+    from edgeline.operators import security
+
+    waf, bot = attacks(5)
+    paths = jobs.AttackerPaths(*[f"{folder}/{n}" for n in ("waf", "bot", "hours", "profiles")], buckets=4)
+    likes = [spark.createDataFrame([], ATTACK), spark.createDataFrame([], BOT_ATTACK)]
+    handle = {k: jobs.attacker_hours(paths, k, *likes) for k in ("waf", "bot")}
+    for i in range(3):
+        handle["waf"](spark.createDataFrame(waf[i::3], ATTACK), i)
+        handle["bot"](spark.createDataFrame(bot[i::3], BOT_ATTACK), i)
+    handle["waf"](spark.createDataFrame(waf[1::3], ATTACK), 1)
+    whole = [spark.createDataFrame(waf, ATTACK), spark.createDataFrame(bot, BOT_ATTACK)]
+    hours = spark.read.parquet(paths.hours)
+    cols = security.attacker_correlation(*whole, as_of=T0).columns
+    for at, window in ((T0 + timedelta(days=9), timedelta(days=30)), (T0 + timedelta(hours=40, minutes=13), timedelta(hours=24)),
+                       (T0 + timedelta(hours=30), timedelta(hours=6)), (T0 + timedelta(hours=30, minutes=50), timedelta(minutes=20))):
+        got = security.attacker_correlation_from_hours(hours, *whole, as_of=at, window=window).select(*cols)
+        assert rows(got) == rows(security.attacker_correlation(*whole, as_of=at, window=window))
+    end = T0 + timedelta(days=4)
+    window = {"window": timedelta(days=30)}
+    jobs.refresh_profiles(spark, paths, end, *likes, **window)
+    want = rows(security.attacker_correlation(*whole, as_of=end, **window))
+    assert rows(spark.read.parquet(paths.profiles).select(*cols)) == want
+    # one late event of one attacker: one partition of each table is written again
+    files = {p: set((Path(p)).glob("**/*.parquet")) for p in (paths.hours, paths.profiles)}
+    late = event(7, "late", "BLOCK", "lb9") + ("10.0.0.1", 1, "US", "/late", None, 403)
+    handle["waf"](spark.createDataFrame([late], ATTACK), 9)
+    jobs.refresh_profiles(spark, paths, end, *likes, **window)
+    for p, depth in ((paths.hours, 2), (paths.profiles, 1)):
+        now = set(Path(p).glob("**/*.parquet"))
+        assert len({f.parent for f in (now ^ files[p])}) == 1, p
+    whole[0] = spark.createDataFrame([*waf, late], ATTACK)
+    assert rows(spark.read.parquet(paths.profiles).select(*cols)) == rows(security.attacker_correlation(*whole, as_of=end, **window))
