@@ -149,10 +149,15 @@ class Words:
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LOWER[raw] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self._sums, self._down = sums, down
+        self.hash = mix(self.span_hash(self.start, self.end))
         self.counts = np.bincount(self.doc, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
+    def span_hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes, not mixed, of the bytes from ``lo`` to ``hi`` with A-Z lowered."""
+        return (self._sums[hi] - self._sums[lo]) * self._down[lo]
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k neighbouring words of one text, and the index of each one's first word."""
         n = len(self.hash) - k + 1

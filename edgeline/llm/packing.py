@@ -5,14 +5,15 @@ are cut, into full pieces and a rest. Pieces of one length are alike, so the
 instance is a histogram: at most ``capacity`` lengths with counts, whatever the
 number of documents. It is solved as a whole:
 
-1. Martello-Toth dominance reduction. For the longest length left: alone, if
-   nothing fits beside it; with the longest partner that fits, if that fills the
-   sequence, if no three pieces fit, or if the partner is at least as long as
-   any two pieces that fit instead; with the best such pair, if the pair fills
-   the sequence or its longer piece is as long as the partner and no length
-   lies between the pair's. Such a set dominates every other sequence holding
-   the piece, so it is fixed, as many times as the counts allow, and the
-   instance shrinks. The reduction ends at a piece with no such set.
+1. Martello-Toth dominance reduction. From the longest length to the shortest, a
+   piece goes: alone, if nothing fits beside it; with the longest partner that
+   fits, if that fills the sequence, or no two pieces fit, or no three fit and
+   the partner is at least as long as any two that fit instead; with the best
+   two, if no three fit, the longer one is as long as the partner, and the two
+   fill the sequence or no length lies between theirs. Such a set dominates
+   every other sequence holding the piece, so it is fixed, as many times as the
+   counts allow, and the instance shrinks. A piece with no such set is passed
+   over, and passes repeat until one fixes nothing.
 2. Best fit, longest first, for the remainder.
 
 The solution is a list of sequence patterns with multiplicities. Pieces are
@@ -37,77 +38,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import col, keep, rank_in_groups, slices
+from edgeline.llm.common import Words, col, keep, mix, rank_in_groups, slices
 
 Pattern = list[tuple[int, int]]  # (length, pieces of it), longest first
 
-#: A chunk is text between blanks and line breaks; so many chunks, and words of them, stay encoded in a worker.
-CHUNKS, WORDS = 200_000, 600_000
+#: So many encoded words, and so many before these, stay in a worker.
+WORDS = 400_000
 _ENCODERS: dict[str, tuple] = {}
+_APART = np.zeros(256, bool)
+_APART[[10, 32]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(punctuation.encode())] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+class Recent:
+    """A dictionary of what was met lately: a full one steps back and still answers until the next is full."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def find(self, keys: list) -> tuple[list, list[int]]:
+        """(values or None, places of the missing)."""
+        new, old = self.new, self.old
+        values = [new.get(k) for k in keys]
+        missing = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            v = old.get(keys[i])
+            if v is None:
+                missing.append(i)
+            else:
+                values[i] = new[keys[i]] = v
+        return values, missing
+
+    def add(self, keys: list, values: list) -> None:
+        if len(self.new) + len(keys) > self.most:
+            self.new, self.old = {}, self.new
+        self.new.update(zip(keys, values, strict=True))
+
+
+class Plain:
+    """Encodes words of plain letters by the tokenizer's model alone, where that gives the same as all its steps."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+        self.spelling = str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in letters})
+        trial = ["a", "the", "straße", "être", "ÉLÈVE", "qwxzjkv", "niño", "internationalization", "ÿ", *letters]
+        self.same = self.alone(trial) == _encode_each(tokenizer, trial)
 
-def _encode_parts(tokenizer, parts: list[str]) -> dict[str, bytes]:
-    """Token ids of words and other parts; plain words go through the tokenizer as one text, told apart by its word numbers."""
-    plain = [p for p in parts if p.isalpha() and max(p) < "\u0130"]
-    other = [p for p in parts if not (p.isalpha() and max(p) < "\u0130")]
-    out = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
-    for i in range(0, len(plain), 4096):
-        words = plain[i : i + 4096]
-        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
-        edges = [0, *(4 * (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1)).tolist(), 4 * len(found.ids)]
-        if len(edges) == len(words) + 1:
-            data = np.array(found.ids, np.uint32).tobytes()
-            out.update((w, data[a:b]) for w, a, b in zip(words, edges, edges[1:], strict=False))
-        else:
-            out.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
-    return out
+    def alone(self, words: list[str]) -> list[bytes]:
+        split, spelling = self.model.tokenize, self.spelling
+        return [np.array([t.id for t in split(w.lower().translate(spelling))], np.uint32).tobytes() for w in words]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return self.alone(words) if self.same else _encode_each(self.tokenizer, words)
+
+
+def _encode_each(tokenizer, parts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Token ids of texts as 32-bit numbers.
 
-    The tokenizers this serves drop white space and end every token there, and
-    keep letters and punctuation apart, so a text is encoded chunk by chunk, and
-    a word with ASCII punctuation behind it is the word (lowered, if ASCII) and
-    the punctuation. Chunks and words already met are looked up.
+    The tokenizers this serves drop white space and end every token there, keep
+    letters and punctuation apart and lower all letters. So a text is cut at
+    blanks and line breaks, and a chunk of plain letters (ASCII, or U+00C0 to
+    U+00FF, which stay one letter when lowered and normalised) with ASCII
+    punctuation behind it is the word and the punctuation. These are found by
+    array arithmetic and told apart by a 64-bit hash and the length; each is
+    encoded once while it stays known. Every other chunk is encoded as it is.
     """
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, known, words = _ENCODERS[path]
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = set()
-    for c in chunks:
-        fresh.update(c)
-    fresh = fresh.difference(known)
-    here = {}
-    if fresh:
-        halves = []
-        for c in fresh:
-            word = c.rstrip(punctuation)
-            if word.isalpha():
-                halves.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
-            else:
-                halves.append((c, c, ""))
-        need = {word for _, word, _ in halves}
-        need.update({tail for _, _, tail in halves})
-        got = {w: words[w] for w in need if w in words}
-        got.update(_encode_parts(tokenizer, [w for w in need if w not in got]))
-        here = {c: got[word] + got[tail] for c, word, tail in halves}
-        if len(words) + len(got) > WORDS:
-            words.clear()
-        words.update((w, v) for w, v in got.items() if len(w) <= 64)
-        if len(known) + len(here) > CHUNKS:
-            here.update((c, known[c]) for c in set().union(*chunks).difference(here))
-            known.clear()
-        known.update(here)
-    out = [b"".join(map(known.__getitem__, c)) for c in chunks]
-    for c in here:
-        if len(c) > 64:
-            del known[c]
-    return out
+        made = Tokenizer.from_file(path)
+        _ENCODERS[path] = (made, Plain(made), Recent(WORDS), Recent(WORDS // 4))
+    tokenizer, plain_words, words, chunks = _ENCODERS[path]
+    w = Words([t.encode() for t in texts], _APART)
+    raw, n = w.raw, len(w.start)
+    if not n:
+        return [b""] * len(texts)
+    joined = raw.tobytes()
+    # the word of a chunk ends with its last byte that is no punctuation
+    solid = np.maximum.accumulate(np.where(_MARK[raw], -1, np.arange(len(raw))))[w.end - 1]
+    middle = np.maximum(solid + 1, w.start)
+    pair = np.zeros(len(raw), bool)  # both bytes of a letter of U+00C0 to U+00FF
+    pair[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    pair[:-1] |= pair[1:]
+    strange = np.concatenate([[0], np.cumsum(~(_LETTER[raw] | pair))])
+    plain = (strange[middle] == strange[w.start]) & (w.end - w.start <= 64)
+    # words, then punctuation, of the plain chunks
+    first = np.stack([w.start, middle], 1)[plain].ravel()
+    last = np.stack([middle, w.end], 1)[plain].ravel()
+    there = np.flatnonzero(last > first)
+    keys = mix(w.span_hash(first[there], last[there]) + (last - first)[there].astype(np.uint64))
+    keys, example, which = np.unique(keys, return_index=True, return_inverse=True)
+    names = keys.tolist()
+    values, missing = words.find(names)
+    if missing:
+        at = there[example[missing]]
+        parts = [joined[a:b].lower().decode() for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+        letters = [i for i, p in enumerate(parts) if p[0] not in punctuation]
+        marks = [i for i, p in enumerate(parts) if p[0] in punctuation]
+        found = [b""] * len(parts)
+        for where, ids in ((letters, plain_words.encode([parts[i] for i in letters])), (marks, _encode_each(tokenizer, [parts[i] for i in marks]))):
+            for i, x in zip(where, ids, strict=True):
+                found[i] = x
+        words.add([names[i] for i in missing], found)
+        for i, x in zip(missing, found, strict=True):
+            values[i] = x
+    # other chunks, as they are
+    odd = np.flatnonzero(~plain)
+    odd_bytes = [joined[a:b] for a, b in zip(w.start[odd].tolist(), w.end[odd].tolist(), strict=True)]
+    odd_names = list(dict.fromkeys(odd_bytes))
+    odd_values, missing = chunks.find(odd_names)
+    if missing:
+        found = _encode_each(tokenizer, [odd_names[i].decode() for i in missing])
+        short = [j for j, i in enumerate(missing) if len(odd_names[i]) <= 64]
+        chunks.add([odd_names[missing[j]] for j in short], [found[j] for j in short])
+        for i, x in zip(missing, found, strict=True):
+            odd_values[i] = x
+    place = dict(zip(odd_names, range(len(values), len(values) + len(odd_names)), strict=True))
+    values += odd_values
+    # two parts a chunk, in order; part 0 of nothing has no ids
+    part = np.full((n, 2), len(values), np.int64)
+    mine = np.full(len(first), len(values), np.int64)
+    mine[there] = which
+    part[plain] = mine.reshape(-1, 2)
+    part[odd, 0] = np.fromiter((place[x] for x in odd_bytes), np.int64, len(odd_bytes))
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    size = np.append(size, 0)
+    begin = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(values), np.uint32)
+    part = part.ravel()
+    size = size[part]
+    stop = np.cumsum(size)
+    out = ids[np.arange(stop[-1]) + np.repeat(begin[part] - stop + size, size)].tobytes()
+    edges = np.append(0, stop)[2 * w.first] * 4
+    return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def pieces(
@@ -197,24 +272,36 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[P
                 i += 1
         return best
 
-    while sizes:
-        top = sizes[-1]
-        room = capacity - top
+    def dominating(top: int, room: int) -> list[int] | None:
         partner = fits(room, {top: 1})
         if partner is None:
-            fix([top])
-            continue
+            return [top]
+        few = _smallest(sizes, counts, top)
+        if partner == room or few[0] + few[1] > room:
+            return [top, partner]
+        if sum(few) <= room:
+            return None
         pair = best_pair(room, top)
-        if top + partner == capacity or pair is None or partner >= sum(pair):
-            fix([top, partner])
-            continue
+        if pair is None or partner >= sum(pair):
+            return [top, partner]
         a, b = pair
         between = bisect_left(sizes, a) - bisect_left(sizes, b) <= 1
-        three = sum(sorted(_smallest(sizes, counts, top))[:3]) > room
-        if three and partner == a and (between or a + b == room):
-            fix([top, a, b])
-            continue
-        break
+        return [top, a, b] if partner == a and (between or a + b == room) else None
+
+    again = True
+    while again and sizes:
+        again = False
+        at = len(sizes) - 1
+        while at >= 0:
+            top = sizes[at]
+            members = dominating(top, capacity - top)
+            if members:
+                fix(members)
+                again = True
+                # the same length again while it has pieces, else the next shorter one
+                at = bisect_left(sizes, top + 1) - 1
+            else:
+                at -= 1
     return fixed, counts
 
 
@@ -300,15 +387,18 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 2048, solver: Callab
         raise AssertionError("the patterns do not hold every piece once")
     # a length has a place for each pattern that holds it: bounded by the lengths, not by the rows
     table = spark.createDataFrame(places, "size int, lo long, hi long, each long, first long, at long")
-    starts = table.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "each", "first", "at"))).alias("places"))
-    ranked = rank_in_groups(rows, ["length"], order, "_rank")
-    out = ranked.join(F.broadcast(starts), F.col("length") == F.col("size"))
+    # numbers are cut into cells, about 2^16 in all, so that few places share one
+    wide = max(1, sum(counts.values()) >> 16)
+    cells = table.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))))
+    starts = cells.groupBy("size", "cell").agg(F.collect_list(F.struct("lo", "hi", "each", "first", "at")).alias("places"))
+    ranked = rank_in_groups(rows, ["length"], order, "_rank").withColumn("_cell", F.floor(F.col("_rank") / wide))
+    out = ranked.join(F.broadcast(starts), (F.col("length") == F.col("size")) & (F.col("_cell") == F.col("cell")))
     out = out.withColumn("_p", F.expr("filter(places, p -> p.lo <= _rank and _rank < p.hi)[0]"))
     nth = F.col("_rank") - F.col("_p.lo")
     return (
         out.withColumn("sequence_id", (F.col("_p.first") + F.floor(nth / F.col("_p.each"))).cast("long"))
         .withColumn("offset", (F.col("_p.at") + F.pmod(nth, F.col("_p.each")) * F.col("length")).cast("long"))
-        .drop("_rank", "_p", "places", "size")
+        .drop("_rank", "_p", "places", "size", "cell", "_cell")
     )
 
 

@@ -77,6 +77,39 @@ def test_chunks_encode_like_whole_texts():
         assert np.frombuffer(packing.encode([text], word_tokenizer())[0], np.uint32).tolist() == ids_of(text)[:-1], text
 
 
+def test_letters_that_change_when_lowered_or_normalised():
+    """A dotted capital I, letters that fall apart when normalised, a Kelvin sign, marks after letters."""
+    for word in ["İ", "Iİ", "şİ", "\u0958", "\u09dc", "\u212a", "e\u0301", "\u01c4", "ſ", "\ufb1d", "×", "a×", "÷b", "ßÄ", "ÀÿÞ", "日本", "ж"]:
+        for tail in ["", "!?", "...", "'", "'s", "<|endoftext|>", "\u0301!"]:
+            for text in (word + tail, "x " + word + tail + " y", word * 3 + tail + word + tail):
+                got = np.frombuffer(packing.encode([text], word_tokenizer())[0], np.uint32).tolist()
+                assert got == ids_of(text)[:-1], text
+
+
+def test_plain_words_by_the_model_alone(spark):
+    plain = packing.Plain(tokenizer())
+    assert plain.same
+    words = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        words.update(w for w in (r["text"] or "").split() if w.isalpha() and max(w) <= "ÿ")
+    words = sorted(words)
+    assert len(words) > 5000
+    assert plain.alone(words) == packing._encode_each(tokenizer(), words)
+
+
+def test_random_text_while_words_are_forgotten(monkeypatch):
+    path = word_tokenizer()
+    monkeypatch.setitem(packing._ENCODERS, path, (tokenizer(), packing.Plain(tokenizer()), packing.Recent(50), packing.Recent(20)))
+    rng = random.Random(8)
+    alphabet = "abAB.!'" + "çÉİßñ" + "\u0301日9_"
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        got = [np.frombuffer(x, np.uint32).tolist() for x in packing.encode(texts, path)]
+        assert got == [ids_of(t)[:-1] for t in texts]
+    long = "ab" * 5000 + "." * 300
+    assert np.frombuffer(packing.encode([long], path)[0], np.uint32).tolist() == ids_of(long)[:-1]
+
+
 def held(solution):
     got = {}
     for pattern, times in solution:
@@ -121,6 +154,14 @@ def test_reduction_keeps_an_optimum():
     assert fixed_some > 250
 
 
+def test_reduction_goes_on_after_a_piece_it_can_not_fix():
+    # 60 has no dominating set (three 12s fit beside it, 35 is no exact partner); the exact pair 57 + 43 is fixed all the same
+    counts = {60: 1, 57: 2, 43: 2, 35: 1, 12: 5}
+    fixed, rest = packing.reduce_instance(dict(counts), 100)
+    assert ([(57, 1), (43, 1)], 2) in fixed
+    assert optimum([s for s, c in rest.items() for _ in range(c)], 100) + sum(t for _, t in fixed) == optimum([s for s, c in counts.items() for _ in range(c)], 100)
+
+
 def test_solution_holds_every_piece_once():
     rng = random.Random(2)
     for _ in range(200):
