@@ -11,12 +11,13 @@ on their first ``length`` bytes, and runs of equal ones are the copies of a stri
 
 The work is distributed by minimisers. Of the ``gram``-byte strings inside a
 window of ``length`` bytes the one with the smallest hash is the window's
-pivot; equal windows have equal pivots, so windows are dealt out by pivot and
+pivot, by the 40 high bits of the hash and the leftmost of equals; equal windows have equal pivots, so windows are dealt out by pivot and
 equal ones meet. Pivots that occur in one document only are dropped before any
 text moves, as their windows have no copy in another. Neighbouring windows with
 one pivot travel as one string of at most 2 * length - gram bytes. A task sorts
 the suffixes of such strings, pivots complete, a few megabytes at a time; equal
-strings are sorted once. A recursion deeper than ``length`` bytes is not needed.
+strings are sorted once, and strings of whose windows no other document has one
+with the same hash are not sorted. A recursion deeper than ``length`` bytes is not needed.
 
 Rows whose whole text a smaller id has too go whole and are left out of the
 search (compared by SHA-256).
@@ -40,6 +41,10 @@ from pyspark.sql import functions as F
 from edgeline.llm.common import _powers, col, keep, mix, slices
 
 
+#: The low bits of a pivot's key that hold its place: fixed, so that the order of two strings depends on nothing else.
+PLACES = np.uint64((1 << 24) - 1)
+
+
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``s`` (numbers from 1) in order of at least their first ``depth`` numbers."""
     n = len(s)
@@ -94,38 +99,53 @@ def grams(raw: np.ndarray, gram: int) -> np.ndarray:
 class Pivots:
     """Runs of neighbouring windows with one pivot: text number, first window, windows, the pivot's hash."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
+    def __init__(self, texts: list[bytes], length: int, gram: int, at_once: int = 1 << 23):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
         empty = np.empty(0, np.int64)
         self.doc, self.start, self.windows, self.hash = empty, empty, empty, empty.view(np.uint64)
+        parts = [self._runs(raw[lo : lo + at_once + length - 1], lo, offsets, length, gram) for lo in range(0, len(raw) - length + 1, at_once)]
+        if parts:
+            self.doc, self.start, self.windows, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    @staticmethod
+    def _runs(raw: np.ndarray, base: int, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """Of the windows of a stretch of less than 2^24 bytes that begins at ``base``."""
         n = len(raw) - length + 1
-        if n <= 0:
-            return
         h = grams(raw, gram)
-        low = np.uint64((1 << len(raw).bit_length()) - 1)
-        best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        # the smallest by the 40 high bits, the leftmost of equals: the same in equal windows wherever they stand
+        best = (h & ~PLACES) | np.arange(len(h), dtype=np.uint64)
         span, width = 1, length - gram + 1
         while span < width:
             step = min(span, width - span)
             best = np.minimum(best[:-step], best[step:])
             span += step
-        pivot = (best & low).astype(np.int64)[:n]
+        pivot = (best & PLACES).astype(np.int64)[:n]
         # windows that lie in one text
-        end = np.repeat(offsets[1:], sizes)[:n]
-        inside = np.arange(n) + length <= end
+        place = np.arange(base, base + n)
+        owner = np.searchsorted(offsets, place, "right") - 1
+        inside = place + length <= offsets[owner + 1]
         fresh = inside.copy()
-        fresh[1:] &= (pivot[1:] != pivot[:-1]) | ~inside[:-1]
-        # a window at a text's first byte begins a run
-        first = offsets[:-1][(sizes >= length)]
-        fresh[first] = True
+        fresh[1:] &= (pivot[1:] != pivot[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
         start = np.flatnonzero(fresh)
         stop = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True)) + 1
-        self.doc = np.searchsorted(offsets, start, "right") - 1
-        self.start = start - offsets[self.doc]
-        self.windows = stop - start
-        self.hash = h[pivot[start]]
+        doc = owner[start]
+        return doc, start + base - offsets[doc], stop - start, h[pivot[start]]
+
+
+def shared(joined: np.ndarray, begin: np.ndarray, lens: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
+    """Which strings hold a window whose hash another owner's string has too; strings lie at ``begin`` of ``joined``."""
+    string = np.repeat(np.arange(len(lens)), lens - length + 1)
+    at = np.arange(len(string)) - np.repeat(np.cumsum(lens - length + 1) - (lens - length + 1), lens - length + 1) + begin[string]
+    h = grams(joined, length)[at]
+    order = np.argsort(h)
+    h, string = h[order], string[order]
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    met = np.minimum.reduceat(least[string], edge) < np.maximum.reduceat(most[string], edge)
+    keep_ = np.zeros(len(lens), bool)
+    keep_[string[np.repeat(met, np.diff(np.append(edge, len(h))))]] = True
+    return keep_
 
 
 def copies(text: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +157,18 @@ def copies(text: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarra
     which = np.fromiter((unique.setdefault(t, len(unique)) for t in text), np.int64, len(text))
     least = np.full(len(unique), np.iinfo(np.int64).max)
     np.minimum.at(least, which, owner)
-    joined = b"\0".join(unique) + b"\0" * 8
+    most = np.full(len(unique), np.iinfo(np.int64).min)
+    np.maximum.at(most, which, owner)
     lens = np.fromiter(map(len, unique), np.int64, len(unique))
+    begin = np.cumsum(lens) - lens
+    # most strings share a pivot with others and no window: only those that may share one are sorted
+    stay = shared(np.frombuffer(b"".join(unique), np.uint8), begin, lens, least, most, length)
+    if not stay.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.cumsum(stay) - 1
+    there = np.flatnonzero(stay[which])
+    which, owner, least, lens, sizes = place[which[there]], owner[there], least[stay], lens[stay], sizes[there]
+    joined = b"\0".join([t for t, k in zip(unique, stay.tolist(), strict=True) if k]) + b"\0" * 8
     begin = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
     raw = np.frombuffer(joined, np.uint8)
     order = suffix_order(raw[: begin[-1] + lens[-1]].astype(np.int64) + 1, length)
@@ -159,10 +189,10 @@ def copies(text: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarra
         group = np.cumsum(head) - 1
         smallest[order] = np.minimum.reduceat(least[string[order]], np.flatnonzero(head))[group]
     windows = np.maximum(sizes - length + 1, 0)
-    item = np.repeat(np.arange(len(text)), windows)
+    item = np.repeat(np.arange(len(there)), windows)
     at = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
     hit = smallest[begin[which[item]] + at] < owner[item]
-    return item[hit], at[hit]
+    return there[item[hit]], at[hit]
 
 
 def equal_texts(docs: DataFrame) -> DataFrame:

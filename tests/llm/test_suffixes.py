@@ -76,3 +76,31 @@ def test_suffix_order_to_a_depth():
         assert sorted(order.tolist()) == list(range(400))
         heads = [s[i : i + depth].tolist() for i in order]
         assert heads == sorted(heads)
+
+
+@pytest.mark.parametrize("bits", [64, 30, 26])
+def test_equal_windows_have_equal_pivots_whatever_lies_around(monkeypatch, bits):
+    """Coarse hashes, so that strings agree in the high bits; slices from one window to a megabyte."""
+    hashes = suffixes.grams
+    monkeypatch.setattr(suffixes, "grams", lambda raw, k: hashes(raw, k) & ~np.uint64((1 << (64 - bits)) - 1))
+    rng = random.Random(2)
+    passage = bytes(rng.choice(b"ab") for _ in range(300))
+    pivot = {}
+    for around in (0, 1, 1000, 1 << 20):
+        text = bytes(rng.choice(b"cd") for _ in range(around)) + passage + b"x" * around
+        for at_once in (64, 1 << 23) if around <= 1000 else (1 << 23,):
+            p = suffixes.Pivots([b"short", text, b"", passage], 50, 24, at_once)
+            for d, s, w, h in zip(p.doc.tolist(), p.start.tolist(), p.windows.tolist(), p.hash.tolist(), strict=True):
+                for i in range(s, s + w):
+                    window = text[i : i + 50] if d == 1 else passage[i : i + 50]
+                    if window in passage:
+                        assert pivot.setdefault(window, h) == h
+    assert len(pivot) >= 200
+
+
+def test_strings_without_a_shared_window_are_left_out():
+    owner = np.array([1, 1, 2, 3])
+    text = [b"a" * 30 + b"b" * 30, b"a" * 30 + b"b" * 30, b"z" * 12 + b"a" * 10 + b"b" * 30, b"q" * 60]
+    item, at = suffixes.copies(text, owner, 40)
+    assert set(zip(item.tolist(), at.tolist(), strict=True)) == {(2, 12)}
+    assert [len(x) for x in suffixes.copies([b"q" * 60, b"r" * 60], np.array([1, 2]), 40)] == [0, 0]
