@@ -32,7 +32,16 @@ def keep(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     finally:
         if drop_shuffles:
             spark.conf.set(FILE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``keep`` that no frame still to be computed reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

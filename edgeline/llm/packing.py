@@ -387,8 +387,8 @@ def pack(rows: DataFrame, order: list[str], capacity: int = 2048, solver: Callab
         raise AssertionError("the patterns do not hold every piece once")
     # a length has a place for each pattern that holds it: bounded by the lengths, not by the rows
     table = spark.createDataFrame(places, "size int, lo long, hi long, each long, first long, at long")
-    # numbers are cut into cells, about 2^16 in all, so that few places share one
-    wide = max(1, sum(counts.values()) >> 16)
+    # numbers are cut into cells, about 2^12 in all, so that few places share one
+    wide = max(1, sum(counts.values()) >> 12)
     cells = table.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))))
     starts = cells.groupBy("size", "cell").agg(F.collect_list(F.struct("lo", "hi", "each", "first", "at")).alias("places"))
     ranked = rank_in_groups(rows, ["length"], order, "_rank").withColumn("_cell", F.floor(F.col("_rank") / wide))

@@ -10,7 +10,8 @@ positions on both sides, themselves windows, bound it.
 
 Windows of different documents with the same hash function and smallest hash
 form a group and are linked to the group's first document (smallest id), so a
-group of any size gives a link each. A first document that merely holds the
+group of any size gives a link each. Windows are dealt out and sorted by key once
+and the groups are read as they come: a group holds one row in memory. A first document that merely holds the
 smallest token shares no passage with the others, so groups of more than two
 windows are dealt out again by key and the smallest hash among the ``least`` - 1
 tokens on one side of c, within the window, for both sides and ``hashes`` further
@@ -24,9 +25,8 @@ whose Jaccard similarity is ``similarity`` or more are passages, whatever the
 gaps inside. Equal texts are equal passages.
 
 Cases: ids are integers; null text is empty; a text of fewer tokens has no
-passage; rows with a null id take no part; of rows equal in id but not in text
-only those of the smallest text hash take part; rows of one id are one document;
-an empty table gives an empty result; other columns are kept by ``drop_passages``
+passage; rows with a null id take no part; rows of one id are one document, each
+of its texts is searched and none is compared with the others; an empty table gives an empty result; other columns are kept by ``drop_passages``
 and ignored by ``passages``.
 """
 
@@ -40,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from edgeline.llm.common import Words, col, keep, mix, slices, utf8
+from edgeline.llm.common import Words, col, free, keep, mix, slices, utf8
 
 SEED = 0xA0761D6478BD642F
-LINK = ["id", "lead", "n", "ln", "k", "l", "c", "r", "ll", "lc", "lr"]
+#: A window as one number: c, then how far it reaches to the left and to the right, then the hash function.
+REACH, SIDE = (1 << 14) - 1, 14
+LINK = ["id", "lead", "place", "lead_place"]
 
 
 def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[
     return text, np.array(left) - base, c - base, np.array(right) - base
 
 
-def chains(items: list[tuple[int, ...]], least: int, agree: int, n: int, lead_n: int) -> list[tuple[int, int, int, int]]:
+def chains(items: list[tuple[int, ...]], least: int, agree: int) -> list[tuple[int, int, int, int]]:
     """Candidate ranges (lo, hi, lead lo, lead hi), ends excluded, of linked windows (hash function, l, c, r, ll, lc, lr)."""
     open_: list[list] = []
     done = []
@@ -107,7 +109,7 @@ def chains(items: list[tuple[int, ...]], least: int, agree: int, n: int, lead_n:
     for ks, c, lc, l, r, ll, lr, c0, lc0 in done + open_:
         if len(ks) >= agree:
             # as far as the windows reach, and no further than a passage can without another window
-            out.append((max(l, c0 - 2 * least, 0), min(r, c + 2 * least, n - 1) + 1, max(ll, lc0 - 2 * least, 0), min(lr, lc + 2 * least, lead_n - 1) + 1))
+            out.append((max(l, c0 - 2 * least), min(r, c + 2 * least) + 1, max(ll, lc0 - 2 * least), min(lr, lc + 2 * least) + 1))
     return out
 
 
@@ -234,25 +236,100 @@ def finer_keys(tokens: np.ndarray, where: np.ndarray, left: np.ndarray, right: n
                 yield lo + n, mix(key[part][n] ^ mix(smallest[n] + np.uint64(2 * s + side)))
 
 
-def passages(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_words: int = 50,
-    shingle: int = 5,
-    similarity: float = 0.8,
-    hashes: int = 4,
-    agree: int = 1,
-) -> DataFrame:
-    """(id, start, stop, other, other_start, other_stop, similarity): words start to stop of a document that near-duplicate an earlier document's."""
-    least = min_words - shingle + 1
+def packed(c: np.ndarray, left: np.ndarray, right: np.ndarray, k: np.ndarray | int, most: int) -> np.ndarray:
+    """Windows as numbers that sort by c. A reach beyond ``most`` is cut to it, as no candidate extends further."""
+    return (c << 32) | (np.minimum(left, most) << (4 + SIDE)) | (np.minimum(right, most) << 4) | k
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(k, l, c, r) of packed windows."""
+    c = place >> 32
+    return place & 15, c - ((place >> (4 + SIDE)) & REACH), c, c + ((place >> 4) & REACH)
+
+
+def lead_links(batches, held: int = 1 << 16):
+    """Of rows (key, id, place) in this order: those of keys with several ids, each with its key's first row; ``many``: over two rows.
+
+    A key's rows go out as they come, so one that very many rows have is never gathered.
+    """
+    rest = np.empty((3, 0), np.int64)
+    going = None  # the key, first id and place of a group whose beginning went out
+
+    def out(x: np.ndarray, first: np.ndarray, many: np.ndarray):
+        names = ["key", "id", "place", "lead", "lead_place", "many"]
+        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in x), pa.array(first[0]), pa.array(first[1]), pa.array(many)], names=names)
+
+    def groups(x: np.ndarray):
+        """Complete groups."""
+        edge = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+        size = np.diff(np.append(edge, x.shape[1]))
+        several = x[1, edge] != x[1, edge + size - 1]
+        row = np.repeat(several, size)
+        return out(x[:, row], np.repeat(x[1:, edge[several]], size[several], axis=1), np.repeat(size[several] > 2, size[several]))
+
+    for b in _and_end(batches):
+        x = rest if b is None else np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], axis=1)
+        rest = x[:, :0]
+        if going is not None and x.shape[1]:
+            n = int(np.searchsorted(x[0], going[0], "right")) if x[0, 0] == going[0] else 0
+            if n:
+                yield out(x[:, :n], np.repeat(going[1:, None], n, axis=1), np.ones(n, bool))
+                x = x[:, n:]
+        if not x.shape[1]:
+            continue
+        if b is not None:
+            cut = int(np.searchsorted(x[0], x[0, -1]))
+            last, x = x[:, cut:], x[:, :cut]
+            going = None
+            if last.shape[1] > max(held, 2) and last[1, 0] != last[1, -1]:
+                going = last[:, 0].copy()
+                yield out(last, np.repeat(going[1:, None], last.shape[1], axis=1), np.ones(last.shape[1], bool))
+            else:
+                rest = last
+        if x.shape[1]:
+            yield groups(x)
+
+
+def _and_end(batches):
+    for b in batches:
+        if b.num_rows:
+            yield b
+    yield None
+
+
+LEADS = "key long, id long, place long, lead long, lead_place long, many boolean"
+
+
+def linked_to_leads(windows: DataFrame) -> DataFrame:
+    """``lead_links`` of (key, id, place), dealt out once by key."""
+    return windows.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(lead_links, LEADS)
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows (id, text), names (id, text_key[, own]), whether ids stand for texts).
+
+    Where no id has several texts an id stands for its text. Otherwise texts get
+    numbers of their own in the order of (id, text hash), ``own`` being the id.
+    """
     rows = docs.where(col(id_col).isNotNull()).select(
         col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col)).alias("text_key"), F.coalesce(col(text_col), F.lit("")).alias("text")
     )
-    names = keep(rows.select("id", "text_key").distinct(), "names")
-    several = names.groupBy("id").agg(F.min("text_key").alias("first")).join(names, "id").where("text_key != first").select("id", "text_key")
-    if not several.isEmpty():
-        rows = rows.join(several, ["id", "text_key"], "left_anti")
+    names = keep(rows.select("id", "text_key").distinct(), "names", drop_shuffles=True)
+    if names.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.select("id", "text"), names, True
+    order = names.repartitionByRange("id", "text_key").sortWithinPartitions("id", "text_key")
+    order = order.select(F.col("id").alias("own"), "text_key", F.monotonically_increasing_id().alias("number"))
+    order = keep(order, "numbers", drop_shuffles=True)
+    rows = rows.withColumnRenamed("id", "own").join(order, ["own", "text_key"]).select(F.col("number").alias("id"), "text")
+    return rows, order.withColumnRenamed("number", "id"), False
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shingle: int, similarity: float, hashes: int, agree: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The passages, with texts numbered as ``_numbered`` says, and its names."""
+    least = min_words - shingle + 1
+    if not 0 < 2 * least <= REACH or not 0 < hashes < 16:
+        raise ValueError(f"passages of up to {REACH // 2} tokens and up to 15 hash functions")
+    rows, names, plain = _numbered(docs, id_col, text_col)
     seeds = [int(x) for x in mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(SEED))]
 
     def windows(batches):
@@ -266,29 +343,17 @@ def passages(
                 for k, seed in enumerate(seeds):
                     v = mix(tokens ^ np.uint64(seed))
                     d, l, c, r = compact_windows(v, first, least)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(v[first[d] + c].view(np.int64)), pa.array(ids[lo + d]), pa.array(np.full(len(d), k, np.int32)),
-                            *(pa.array(x.astype(np.int32)) for x in (l, c, r, np.diff(first)[d])),
-                        ],
-                        names=["key", "id", "k", "l", "c", "r", "n"],
-                    )
+                    place = packed(c, c - l, r - c, k, 2 * least)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[first[d] + c].view(np.int64)), pa.array(ids[lo + d]), pa.array(place)], names=["key", "id", "place"])
 
-    # dealt out once, for the counts and for the join
-    found = rows.select("id", "text").mapInArrow(windows, "key long, id long, k int, l int, c int, r int, n int").repartition("key")
-    shared = found.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
-    shared = shared.where("lead < last").select("key", "lead", "size")
-    shared = keep(found.join(shared, "key"), "windows")
-    leads = shared.where("id = lead").groupBy("key").agg(F.min(F.struct("c", "l", "r", "n")).alias("x"))
-    leads = leads.select("key", F.col("x.l").alias("ll"), F.col("x.c").alias("lc"), F.col("x.r").alias("lr"), F.col("x.n").alias("ln"))
-    linked = shared.where("id != lead").join(leads, "key").select(LINK)
+    found = rows.mapInArrow(windows, "key long, id long, place long")
+    shared = keep(linked_to_leads(found), "windows", drop_shuffles=True)
 
     # groups of more than two windows again, in finer groups; of equal texts the first stands for all
-    known = names.join(several, ["id", "text_key"], "left_anti")
-    firsts = known.groupBy("text_key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    same = keep(known.join(firsts, "text_key").where("id != lead").select("id", "lead"), "same")
-    again = shared.where("size > 2").join(same.select("id"), "id", "left_anti")
-    again = again.groupBy("id").agg(F.collect_list(F.struct("key", "k", "l", "c", "r")).alias("windows"))
+    firsts = names.groupBy("text_key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    same = keep(names.join(firsts, "text_key").where("id != lead").select("id", "lead"), "same", drop_shuffles=True)
+    again = shared.where("many").join(same.select("id"), "id", "left_anti")
+    again = again.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
     finer_seeds = [int(x) for x in mix(np.arange(hashes + 1, 2 * hashes + 1, dtype=np.uint64) * np.uint64(SEED))]
 
     def finer(batches):
@@ -296,8 +361,8 @@ def passages(
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             sizes, flat = batch.column(2).value_lengths().to_numpy(), batch.column(2).flatten()
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            key = flat.field("key").to_numpy()
-            k, l, c, r = (flat.field(x).to_numpy() for x in "klcr")
+            key, place = flat.field("key").to_numpy(), flat.field("place").to_numpy()
+            _, l, c, r = unpacked(place)
             for lo, hi in slices(texts, 1 << 20):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
@@ -305,45 +370,45 @@ def passages(
                 part = slice(begin[lo], begin[hi])
                 d = np.repeat(np.arange(hi - lo), sizes[lo:hi])
                 args = first[d] + c[part], c[part] - l[part], r[part] - c[part], key[part].view(np.uint64)
-                n = np.diff(first)[d].astype(np.int32)
                 for which, finer_key in finer_keys(tokens, *args, least, finer_seeds):
-                    i = begin[lo] + which
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(finer_key.view(np.int64)), pa.array(ids[lo + d[which]]), *(pa.array(x[i]) for x in (k, l, c, r)), pa.array(n[which])],
-                        names=["key", "id", "k", "l", "c", "r", "n"],
+                        [pa.array(finer_key.view(np.int64)), pa.array(ids[lo + d[which]]), pa.array(place[begin[lo] + which])], names=["key", "id", "place"]
                     )
 
-    fine = rows.select("id", "text").join(again, "id").mapInArrow(finer, "key long, id long, k int, l int, c int, r int, n int")
-    fine = keep(fine, "finer")
-    heads = fine.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    fine = keep(fine.join(heads, "key"), "finer_windows")
-    heads = fine.where("id = lead").groupBy("key").agg(F.min(F.struct("c", "l", "r", "n")).alias("x"))
-    heads = heads.select("key", F.col("x.l").alias("ll"), F.col("x.c").alias("lc"), F.col("x.r").alias("lr"), F.col("x.n").alias("ln"))
-    linked = linked.union(fine.where("id != lead").join(heads, "key").select(LINK)).distinct()
-    linked = linked.groupBy("id", "lead").agg(
-        F.first("n").alias("n"), F.first("ln").alias("ln"), F.collect_list(F.struct("k", "l", "c", "r", "ll", "lc", "lr")).alias("items")
-    )
+    fine = rows.join(again, "id").mapInArrow(finer, "key long, id long, place long")
+    fine = linked_to_leads(fine).where("id != lead").select(LINK)
+    # copies of one link come from several finer groups: one is enough
+    linked = shared.where("id != lead").select(LINK).union(fine).groupBy("id", "lead").agg(F.collect_set(F.struct("place", "lead_place")).alias("items"))
+    if not plain:
+        a, b = (names.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in ("id", "lead"))
+        linked = linked.join(a, "id").join(b, "lead").where("own_id != own_lead")
+    linked = linked.select("id", "lead", "items")
 
     def join_intervals(batches):
         for b in batches:
-            x = b.to_pydict()
             out = [], [], [], [], [], []
-            for i, lead, n, ln, items in zip(x["id"], x["lead"], x["n"], x["ln"], x["items"], strict=True):
-                for c in chains([tuple(t.values()) for t in items], least, agree, n, ln):
+            sizes, flat = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
+            edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            mine, other = (unpacked(flat.field(x).to_numpy()) for x in ("place", "lead_place"))
+            items = list(zip(*(x.tolist() for x in (*mine, *other[1:])), strict=True))
+            for n, (i, lead) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                for c in chains(items[edge[n] : edge[n + 1]], least, agree):
                     for column, v in zip(out, (i, *c[:2], lead, *c[2:]), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "lo", "hi", "lead", "llo", "lhi"])
 
     candidates = linked.mapInArrow(join_intervals, "id long, lo long, hi long, lead long, llo long, lhi long")
-    a, b = known.toDF("id", "key_a"), known.toDF("lead", "key_b")
-    candidates = keep(candidates.join(a, "id").join(b, "lead"), "candidates")
+    a, b = (names.select(F.col("id").alias(x), F.col("text_key").alias(k)) for x, k in (("id", "key_a"), ("lead", "key_b")))
+    candidates = keep(candidates.join(a, "id").join(b, "lead"), "candidates", drop_shuffles=True)
+    free(shared)
     # equal texts need no comparison of tokens, other candidates do
     near = candidates.where("key_a != key_b").select("id", "lo", "hi", "lead", "llo", "lhi").distinct()
     asked = near.select("id", "lo", "hi").union(near.select(F.col("lead"), F.col("llo"), F.col("lhi"))).distinct()
     equal = candidates.where("key_a = key_b").select("id", "lead").union(same).distinct()
     asked = asked.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     whole = equal.select("id").distinct().withColumn("whole", F.lit(True))
-    texts = rows.select("id", "text").join(asked, "id", "left").join(whole, "id", "left").where("ranges is not null or whole")
+    asked = keep(asked.join(whole, "id", "full_outer"), "asked", drop_shuffles=True)
+    texts = rows.join(asked, "id")
 
     def cut(batches):
         for batch in batches:
@@ -365,7 +430,9 @@ def passages(
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["id", "lo", "hi", "tokens", "words"])
 
-    pieces = keep(texts.mapInArrow(cut, "id long, lo long, hi long, tokens binary, words long").distinct(), "tokens")
+    # rows that repeat give equal pieces: one of each place
+    pieces = texts.mapInArrow(cut, "id long, lo long, hi long, tokens binary, words long")
+    pieces = keep(pieces.dropDuplicates(["id", "lo", "hi"]), "tokens", drop_shuffles=True)
     parts = pieces.where("lo >= 0")
     both = near.join(parts.select("id", "lo", "hi", F.col("tokens").alias("ta")), ["id", "lo", "hi"])
     other = parts.select(F.col("id").alias("lead"), F.col("lo").alias("llo"), F.col("hi").alias("lhi"), F.col("tokens").alias("tb"))
@@ -392,15 +459,46 @@ def passages(
         "id", F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("lead").alias("other"),
         F.lit(0).cast("long").alias("other_start"), F.col("words").alias("other_stop"), F.lit(1.0).alias("similarity"),
     )
-    return near.union(copies).distinct()
+    out = keep(near.union(copies).distinct(), "passages", drop_shuffles=True)
+    free(candidates, pieces, asked, same)
+    return out, names, plain
 
 
-def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def passages(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = 50,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    hashes: int = 4,
+    agree: int = 1,
+) -> DataFrame:
+    """(id, start, stop, other, other_start, other_stop, similarity): words start to stop of a document that near-duplicate an earlier document's."""
+    found, names, plain = _passages(docs, id_col, text_col, min_words, shingle, similarity, hashes, agree)
+    if plain:
+        return found
+    a, b = (names.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in ("id", "other"))
+    found = found.join(a, "id").join(b, "other").drop("id", "other").withColumnsRenamed({"own_id": "id", "own_other": "other"})
+    return found.select("id", "start", "stop", "other", "other_start", "other_stop", "similarity").distinct()
+
+
+def drop_passages(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = 50,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    hashes: int = 4,
+    agree: int = 1,
+) -> DataFrame:
     """The documents without the passages that near-duplicate an earlier document's; documents left without words go."""
-    found = passages(docs, id_col, text_col, **options)
-    found = found.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("id", "_id")
-    keys = docs.where(col(id_col).isNotNull()).groupBy(col(id_col).cast("long").alias("_id")).agg(F.min(F.xxhash64(col(text_col))).alias("_key"))
-    found = keep(found.join(keys, "_id"), "spans")
+    found, names, plain = _passages(docs, id_col, text_col, min_words, shingle, similarity, hashes, agree)
+    found = found.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    own = F.col("id") if plain else F.col("own")
+    found = found.join(names, "id").select(own.alias("_id"), F.col("text_key").alias("_key"), "_spans")
+    found = keep(found, "spans", drop_shuffles=True)
     match = (col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(col(text_col)) == F.col("_key"))
     at = docs.columns.index(text_col)
     rows = docs.join(found, match, "left").select(*[col(c) for c in docs.columns], "_spans")

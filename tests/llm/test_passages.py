@@ -258,3 +258,55 @@ def test_dropped_passages_leave_the_rest(spark):
 def test_no_rows(spark):
     assert passages.passages(fx.empty(spark)).count() == 0
     assert passages.drop_passages(fx.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_text_of_an_id_is_searched(spark, seed):
+    """Ids with two texts, the passage in the first or the second of them, whichever hash is smaller."""
+    rng = random.Random(seed)
+    shared = unique(rng, 60)
+    rows, want = [], set()
+    for i in range(12):
+        texts = [unique(rng, 90), unique(rng, 90)]
+        which = rng.randint(0, 1)
+        texts[which][20:20] = shared
+        rows += [(i, " ".join(t), "en", "s") for t in texts]
+        if i:
+            want.add((i, 20, 80))
+    rows += [(50, rows[1][1], "en", "s"), (50, " ".join(unique(rng, 70)), "en", "s")]  # the copy of one text under another id
+    rows += [(60, " ".join(shared), "en", "s"), (60, " ".join(unique(rng, 5) + shared), "en", "s")]  # an id's own texts share a passage
+    got = passages.passages(fx.frame(spark, rows)).collect()
+    assert want <= {(r["id"], r["start"], r["stop"]) for r in got}
+    assert all(r["other"] < r["id"] for r in got)
+    out = passages.drop_passages(fx.frame(spark, rows)).collect()
+    assert sum(" ".join(shared) in (r["text"] or "") for r in out) == 1
+    assert rows[1][1] not in [r["text"] for r in out if r["doc_id"] == 50]
+
+
+def test_groups_are_read_as_they_come():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([rng.integers(0, 300, 900), np.full(500, 77)]))
+    ids, place = rng.integers(0, 40, len(key)), rng.integers(0, 1 << 40, len(key))
+    order = np.lexsort((place, ids, key))
+    key, ids, place = key[order], ids[order], place[order]
+    want = []
+    for k in np.unique(key):
+        mine = key == k
+        if len(set(ids[mine])) > 1:
+            want += [(k, i, p, ids[mine][0], place[mine][0], mine.sum() > 2) for i, p in zip(ids[mine], place[mine], strict=True)]
+    for size in (1, 7, 100, 5000):
+        for held in (1, 20, 1 << 16):
+            cuts = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, ids, place)], names=["key", "id", "place"]) for i in range(0, len(key), size)]
+            got = [tuple(r.values()) for b in passages.lead_links(cuts, held) for r in b.to_pylist()]
+            assert [g[:5] for g in got] == [tuple(int(v) for v in w[:5]) for w in want]
+            assert [g[5] for g in got] == [bool(w[5]) for w in want]
+
+
+def test_windows_as_numbers():
+    c, left, right, k = np.array([0, 5, 1 << 30]), np.array([0, 5, 9000]), np.array([3, 0, 1 << 20]), np.array([0, 15, 3])
+    place = passages.packed(c, left, right, k, 92)
+    assert (np.diff(place) > 0).all()
+    got = passages.unpacked(place)
+    assert [x.tolist() for x in got] == [[0, 15, 3], [0, 0, (1 << 30) - 92], c.tolist(), [3, 5, (1 << 30) + 92]]
