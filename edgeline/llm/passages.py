@@ -279,15 +279,14 @@ def lead_links(batches, held: int = 1 << 16):
             continue
         if b is not None:
             cut = int(np.searchsorted(x[0], x[0, -1]))
-            last, x = x[:, cut:], x[:, :cut]
+            rest, x = x[:, cut:], x[:, :cut]
             going = None
-            if last.shape[1] > max(held, 2) and last[1, 0] != last[1, -1]:
-                going = last[:, 0].copy()
-                yield out(last, np.repeat(going[1:, None], last.shape[1], axis=1), np.ones(last.shape[1], bool))
-            else:
-                rest = last
         if x.shape[1]:
             yield groups(x)
+        if rest.shape[1] > max(held, 2) and rest[1, 0] != rest[1, -1]:
+            going = rest[:, 0].copy()
+            yield out(rest, np.repeat(going[1:, None], rest.shape[1], axis=1), np.ones(rest.shape[1], bool))
+            rest = rest[:, :0]
 
 
 def _and_end(batches):
@@ -326,7 +325,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shingle: int, similarity: float, hashes: int, agree: int) -> tuple[DataFrame, DataFrame, bool]:
     """The passages, with texts numbered as ``_numbered`` says, and its names."""
-    least = min_words - shingle + 1
+    least, held = min_words - shingle + 1, 20_000
     if not 0 < 2 * least <= REACH or not 0 < hashes < 16:
         raise ValueError(f"passages of up to {REACH // 2} tokens and up to 15 hash functions")
     rows, names, plain = _numbered(docs, id_col, text_col)
@@ -403,48 +402,50 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
     free(shared)
     # equal texts need no comparison of tokens, other candidates do
     near = candidates.where("key_a != key_b").select("id", "lo", "hi", "lead", "llo", "lhi").distinct()
-    asked = near.select("id", "lo", "hi").union(near.select(F.col("lead"), F.col("llo"), F.col("lhi"))).distinct()
+    near = keep(near.withColumn("pair", F.monotonically_increasing_id()), "near", drop_shuffles=True)
     equal = candidates.where("key_a = key_b").select("id", "lead").union(same).distinct()
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    whole = equal.select("id").distinct().withColumn("whole", F.lit(True))
-    asked = keep(asked.join(whole, "id", "full_outer"), "asked", drop_shuffles=True)
-    texts = rows.join(asked, "id")
+    sides = [near.select(i, F.struct("pair", F.lit(n).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).alias("range")) for n, (i, lo, hi) in enumerate([("id", "lo", "hi"), ("lead", "llo", "lhi")])]
+    sides = sides[0].union(sides[1])
+    # the ranges of a text that very many others meet are dealt out over several rows
+    busy = sides.groupBy("id").agg(F.ceil(F.count("*") / held).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod("range.pair", "parts"), F.lit(0))
+    asked = sides.join(busy, "id", "left").groupBy("id", part.alias("part")).agg(F.collect_list("range").alias("ranges")).drop("part")
 
     def cut(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            ranges, whole = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids, texts, ranges = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2)
+            sizes, flat = ranges.value_lengths().to_numpy(), ranges.flatten()
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            pair, side, begin, end = (flat.field(x).to_numpy() for x in ("pair", "side", "lo", "hi"))
             for lo, hi in slices(texts, 1 << 20):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
                 first = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
-                out = [], [], [], [], []
-                for d in range(lo, hi):
-                    mine = tokens[first[d - lo] : first[d - lo + 1]]
-                    entries = [(r["lo"], r["hi"], mine[r["lo"] : r["hi"]].tobytes()) for r in ranges[d] or ()]
-                    if whole[d]:
-                        entries.append((-1, -1, None))
-                    for x, y, data in entries:
-                        for column, v in zip(out, (ids[d], x, y, data, int(w.counts[d - lo])), strict=True):
-                            column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["id", "lo", "hi", "tokens", "words"])
-
-    # rows that repeat give equal pieces: one of each place
-    pieces = texts.mapInArrow(cut, "id long, lo long, hi long, tokens binary, words long")
-    pieces = keep(pieces.dropDuplicates(["id", "lo", "hi"]), "tokens", drop_shuffles=True)
-    parts = pieces.where("lo >= 0")
-    both = near.join(parts.select("id", "lo", "hi", F.col("tokens").alias("ta")), ["id", "lo", "hi"])
-    other = parts.select(F.col("id").alias("lead"), F.col("lo").alias("llo"), F.col("hi").alias("lhi"), F.col("tokens").alias("tb"))
-    both = both.join(other, ["lead", "llo", "lhi"]).select("id", "lo", "lead", "llo", "ta", "tb")
+                for some in range(edge[lo], edge[hi], 2048):
+                    mine = np.arange(some, min(some + 2048, edge[hi]))
+                    d = np.searchsorted(edge, mine, "right") - 1
+                    cuts = [tokens[x:y].tobytes() for x, y in zip((first[d - lo] + begin[mine]).tolist(), (first[d - lo] + end[mine]).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(pair[mine]), pa.array(side[mine]), pa.array([ids[i] for i in d.tolist()], pa.int64()), pa.array(begin[mine]), pa.array(cuts, pa.binary())],
+                        names=["pair", "side", "id", "lo", "tokens"],
+                    )
+
+    cuts = rows.join(asked, "id").mapInArrow(cut, "pair long, side int, id long, lo long, tokens binary")
 
     def verify(batches):
+        last = None  # a pair whose second half is still to come
         for batch in batches:
             out = [], [], [], [], [], [], []
-            x = batch.to_pydict()
-            for i, lo, lead, llo, ta, tb in zip(*x.values(), strict=True):
-                for p, q, s, e, score in compare(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), least, similarity):
-                    found_ = (i, lo + p, lo + q + shingle - 1, lead, llo + s, llo + e + shingle - 1, score)
+            for pair, side, i, lo, tokens in zip(*batch.to_pydict().values(), strict=True):
+                if not side:
+                    last = pair, i, lo, tokens
+                    continue
+                if last is None or last[0] != pair:
+                    continue  # a row that repeats: its pair is done
+                _, j, at, mine = last
+                last = None
+                for p, q, s, e, score in compare(np.frombuffer(mine, np.uint64), np.frombuffer(tokens, np.uint64), least, similarity):
+                    found_ = (j, at + p, at + q + shingle - 1, i, lo + s, lo + e + shingle - 1, score)
                     for column, v in zip(out, found_, strict=True):
                         column.append(v)
             kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -454,13 +455,16 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
             )
 
     shape = "id long, start long, stop long, other long, other_start long, other_stop long, similarity double"
-    near = both.mapInArrow(verify, shape)
-    copies = equal.join(pieces.where(F.col("lo") < 0).where(F.col("words") >= min_words).select("id", "words"), "id").select(
+    near_found = cuts.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(verify, shape)
+    near_found = keep(near_found, "near_passages", drop_shuffles=True)
+    count = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')").cast("long")
+    words = rows.select("id", count.alias("words")).where(F.col("words") >= min_words)
+    copies = equal.join(words, "id").select(
         "id", F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("lead").alias("other"),
         F.lit(0).cast("long").alias("other_start"), F.col("words").alias("other_stop"), F.lit(1.0).alias("similarity"),
     )
-    out = keep(near.union(copies).distinct(), "passages", drop_shuffles=True)
-    free(candidates, pieces, asked, same)
+    out = keep(near_found.union(copies).distinct(), "passages", drop_shuffles=True)
+    free(candidates, near, near_found, same)
     return out, names, plain
 
 
