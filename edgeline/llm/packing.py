@@ -43,7 +43,7 @@ from edgeline.llm.common import Words, col, keep, mix, rank_in_groups, slices
 Pattern = list[tuple[int, int]]  # (length, pieces of it), longest first
 
 #: So many encoded words, and so many before these, stay in a worker.
-WORDS = 400_000
+WORDS = 150_000
 _ENCODERS: dict[str, tuple] = {}
 _APART = np.zeros(256, bool)
 _APART[[10, 32]] = True

@@ -385,16 +385,23 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
 
     def join_intervals(batches):
         for b in batches:
-            out = [], [], [], [], [], []
             sizes, flat = b.column(2).value_lengths().to_numpy(), b.column(2).flatten()
-            edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            mine, other = (unpacked(flat.field(x).to_numpy()) for x in ("place", "lead_place"))
-            items = list(zip(*(x.tolist() for x in (*mine, *other[1:])), strict=True))
-            for n, (i, lead) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                for c in chains(items[edge[n] : edge[n + 1]], least, agree):
-                    for column, v in zip(out, (i, *c[:2], lead, *c[2:]), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "lo", "hi", "lead", "llo", "lhi"])
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            lo = 0
+            while lo < b.num_rows:
+                # some pairs at a time, as a pair may have very many links
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 20_000, "right")) - 1)
+                part = flat.slice(edge[lo], edge[hi] - edge[lo])
+                mine, other = (unpacked(part.field(x).to_numpy()) for x in ("place", "lead_place"))
+                items = list(zip(*(x.tolist() for x in (*mine, *other[1:])), strict=True))
+                out = [], [], [], [], [], []
+                for n in range(lo, hi):
+                    i, lead = b.column(0)[n].as_py(), b.column(1)[n].as_py()
+                    for c in chains(items[edge[n] - edge[lo] : edge[n + 1] - edge[lo]], least, agree):
+                        for column, v in zip(out, (i, *c[:2], lead, *c[2:]), strict=True):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "lo", "hi", "lead", "llo", "lhi"])
+                lo = hi
 
     candidates = linked.mapInArrow(join_intervals, "id long, lo long, hi long, lead long, llo long, lhi long")
     a, b = (names.select(F.col("id").alias(x), F.col("text_key").alias(k)) for x, k in (("id", "key_a"), ("lead", "key_b")))
