@@ -132,10 +132,11 @@ class Words:
 
     ``hash`` is a polynomial hash modulo 2^64 of the bytes with A-Z lowered,
     mixed; all words of all texts are hashed by array arithmetic. ``apart`` tells
-    of each byte whether it separates words.
+    of each byte whether it separates words; with ``spans`` the sums that
+    ``span_hash`` needs are held.
     """
 
-    def __init__(self, texts: list[bytes], apart: np.ndarray = _SPACE):
+    def __init__(self, texts: list[bytes], apart: np.ndarray = _SPACE, spans: bool = False):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -158,8 +159,9 @@ class Words:
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LOWER[raw] * up[:n], out=sums[1:])
-        self._sums, self._down = sums, down
-        self.hash = mix(self.span_hash(self.start, self.end))
+        if spans:
+            self._sums, self._down = sums, down
+        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
         self.counts = np.bincount(self.doc, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 

@@ -121,7 +121,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         made = Tokenizer.from_file(path)
         _ENCODERS[path] = (made, Plain(made), Recent(WORDS), Recent(WORDS // 4))
     tokenizer, plain_words, words, chunks = _ENCODERS[path]
-    w = Words([t.encode() for t in texts], _APART)
+    w = Words([t.encode() for t in texts], _APART, spans=True)
     raw, n = w.raw, len(w.start)
     if not n:
         return [b""] * len(texts)

@@ -335,7 +335,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = utf8(batch.column(1))
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, 1 << 18):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
                 first = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
@@ -362,7 +362,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
             begin = np.concatenate([[0], np.cumsum(sizes)])
             key, place = flat.field("key").to_numpy(), flat.field("place").to_numpy()
             _, l, c, r = unpacked(place)
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, 1 << 18):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
                 first = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
@@ -424,7 +424,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
             sizes, flat = ranges.value_lengths().to_numpy(), ranges.flatten()
             edge = np.concatenate([[0], np.cumsum(sizes)])
             pair, side, begin, end = (flat.field(x).to_numpy() for x in ("pair", "side", "lo", "hi"))
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, 1 << 18):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
                 first = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
