@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeline import settings
+from edgeline.functions import paging
+from edgeline.functions.paging import Cursor
 from edgeline.functions.ranking import top_per_group
 from edgeline.functions.timewin import AsOf, bucket, percent, round_half_up, within
 from edgeline.operators import series as Q
@@ -25,6 +27,25 @@ def api_overview(
     endpoints: DataFrame, states: DataFrame, metrics: DataFrame, *, as_of: AsOf, minutes: int = 60
 ) -> DataFrame:
     """Inventory totals, endpoints per learning state, mean p99 and error share."""
+    traffic = _recent(metrics, as_of, minutes=minutes).groupBy("tenant_id").agg(
+        F.avg("latency_p99_ms").alias("p99"),
+        F.sum("request_count").alias("req"),
+        F.sum(F.col("error_4xx_count") + F.col("error_5xx_count")).alias("err"),
+    )
+    return _overview(endpoints, states, traffic)
+
+
+def api_overview_of(endpoints: DataFrame, states: DataFrame, traffic: DataFrame) -> DataFrame:
+    """The overview from ``continuous.window_traffic``."""
+    traffic = traffic.groupBy("tenant_id").agg(
+        (F.sum("latency_p99_sum") / F.sum("latency_p99_minutes")).alias("p99"),
+        F.sum("request_count").alias("req"),
+        F.sum("error_count").alias("err"),
+    )
+    return _overview(endpoints, states, traffic)
+
+
+def _overview(endpoints: DataFrame, states: DataFrame, traffic: DataFrame) -> DataFrame:
     inventory = endpoints.groupBy("tenant_id").agg(
         F.count("*").alias("total_endpoints"),
         F.count_if("is_shadow").alias("shadow_endpoints"),
@@ -37,11 +58,6 @@ def api_overview(
             "state_counts"
         )
     )
-    traffic = _recent(metrics, as_of, minutes=minutes).groupBy("tenant_id").agg(
-        F.avg("latency_p99_ms").alias("p99"),
-        F.sum("request_count").alias("req"),
-        F.sum(F.col("error_4xx_count") + F.col("error_5xx_count")).alias("err"),
-    )
     joined = inventory.join(state_counts, "tenant_id", "full_outer").join(
         traffic, "tenant_id", "full_outer"
     )
@@ -172,6 +188,17 @@ def api_topk_inventory(
     return Q.count_topk(rows, dim, k)
 
 
+def endpoint_keys(sort: str) -> list[paging.Key]:
+    first = {
+        "volume": [paging.Key("total_request_samples", descending=True)],
+        "last_seen": [paging.Key("last_seen_at", descending=True)],
+        "method": [paging.Key("method")],
+        "path": [],
+    }[sort]
+    unique = [paging.Key(c) for c in ("endpoint_path", "method", "lb_namespace", "lb_name")]
+    return first + [k for k in unique if k not in first]
+
+
 def api_endpoint_list(
     endpoints: DataFrame,
     *,
@@ -181,23 +208,15 @@ def api_endpoint_list(
     sort: str = "volume",
     limit: int = 100,
     offset: int = 0,
+    after: Cursor = None,
 ) -> DataFrame:
-    """One page of the inventory per tenant; descending orders put nulls first."""
+    """One page of the inventory per tenant, behind an offset or a cursor of ``endpoint_keys``; nulls come first."""
     rows = endpoints.filter("is_shadow") if shadow_only else endpoints
     if lbs is not None:
         rows = Q.lb_filter(rows, lbs)
     if auth_type:
         rows = rows.filter(F.col("auth_type") == auth_type.lower())
-    unique = [F.asc(c) for c in ("endpoint_path", "method", "lb_namespace", "lb_name")]
-    first = {
-        "volume": [F.desc_nulls_first("total_request_samples")],
-        "last_seen": [F.desc_nulls_first("last_seen_at")],
-        "method": [F.asc("method"), F.asc("endpoint_path")],
-        "path": [F.asc("endpoint_path")],
-    }[sort]
-    return top_per_group(
-        rows, Q.TENANT, first + unique, limit, offset=offset
-    )
+    return paging.page(rows, Q.TENANT, endpoint_keys(sort), limit, offset=offset, at=after)
 
 
 def discovery_state_list(states: DataFrame) -> DataFrame:

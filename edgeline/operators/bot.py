@@ -33,11 +33,26 @@ def bot_overview(
         [F.count("*").alias("total_requests"), *Q.action_counts(totals)],
         tenants,
     )
-    return out.withColumn(
+    return _overview_rates(out)
+
+
+def _overview_rates(totals: DataFrame) -> DataFrame:
+    return totals.withColumn(
         "challenge_rate_pct", Q.rate("total_challenges", "total_requests")
     ).withColumn("block_rate_pct", Q.rate("total_blocks", "total_requests"))
 
 
+def bot_overview_of(counters: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """The overview from ``continuous.window_counters`` of the bot tables."""
+    names = {
+        "request_count": "total_requests",
+        "challenge_count": "total_challenges",
+        "block_count": "total_blocks",
+        "allow_count": "total_allows",
+    }
+    return _overview_rates(Q.per_tenant(counters, [F.sum(c).alias(n) for c, n in names.items()], tenants))
+
+
 def bot_sparkline(
     events: DataFrame,
     *,

@@ -95,6 +95,17 @@ def api_rollup_1hour(metrics: DataFrame, bounds: tuple[Column, Column] | None =
     )
 
 
+TRAFFIC = ["request_count", "error_count", "latency_p99_sum", "latency_p99_minutes"]
+
+
+def api_traffic_1hour(metrics: DataFrame, bounds: tuple[Column, Column] | None = None) -> DataFrame:
+    """What the API overview adds up, per load balancer: sums and numbers in place of means."""
+    p99 = F.col("latency_p99_ms")
+    errors = F.sum(F.col("error_4xx_count") + F.col("error_5xx_count"))
+    aggs = [F.sum("request_count"), errors, F.sum(p99), F.count(p99)]
+    return _rollup(metrics, LB_KEYS, [a.alias(n) for a, n in zip(aggs, TRAFFIC, strict=True)], bounds)
+
+
 def hours_to_refresh(touched: DataFrame) -> DataFrame:
     """Hours a batch of late or new metrics falls into."""
     return touched.select(bucket("bucket_time", "1 hour").alias("hour")).distinct()

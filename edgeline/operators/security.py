@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeline import settings
+from edgeline.functions import paging
+from edgeline.functions.paging import Cursor
 from edgeline.functions.ranking import commonest, top_per_group
 from edgeline.functions.timewin import DATE_COLUMNS, AsOf, bucket, moment, span, within
 
@@ -273,6 +275,16 @@ def geo_counts(
     )
 
 
+def attacker_keys(sort: str) -> list[paging.Key]:
+    value = {
+        "total": paging.Key("total_events", True),
+        "waf": paging.Key("waf", True, F.col("waf_block_count") + F.col("waf_monitor_count")),
+        "bot": paging.Key("bot", True, F.col("bot_block_count") + F.col("bot_challenge_count")),
+        "last_seen": paging.Key("last_seen_at", True),
+    }[sort]
+    return [value, *[paging.Key(c) for c in ("source_ip", "source_asn", "source_country")]]
+
+
 def attacker_list(
     profiles: DataFrame,
     *,
@@ -280,24 +292,13 @@ def attacker_list(
     sort: str = "total",
     limit: int = 50,
     offset: int = 0,
+    after: Cursor = None,
 ) -> DataFrame:
-    """One page of profiles per tenant; descending orders put nulls first."""
+    """One page of profiles per tenant, behind an offset or a cursor of ``attacker_keys``; nulls come first."""
     rows = profiles
     if country:
         rows = rows.filter(F.col("source_country") == country.upper())
-    value = {
-        "total": F.col("total_events"),
-        "waf": F.col("waf_block_count") + F.col("waf_monitor_count"),
-        "bot": F.col("bot_block_count") + F.col("bot_challenge_count"),
-        "last_seen": F.col("last_seen_at"),
-    }[sort]
-    order = [
-        value.desc_nulls_first(),
-        F.asc("source_ip"),
-        F.asc_nulls_first("source_asn"),
-        F.asc_nulls_first("source_country"),
-    ]
-    return top_per_group(rows, ["tenant_id"], order, limit, offset=offset)
+    return paging.page(rows, ["tenant_id"], attacker_keys(sort), limit, offset=offset, at=after)
 
 
 def attacker_timeline(

@@ -24,11 +24,26 @@ def waf_overview(
         [F.count("*").alias("total_requests"), *Q.action_counts(totals)],
         tenants,
     )
-    return out.withColumn("allowed", F.col("total_errors")).withColumn(
+    return _overview_rates(out)
+
+
+def _overview_rates(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("allowed", F.col("total_errors")).withColumn(
         "block_rate_pct", Q.rate("total_blocked", "total_requests")
     )
 
 
+def waf_overview_of(counters: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """The overview from ``continuous.window_counters`` of the firewall tables."""
+    names = {
+        "request_count": "total_requests",
+        "blocked_count": "total_blocked",
+        "monitored_count": "total_monitored",
+        "error_count": "total_errors",
+    }
+    return _overview_rates(Q.per_tenant(counters, [F.sum(c).alias(n) for c, n in names.items()], tenants))
+
+
 def waf_sparkline(
     events: DataFrame,
     *,

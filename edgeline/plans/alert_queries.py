@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgeline.functions import paging
 from edgeline.operators import alerts, inventory, joins, merge
 from edgeline.plans.ctes import pct, rnd
 from edgeline.plans.registry import query
@@ -340,6 +341,17 @@ def _(v):
     return alerts.alert_list(order_alerts(v), severity="warning", offset=10)
 
 
+@query(
+    "alert_list_next",
+    f"""SELECT {ALERT} FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY last_seen_at DESC NULLS FIRST, rule_id,
+  dedupe_key) AS rn FROM ({ALERTS}) WHERE status = 'open') WHERE rn > 200 AND rn <= 400""",
+)
+def _(v):
+    rows = order_alerts(v)
+    seen = paging.cursors(alerts.alert_list(rows), ["tenant_id"], alerts.ALERT_KEYS)
+    return alerts.alert_list(rows, after=seen)
+
+
 @query(
     "alert_list_by_rule",
     f"""SELECT {ALERT} FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY last_seen_at DESC NULLS FIRST, rule_id,

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from edgeline.functions import paging
 from edgeline.operators import api, bot, inventory, rollups, security, series, waf
 from edgeline.plans.ctes import pct, rnd
 from edgeline.plans.registry import query
@@ -425,6 +426,19 @@ FROM api_endpoints) WHERE rn > 3 AND rn <= 11""",
         return api.api_endpoint_list(v.api_endpoints, sort=sort, limit=8, offset=3)
 
 
+@query(
+    "api_endpoint_list_next",
+    f"""SELECT {EP} FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {EP_ORDER["last_seen"]}) AS rn
+FROM api_endpoints) WHERE rn > 8 AND rn <= 16""",
+    ["api_endpoints"],
+)
+def _(v):
+    """The page behind the cursors of every tenant's first page."""
+    keys = api.endpoint_keys("last_seen")
+    seen = paging.cursors(api.api_endpoint_list(v.api_endpoints, sort="last_seen", limit=8), ["tenant_id"], keys)
+    return api.api_endpoint_list(v.api_endpoints, sort="last_seen", limit=8, after=seen)
+
+
 @query(
     "api_endpoint_list_shadow_bearer",
     f"SELECT {EP} FROM api_endpoints WHERE is_shadow AND auth_type = 'bearer'",
@@ -618,6 +632,18 @@ for _sort in LIST_ORDER:
         return security.attacker_list(profiles(v), sort=sort, limit=20, offset=5)
 
 
+@query(
+    "attacker_list_next",
+    f"""WITH {SIGNALS.format(h=168)} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+  PARTITION BY tenant_id ORDER BY {LIST_ORDER["waf"]}, source_ip) AS rn FROM profiles) WHERE rn > 20 AND rn <= 40""",
+    SECURITY_VIEWS,
+)
+def _(v):
+    rows = profiles(v)
+    seen = paging.cursors(security.attacker_list(rows, sort="waf", limit=20), ["tenant_id"], security.attacker_keys("waf"))
+    return security.attacker_list(rows, sort="waf", limit=20, after=seen)
+
+
 @query(
     "attacker_list_country",
     f"""WITH {SIGNALS.format(h=168)} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id

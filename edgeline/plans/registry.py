@@ -62,6 +62,7 @@ def load() -> None:
         event_queries,
         ingest_queries,
         inventory_queries,
+        live_queries,
         merge_queries,
         scalar_queries,
         stream_queries,

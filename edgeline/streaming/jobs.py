@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from edgeline import settings
 from edgeline.functions.timewin import AsOf, bucket
 from edgeline.operators import alerts as A
-from edgeline.operators import merge, rollups, security, tables
+from edgeline.operators import continuous, merge, rollups, security, tables
 from edgeline.operators.transitions import last_states, link_fresh
 from edgeline.session import cut_lineage
 from edgeline.sources.landing import partitions, write_partitioned
@@ -93,15 +94,6 @@ def ingest_events(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def _refresh_hours(touched: DataFrame, minute_path: str, hour_path: str, rollup) -> None:
-    """Recompute the hours of the touched minutes; only these hours of the minute table are read."""
-    hours = rollups.hours_to_refresh(touched)
-    minutes = touched.sparkSession.read.parquet(minute_path)
-    minutes = tables.on_days(minutes, "bucket_time", tables.days_of(hours, "hour"))
-    minutes = minutes.drop(*partitions("bucket_time"))
-    tables.replace_buckets(rollups.recompute_hours(minutes, hours, rollup), hour_path)
-
-
 def hourly_rollup(
     minute_path: str, hour_path: str, rollup=rollups.waf_rollup_1hour
 ) -> Callable[[DataFrame, int], None]:
@@ -115,11 +107,23 @@ def hourly_rollup(
         if batch.isEmpty():
             return
         tables.upsert_buckets(batch, minute_path, merge.METRIC_KEYS)
-        _refresh_hours(batch, minute_path, hour_path, rollup)
+        continuous.refresh_hours(batch, minute_path, hour_path, rollup)
 
     return handle
 
 
+def _store_minutes(batch: DataFrame, event_path: str, minute_path: str, count) -> DataFrame:
+    """Store the events of a batch and count the minutes they fall into again; returns these minutes."""
+    tables.append_events(batch, event_path)
+    minutes = batch.select(bucket("event_time", "1 minute").alias("bucket_time")).distinct()
+    events = batch.sparkSession.read.parquet(event_path)
+    events = tables.on_days(events, "event_time", tables.days_of(minutes, "bucket_time"))
+    events = events.withColumn("bucket_time", bucket("event_time", "1 minute"))
+    events = events.join(minutes, "bucket_time", "left_semi").drop("bucket_time")
+    tables.replace_buckets(count(events), minute_path)
+    return minutes
+
+
 def event_metrics(
     event_path: str, minute_path: str, hour_path: str | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -128,15 +132,33 @@ def event_metrics(
     def handle(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        tables.append_events(batch, event_path)
-        minutes = batch.select(bucket("event_time", "1 minute").alias("bucket_time")).distinct()
-        events = batch.sparkSession.read.parquet(event_path)
-        events = tables.on_days(events, "event_time", tables.days_of(minutes, "bucket_time"))
-        events = events.withColumn("bucket_time", bucket("event_time", "1 minute"))
-        events = events.join(minutes, "bucket_time", "left_semi").drop("bucket_time")
-        tables.replace_buckets(rollups.minute_metrics(events), minute_path)
+        minutes = _store_minutes(batch, event_path, minute_path, rollups.minute_metrics)
         if hour_path:
-            _refresh_hours(minutes, minute_path, hour_path, rollups.waf_rollup_1hour)
+            continuous.refresh_hours(minutes, minute_path, hour_path, rollups.waf_rollup_1hour)
+
+    return handle
+
+
+def live_metrics(
+    event_path: str,
+    minute_path: str,
+    hour_path: str,
+    count=rollups.minute_metrics,
+    rollup=rollups.waf_rollup_1hour,
+    lag_hours: int = settings.ROLLUP_LAG_HOURS,
+) -> Callable[[DataFrame, int], None]:
+    """As ``event_metrics``, but an hour is stored once, when it lies ``lag_hours`` behind the newest event.
+
+    Late events recompute the stored hours they fall into; ``continuous`` reads the rest from the minutes.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        minutes = _store_minutes(batch, event_path, minute_path, count)
+        continuous.correct(minutes, minute_path, hour_path, rollup)
+        newest = tables.newest(batch, "event_time")
+        continuous.advance(batch.sparkSession, minute_path, hour_path, rollup, as_of=newest, lag_hours=lag_hours)
 
     return handle
 
