@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from edgeline.functions.timewin import DATE_COLUMNS
+from edgeline.functions.timewin import DATE_COLUMNS, AsOf
 from edgeline.operators import merge
 from edgeline.session import cut_lineage
 from edgeline.sources.landing import partitions, write_partitioned
@@ -69,6 +69,47 @@ class SnapshotTable:
         return n
 
 
+class BucketedTable:
+    """A current-state table of the catalog cut into buckets by ``by``, kept as complete versions ``name_v<number>``.
+
+    A merge joins it on the bucket columns, so only the batch is shuffled; give
+    the columns of the key, or those of a scope if whole scopes are reaped. With
+    as many buckets as shuffle partitions a batch moves once. Kept rows stay in
+    their bucket and fresh rows are hashed into the same ones, so a version has
+    about two files a bucket, however often it is merged.
+
+    A version counts once it is in the catalog, which is after its files are
+    written; the files of a job that died are overwritten by its repeat.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, schema: str | StructType, by: list[str], buckets: int):
+        self.spark, self.name, self.schema, self.by, self.buckets = spark, name, schema, by, buckets
+
+    def versions(self) -> list[int]:
+        found = self.spark.catalog.listTables(pattern=f"{self.name}_v*")
+        ends = [t.name[len(self.name) + 2 :] for t in found if not t.isTemporary]
+        return sorted(int(e) for e in ends if e.isdigit())
+
+    def read(self) -> DataFrame:
+        done = self.versions()
+        return self.spark.table(f"{self.name}_v{done[-1]}") if done else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame, *, aligned: bool = False, keep: int = 2) -> None:
+        """Store a version; rows not ``aligned`` to the buckets are shuffled into them first."""
+        done = self.versions()
+        rows = df if aligned else df.repartition(self.buckets, *self.by)
+        writer = rows.write.format("parquet").mode("overwrite").bucketBy(self.buckets, *self.by).sortBy(*self.by)
+        writer.saveAsTable(f"{self.name}_v{done[-1] + 1 if done else 0}")
+        for old in done[: -(keep - 1) or None]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_v{old}")
+
+    def upsert(self, batch: DataFrame, keys: list[str], order: Column) -> None:
+        self.write(merge.upsert_overwrite(self.read(), batch, keys, order), aligned=bool(self.versions()))
+
+    def reap(self, sync_ts: AsOf, ok_scopes: DataFrame, scope: list[str], seen_col: str = "last_seen_at") -> None:
+        self.write(merge.reap_stale(self.read(), sync_ts, ok_scopes, scope, seen_col), aligned=True)
+
+
 def newest(table: DataFrame, time_col: str) -> Column:
     """Newest time of a table as a literal (one fetched value), so that it prunes a scan.
 
