@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from edgeline.functions import paging
-from edgeline.operators import api, bot, inventory, rollups, security, series, waf
+from edgeline.operators import api, bot, inventory, rollups, security, series, sketches, waf
 from edgeline.plans.ctes import pct, rnd
 from edgeline.plans.registry import query
 
@@ -806,3 +806,35 @@ def _(v):
         v.waf_events.withColumn("lb", F.concat_ws("/", "lb_namespace", "lb_name")),
         {"countries": "source_country", "addresses": "source_ip", "lbs": "lb"},
     )
+
+
+SEEN = " UNION ALL ".join(
+    f"SELECT tenant_id, event_time, '{c}' AS name, {c} AS value FROM waf_events WHERE {c} IS NOT NULL"
+    for c in ("source_ip", "source_country", "url")
+)
+NOW_HOUR = "(SELECT date_trunc('hour', t) FROM now_)"
+
+
+@query(
+    "distinct_over_hours",
+    f"""SELECT tenant_id, name, count(DISTINCT value) AS distinct_values FROM ({SEEN})
+WHERE event_time >= {NOW_HOUR} - INTERVAL '167 hours' GROUP BY ALL""",
+    ["waf_events", "now_"],
+)
+def _(v):
+    """From hourly sketches, exact up to 16,384 values of a tenant's column."""
+    hours = sketches.distinct_hours(v.waf_events, ["source_ip", "source_country", "url"])
+    return sketches.distinct_over(hours, as_of=v.as_of, window_hours=WEEK)
+
+
+@query(
+    "new_values_against_week",
+    f"""SELECT tenant_id, name, count(*) AS distinct_values, count(*) FILTER (NOT before) AS new_values FROM (
+  SELECT tenant_id, name, value, bool_or(event_time < {NOW_HOUR} - INTERVAL '23 hours') AS before,
+    bool_or(event_time >= {NOW_HOUR} - INTERVAL '23 hours') AS recent
+  FROM ({SEEN}) WHERE event_time >= {NOW_HOUR} - INTERVAL '191 hours' GROUP BY ALL) WHERE recent GROUP BY ALL""",
+    ["waf_events", "now_"],
+)
+def _(v):
+    hours = sketches.distinct_hours(v.waf_events, ["source_ip", "source_country", "url"])
+    return sketches.new_against(hours, as_of=v.as_of, window_hours=24, prior_hours=WEEK)
