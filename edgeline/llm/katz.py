@@ -16,12 +16,16 @@ discounts left, divided by the P1 mass of all successors not seen. If the
 discounts left nothing, t is one more; if every successor was seen, the seen ones
 are scaled to one. So the successors of every context sum to one.
 
-Words are told apart by 64-bit hashes, bigrams by those of both words. Counts of
-words, counts of bigrams, and t and a(v) of contexts are three tables joined by
-key; only counts of counts reach the driver. Logarithms add up, so a text's
-score is a sum over joins with the three. The ``cached`` most frequent bigrams and
-the ``common`` most frequent words are also held by each task (fixed bounds), so
-that hot keys need no join; this changes no result.
+Words are told apart by 64-bit hashes, bigrams by those of both words. The
+``common`` most frequent words are held by each task, and so are the counts of all
+bigrams of the isqrt(``cached``) most frequent ones (fixed bounds, which change no
+result). All other bigrams of a text are dealt out once, by context, those of a
+frequent context by successor too, and read in order: a bigram's rows follow each
+other, so its count is known when its texts are told of it. A text needs only how
+many of its bigrams were seen 1, 2, .. times, as discounts come later, and which were
+never seen. A bigram with more than ``longest`` texts is not gathered: its texts meet
+its count in a join. Contexts and words outside the held ones are joined by key. Only
+counts of counts and the held tables reach the driver.
 
 Cases: null text is empty and has the end alone; rows with a null id are scored
 but teach nothing; equal rows count and are scored each; without training texts
@@ -32,18 +36,24 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import Words, col, keep, slices, utf8
+from edgeline.llm.common import Words, col, free, keep, slices, utf8
 
 # keys beside the word hashes: the end, the begin, the class of words outside a given vocabulary
 END, BEGIN, OTHER = 0, 1, 2
 
+# kinds of rows that counting gives: of a text its bigrams by count, of a context its successors by count, a bigram of a
+# text that was never seen, a successor whose units no task holds, a text and the count of a bigram too long to gather
+TEXT, CONTEXT, UNSEEN, COLD, LATE, COUNT = range(6)
+#: parts into which a frequent context's successors are dealt
+PARTS = 64
+
 
 @dataclass
 class Unigrams:
@@ -126,21 +136,6 @@ def commonest(counts: DataFrame, vocabulary: int | None, common: int) -> Unigram
     return Unigrams(keys[order], top.column("n").to_numpy()[order], inside, tokens, types, ends["n"] if ends else 0)
 
 
-def bigrams(train: DataFrame, words) -> DataFrame:
-    """(prev, cur, n) over the texts of ``train``; ``words`` is the broadcast Unigrams."""
-
-    def run(batches):
-        u = words.value
-        for b in batches:
-            texts = utf8(b.column(0))
-            for lo, hi in slices(texts, 4 << 20):
-                prev, cur, which, _ = u.pairs(Words(texts[lo:hi]))
-                n = np.bincount(which, minlength=len(prev))
-                yield pa.RecordBatch.from_arrays([pa.array(prev.view(np.int64)), pa.array(cur.view(np.int64)), pa.array(n)], names=["prev", "cur", "n"])
-
-    return train.select("text").mapInArrow(run, "prev long, cur long, n long").groupBy("prev", "cur").agg(F.sum("n").alias("n"))
-
-
 def discounts(of: dict[int, int], k: int) -> list[float]:
     """Good-Turing discounts d(1..k) from the counts of counts 1..k+1; 1 where these do not give one within (0, 1]."""
     n1 = of.get(1, 0)
@@ -153,58 +148,194 @@ def discounts(of: dict[int, int], k: int) -> list[float]:
     return out
 
 
-def kept(pairs: DataFrame, k: int) -> Column:
-    """d(n) n of a bigram's count n."""
-    of = {r["n"]: r["of"] for r in pairs.where(F.col("n") <= k + 1).groupBy("n").agg(F.count("*").alias("of")).collect()}
-    d = F.array(*[F.lit(x) for x in [*discounts(of, k), 1.0]])
-    return F.col("n") * F.element_at(d, F.least(F.col("n"), F.lit(k + 1)).cast("int"))
-
+class Held:
+    """Units of the words every task holds, and the counts of all bigrams of the most frequent ones."""
+
+    def __init__(self, u: Unigrams, cached: int):
+        inside = slice(None) if u.inside is None else u.inside
+        keys, units = u.keys[inside], u.counts[inside] + 1
+        side = isqrt(cached)
+        top = keys[np.lexsort((keys, -units))]
+        special = [END, BEGIN] if u.inside is None else [END, BEGIN, OTHER]
+        self.hot = np.sort(np.concatenate([np.array(special, np.uint64), top])[:side])
+        self.counts = np.zeros((len(self.hot), len(self.hot)), np.int64)
+        self.keys = np.concatenate([np.array([END, BEGIN, OTHER], np.uint64), keys])
+        self.units = np.concatenate([[u.ends + 1 if u.tokens else 1, 1, 1 if u.inside is None else max(u.other, 1)], units])
+        order = np.argsort(self.keys)
+        self.keys, self.units = self.keys[order], self.units[order]
+        self.lt, self.la = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+
+    @staticmethod
+    def _find(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(names):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return at, names[at] == x
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index among the held words, whether it is one)."""
+        return self._find(self.keys, words)
+
+    def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index among the most frequent words, whether it is one)."""
+        return self._find(self.hot, words)
+
+
+def frequent_bigrams(train: DataFrame, words, held) -> np.ndarray:
+    """Counts of all bigrams of the most frequent words, a square table."""
 
-def contexts(pairs: DataFrame, counts: DataFrame, hot: DataFrame, share: Column, u: Unigrams) -> DataFrame:
-    """(prev, lt, la): log10 of t and of a(v) of every context; ``hot`` (word, units) are the words every task holds."""
-    rows = pairs.withColumn("kept", share).join(F.broadcast(hot), F.col("cur") == F.col("word"), "left")
-    # successors that are not held meet their counts by key; sums of both parts make a context
-    cold = rows.where("units is null").select("prev", "cur").join(counts, F.col("cur") == counts["word"])
-    cold = cold.select("prev", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("s"), (counts["n"] + 1).alias("b"))
-    rows = rows.select("prev", F.col("n").alias("t"), F.col("kept").alias("s"), F.coalesce("units", F.lit(0)).alias("b"))
-    rows = rows.union(cold).groupBy("prev").agg(F.sum("t").cast("double").alias("t"), F.sum("s").alias("s"), F.sum("b").alias("b"))
-    unseen = (F.lit(u.total) - F.col("b")) / F.lit(float(u.total))
-    # every successor was seen; no discount left anything
-    t = F.when(unseen <= 0, F.col("s")).when(F.col("t") - F.col("s") < 1e-9 * F.col("t"), F.col("t") + 1).otherwise(F.col("t"))
-    rows = rows.select("prev", t.alias("t"), "s", unseen.alias("unseen"))
-    left = (F.col("t") - F.col("s")) / F.col("t")
-    return rows.select("prev", F.log10("t").alias("lt"), F.when((left > 0) & (F.col("unseen") > 0), F.log10(left / F.col("unseen"))).otherwise(0.0).alias("la"))
+    def run(batches):
+        u, h = words.value, held.value
+        counts = np.zeros_like(h.counts)
+        for b in batches:
+            texts = utf8(b.column(0))
+            for lo, hi in slices(texts, 4 << 20):
+                prev, cur, which, _ = u.pairs(Words(texts[lo:hi]))
+                (i, i_hot), (j, j_hot) = h.frequent(prev), h.frequent(cur)
+                both = i_hot & j_hot
+                counts[i[both], j[both]] += np.bincount(which, minlength=len(prev))[both]
+        i, j = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(counts[i, j])], names=["i", "j", "n"])
+
+    t = train.select("text").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros_like(held.value.counts)
+    out[t.column("i").to_numpy(), t.column("j").to_numpy()] = t.column("n").to_numpy()
+    return out
 
 
-def held_from(pairs: DataFrame, cached: int) -> int:
-    """The smallest count that only the ``cached`` most frequent bigrams reach."""
-    ranks = pairs.groupBy("n").agg(F.count("*").alias("of")).orderBy(F.desc("n"))
-    least, got = 1, 0
-    for r in ranks.toLocalIterator():
-        if got + r["of"] > cached:
-            least = r["n"] + 1
-            break
-        got += r["of"]
-    return least
+def bigrams(rows: DataFrame, words, held) -> DataFrame:
+    """(prev, part, cur, row, times) of the texts' bigrams that tasks do not hold; times are negative where a text teaches nothing."""
 
+    def run(batches):
+        u, h = words.value, held.value
+        for b in batches:
+            texts, ids = utf8(b.column(2)), b.column(0).to_numpy()
+            train = b.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(texts, 2 << 20):
+                prev, cur, which, doc = u.pairs(Words(texts[lo:hi]))
+                i_hot = h.frequent(prev)[1]
+                sent = ~(i_hot & h.frequent(cur)[1])[which]
+                code, times = np.unique(which[sent] * (hi - lo) + doc[sent], return_counts=True)
+                pair, doc = code // (hi - lo), code % (hi - lo) + lo
+                part = np.where(i_hot, (cur % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(prev[pair].view(np.int64)), pa.array(part[pair]), pa.array(cur[pair].view(np.int64)),
+                        pa.array(ids[doc]), pa.array(np.where(train[doc], times, -times)),
+                    ],
+                    names=["prev", "part", "cur", "row", "times"],
+                )
 
-class Held:
-    """Bigrams that every task holds, with a value each."""
+    return rows.select("row", "train", "text").mapInArrow(run, "prev long, part int, cur long, row long, times long")
+
+
+def sums(of: np.ndarray, n: np.ndarray, times: np.ndarray, large: np.ndarray, k: int) -> tuple[np.ndarray, dict]:
+    """(the different values of ``of``, their sums of ``times`` for each n up to k + 1 and of ``large`` beyond k)."""
+    keys, at = np.unique(of, return_inverse=True)
+    out = {f"c{r}": np.bincount(at, times * (n == r), len(keys)).astype(np.int64) for r in range(1, k + 2)}
+    return keys, out | {"x": np.bincount(at, np.where(n > k, large, 0.0), len(keys)).astype(float)}
+
+
+def counted(pairs: DataFrame, held, k: int, longest: int) -> DataFrame:
+    """What texts and contexts need of the counts of ``bigrams``, one row for each key and portion; ``kind`` tells which."""
+    numbers = [f"c{r}" for r in range(1, k + 2)]
+    schema = "kind int, row long, prev long, cur long, times long, b long, x double, " + ", ".join(f"{c} long" for c in numbers)
+    names = ["kind", "row", "prev", "cur", "times", "b", "x", *numbers]
+
+    def batch(kind: int, size: int, **values):
+        zero = np.zeros(size, np.int64)
+        cols = {"kind": np.full(size, kind, np.int32), "x": np.zeros(size)} | values
+        return pa.RecordBatch.from_arrays([pa.array(cols.get(c, zero)) for c in names], names=names)
+
+    def successors(prev, cur, n):
+        """Rows of contexts from bigrams, each once with its count."""
+        at, there = held.value.find(cur.view(np.uint64))
+        keys, out = sums(prev, n, np.ones(len(n)), n, k)
+        b = np.zeros(len(keys), np.int64)
+        np.add.at(b, np.searchsorted(keys, prev), np.where(there, held.value.units[at], 0))
+        yield batch(CONTEXT, len(keys), prev=keys, b=b, **out)
+        yield batch(COLD, int((~there).sum()), prev=prev[~there], cur=cur[~there])
+
+    def whole(prev, cur, row, times):
+        """Rows of bigrams all of whose texts are here."""
+        first = np.flatnonzero(np.append(True, (prev[1:] != prev[:-1]) | (cur[1:] != cur[:-1])))
+        n = np.add.reduceat(np.maximum(times, 0), first)
+        seen = n > 0
+        yield from successors(prev[first][seen], cur[first][seen], n[seen])
+        n, times = np.repeat(n, np.diff(np.append(first, len(prev)))), np.abs(times)
+        seen = n > 0
+        keys, out = sums(row[seen], n[seen], times[seen], times[seen] * np.log10(n[seen]), k)
+        yield batch(TEXT, len(keys), row=keys, **out)
+        new = ~seen
+        yield batch(UNSEEN, int(new.sum()), row=row[new], prev=prev[new], cur=cur[new], times=times[new])
 
-    def __init__(self, prev: np.ndarray, cur: np.ndarray, value: np.ndarray):
-        self.words = np.unique(np.concatenate([prev, cur]))
-        code = np.searchsorted(self.words, prev) * len(self.words) + np.searchsorted(self.words, cur)
-        order = np.argsort(code)
-        self.code, self.value = code[order], value[order]
+    def run(batches):
+        waiting, size, long = [], 0, None  # long: the bigram being passed on as it comes, and its count so far
+
+        def portion(last: bool):
+            nonlocal waiting, size, long
+            prev, cur, row, times = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            if long:
+                of = (prev == long[0]) & (cur == long[1])
+                if of.any():
+                    long = (*long[:2], long[2] + int(np.maximum(times[of], 0).sum()))
+                    yield batch(LATE, int(of.sum()), row=row[of], prev=prev[of], cur=cur[of], times=np.abs(times[of]))
+                    prev, cur, row, times = prev[~of], cur[~of], row[~of], times[~of]
+                if len(prev) or last:
+                    yield from close()
+            cut = len(prev)
+            if cut and not last:
+                cut = int(np.argmax((prev == prev[-1]) & (cur == cur[-1])))
+            if cut:
+                yield from whole(prev[:cut], cur[:cut], row[:cut], times[:cut])
+            rest = [x[cut:] for x in (prev, cur, row, times)]
+            if len(rest[0]) > longest:
+                long = (int(rest[0][0]), int(rest[1][0]), int(np.maximum(rest[3], 0).sum()))
+                yield batch(LATE, len(rest[0]), row=rest[2], prev=rest[0], cur=rest[1], times=np.abs(rest[3]))
+                rest = [x[:0] for x in rest]
+            waiting, size = [rest], len(rest[0])
+
+        def close():
+            nonlocal long
+            prev, cur, n = (np.array([x], np.int64) for x in long)
+            long = None
+            yield batch(COUNT, 1, prev=prev, cur=cur, times=n)
+            if n[0]:
+                yield from successors(prev, cur, n)
 
-    def find(self, prev: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether it is held, the value) of bigrams."""
-        if not len(self.code):
-            return np.zeros(len(prev), bool), np.zeros(len(prev))
-        i, j = (np.minimum(np.searchsorted(self.words, x), len(self.words) - 1) for x in (prev, cur))
-        code = i * len(self.words) + j
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return (self.code[at] == code) & (self.words[i] == prev) & (self.words[j] == cur), self.value[at]
+        for b in batches:
+            waiting.append(tuple(b.column(c).to_numpy() for c in ("prev", "cur", "row", "times")))
+            size += b.num_rows
+            if size >= 2 * min(longest, 1 << 18):
+                yield from portion(False)
+        if waiting:
+            yield from portion(True)
+
+    dealt = pairs.repartition("prev", "part").sortWithinPartitions("prev", "cur")
+    return dealt.select("prev", "cur", "row", "times").mapInArrow(run, schema)
+
+
+def contexts(rows: DataFrame, frequent: DataFrame, counts: DataFrame, total: int, k: int) -> tuple[DataFrame, list[float]]:
+    """(prev, lt, la) of every context, the log10 of t and a(v), and the discounts; ``frequent`` has the held bigrams' rows."""
+    numbers = [f"c{r}" for r in range(1, k + 2)]
+    stats = rows.where(F.col("kind") == CONTEXT).select("prev", "b", "x", *numbers).union(frequent)
+    of = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]).first()
+    d = discounts({r: of[f"c{r}"] for r in range(1, k + 2)}, k)
+    t, s = F.col("x"), F.col("x")
+    for r in range(1, k + 1):
+        t, s = t + F.col(f"c{r}") * r, s + F.col(f"c{r}") * (r * d[r - 1])
+    # successors that are not held meet their counts by key; sums of both parts make a context
+    cold = rows.where(F.col("kind") == COLD).select("prev", "cur").join(counts, F.col("cur") == counts["word"])
+    cold = cold.select("prev", F.lit(0.0).alias("t"), F.lit(0.0).alias("s"), (F.col("n") + 1).alias("b"))
+    sums_ = stats.select("prev", t.alias("t"), s.alias("s"), "b").union(cold)
+    sums_ = sums_.groupBy("prev").agg(F.sum("t").alias("t"), F.sum("s").alias("s"), F.sum("b").alias("b"))
+    unseen = (F.lit(total) - F.col("b")) / F.lit(float(total))
+    # every successor was seen; no discount left anything
+    t = F.when(unseen <= 0, F.col("s")).when(F.col("t") - F.col("s") < 1e-9 * F.col("t"), F.col("t") + 1).otherwise(F.col("t"))
+    sums_ = sums_.select("prev", t.alias("t"), "s", unseen.alias("unseen"))
+    left = (F.col("t") - F.col("s")) / F.col("t")
+    la = F.when((left > 0) & (F.col("unseen") > 0), F.log10(left / F.col("unseen"))).otherwise(0.0)
+    return sums_.select("prev", F.log10("t").alias("lt"), la.alias("la")), d
 
 
 def score_texts(
@@ -217,59 +348,113 @@ def score_texts(
     common: int = 1 << 18,
     cached: int = 1 << 20,
     k: int = 5,
+    longest: int = 1 << 20,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows of ``held_fold`` teach nothing."""
     spark = docs.sparkSession
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    broadcast = spark.sparkContext.broadcast
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), col(text_col).alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("id"), folds, held_fold))
-    train = rows.where(~F.col("held_out") & F.col("id").isNotNull())
-    counts = keep(unigrams(train), "unigrams", drop_shuffles=True)
+    rows = keep(rows.withColumn("train", ~F.col("held_out") & F.col("id").isNotNull()), "katz_texts")
+    counts = keep(unigrams(rows.where("train")), "unigrams", drop_shuffles=True)
     u = commonest(counts, vocabulary, common)
-    words = spark.sparkContext.broadcast(u)
-    pairs = keep(bigrams(train, words), "pairs", drop_shuffles=True)
-    inside = slice(None) if u.inside is None else u.inside
-    extra = [(END, u.ends + 1 if u.tokens else 1)] + ([] if u.inside is None else [(OTHER, max(u.other, 1))])
-    hot = spark.createDataFrame(
-        pa.table(
-            {
-                "word": np.append(u.keys[inside].view(np.int64), [x for x, _ in extra]),
-                "units": np.append(u.counts[inside] + 1, [x for _, x in extra]),
-            }
-        )
-    )
-    hot = keep(hot, "common_words")
-    share = kept(pairs, k)
-    table = keep(contexts(pairs, counts, hot, share, u), "contexts", drop_shuffles=True)
-    begin = spark.createDataFrame([(BEGIN,)], "word long")
-    known = keep(table.join(F.broadcast(hot.select("word").union(begin)), F.col("prev") == F.col("word")).select("prev", "lt", "la"), "common_contexts")
-    least = held_from(pairs, cached)
-    top = pairs.where(F.col("n") >= least).withColumn("kept", share).join(table, "prev").select("prev", "cur", (F.log10("kept") - F.col("lt")).alias("logp")).toArrow()
-    held = spark.sparkContext.broadcast(
-        Held(*(top.column(x).to_numpy().view(np.uint64) for x in ("prev", "cur")), top.column("logp").to_numpy())
+    words, h = broadcast(u), Held(u, cached)
+    held = broadcast(h)
+    h.counts = frequent_bigrams(rows.where("train"), words, held)
+    found = keep(counted(bigrams(rows, words, held), held, k, longest), "counted", drop_shuffles=True)
+
+    # contexts; the held bigrams' share of them is summed up here
+    i, j = np.nonzero(h.counts)
+    n = h.counts[i, j]
+    keys, part = sums(i, n, np.ones(len(n)), n, k)
+    b = np.bincount(np.searchsorted(keys, i), h.units[h.find(h.hot[j])[0]], len(keys)).astype(np.int64)
+    frequent = {"prev": h.hot[keys].view(np.int64), "b": b, "x": part.pop("x")} | part
+    frequent = spark.createDataFrame(pa.table(frequent))
+    table, d = contexts(found, frequent, counts, u.total, k)
+    table = keep(table, "contexts", drop_shuffles=True)
+    names = spark.createDataFrame(pa.table({"word": h.keys.view(np.int64), "units": h.units}))
+    near = names.join(table, F.col("word") == F.col("prev"), "left").select("word", "units", F.coalesce("lt", F.lit(0.0)).alias("lt"), F.coalesce("la", F.lit(0.0)).alias("la"))
+    near = keep(near, "common_words", drop_shuffles=True)
+    got = near.toArrow()
+    at = h.find(got.column("word").to_numpy().view(np.uint64))[0]
+    h.lt[at], h.la[at] = got.column("lt").to_numpy(), got.column("la").to_numpy()
+    model = broadcast(h)
+
+    scored = keep(texts_scored(rows, words, model, d), "scored")
+    # bigrams of texts by their counts; those too long to gather meet their count here
+    late = found.where(F.col("kind") == LATE).select("row", "prev", "cur", "times")
+    late = late.join(found.where(F.col("kind") == COUNT).select("prev", "cur", F.col("times").alias("n")), ["prev", "cur"])
+    value = F.element_at(F.array(*[F.lit(float(np.log10(x * r))) for r, x in enumerate(d, 1)]), F.least(F.col("n"), F.lit(k)).cast("int"))
+    none = F.lit(0).cast("long")
+    seen = late.where("n > 0").select("row", F.lit(0.0).alias("base"), (F.col("times") * F.when(F.col("n") > k, F.log10("n")).otherwise(value)).alias("pairs"), none.alias("known"))
+    total = F.col("x")
+    for r, x in enumerate(d, 1):
+        total = total + F.col(f"c{r}") * float(np.log10(x * r))
+    direct = found.where(F.col("kind") == TEXT).select("row", F.lit(0.0).alias("base"), total.alias("pairs"), none.alias("known")).union(seen)
+    # bigrams never seen: the words that tasks hold, then the others by key
+    new = found.where(F.col("kind") == UNSEEN).select("row", "prev", "cur", "times").union(late.where("n = 0").select("row", "prev", "cur", "times"))
+    left = near.select(F.col("word").alias("prev"), (F.col("lt") + F.col("la")).alias("of_prev"))
+    right = near.select(F.col("word").alias("cur"), F.log10(F.col("units") / float(u.total)).alias("of_cur"))
+    new = new.join(F.broadcast(left), "prev", "left").join(F.broadcast(right), "cur", "left")
+    held_part = new.select("row", F.lit(0.0).alias("base"), (F.col("times") * (F.coalesce("of_prev", F.lit(0.0)) + F.coalesce("of_cur", F.lit(0.0)))).alias("pairs"), none.alias("known"))
+    after = new.where("of_prev is null").join(table, "prev").select("row", F.lit(0.0).alias("base"), (F.col("times") * (F.col("lt") + F.col("la"))).alias("pairs"), none.alias("known"))
+    # words that tasks do not hold: as tokens, as contexts (each is followed by a token), and after contexts that never had them
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
+    rare = rare.select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"), none.alias("backed"))
+    rare = rare.union(new.where("of_cur is null").select("row", "cur", none, "times"))
+    rare = rare.groupBy("row", "word").agg(F.sum("times").alias("times"), F.sum("backed").alias("backed"))
+    known = counts.join(table, counts["word"] == table["prev"], "left").select("word", "n", "lt")
+    rare = rare.join(known, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chance = F.log10((F.col("n") + 1.0) / float(u.total))
+    # words of a class score their share of it, all others score by bigrams
+    share = F.col("backed") * chance - F.col("times") * F.coalesce("lt", F.lit(0.0)) if u.inside is None else F.col("times") * chance
+    rare = rare.select("row", (F.col("times") * chance).alias("base"), share.alias("pairs"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
+    more = direct.union(held_part).union(after).union(rare)
+    more = more.groupBy("row").agg(F.sum("base").alias("base"), F.sum("pairs").alias("pairs"), F.sum("known").alias("known"))
+    out = scored.select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
+    out = out.select(
+        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(u.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("pairs", F.lit(0.0))).alias("score"),
     )
+    free(rows)
+    out = keep(out, "katz_scores", drop_shuffles=True)
+    free(counts, found, table, near, scored)
+    return out
+
+
+def texts_scored(rows: DataFrame, words, model, d: list[float]) -> DataFrame:
+    """What a task can tell of its texts: base score and score of the words and bigrams held, and the other words.
+
+    All bigrams count as seen here, so each takes lt of its context; those never
+    seen give it back.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    other = 0.0 if u.inside is None else float(np.log10(max(u.other, 1) / u.total))
+    k = len(d)
 
     def lists(doc: np.ndarray, n_docs: int, *values: np.ndarray) -> list[pa.Array]:
         offsets = pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32))
         return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
 
     def run(batches):
-        u, cache = words.value, held.value
-        task, row = TaskContext.get().partitionId() << 40, 0
+        u, h = words.value, model.value
+        of = np.log10(np.array([1.0, *[x * r for r, x in enumerate(d, 1)]]))
+        other = 0.0 if u.inside is None else float(np.log10(max(u.other, 1) / u.total))
         for batch in batches:
-            texts = utf8(batch.column(2))
+            texts = utf8(batch.column(3))
             for lo, hi in slices(texts, 2 << 20):
                 n = hi - lo
                 w = Words(texts[lo:hi])
                 at, there = u.find(w.hash)
                 prev, cur, which, doc = u.pairs(w)
-                near, value = cache.find(prev, cur)
-                known = near[which]
-                score = np.zeros(n) + np.bincount(doc[known], value[which[known]], n)
-                # the rest, one entry for each text and bigram
-                far, far_n = np.unique(doc[~known] * len(prev) + which[~known], return_counts=True)
-                far_doc, far_at = far // max(len(prev), 1), far % max(len(prev), 1)
+                (p, p_held), (c, _) = h.find(prev), h.find(cur)
+                value = np.where(p_held, -h.lt[p], 0.0)
+                (i, i_hot), (j, j_hot) = h.frequent(prev), h.frequent(cur)
+                both = np.flatnonzero(i_hot & j_hot)
+                times = h.counts[i[both], j[both]]
+                gone = h.lt[p[both]] + h.la[p[both]] + np.log10(h.units[c[both]] / u.total)
+                value[both] += np.where(times > k, np.log10(np.maximum(times, 1)), np.where(times > 0, of[np.minimum(times, k)], gone))
+                score = np.bincount(doc, value[which], n)
                 # unigrams: the end, common words, and the hashes of the others
                 base = np.full(n, float(u.base(np.array(u.ends))))
                 common_ = u.base(u.counts[at[there]].astype(float)) if len(u.keys) else np.zeros(0)
@@ -286,57 +471,16 @@ def score_texts(
                 begin = np.flatnonzero(first)
                 times = np.diff(np.append(begin, len(rare)))
                 seen = np.bincount(w.doc[there], minlength=n) + int(u.ends > 0)
-                ids, out = batch.column(0).slice(lo, n), batch.column(1).slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(task + row + np.arange(n)), ids, out, pa.array(w.counts + 1), pa.array(seen), pa.array(base), pa.array(score),
+                        *[batch.column(c).slice(lo, n) for c in range(3)], pa.array(w.counts + 1), pa.array(seen), pa.array(base), pa.array(score),
                         *lists(rare_doc[begin], n, rare[begin].view(np.int64), times),
-                        *lists(far_doc, n, prev[far_at].view(np.int64), cur[far_at].view(np.int64), far_n),
                     ],
-                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n", "far_prev", "far_cur", "far_n"],
+                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
                 )
-                row += n
 
-    scored = rows.select("id", "held_out", "text").mapInArrow(
+    return rows.select("row", "id", "held_out", "text").mapInArrow(
         run,
         f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<long>, rare_n array<long>, far_prev array<long>, far_cur array<long>, far_n array<long>",
-    )
-    scored = keep(scored, "scored")
-    far = scored.select("row", F.explode(F.arrays_zip("far_prev", "far_cur", "far_n")).alias("x")).select(
-        "row", F.col("x.far_prev").alias("prev"), F.col("x.far_cur").alias("cur"), F.col("x.far_n").alias("times")
-    )
-    far = far.join(pairs.where(F.col("n") < least).select("prev", "cur", share.alias("kept")), ["prev", "cur"], "left")
-    far = far.join(F.broadcast(known), "prev", "left").join(F.broadcast(hot), F.col("cur") == F.col("word"), "left")
-    # what the held words tell, and keys of what others must
-    total = F.lit(float(u.total))
-    found = F.col("kept").isNotNull()
-    value = F.when(found, F.log10("kept") - F.coalesce("lt", F.lit(0.0))).otherwise(
-        F.coalesce("la", F.lit(0.0)) + F.coalesce(F.log10(F.col("units") / total), F.lit(0.0))
-    )
-    far = far.select(
-        "row", "times", found.alias("found"), (F.col("times") * value).alias("pairs"),
-        F.when(F.col("lt").isNull(), F.col("prev")).alias("prev"), F.when(~found & F.col("units").isNull(), F.col("cur")).alias("cur"),
-    )
-    far = keep(
-        far.groupBy("row", "prev", "cur", "found").agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs")), "far", drop_shuffles=True
-    )
-    none = F.lit(0).cast("long")
-    direct = far.select("row", F.lit(0.0).alias("base"), "pairs", none.alias("known"))
-    after = far.where("prev is not null").join(table, "prev").select(
-        "row", F.lit(0.0).alias("base"), (F.col("times") * F.when(F.col("found"), -F.col("lt")).otherwise(F.col("la"))).alias("pairs"), none.alias("known")
-    )
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
-    # words of a class score their share of it, all others score by bigrams
-    rare = rare.select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"), (F.lit(0) if u.inside is None else F.col("x.rare_n")).cast("long").alias("scored"))
-    rare = rare.union(far.where("cur is not null").select("row", "cur", none, "times"))
-    rare = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    chance = F.log10((F.col("n") + 1.0) / total)
-    rare = rare.select("row", (F.col("times") * chance).alias("base"), (F.col("scored") * chance).alias("pairs"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
-    more = direct.union(after).union(rare).groupBy("row").agg(F.sum("base").alias("base"), F.sum("pairs").alias("pairs"), F.sum("known").alias("known"))
-    out = scored.select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
-    return out.select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(u.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("pairs", F.lit(0.0))).alias("score"),
+        "rare array<long>, rare_n array<long>",
     )

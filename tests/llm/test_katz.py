@@ -125,7 +125,7 @@ class Whole(Slow):
         return kept[cur] / t if cur in kept else (t - s) / t / (1 - b) * self.pc(cur)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"common": 300, "cached": 200}])
+@pytest.mark.parametrize("bounds", [{}, {"common": 300, "cached": 200}, {"common": 300, "cached": 0, "longest": 3}])
 def test_every_word_has_bigrams(spark, monkeypatch, bounds):
     """26,000 words, far more than are frequent; the bounds on what tasks hold change nothing."""
     monkeypatch.setitem(globals(), "Slow", Whole)
@@ -149,6 +149,16 @@ def test_no_training_rows_and_no_rows(spark):
     assert katz.score_texts(fx.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [1, 2, 5, 1 << 20])
+def test_a_bigram_of_any_number_of_texts(spark, monkeypatch, longest):
+    """Bigrams of many texts, taught and not, gathered or passed on as they come."""
+    monkeypatch.setitem(globals(), "Slow", Whole)
+    docs = [(i, f"same words here {i % 3} w{i}" if i % 2 or out_of(i) else "other ones", "en", "s") for i in range(60)]
+    docs += [(i, "never taught pair", "en", "s") for i in range(60, 200) if out_of(i)]
+    rows = katz.score_texts(fx.frame(spark, docs), common=2, cached=4, longest=longest).collect()
+    check(rows, [(d[0], d[1]) for d in docs], 10**9)
+
+
 def test_discounts():
     assert katz.discounts({}, 5) == [1.0] * 5
     d = katz.discounts({1: 1000, 2: 300, 3: 150, 4: 90, 5: 60, 6: 40}, 5)
