@@ -16,7 +16,7 @@ from edgeline.session import scratch_path
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
+def keep(df: DataFrame, label: str, drop_shuffles: bool = False, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
     ``drop_shuffles`` frees the shuffle files of the job as soon as the table is
@@ -28,7 +28,7 @@ def keep(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     if drop_shuffles:
         spark.conf.set(FILE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         if drop_shuffles:
             spark.conf.set(FILE_CLEANUP, before)

@@ -20,7 +20,8 @@ Words are told apart by 64-bit hashes, bigrams by those of both words. The
 ``common`` most frequent words are held by each task, and so are the counts of all
 bigrams of the isqrt(``cached``) most frequent ones (fixed bounds, which change no
 result). All other bigrams of a text are dealt out once, by context, those of a
-frequent context by successor too, and read in order: a bigram's rows follow each
+frequent context by successor too, in ``shares`` jobs whose shuffle files do not lie
+on disk together, and read in order: a bigram's rows follow each
 other, so its count is known when its texts are told of it. A text needs only how
 many of its bigrams were seen 1, 2, .. times, as discounts come later, and which were
 never seen. A bigram with more than ``longest`` texts is not gathered: its texts meet
@@ -36,6 +37,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -176,6 +178,20 @@ class Held:
         """(index among the held words, whether it is one)."""
         return self._find(self.keys, words)
 
+    def code(self, words: np.ndarray) -> np.ndarray:
+        """A held word's index, which shuffles compress well, or the hash of another."""
+        at, there = self.find(words)
+        return np.where(there, at, words.view(np.int64))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        at, there = self.coded(codes)
+        return np.where(there, self.keys[at].view(np.int64), codes)
+
+    def coded(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find``, of codes."""
+        there = (codes >= 0) & (codes < len(self.keys))
+        return np.where(there, codes, 0), there
+
     def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index among the most frequent words, whether it is one)."""
         return self._find(self.hot, words)
@@ -203,8 +219,11 @@ def frequent_bigrams(train: DataFrame, words, held) -> np.ndarray:
     return out
 
 
-def bigrams(rows: DataFrame, words, held) -> DataFrame:
-    """(prev, part, cur, row, times) of the texts' bigrams that tasks do not hold; times are negative where a text teaches nothing."""
+def bigrams(rows: DataFrame, words, held, share: int = 0, shares: int = 1) -> DataFrame:
+    """(prev, part, cur, row, times) of the texts' bigrams that tasks do not hold, one of ``shares`` shares of them.
+
+    Words are codes of ``held``; times are negative where a text teaches nothing.
+    """
 
     def run(batches):
         u, h = words.value, held.value
@@ -214,13 +233,15 @@ def bigrams(rows: DataFrame, words, held) -> DataFrame:
             for lo, hi in slices(texts, 2 << 20):
                 prev, cur, which, doc = u.pairs(Words(texts[lo:hi]))
                 i_hot = h.frequent(prev)[1]
-                sent = ~(i_hot & h.frequent(cur)[1])[which]
+                mine = (np.where(i_hot, cur, prev) >> np.uint64(8)) % np.uint64(shares) == share
+                sent = (mine & ~(i_hot & h.frequent(cur)[1]))[which]
                 code, times = np.unique(which[sent] * (hi - lo) + doc[sent], return_counts=True)
                 pair, doc = code // (hi - lo), code % (hi - lo) + lo
                 part = np.where(i_hot, (cur % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+                prev, cur = h.code(prev), h.code(cur)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(prev[pair].view(np.int64)), pa.array(part[pair]), pa.array(cur[pair].view(np.int64)),
+                        pa.array(prev[pair]), pa.array(part[pair]), pa.array(cur[pair]),
                         pa.array(ids[doc]), pa.array(np.where(train[doc], times, -times)),
                     ],
                     names=["prev", "part", "cur", "row", "times"],
@@ -244,12 +265,13 @@ def counted(pairs: DataFrame, held, k: int, longest: int) -> DataFrame:
 
     def batch(kind: int, size: int, **values):
         zero = np.zeros(size, np.int64)
+        values = {c: held.value.decode(v) if c in ("prev", "cur") else v for c, v in values.items()}
         cols = {"kind": np.full(size, kind, np.int32), "x": np.zeros(size)} | values
         return pa.RecordBatch.from_arrays([pa.array(cols.get(c, zero)) for c in names], names=names)
 
     def successors(prev, cur, n):
         """Rows of contexts from bigrams, each once with its count."""
-        at, there = held.value.find(cur.view(np.uint64))
+        at, there = held.value.coded(cur)
         keys, out = sums(prev, n, np.ones(len(n)), n, k)
         b = np.zeros(len(keys), np.int64)
         np.add.at(b, np.searchsorted(keys, prev), np.where(there, held.value.units[at], 0))
@@ -349,19 +371,21 @@ def score_texts(
     cached: int = 1 << 20,
     k: int = 5,
     longest: int = 1 << 20,
+    shares: int = 2,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows of ``held_fold`` teach nothing."""
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), col(text_col).alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("id"), folds, held_fold))
-    rows = keep(rows.withColumn("train", ~F.col("held_out") & F.col("id").isNotNull()), "katz_texts")
+    rows = keep(rows.withColumn("train", ~F.col("held_out") & F.col("id").isNotNull()), "katz_texts", compression="zstd")
     counts = keep(unigrams(rows.where("train")), "unigrams", drop_shuffles=True)
     u = commonest(counts, vocabulary, common)
     words, h = broadcast(u), Held(u, cached)
     held = broadcast(h)
     h.counts = frequent_bigrams(rows.where("train"), words, held)
-    found = keep(counted(bigrams(rows, words, held), held, k, longest), "counted", drop_shuffles=True)
+    found = [keep(counted(bigrams(rows, words, held, i, shares), held, k, longest), "counted", drop_shuffles=True) for i in range(shares)]
+    tables, found = found, reduce(DataFrame.union, found)
 
     # contexts; the held bigrams' share of them is summed up here
     i, j = np.nonzero(h.counts)
@@ -419,7 +443,7 @@ def score_texts(
     )
     free(rows)
     out = keep(out, "katz_scores", drop_shuffles=True)
-    free(counts, found, table, near, scored)
+    free(counts, *tables, table, near, scored)
     return out
 
 
