@@ -94,19 +94,21 @@ class Unigrams:
             return np.zeros(len(at), bool)
         return ~there | ~self.inside[at] if len(self.keys) else np.ones(len(at), bool)
 
-    def pairs(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(prev, cur) of the bigrams of texts, ends included, each once; which of them each token ends; the token's text."""
+    def chain(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names in use, and of every token, ends included, the indexes of its context's and its own name and its text."""
         n = len(w.counts)
         words, which = np.unique(w.hash, return_inverse=True)
         names = np.concatenate([np.array([END, BEGIN], np.uint64), np.where(self.classed(*self.find(words)), np.uint64(OTHER), words)])
-        names, name = np.unique(names, return_inverse=True)
+        if self.inside is not None:
+            names, name = np.unique(names, return_inverse=True)
+        else:
+            name = np.arange(len(names))
         cur = np.full(len(w.hash) + n, name[0], np.int64)
         cur[np.arange(len(w.hash)) + w.doc] = name[which + 2]
         prev = np.empty_like(cur)
         prev[1:] = cur[:-1]
         prev[w.first[:-1] + np.arange(n)] = name[1]
-        pair, which = np.unique(prev * len(names) + cur, return_inverse=True)
-        return names[pair // len(names)], names[pair % len(names)], which, np.repeat(np.arange(n), w.counts + 1)
+        return names, prev, cur, np.repeat(np.arange(n), w.counts + 1)
 
 
 def held_out(id_: Column, folds: int, fold: int) -> Column:
@@ -206,10 +208,15 @@ def frequent_bigrams(train: DataFrame, words, held) -> np.ndarray:
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in slices(texts, 4 << 20):
-                prev, cur, which, _ = u.pairs(Words(texts[lo:hi]))
-                (i, i_hot), (j, j_hot) = h.frequent(prev), h.frequent(cur)
-                both = i_hot & j_hot
-                counts[i[both], j[both]] += np.bincount(which, minlength=len(prev))[both]
+                w = Words(texts[lo:hi])
+                at, there = h.frequent(w.hash) if u.inside is None else h.frequent(np.where(u.classed(*u.find(w.hash)), np.uint64(OTHER), w.hash))
+                (end, begin), ends = h.frequent(np.array([END, BEGIN], np.uint64))
+                cur = np.full(len(at) + hi - lo, end if ends[0] else -1)
+                cur[np.arange(len(at)) + w.doc] = np.where(there, at, -1)
+                prev = np.append(-1, cur[:-1])
+                prev[w.first[:-1] + np.arange(hi - lo)] = begin if ends[1] else -1
+                both = (prev >= 0) & (cur >= 0)
+                counts += np.bincount(prev[both] * len(counts) + cur[both], minlength=counts.size).reshape(counts.shape)
         i, j = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(counts[i, j])], names=["i", "j", "n"])
 
@@ -231,17 +238,19 @@ def bigrams(rows: DataFrame, words, held, share: int = 0, shares: int = 1) -> Da
             texts, ids = utf8(b.column(2)), b.column(0).to_numpy()
             train = b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts, 2 << 20):
-                prev, cur, which, doc = u.pairs(Words(texts[lo:hi]))
-                i_hot = h.frequent(prev)[1]
-                mine = (np.where(i_hot, cur, prev) >> np.uint64(8)) % np.uint64(shares) == share
-                sent = (mine & ~(i_hot & h.frequent(cur)[1]))[which]
-                code, times = np.unique(which[sent] * (hi - lo) + doc[sent], return_counts=True)
+                names, prev, cur, doc = u.chain(Words(texts[lo:hi]))
+                hot, of = h.frequent(names)[1], (names >> np.uint64(8)) % np.uint64(shares) == share
+                i_hot = hot[prev]
+                sent = np.where(i_hot, of[cur] & ~hot[cur], of[prev])
+                # a slice has at most 2^21 names and texts or one text, so this does not overflow
+                code, times = np.unique((prev[sent] * len(names) + cur[sent]) * (hi - lo) + doc[sent], return_counts=True)
                 pair, doc = code // (hi - lo), code % (hi - lo) + lo
-                part = np.where(i_hot, (cur % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
-                prev, cur = h.code(prev), h.code(cur)
+                prev, cur = pair // len(names), pair % len(names)
+                part = np.where(hot[prev], (names % np.uint64(PARTS)).astype(np.int32)[cur], 0).astype(np.int32)
+                codes = h.code(names)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(prev[pair]), pa.array(part[pair]), pa.array(cur[pair]),
+                        pa.array(codes[prev]), pa.array(part), pa.array(codes[cur]),
                         pa.array(ids[doc]), pa.array(np.where(train[doc], times, -times)),
                     ],
                     names=["prev", "part", "cur", "row", "times"],
@@ -292,49 +301,58 @@ def counted(pairs: DataFrame, held, k: int, longest: int) -> DataFrame:
         yield batch(UNSEEN, int(new.sum()), row=row[new], prev=prev[new], cur=cur[new], times=times[new])
 
     def run(batches):
-        waiting, size, long = [], 0, None  # long: the bigram being passed on as it comes, and its count so far
+        waiting, size, long = [], 0, None  # long: the key being passed on as it comes, and its bigrams' counts so far
 
         def portion(last: bool):
             nonlocal waiting, size, long
-            prev, cur, row, times = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            key, *cols = (np.concatenate(x) for x in zip(*waiting, strict=True))
             if long:
-                of = (prev == long[0]) & (cur == long[1])
-                if of.any():
-                    long = (*long[:2], long[2] + int(np.maximum(times[of], 0).sum()))
-                    yield batch(LATE, int(of.sum()), row=row[of], prev=prev[of], cur=cur[of], times=np.abs(times[of]))
-                    prev, cur, row, times = prev[~of], cur[~of], row[~of], times[~of]
-                if len(prev) or last:
+                head = int(np.searchsorted(key, long[0], "right"))
+                yield from late(*(x[:head] for x in cols))
+                key, cols = key[head:], [x[head:] for x in cols]
+                if len(key) or last:
                     yield from close()
-            cut = len(prev)
-            if cut and not last:
-                cut = int(np.argmax((prev == prev[-1]) & (cur == cur[-1])))
+            cut = len(key) if last or not len(key) else int(np.searchsorted(key, key[-1]))
             if cut:
-                yield from whole(prev[:cut], cur[:cut], row[:cut], times[:cut])
-            rest = [x[cut:] for x in (prev, cur, row, times)]
+                prev, cur = cols[0][:cut], cols[1][:cut]
+                if ((key[1:cut] == key[: cut - 1]) & ((prev[1:] != prev[:-1]) | (cur[1:] != cur[:-1]))).any():
+                    order = np.lexsort((cur, prev))
+                    yield from whole(*(x[:cut][order] for x in cols))
+                else:
+                    yield from whole(*(x[:cut] for x in cols))
+            rest = [x[cut:] for x in (key, *cols)]
             if len(rest[0]) > longest:
-                long = (int(rest[0][0]), int(rest[1][0]), int(np.maximum(rest[3], 0).sum()))
-                yield batch(LATE, len(rest[0]), row=rest[2], prev=rest[0], cur=rest[1], times=np.abs(rest[3]))
+                long = (rest[0][0], {})
+                yield from late(*rest[1:])
                 rest = [x[:0] for x in rest]
             waiting, size = [rest], len(rest[0])
 
+        def late(prev, cur, row, times):
+            for p, c in {*zip(prev.tolist(), cur.tolist(), strict=True)}:
+                n = np.maximum(times[(prev == p) & (cur == c)], 0).sum()
+                long[1][p, c] = long[1].get((p, c), 0) + int(n)
+            yield batch(LATE, len(row), row=row, prev=prev, cur=cur, times=np.abs(times))
+
         def close():
             nonlocal long
-            prev, cur, n = (np.array([x], np.int64) for x in long)
+            prev, cur, n = (np.array(x, np.int64) for x in zip(*((*pair, n) for pair, n in long[1].items()), strict=True))
             long = None
-            yield batch(COUNT, 1, prev=prev, cur=cur, times=n)
-            if n[0]:
-                yield from successors(prev, cur, n)
+            yield batch(COUNT, len(n), prev=prev, cur=cur, times=n)
+            yield from successors(prev[n > 0], cur[n > 0], n[n > 0])
 
         for b in batches:
-            waiting.append(tuple(b.column(c).to_numpy() for c in ("prev", "cur", "row", "times")))
+            waiting.append(tuple(b.column(c).to_numpy() for c in ("key", "prev", "cur", "row", "times")))
             size += b.num_rows
             if size >= 2 * min(longest, 1 << 18):
                 yield from portion(False)
         if waiting:
             yield from portion(True)
 
-    dealt = pairs.repartition("prev", "part").sortWithinPartitions("prev", "cur")
-    return dealt.select("prev", "cur", "row", "times").mapInArrow(run, schema)
+    # half of the key from either word: one number sorts faster than two; bigrams that share a key are told apart above
+    high = F.xxhash64("prev").bitwiseAND(F.lit(-1 << 32))
+    key = high.bitwiseOR(F.shiftrightunsigned(F.xxhash64("cur"), 32))
+    dealt = pairs.repartition("prev", "part").select(key.alias("key"), "prev", "cur", "row", "times").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, schema)
 
 
 def contexts(rows: DataFrame, frequent: DataFrame, counts: DataFrame, total: int, k: int) -> tuple[DataFrame, list[float]]:
@@ -470,15 +488,15 @@ def texts_scored(rows: DataFrame, words, model, d: list[float]) -> DataFrame:
                 n = hi - lo
                 w = Words(texts[lo:hi])
                 at, there = u.find(w.hash)
-                prev, cur, which, doc = u.pairs(w)
-                (p, p_held), (c, _) = h.find(prev), h.find(cur)
-                value = np.where(p_held, -h.lt[p], 0.0)
-                (i, i_hot), (j, j_hot) = h.frequent(prev), h.frequent(cur)
-                both = np.flatnonzero(i_hot & j_hot)
-                times = h.counts[i[both], j[both]]
-                gone = h.lt[p[both]] + h.la[p[both]] + np.log10(h.units[c[both]] / u.total)
+                names, prev, cur, doc = u.chain(w)
+                (p, p_held), (i, hot) = h.find(names), h.frequent(names)
+                value = np.where(p_held, -h.lt[p], 0.0)[prev]
+                both = np.flatnonzero(hot[prev] & hot[cur])
+                prev, cur = prev[both], cur[both]
+                times = h.counts[i[prev], i[cur]]
+                gone = (h.lt + h.la)[p[prev]] + np.log10(h.units[p[cur]] / u.total)
                 value[both] += np.where(times > k, np.log10(np.maximum(times, 1)), np.where(times > 0, of[np.minimum(times, k)], gone))
-                score = np.bincount(doc, value[which], n)
+                score = np.bincount(doc, value, n)
                 # unigrams: the end, common words, and the hashes of the others
                 base = np.full(n, float(u.base(np.array(u.ends))))
                 common_ = u.base(u.counts[at[there]].astype(float)) if len(u.keys) else np.zeros(0)
