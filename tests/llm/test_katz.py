@@ -159,6 +159,16 @@ def test_a_bigram_of_any_number_of_texts(spark, monkeypatch, longest):
     check(rows, [(d[0], d[1]) for d in docs], 10**9)
 
 
+@pytest.mark.parametrize("longest", [5, 1 << 20])
+def test_bigrams_that_share_a_key(spark, monkeypatch, longest):
+    monkeypatch.setitem(globals(), "Slow", Whole)
+    xxhash64 = katz.F.xxhash64
+    monkeypatch.setattr(katz.F, "xxhash64", lambda c: katz.F.pmod(xxhash64(c), katz.F.lit(2)) * (1 << 32))
+    docs = [(i, f"a{i % 5} b{i % 3} c{i % 7} d{i} never{i % 9}", "en", "s") for i in range(90)]
+    rows = katz.score_texts(fx.frame(spark, docs), common=2, cached=4, longest=longest).collect()
+    check(rows, [(d[0], d[1]) for d in docs], 10**9)
+
+
 def test_discounts():
     assert katz.discounts({}, 5) == [1.0] * 5
     d = katz.discounts({1: 1000, 2: 300, 3: 150, 4: 90, 5: 60, 6: 40}, 5)
