@@ -15,7 +15,11 @@ and the groups are read as they come: a group holds one row in memory. A first d
 smallest token shares no passage with the others, so groups of more than two
 windows are dealt out again by key and the smallest hash among the ``least`` - 1
 tokens on one side of c, within the window, for both sides and ``hashes`` further
-functions; each of these finer groups is linked to its own first document. A text
+functions; each of these finer groups is linked to its own first document. A window
+travels once, by its group's key and with its finer keys, and gives each link once,
+and none that its group has given: one task reads all finer groups of a group and
+holds the first window of each, up to a bound; finer groups beyond it are dealt
+out by their own keys. A text
 that equals an earlier one is linked to the first of its kind. Per document and first document the linked
 windows are joined as intervals: windows that overlap in both texts on nearby
 diagonals form a candidate if at least ``agree`` hash functions take part. The
@@ -247,23 +251,30 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
     return place & 15, c - ((place >> (4 + SIDE)) & REACH), c, c + ((place >> 4) & REACH)
 
 
+def marked(place: np.ndarray) -> np.ndarray:
+    """Places as negative numbers, which sort before all others; of such numbers the places."""
+    return ~place
+
+
 def lead_links(batches, held: int = 1 << 16):
     """Of rows (key, id, place) in this order: those of keys with several ids, each with its key's first row; ``many``: over two rows.
 
     A key's rows go out as they come, so one that very many rows have is never gathered.
+    Keys whose first row has a ``marked`` place are left out: their links are known.
     """
     rest = np.empty((3, 0), np.int64)
     going = None  # the key, first id and place of a group whose beginning went out
 
     def out(x: np.ndarray, first: np.ndarray, many: np.ndarray):
         names = ["key", "id", "place", "lead", "lead_place", "many"]
+        x[2] = np.maximum(x[2], marked(x[2]))
         return pa.RecordBatch.from_arrays([*(pa.array(v) for v in x), pa.array(first[0]), pa.array(first[1]), pa.array(many)], names=names)
 
     def groups(x: np.ndarray):
         """Complete groups."""
         edge = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
         size = np.diff(np.append(edge, x.shape[1]))
-        several = x[1, edge] != x[1, edge + size - 1]
+        several = (x[1, edge] != x[1, edge + size - 1]) & (x[2, edge] >= 0)
         row = np.repeat(several, size)
         return out(x[:, row], np.repeat(x[1:, edge[several]], size[several], axis=1), np.repeat(size[several] > 2, size[several]))
 
@@ -272,9 +283,9 @@ def lead_links(batches, held: int = 1 << 16):
         rest = x[:, :0]
         if going is not None and x.shape[1]:
             n = int(np.searchsorted(x[0], going[0], "right")) if x[0, 0] == going[0] else 0
-            if n:
+            if n and going[2] >= 0:
                 yield out(x[:, :n], np.repeat(going[1:, None], n, axis=1), np.ones(n, bool))
-                x = x[:, n:]
+            x = x[:, n:]
         if not x.shape[1]:
             continue
         if b is not None:
@@ -285,7 +296,8 @@ def lead_links(batches, held: int = 1 << 16):
             yield groups(x)
         if rest.shape[1] > max(held, 2) and rest[1, 0] != rest[1, -1]:
             going = rest[:, 0].copy()
-            yield out(rest, np.repeat(going[1:, None], rest.shape[1], axis=1), np.ones(rest.shape[1], bool))
+            if going[2] >= 0:
+                yield out(rest, np.repeat(going[1:, None], rest.shape[1], axis=1), np.ones(rest.shape[1], bool))
             rest = rest[:, :0]
 
 
@@ -296,6 +308,67 @@ def _and_end(batches):
     yield None
 
 
+def links_within(batches, held: int = 1 << 19):
+    """Of rows (key, id, place, finer keys) in order of the first three: links to the first row of each finer key, as (id, lead, items) with items (place, lead_place).
+
+    Links to a ``marked`` row, the first of its key, are known and left out. Of a key
+    with over ``held`` finer keys, those met later come back as rows (id, place, finer).
+    Links of one pair go out together, as far as ``held`` links are kept back.
+    """
+    kept, count = [], 0
+
+    def out(links: np.ndarray, apart: np.ndarray):
+        i, lead, place, lead_place = np.unique(links, axis=1)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (lead[1:] != lead[:-1])])[: len(i)]), len(i))
+        n = apart.shape[1]
+        items = pa.StructArray.from_arrays([pa.array(place), pa.array(lead_place)], names=["place", "lead_place"])
+        edges = pa.array(np.append(edge, np.full(n, len(i))).astype(np.int32))
+        cols = [(i[edge[:-1]], apart[0]), (pa.array(lead[edge[:-1]]), pa.nulls(n, pa.int64())), (pa.nulls(len(edge) - 1, pa.int64()), apart[1]), (pa.nulls(len(edge) - 1, pa.int64()), apart[2])]
+        cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for x, y in cols]
+        return pa.RecordBatch.from_arrays([*cols[:2], pa.ListArray.from_arrays(edges, items), *cols[2:]], names=["id", "lead", "items", "place", "finer"])
+
+    none = np.empty(0, np.int64)
+    now, seen, full = None, (none, none, none), False  # finer keys of the last key, ascending, with the id and place of their first rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, ids, place = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
+        finer = b.column(3).flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(key)), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        order = np.argsort(finer, kind="stable")
+        finer, row = finer[order], row[order]
+        head = np.flatnonzero(np.concatenate([[True], finer[1:] != finer[:-1]])[: len(finer)])
+        size = np.diff(np.append(head, len(row)))
+        kinds, lead, lead_place = finer[head], ids[row[head]], place[row[head]]
+        at = np.searchsorted(seen[0], kinds)
+        if len(seen[0]):
+            known = seen[0][np.minimum(at, len(seen[0]) - 1)] == kinds
+            lead, lead_place = lead.copy(), lead_place.copy()
+            lead[known], lead_place[known] = seen[1][at[known]], seen[2][at[known]]
+        else:
+            known = np.zeros(len(kinds), bool)
+        late = ~known & (key[row[head]] == now) if full else np.zeros(len(kinds), bool)
+        which = np.repeat(np.arange(len(kinds)), size)
+        fresh = ~late[which] & (ids[row] != lead[which]) & (lead_place[which] >= 0)
+        row_place = np.maximum(place, marked(place))
+        links = np.stack([ids[row[fresh]], lead[which[fresh]], row_place[row[fresh]], lead_place[which[fresh]]])
+        kept.append(np.unique(links, axis=1))
+        count += kept[-1].shape[1]
+        apart = late[which]
+        if count > held or apart.any():
+            yield out(np.concatenate(kept, axis=1), np.stack([ids[row[apart]], place[row[apart]], finer[apart]]))
+            kept, count = [], 0
+        if key[-1] != now:
+            now, full = key[-1], False
+            seen, at = (none, none, none), np.zeros(len(kinds), np.int64)
+        if not full:
+            new = ~known & (key[row[head]] == now)
+            seen = tuple(np.insert(x, at[new], v[new]) for x, v in zip(seen, (kinds, lead, lead_place), strict=True))
+            full = len(seen[0]) > held
+    if kept:
+        yield out(np.concatenate(kept, axis=1), np.empty((3, 0), np.int64))
+
+
 LEADS = "key long, id long, place long, lead long, lead_place long, many boolean"
 
 
@@ -352,7 +425,8 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
     firsts = names.groupBy("text_key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     same = keep(names.join(firsts, "text_key").where("id != lead").select("id", "lead"), "same", drop_shuffles=True)
     again = shared.where("many").join(same.select("id"), "id", "left_anti")
-    again = again.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
+    first_of_all = (F.col("id") == F.col("lead")) & (F.col("place") == F.col("lead_place"))
+    window = F.struct("key", "place", first_of_all.alias("first"))
     finer_seeds = [int(x) for x in mix(np.arange(hashes + 1, 2 * hashes + 1, dtype=np.uint64) * np.uint64(SEED))]
 
     def finer(batches):
@@ -362,6 +436,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
             begin = np.concatenate([[0], np.cumsum(sizes)])
             key, place = flat.field("key").to_numpy(), flat.field("place").to_numpy()
             _, l, c, r = unpacked(place)
+            place = np.where(flat.field("first").to_numpy(zero_copy_only=False), marked(place), place)
             for lo, hi in slices(texts, 1 << 18):
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
@@ -369,15 +444,25 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                 part = slice(begin[lo], begin[hi])
                 d = np.repeat(np.arange(hi - lo), sizes[lo:hi])
                 args = first[d] + c[part], c[part] - l[part], r[part] - c[part], key[part].view(np.uint64)
-                for which, finer_key in finer_keys(tokens, *args, least, finer_seeds):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(finer_key.view(np.int64)), pa.array(ids[lo + d[which]]), pa.array(place[begin[lo] + which])], names=["key", "id", "place"]
-                    )
-
-    fine = rows.join(again, "id").mapInArrow(finer, "key long, id long, place long")
-    fine = linked_to_leads(fine).where("id != lead").select(LINK)
-    # copies of one link come from several finer groups: one is enough
-    linked = shared.where("id != lead").select(LINK).union(fine).groupBy("id", "lead").agg(F.collect_set(F.struct("place", "lead_place")).alias("items"))
+                found = list(finer_keys(tokens, *args, least, finer_seeds))
+                which, keys = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+                order = np.argsort(which, kind="stable")
+                edge = np.searchsorted(which[order], np.arange(len(d) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[lo + d]), pa.array(place[part]), lists], names=["key", "id", "place", "finer"])
+
+    mine = again.groupBy("id").agg(F.collect_list(window).alias("windows"))
+    fine = rows.join(mine, "id").mapInArrow(finer, "key long, id long, place long, finer array<long>")
+    fine = fine.repartition("key").sortWithinPartitions("key", "id", "place")
+    fine = fine.mapInArrow(links_within, "id long, lead long, items array<struct<place:long,lead_place:long>>, place long, finer long")
+    fine = keep(fine, "links", drop_shuffles=True)
+    linked = shared.where("id != lead").select(LINK)
+    apart = fine.where("finer IS NOT NULL").select(F.col("finer").alias("key"), "id", "place")
+    if not apart.isEmpty():
+        linked = linked.union(linked_to_leads(apart).where("id != lead").select(LINK))
+    # copies of one link come from several groups: one is enough
+    linked = linked.select("id", "lead", F.array(F.struct("place", "lead_place")).alias("items")).union(fine.where("finer IS NULL").select("id", "lead", "items"))
+    linked = linked.groupBy("id", "lead").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     if not plain:
         a, b = (names.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in ("id", "lead"))
         linked = linked.join(a, "id").join(b, "lead").where("own_id != own_lead")
@@ -406,7 +491,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
     candidates = linked.mapInArrow(join_intervals, "id long, lo long, hi long, lead long, llo long, lhi long")
     a, b = (names.select(F.col("id").alias(x), F.col("text_key").alias(k)) for x, k in (("id", "key_a"), ("lead", "key_b")))
     candidates = keep(candidates.join(a, "id").join(b, "lead"), "candidates", drop_shuffles=True)
-    free(shared)
+    free(shared, fine)
     # equal texts need no comparison of tokens, other candidates do
     near = candidates.where("key_a != key_b").select("id", "lo", "hi", "lead", "llo", "lhi").distinct()
     near = keep(near.withColumn("pair", F.monotonically_increasing_id()), "near", drop_shuffles=True)

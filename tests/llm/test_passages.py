@@ -304,6 +304,55 @@ def test_groups_are_read_as_they_come():
             assert [g[5] for g in got] == [bool(w[5]) for w in want]
 
 
+def test_keys_that_begin_with_a_marked_row_are_left_out():
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 3], [4, 3, 3])
+    ids = np.array([5, 6, 7, 7, 1, 2, 3, 4, 5, 6])
+    place = np.array([passages.marked(9), 1, 2, 3, 4, 5, 6, passages.marked(7), 8, 9])
+    for size in (1, 3, 100):
+        for held in (1, 1 << 16):
+            cuts = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, ids, place)], names=["key", "id", "place"]) for i in range(0, len(key), size)]
+            got = [tuple(r.values())[:5] for b in passages.lead_links(cuts, held) for r in b.to_pylist()]
+            assert got == [(2, 1, 4, 1, 4), (2, 2, 5, 1, 4), (2, 3, 6, 1, 4)]
+
+
+def test_links_within_a_group_come_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(k), int(i), int(p)) for k, i, p in zip(rng.integers(0, 30, 600), rng.integers(0, 50, 600), rng.integers(0, 1 << 40, 600), strict=True)})
+    finer = [[int(k) * 100 + int(v) for v in rng.integers(0, 6, rng.integers(0, 9))] for k, _, _ in rows]
+    heads = {k: (i, p) for k, i, p in reversed(rows)}
+    want, first = set(), {}
+    for (k, i, p), keys in zip(rows, finer, strict=True):
+        for f in keys:
+            lead = first.setdefault(f, (i, p))
+            if lead[0] != i and lead != heads[k]:
+                want.add((i, lead[0], p, lead[1]))
+    assert want
+    cols = [np.array([r[n] for r in rows]) for n in range(3)]
+    cols[2] = np.array([passages.marked(np.int64(p)) if heads[k] == (i, p) else p for k, i, p in rows])
+    for size in (1, 7, 100, 5000):
+        cuts = [
+            pa.RecordBatch.from_arrays([*(pa.array(x[i : i + size]) for x in cols), pa.array(finer[i : i + size], pa.list_(pa.int64()))], names=["key", "id", "place", "finer"])
+            for i in range(0, len(rows), size)
+        ]
+        got = [r for b in passages.links_within(cuts) for r in b.to_pylist()]
+        links = [(r["id"], r["lead"], x["place"], x["lead_place"]) for r in got for x in r["items"]]
+        assert all(r["finer"] is None for r in got) and len(links) == len(want) and set(links) == want
+        assert len(got) == len({w[:2] for w in want})
+        for held in (0, 3):
+            got = [r for b in passages.links_within(cuts, held) for r in b.to_pylist()]
+            later = sorted((r["finer"], r["id"], r["place"]) for r in got if r["finer"] is not None)
+            assert bool(later) == (size < 100)
+            batch = pa.RecordBatch.from_arrays([pa.array([x[n] for x in later], pa.int64()) for n in range(3)], names=["key", "id", "place"])
+            more = [tuple(r.values()) for b in passages.lead_links([batch]) for r in b.to_pylist()]
+            links = {(r["id"], r["lead"], x["place"], x["lead_place"]) for r in got if r["finer"] is None for x in r["items"]}
+            assert links | {(m[1], m[3], m[2], m[4]) for m in more if m[1] != m[3]} == want
+    assert sum(b.num_rows for b in passages.links_within([])) == 0
+
+
 def test_windows_as_numbers():
     c, left, right, k = np.array([0, 5, 1 << 30]), np.array([0, 5, 9000]), np.array([3, 0, 1 << 20]), np.array([0, 15, 3])
     place = passages.packed(c, left, right, k, 92)
