@@ -355,16 +355,15 @@ def attacker_hours(paths: AttackerPaths, kind: str, waf_like: DataFrame, bot_lik
         parts = ["signal_date", "bucket"]
         stored = stored.join(fresh.select(*parts).distinct(), parts, "left_semi").withColumn("attacker", _attacker())
         kept = stored.join(touched, key, "left_anti").select(*fresh.columns)
-        _write_buckets(kept.unionByName(fresh), paths.hours, parts)
+        _write_buckets(cut_lineage(kept).unionByName(fresh), paths.hours, parts)
 
     return handle
 
 
 def _write_buckets(rows: DataFrame, path: str, parts: list[str]) -> None:
-    """Replace the partitions that ``rows`` fall into, and no others."""
+    """Replace the partitions that ``rows``, which may not be read from the table itself, fall into, and no others."""
     (
-        cut_lineage(rows)
-        .hint("rebalance", *[F.col(p) for p in parts])
+        rows.hint("rebalance", *[F.col(p) for p in parts])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)

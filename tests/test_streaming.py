@@ -293,3 +293,20 @@ def test_profiles_from_hours_equal_those_from_events(spark, folder):
         assert len({f.parent for f in (now ^ files[p])}) == 1, p
     whole[0] = spark.createDataFrame([*waf, late], ATTACK)
     assert rows(spark.read.parquet(paths.profiles).select(*cols)) == rows(security.attacker_correlation(*whole, as_of=end, **window))
+
+
+def test_counted_hours_are_kept_once(spark, tmp_path, monkeypatch):
+    """Only rows read from the table that is overwritten are kept beside the counted ones."""
+    waf, bot = attacks(6)
+    paths = jobs.AttackerPaths(*[f"{tmp_path}/{n}" for n in ("waf", "bot", "hours", "profiles")], buckets=4)
+    likes = [spark.createDataFrame([], ATTACK), spark.createDataFrame([], BOT_ATTACK)]
+    kept, cut = [], jobs.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(jobs, "cut_lineage", counted)
+    jobs.attacker_hours(paths, "waf", *likes)(spark.createDataFrame(waf, ATTACK), 0)
+    assert sum(kept) == spark.read.parquet(paths.hours).count() > 0
