@@ -16,6 +16,9 @@ smallest token shares no passage with the others, so groups of more than two
 windows are dealt out again by key and the smallest hash among the ``least`` - 1
 tokens on one side of c, within the window, for both sides and ``hashes`` further
 functions; each of these finer groups is linked to its own first document. A window
+with the tokens of its group's first one on both sides is in that one's finer groups,
+whose links are known, and is not dealt out again: windows travel with a hash of these
+tokens, of 32 bits. A window
 travels once, by its group's key and with its finer keys, and gives each link once,
 and none that its group has given: one task reads all finer groups of a group and
 holds the first window of each, up to a bound; finer groups beyond it are dealt
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from edgeline.llm.common import Words, col, free, keep, mix, slices, utf8
+from edgeline.llm.common import Words, _powers, col, free, keep, mix, slices, utf8
 
 SEED = 0xA0761D6478BD642F
 #: A window as one number: c, then how far it reaches to the left and to the right, then the hash function.
@@ -240,6 +243,20 @@ def finer_keys(tokens: np.ndarray, where: np.ndarray, left: np.ndarray, right: n
                 yield lo + n, mix(key[part][n] ^ mix(smallest[n] + np.uint64(2 * s + side)))
 
 
+def token_sums(tokens: np.ndarray) -> np.ndarray:
+    """What ``contents`` needs of the tokens of some texts."""
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * _powers(len(tokens))[0][: len(tokens)], out=sums[1:])
+    return sums
+
+
+def contents(sums: np.ndarray, where: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the tokens that ``finer_keys`` looks at, so windows of a group with equal ones have equal finer keys."""
+    left, right = np.minimum(left, least - 1), np.minimum(right, least - 1)
+    span = (sums[where + right + 1] - sums[where - left]) * _powers(len(sums))[1][where - left]
+    return (mix(span ^ mix((left * least + right).astype(np.uint64))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def packed(c: np.ndarray, left: np.ndarray, right: np.ndarray, k: np.ndarray | int, most: int) -> np.ndarray:
     """Windows as numbers that sort by c. A reach beyond ``most`` is cut to it, as no candidate extends further."""
     return (c << 32) | (np.minimum(left, most) << (4 + SIDE)) | (np.minimum(right, most) << 4) | k
@@ -260,15 +277,18 @@ def lead_links(batches, held: int = 1 << 16):
     """Of rows (key, id, place) in this order: those of keys with several ids, each with its key's first row; ``many``: over two rows.
 
     A key's rows go out as they come, so one that very many rows have is never gathered.
+    With a fourth column, ``contents``, rows that have their key's first row's are not ``many``, but for that row.
     Keys whose first row has a ``marked`` place are left out: their links are known.
     """
-    rest = np.empty((3, 0), np.int64)
+    rest = None
     going = None  # the key, first id and place of a group whose beginning went out
 
     def out(x: np.ndarray, first: np.ndarray, many: np.ndarray):
         names = ["key", "id", "place", "lead", "lead_place", "many"]
         x[2] = np.maximum(x[2], marked(x[2]))
-        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in x), pa.array(first[0]), pa.array(first[1]), pa.array(many)], names=names)
+        if len(x) > 3:
+            many = many & ((x[3] != first[2]) | ((x[1] == first[0]) & (x[2] == first[1])))
+        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in x[:3]), pa.array(first[0]), pa.array(first[1]), pa.array(many)], names=names)
 
     def groups(x: np.ndarray):
         """Complete groups."""
@@ -279,7 +299,13 @@ def lead_links(batches, held: int = 1 << 16):
         return out(x[:, row], np.repeat(x[1:, edge[several]], size[several], axis=1), np.repeat(size[several] > 2, size[several]))
 
     for b in _and_end(batches):
-        x = rest if b is None else np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], axis=1)
+        if b is not None:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            x = x if rest is None else np.concatenate([rest, x], axis=1)
+        elif rest is None:
+            return
+        else:
+            x = rest
         rest = x[:, :0]
         if going is not None and x.shape[1]:
             n = int(np.searchsorted(x[0], going[0], "right")) if x[0, 0] == going[0] else 0
@@ -373,7 +399,7 @@ LEADS = "key long, id long, place long, lead long, lead_place long, many boolean
 
 
 def linked_to_leads(windows: DataFrame) -> DataFrame:
-    """``lead_links`` of (key, id, place), dealt out once by key."""
+    """``lead_links`` of (key, id, place[, contents]), dealt out once by key."""
     return windows.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(lead_links, LEADS)
 
 
@@ -412,13 +438,15 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                 w = Words(texts[lo:hi])
                 tokens, at = w.shingles(shingle)
                 first = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
+                sums = token_sums(tokens)
                 for k, seed in enumerate(seeds):
                     v = mix(tokens ^ np.uint64(seed))
                     d, l, c, r = compact_windows(v, first, least)
-                    place = packed(c, c - l, r - c, k, 2 * least)
-                    yield pa.RecordBatch.from_arrays([pa.array(v[first[d] + c].view(np.int64)), pa.array(ids[lo + d]), pa.array(place)], names=["key", "id", "place"])
+                    place, where = packed(c, c - l, r - c, k, 2 * least), first[d] + c
+                    cols = v[where].view(np.int64), ids[lo + d], place, contents(sums, where, c - l, r - c, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "id", "place", "contents"])
 
-    found = rows.mapInArrow(windows, "key long, id long, place long")
+    found = rows.mapInArrow(windows, "key long, id long, place long, contents int")
     shared = keep(linked_to_leads(found), "windows", drop_shuffles=True)
 
     # groups of more than two windows again, in finer groups; of equal texts the first stands for all

@@ -359,3 +359,38 @@ def test_windows_as_numbers():
     assert (np.diff(place) > 0).all()
     got = passages.unpacked(place)
     assert [x.tolist() for x in got] == [[0, 15, 3], [0, 0, (1 << 30) - 92], c.tolist(), [3, 5, (1 << 30) + 92]]
+
+
+def test_windows_of_equal_contents_have_equal_finer_keys():
+    rng = np.random.default_rng(11)
+    least, far = 6, 40
+    tokens = rng.integers(0, 3, 4000).astype(np.uint64)
+    sums = passages.token_sums(tokens)
+    where = np.arange(far, len(tokens) - far)
+    left, right = rng.integers(0, 12, (2, len(where)))
+    got = passages.contents(sums, where, left, right, least).tolist()
+    seen = {}
+    for p, a, b, h in zip(where.tolist(), np.minimum(left, least - 1).tolist(), np.minimum(right, least - 1).tolist(), got, strict=True):
+        seen.setdefault(h, set()).add((a, *tokens[p - a : p + b + 1].tolist()))
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) < len(where)
+    key = np.zeros(len(where), np.uint64)
+    finer = {}
+    for n, k in passages.finer_keys(tokens, where, left, right, key, least, [5, 6]):
+        for i, x in zip(n.tolist(), k.tolist(), strict=True):
+            finer.setdefault(i, []).append(x)
+    assert len({(h, tuple(sorted(finer.get(i, ())))) for i, h in enumerate(got)}) == len(seen)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+@pytest.mark.parametrize("held", [2, 1 << 16])
+def test_windows_with_the_contents_of_their_first_are_not_dealt_out_again(batch, held):
+    rows = [(1, 1, 10, 7), (1, 1, 30, 7), (1, 2, 10, 7), (1, 3, 10, 8), (1, 4, 10, 7), (2, 5, 1, 3), (2, 6, 1, 3), (3, 7, 1, 4)]
+    cols = np.array(rows).T
+    batches = [
+        passages.pa.RecordBatch.from_arrays([*(passages.pa.array(c[i : i + batch]) for c in cols[:3]), passages.pa.array(cols[3, i : i + batch].astype(np.int32))], names=["key", "id", "place", "contents"])
+        for i in range(0, len(rows), batch)
+    ]
+    got = [tuple(r.values()) for b in passages.lead_links(batches, held) for r in b.to_pylist()]
+    want = [(1, 1, 10, 1, 10, True), (1, 1, 30, 1, 10, False), (1, 2, 10, 1, 10, False), (1, 3, 10, 1, 10, True), (1, 4, 10, 1, 10, False), (2, 5, 1, 5, 1, False), (2, 6, 1, 5, 1, False)]
+    assert got == want
+    assert list(passages.lead_links([])) == []
