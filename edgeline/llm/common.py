@@ -127,6 +127,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def word_counts(texts: list[bytes]) -> np.ndarray:
+    """How many words ``[^\\x20\\x09-\\x0D]+`` each text has."""
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    inside = ~_SPACE[np.frombuffer(b"".join(texts), np.uint8)]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    begin = offsets[:-1][offsets[:-1] < len(inside)]
+    starts[begin] = inside[begin]
+    return np.diff(np.concatenate([[0], np.cumsum(starts)])[offsets])
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: where they start and end, whose they are, their hashes.
 

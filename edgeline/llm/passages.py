@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from edgeline.llm.common import Words, _powers, col, free, keep, mix, slices, utf8
+from edgeline.llm.common import Words, _powers, col, free, keep, mix, slices, utf8, word_counts
 
 SEED = 0xA0761D6478BD642F
 #: A window as one number: c, then how far it reaches to the left and to the right, then the hash function.
@@ -395,6 +395,16 @@ def links_within(batches, held: int = 1 << 19):
         yield out(np.concatenate(kept, axis=1), np.empty((3, 0), np.int64))
 
 
+def distinct_links(sizes: np.ndarray, place: np.ndarray, lead_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins of the pairs, place, lead_place) of the links of some pairs, ``sizes`` each: copies come from several groups, one is kept."""
+    pair = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((lead_place, place, pair))
+    pair, place, lead_place = pair[order], place[order], lead_place[order]
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[1:] != pair[:-1]) | (place[1:] != place[:-1]) | (lead_place[1:] != lead_place[:-1])
+    return np.searchsorted(pair[fresh], np.arange(len(sizes) + 1)), place[fresh], lead_place[fresh]
+
+
 LEADS = "key long, id long, place long, lead long, lead_place long, many boolean"
 
 
@@ -403,6 +413,14 @@ def linked_to_leads(windows: DataFrame) -> DataFrame:
     return windows.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(lead_links, LEADS)
 
 
+def count_words(batches):
+    """(id, words) of rows (id, text)."""
+    for b in batches:
+        texts = utf8(b.column(1))
+        n = [word_counts(texts[lo:hi]) for lo, hi in slices(texts)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64())], names=["id", "words"])
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
     """(rows (id, text), names (id, text_key[, own]), whether ids stand for texts).
 
@@ -488,9 +506,8 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
     apart = fine.where("finer IS NOT NULL").select(F.col("finer").alias("key"), "id", "place")
     if not apart.isEmpty():
         linked = linked.union(linked_to_leads(apart).where("id != lead").select(LINK))
-    # copies of one link come from several groups: one is enough
     linked = linked.select("id", "lead", F.array(F.struct("place", "lead_place")).alias("items")).union(fine.where("finer IS NULL").select("id", "lead", "items"))
-    linked = linked.groupBy("id", "lead").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    linked = linked.groupBy("id", "lead").agg(F.flatten(F.collect_list("items")).alias("items"))
     if not plain:
         a, b = (names.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in ("id", "lead"))
         linked = linked.join(a, "id").join(b, "lead").where("own_id != own_lead")
@@ -505,12 +522,12 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                 # some pairs at a time, as a pair may have very many links
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + 20_000, "right")) - 1)
                 part = flat.slice(edge[lo], edge[hi] - edge[lo])
-                mine, other = (unpacked(part.field(x).to_numpy()) for x in ("place", "lead_place"))
-                items = list(zip(*(x.tolist() for x in (*mine, *other[1:])), strict=True))
+                begin, mine, other = distinct_links(sizes[lo:hi], *(part.field(x).to_numpy() for x in ("place", "lead_place")))
+                items = list(zip(*(x.tolist() for x in (*unpacked(mine), *unpacked(other)[1:])), strict=True))
                 out = [], [], [], [], [], []
                 for n in range(lo, hi):
                     i, lead = b.column(0)[n].as_py(), b.column(1)[n].as_py()
-                    for c in chains(items[edge[n] - edge[lo] : edge[n + 1] - edge[lo]], least, agree):
+                    for c in chains(items[begin[n - lo] : begin[n - lo + 1]], least, agree):
                         for column, v in zip(out, (i, *c[:2], lead, *c[2:]), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "lo", "hi", "lead", "llo", "lhi"])
@@ -577,8 +594,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
     shape = "id long, start long, stop long, other long, other_start long, other_stop long, similarity double"
     near_found = cuts.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(verify, shape)
     near_found = keep(near_found, "near_passages", drop_shuffles=True)
-    count = F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')").cast("long")
-    words = rows.select("id", count.alias("words")).where(F.col("words") >= min_words)
+    words = rows.mapInArrow(count_words, "id long, words long").where(F.col("words") >= min_words)
     copies = equal.join(words, "id").select(
         "id", F.lit(0).cast("long").alias("start"), F.col("words").alias("stop"), F.col("lead").alias("other"),
         F.lit(0).cast("long").alias("other_start"), F.col("words").alias("other_stop"), F.lit(1.0).alias("similarity"),

@@ -361,6 +361,29 @@ def test_windows_as_numbers():
     assert [x.tolist() for x in got] == [[0, 15, 3], [0, 0, (1 << 30) - 92], c.tolist(), [3, 5, (1 << 30) + 92]]
 
 
+def test_links_of_a_pair_that_several_groups_gave_count_once():
+    rng = np.random.default_rng(8)
+    sizes = np.array([3000, 0, 5, 40_000, 1, 0])
+    place, lead = rng.integers(-40, 40, (2, sizes.sum()))
+    begin, p, q = passages.distinct_links(sizes, place, lead)
+    edge = np.append(0, np.cumsum(sizes))
+    assert len(begin) == len(sizes) + 1 and begin[-1] == len(p) == len(q)
+    for n in range(len(sizes)):
+        want = set(zip(place[edge[n] : edge[n + 1]].tolist(), lead[edge[n] : edge[n + 1]].tolist(), strict=True))
+        assert list(zip(p[begin[n] : begin[n + 1]].tolist(), q[begin[n] : begin[n + 1]].tolist(), strict=True)) == sorted(want)
+    assert [len(x) for x in passages.distinct_links(sizes[:0], place[:0], lead[:0])] == [1, 0, 0]
+
+
+def test_words_are_counted_as_spark_counts_them(spark):
+    texts = ["", " ", "a", " a", "a ", "\x0bé\x1cü ñ o\t\n日本 語", "  ", "one two", "three", "", "x\x00y\x0c\x0cz ", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    want = rows.selectExpr("id", r"cast(regexp_count(text, '[^\\x20\\x09-\\x0D]+') as long) AS words")
+    got = rows.mapInArrow(passages.count_words, "id long, words long")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.where("id >= 100").count() == 0
+    assert passages.word_counts([]).tolist() == [] and passages.word_counts([b"", b""]).tolist() == [0, 0]
+
+
 def test_windows_of_equal_contents_have_equal_finer_keys():
     rng = np.random.default_rng(11)
     least, far = 6, 40
