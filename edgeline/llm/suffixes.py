@@ -15,7 +15,7 @@ pivot, by the 40 high bits of the hash and the leftmost of equals; equal windows
 equal ones meet. Pivots that occur in one document only are dropped before any
 text moves, as their windows have no copy in another. Neighbouring windows with
 one pivot travel as one string of at most 2 * length - gram bytes. A task sorts
-the suffixes of such strings, pivots complete, a few megabytes at a time; equal
+the suffixes of such strings, pivots complete, about a megabyte at a time; equal
 strings are sorted once, and strings of whose windows no other document has one
 with the same hash are not sorted. A recursion deeper than ``length`` bytes is not needed.
 
@@ -43,6 +43,8 @@ from edgeline.llm.common import _powers, col, keep, mix, slices
 
 #: The low bits of a pivot's key that hold its place: fixed, so that the order of two strings depends on nothing else.
 PLACES = np.uint64((1 << 24) - 1)
+#: Numbers below it are sorted as they are; pairs and triples of larger ones are numbered first.
+WHOLE = 1 << 62
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -54,8 +56,9 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     ones, twos = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)
     cover = np.concatenate([ones, twos])
     wide = int(t.max()) + 1
-    _, pair = np.unique(t[cover] * wide + t[cover + 1], return_inverse=True)
-    key, name = np.unique(pair * wide + t[cover + 2], return_inverse=True)
+    pair = t[:-1] * wide + t[1:]
+    begin = pair[cover] if wide**3 < WHOLE else np.unique(pair[cover], return_inverse=True)[1]
+    key, name = np.unique(begin * wide + t[cover + 2], return_inverse=True)
     if len(key) < len(cover) and depth > 3:
         name = name + 1
         # suffixes starting at ones come before those at twos; a zero triple ends the first half
@@ -63,7 +66,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(cover), np.int64)
         rank[order] = np.arange(1, len(cover) + 1)
     else:
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         rank = name + 1
     at = np.zeros(n + 3, np.int64)
     at[cover] = rank
@@ -71,10 +74,12 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     cover = cover[cover < n]
     zeros = np.arange(0, n, 3)
     many = int(at.max()) + 1
-    zeros = zeros[np.argsort(t[zeros] * many + at[zeros + 1], kind="stable")]
+    zeros = zeros[np.argsort(t[zeros] * many + at[zeros + 1])]
     # a zero against a one: first number, then the ranks behind; against a two: two numbers, then the ranks
     one, two = cover[cover % 3 == 1], cover[cover % 3 == 2]
-    _, both = np.unique(np.concatenate([t[zeros] * wide + t[zeros + 1], t[two] * wide + t[two + 1]]), return_inverse=True)
+    both = pair[np.concatenate([zeros, two])]
+    if wide * wide * many >= WHOLE:
+        both = np.unique(both, return_inverse=True)[1]
     zero_two = both[: len(zeros)] * many + at[zeros + 2]
     two_two = both[len(zeros) :] * many + at[two + 2]
     behind = np.searchsorted(t[one] * many + at[one + 1], t[zeros] * many + at[zeros + 1])
@@ -99,7 +104,7 @@ def grams(raw: np.ndarray, gram: int) -> np.ndarray:
 class Pivots:
     """Runs of neighbouring windows with one pivot: text number, first window, windows, the pivot's hash."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int, at_once: int = 1 << 23):
+    def __init__(self, texts: list[bytes], length: int, gram: int, at_once: int = 1 << 16):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -124,7 +129,7 @@ class Pivots:
         pivot = (best & PLACES).astype(np.int64)[:n]
         # windows that lie in one text
         place = np.arange(base, base + n)
-        owner = np.searchsorted(offsets, place, "right") - 1
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, base, base + n)))
         inside = place + length <= offsets[owner + 1]
         fresh = inside.copy()
         fresh[1:] &= (pivot[1:] != pivot[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
@@ -202,7 +207,7 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     return named.join(least, "sha").where("first < id").groupBy("id").agg(F.collect_set("sha").alias("shas"))
 
 
-def spans_of(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = 50_000, held: int = 4 << 20) -> DataFrame:
+def spans_of(docs: DataFrame, length: int = 50, gram: int = 24, hot: int = 50_000, held: int = 1 << 20) -> DataFrame:
     """docs(id, text as bytes, copy, key) -> (id, spans): the byte ranges [lo, hi) that go, unmerged.
 
     ``key`` tells texts of one id apart; a range names the key of its text.

@@ -1,5 +1,7 @@
 import hashlib
+import inspect
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,3 +106,39 @@ def test_strings_without_a_shared_window_are_left_out():
     item, at = suffixes.copies(text, owner, 40)
     assert set(zip(item.tolist(), at.tolist(), strict=True)) == {(2, 12)}
     assert [len(x) for x in suffixes.copies([b"q" * 60, b"r" * 60], np.array([1, 2]), 40)] == [0, 0]
+
+
+def test_a_portion_of_strings_is_sorted_in_little_memory():
+    held = inspect.signature(suffixes.spans_of).parameters["held"].default
+    rng = np.random.default_rng(1)
+    text, size = [], 0
+    while size < held:
+        base = rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+        text += [base[:n] for n in rng.integers(52, 61, 2)]
+        size += len(text[-1]) + len(text[-2])
+    tracemalloc.start()
+    suffixes.copies(text, np.arange(len(text)), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 62])
+def test_suffix_order_of_numbers_too_large_to_pair(monkeypatch, whole):
+    monkeypatch.setattr(suffixes, "WHOLE", whole)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 10, 200):
+        for most in (2, 5, 1 << 20):
+            s = rng.integers(1, most + 1, n)
+            assert suffixes.suffix_order(s, n + 3).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+def test_portions_of_a_text_have_the_same_windows():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 30, 700, 49, 50, 2000, 0)]
+
+    def windows(at_once):
+        p = suffixes.Pivots(texts, 50, 24, at_once)
+        return [(d, s + i, h) for d, s, w, h in zip(p.doc.tolist(), p.start.tolist(), p.windows.tolist(), p.hash.tolist(), strict=True) for i in range(w)]
+
+    assert windows(100) == windows(1 << 23) and len(windows(100)) == 651 + 1 + 1951
