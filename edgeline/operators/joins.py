@@ -6,7 +6,7 @@ so AQE decides from the measured size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeline.functions import scalars as S
@@ -17,6 +17,9 @@ POLICY_REF = ["tenant_id", "policy_type", "policy_namespace", "policy_name"]
 POLICY_TYPES = ["app_firewall", "service_policy", "bot_defense_policy", "api_definition"]
 # copies of the RE site list a hot tenant's pools are spread over
 SITE_SALTS = 16
+# in this order health rows are sorted and joined: the few tenants tell few rows apart
+POOL = ["pool_id", "tenant_id"]
+ORIGIN = ["pool_id", "origin_address", "origin_port", "tenant_id"]
 
 
 def all_policies(by_type: dict[str, DataFrame]) -> DataFrame:
@@ -227,6 +230,24 @@ def health_matrix(origin_health: DataFrame) -> DataFrame:
 NO_PROBE = "no probe"
 
 
+def _pool_sites(probed: DataFrame) -> DataFrame:
+    """The sites of each pool as one sorted array."""
+    return probed.groupBy(*POOL).agg(F.array_sort(F.collect_set("site_name")).alias("sites"))
+
+
+def _origins(probed: DataFrame, **found: Column) -> DataFrame:
+    """One row per origin with aggregates of its cells.
+
+    A window over sorted cells: with nearly as many origins as cells, object
+    aggregates would be built, written and sorted once more for each.
+    """
+    cells = Window.partitionBy(*ORIGIN).orderBy("site_name")
+    every = cells.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.lead("site_name").over(cells).isNull().alias("last")
+    rows = probed.select(*ORIGIN, last, *[agg.over(every).alias(name) for name, agg in found.items()])
+    return rows.where("last").drop("last")
+
+
 def health_grid(origin_health: DataFrame) -> DataFrame:
     """Every origin of a pool with every site of the pool; a cell without a probe says ``no probe``.
 
@@ -261,21 +282,17 @@ def health_grid_by_origin(origin_health: DataFrame) -> DataFrame:
     For callers that show large pools grouped; it holds what ``health_grid`` does
     and builds no cell for a missing probe.
     """
-    key = ["tenant_id", "pool_id"]
-    origin = [*key, "origin_address", "origin_port"]
     probed = origin_health.filter(F.col("site_name").isNotNull())
-    status = F.col("classified_status")
-    origins = probed.groupBy(*origin).agg(
-        F.count_if(status == "healthy").alias("healthy"),
-        F.count("*").alias("probes"),
-        F.collect_set("site_name").alias("seen"),
-    )
-    sites = (
-        probed.select(*key, "site_name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("site_name")).alias("sites"))
+    origins = _origins(
+        probed,
+        healthy=F.count_if(F.col("classified_status") == "healthy"),
+        probes=F.count("*"),
+        seen=F.collect_set("site_name"),
     )
     blind = F.array_except("sites", "seen")
-    return origins.join(sites, key).select(
-        *origin, "healthy", "probes", F.size(blind).cast("long").alias("no_probe"), blind.alias("blind_sites")
+    return origins.join(_pool_sites(probed), POOL).select(
+        "tenant_id", "pool_id", "origin_address", "origin_port",
+        "healthy", "probes", F.size(blind).cast("long").alias("no_probe"), blind.alias("blind_sites"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from edgeline.functions import scalars as S
 from edgeline.functions.timewin import latest
+from edgeline.operators.joins import ORIGIN
 from edgeline.session import use_utc
 
 COUNTRIES = ["US", "DE", "FR", "GB", "NL", "BR", "IN", "JP"]
@@ -357,7 +358,9 @@ class Views:
         key = ["tenant_id", "pool_id", "origin_address", "origin_port", "site_name"]
         newest = F.max(F.struct("last_probe_at", "raw_status", "fails")).alias("r")
         return (
-            cells.groupBy(*key)
+            # dealt out and sorted by origin once, as most queries gather an origin's cells next
+            cells.repartition(*ORIGIN)
+            .groupBy(*ORIGIN, "site_name")
             .agg(newest)
             .select(
                 *key,
