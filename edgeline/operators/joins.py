@@ -252,28 +252,28 @@ def health_grid(origin_health: DataFrame) -> DataFrame:
     """Every origin of a pool with every site of the pool; a cell without a probe says ``no probe``.
 
     The sites of a pool are one sorted array, as long as the pool has sites. An
-    origin's cells meet it in one join and the sites they lack are added as
-    empty cells, so no pairs are built beyond the grid itself and the null port
+    origin's cells meet it in one join and the names of the sites they lack
+    follow theirs, so no pairs are built beyond the grid itself and the null port
     of an origin stays a value. The cells of one pool are grouped by origin, and
     nothing is gathered by pool after the join, so AQE may split a pool with
     very many origins. Cells without a site are not part of a grid.
     """
-    key = ["tenant_id", "pool_id"]
-    origin = [*key, "origin_address", "origin_port"]
     probed = origin_health.filter(F.col("site_name").isNotNull())
     cell = F.struct("site_name", F.col("classified_status").alias("status"), "consecutive_failures")
-    origins = probed.groupBy(*origin).agg(F.collect_list(cell).alias("cells"))
-    sites = (
-        probed.select(*key, "site_name").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("site_name")).alias("sites"))
-    )
-    kind = probed.schema["consecutive_failures"].dataType
-    lacking = F.transform(
-        F.array_except("sites", F.col("cells.site_name")),
-        lambda s: F.struct(
-            s.alias("site_name"), F.lit(NO_PROBE).alias("status"), F.lit(None).cast(kind).alias("consecutive_failures")
-        ),
+    origins = _origins(probed, cells=F.collect_list(cell))
+    seen = F.col("cells.site_name")
+    names = F.concat(seen, F.array_except("sites", seen))
+    grid = origins.join(_pool_sites(probed), POOL).select("*", F.posexplode(names).alias("at", "site_name"))
+    there, now = F.col("at") < F.size("cells"), F.get("cells", F.col("at"))
+    return grid.select(
+        "tenant_id",
+        "pool_id",
+        "origin_address",
+        "origin_port",
+        "site_name",
+        F.when(there, now["status"]).otherwise(NO_PROBE).alias("status"),
+        F.when(there, now["consecutive_failures"]).alias("consecutive_failures"),
     )
-    return origins.join(sites, key).select(*origin, F.inline(F.concat("cells", lacking)))
 
 
 def health_grid_by_origin(origin_health: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_grid_by_origin_counts_and_names_missing_cells(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("grid", ["health_grid_by_origin"])
+@pytest.mark.parametrize("grid", ["health_grid", "health_grid_by_origin"])
 def test_cells_are_dealt_out_and_sorted_by_origin_once(spark, folder, grid):
     """From raw probes to origins the rows are shuffled once and sorted once; the pools' sites and the join take the rest."""
     line = (7, 3, 2, 1, 5.0, "A", "F", datetime(1998, 1, 1))
