@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -101,6 +102,26 @@ def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Return freed memory, which Arrow's pool and the C library would hold for later, to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow; at its task's end the worker, which waits for other tasks beside the JVM, gives memory back."""
+
+    def spared(batches):
+        yield from run(batches)
+        give_back()
+
+    return spared
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

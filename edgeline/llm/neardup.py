@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeline.llm.bktree import Forest, smallest_linked
-from edgeline.llm.common import col, keep, utf8
+from edgeline.llm.common import col, keep, lean, utf8
 from edgeline.llm.components import components
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_key"), col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key long, bits long")
+    return rows.mapInArrow(lean(run), f"id {kind}, text_key long, bits long")
 
 
 def _masks(blocks: int, agree: int) -> list[int]:
@@ -130,7 +130,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, chunk: int = 2048
             out = solve(*held[:3], held[3].view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(run), "a long, b long")
 
 
 def near_groups(

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import Words, col, keep, mix, rank_in_groups, slices
+from edgeline.llm.common import Words, col, keep, lean, mix, rank_in_groups, slices
 
 Pattern = list[tuple[int, int]]  # (length, pieces of it), longest first
 
@@ -202,27 +202,26 @@ def pieces(
 
     def run(batches):
         for b in batches:
-            owner, no, start, length, crc, ids = [], [], [], [], [], []
             texts = [t or "" for t in b.column(1).to_pylist()]
-            groups = (encode(texts[lo:hi], tokenizer) for lo, hi in slices(texts, 1 << 20))
-            for i, data in enumerate(x + end for g in groups for x in g):
-                for k, at in enumerate(range(0, len(data), wide)):
-                    part = data[at : at + wide]
-                    owner.append(i)
-                    no.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, np.uint32).astype(np.int32))
-            out = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(no, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return rows.mapInArrow(run, fields + (", ids array<int>" if with_ids else ""))
+            for lo, hi in slices(texts, 1 << 18):
+                owner, no, start, parts = [], [], [], []
+                for i, data in enumerate(encode(texts[lo:hi], tokenizer), lo):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), wide)):
+                        owner.append(i)
+                        no.append(k)
+                        start.append(at // 4)
+                        parts.append(data[at : at + wide])
+                length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+                out = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(map(zlib.crc32, parts), pa.int64())]
+                names = ["id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    edges = np.append(0, np.cumsum(length)).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(parts), np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return rows.mapInArrow(lean(run), fields + (", ids array<int>" if with_ids else ""))
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from edgeline.llm.common import Words, _powers, col, free, keep, mix, slices, utf8, word_counts
+from edgeline.llm.common import Words, _powers, col, free, keep, lean, mix, slices, utf8, word_counts
 
 SEED = 0xA0761D6478BD642F
 #: A window as one number: c, then how far it reaches to the left and to the right, then the hash function.
@@ -410,7 +410,7 @@ LEADS = "key long, id long, place long, lead long, lead_place long, many boolean
 
 def linked_to_leads(windows: DataFrame) -> DataFrame:
     """``lead_links`` of (key, id, place[, contents]), dealt out once by key."""
-    return windows.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(lead_links, LEADS)
+    return windows.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(lean(lead_links), LEADS)
 
 
 def count_words(batches):
@@ -464,7 +464,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                     cols = v[where].view(np.int64), ids[lo + d], place, contents(sums, where, c - l, r - c, least)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "id", "place", "contents"])
 
-    found = rows.mapInArrow(windows, "key long, id long, place long, contents int")
+    found = rows.mapInArrow(lean(windows), "key long, id long, place long, contents int")
     shared = keep(linked_to_leads(found), "windows", drop_shuffles=True)
 
     # groups of more than two windows again, in finer groups; of equal texts the first stands for all
@@ -498,9 +498,9 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[lo + d]), pa.array(place[part]), lists], names=["key", "id", "place", "finer"])
 
     mine = again.groupBy("id").agg(F.collect_list(window).alias("windows"))
-    fine = rows.join(mine, "id").mapInArrow(finer, "key long, id long, place long, finer array<long>")
+    fine = rows.join(mine, "id").mapInArrow(lean(finer), "key long, id long, place long, finer array<long>")
     fine = fine.repartition("key").sortWithinPartitions("key", "id", "place")
-    fine = fine.mapInArrow(links_within, "id long, lead long, items array<struct<place:long,lead_place:long>>, place long, finer long")
+    fine = fine.mapInArrow(lean(links_within), "id long, lead long, items array<struct<place:long,lead_place:long>>, place long, finer long")
     fine = keep(fine, "links", drop_shuffles=True)
     linked = shared.where("id != lead").select(LINK)
     apart = fine.where("finer IS NOT NULL").select(F.col("finer").alias("key"), "id", "place")
@@ -533,7 +533,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "lo", "hi", "lead", "llo", "lhi"])
                 lo = hi
 
-    candidates = linked.mapInArrow(join_intervals, "id long, lo long, hi long, lead long, llo long, lhi long")
+    candidates = linked.mapInArrow(lean(join_intervals), "id long, lo long, hi long, lead long, llo long, lhi long")
     a, b = (names.select(F.col("id").alias(x), F.col("text_key").alias(k)) for x, k in (("id", "key_a"), ("lead", "key_b")))
     candidates = keep(candidates.join(a, "id").join(b, "lead"), "candidates", drop_shuffles=True)
     free(shared, fine)
@@ -567,7 +567,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
                         names=["pair", "side", "id", "lo", "tokens"],
                     )
 
-    cuts = rows.join(asked, "id").mapInArrow(cut, "pair long, side int, id long, lo long, tokens binary")
+    cuts = rows.join(asked, "id").mapInArrow(lean(cut), "pair long, side int, id long, lo long, tokens binary")
 
     def verify(batches):
         last = None  # a pair whose second half is still to come
@@ -592,7 +592,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, shing
             )
 
     shape = "id long, start long, stop long, other long, other_start long, other_stop long, similarity double"
-    near_found = cuts.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(verify, shape)
+    near_found = cuts.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(lean(verify), shape)
     near_found = keep(near_found, "near_passages", drop_shuffles=True)
     words = rows.mapInArrow(count_words, "id long, words long").where(F.col("words") >= min_words)
     copies = equal.join(words, "id").select(
@@ -670,4 +670,4 @@ def drop_passages(
             cols[at] = pa.array(out, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return rows.mapInArrow(run, shape).toDF(*docs.columns)
+    return rows.mapInArrow(lean(run), shape).toDF(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeline.llm.common import Words, col, keep, slices, utf8
+from edgeline.llm.common import Words, col, keep, lean, slices, utf8
 
 NAMES = [
     "words", "word_length", "upper", "digits", "symbols", "marks", "loud", "bars", "breaks",
@@ -41,7 +41,7 @@ _CLASS[(_CLASS == 0) & (np.arange(256) > 32)] = 4
 def statistics(texts: list[bytes]) -> np.ndarray:
     """One row of transformed statistics for each text."""
     out = np.zeros((len(texts), len(NAMES)))
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, 1 << 18):
         out[lo:hi] = _statistics(texts[lo:hi])
     return out
 
@@ -142,7 +142,7 @@ def score(
 
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_key"), col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = keep(rows.mapInArrow(run, f"id {kind}, text_key long, x array<double>"), "statistics")
+    rows = keep(rows.mapInArrow(lean(run), f"id {kind}, text_key long, x array<double>"), "statistics")
     rows = rows.withColumn("held_out", F.coalesce(bucket(F.col("id"), folds) == held_fold, F.lit(False)))
     taught = labels.select(col(id_col).alias("_id"), col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     taught = rows.where(~F.col("held_out")).join(taught, F.col("id") == F.col("_id")).select("x", "y")
