@@ -187,15 +187,15 @@ class Words:
             last[-1] = inside[-1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
+        self.first = np.searchsorted(self.start, self.offsets)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(texts)), self.counts)
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LOWER[raw] * up[:n], out=sums[1:])
         if spans:
             self._sums, self._down = sums, down
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
-        self.counts = np.bincount(self.doc, minlength=len(texts))
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def span_hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hashes, not mixed, of the bytes from ``lo`` to ``hi`` with A-Z lowered."""

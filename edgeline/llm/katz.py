@@ -94,14 +94,18 @@ class Unigrams:
             return np.zeros(len(at), bool)
         return ~there | ~self.inside[at] if len(self.keys) else np.ones(len(at), bool)
 
-    def chain(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Names in use, and of every token, ends included, the indexes of its context's and its own name and its text."""
+    def chain(self, w: Words, words: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names in use, and of every token, ends included, the indexes of its context's and its own name and its text.
+
+        ``words`` are the different hashes of ``w``, and ``which`` tells each word's place there.
+        """
         n = len(w.counts)
-        words, which = np.unique(w.hash, return_inverse=True)
-        names = np.concatenate([np.array([END, BEGIN], np.uint64), np.where(self.classed(*self.find(words)), np.uint64(OTHER), words)])
+        special = np.array([END, BEGIN], np.uint64)
         if self.inside is not None:
+            names = np.concatenate([special, np.where(self.classed(*self.find(words)), np.uint64(OTHER), words)])
             names, name = np.unique(names, return_inverse=True)
         else:
+            names = np.concatenate([special, words])
             name = np.arange(len(names))
         cur = np.full(len(w.hash) + n, name[0], np.int64)
         cur[np.arange(len(w.hash)) + w.doc] = name[which + 2]
@@ -238,7 +242,8 @@ def bigrams(rows: DataFrame, words, held, share: int = 0, shares: int = 1) -> Da
             texts, ids = utf8(b.column(2)), b.column(0).to_numpy()
             train = b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts, 2 << 20):
-                names, prev, cur, doc = u.chain(Words(texts[lo:hi]))
+                w = Words(texts[lo:hi])
+                names, prev, cur, doc = u.chain(w, *np.unique(w.hash, return_inverse=True))
                 hot, of = h.frequent(names)[1], (names >> np.uint64(8)) % np.uint64(shares) == share
                 i_hot = hot[prev]
                 sent = np.where(i_hot, of[cur] & ~hot[cur], of[prev])
@@ -267,16 +272,19 @@ def sums(of: np.ndarray, n: np.ndarray, times: np.ndarray, large: np.ndarray, k:
 
 
 def counted(pairs: DataFrame, held, k: int, longest: int) -> DataFrame:
-    """What texts and contexts need of the counts of ``bigrams``, one row for each key and portion; ``kind`` tells which."""
+    """What texts and contexts need of the counts of ``bigrams``, one row for each key and portion; ``kind`` tells which.
+
+    Columns that a kind of row does not need are null, which costs less to write and read than a number.
+    """
     numbers = [f"c{r}" for r in range(1, k + 2)]
     schema = "kind int, row long, prev long, cur long, times long, b long, x double, " + ", ".join(f"{c} long" for c in numbers)
     names = ["kind", "row", "prev", "cur", "times", "b", "x", *numbers]
 
     def batch(kind: int, size: int, **values):
-        zero = np.zeros(size, np.int64)
+        none = {"x": pa.nulls(size, pa.float64())}
         values = {c: held.value.decode(v) if c in ("prev", "cur") else v for c, v in values.items()}
-        cols = {"kind": np.full(size, kind, np.int32), "x": np.zeros(size)} | values
-        return pa.RecordBatch.from_arrays([pa.array(cols.get(c, zero)) for c in names], names=names)
+        cols = none | {"kind": np.full(size, kind, np.int32)} | values
+        return pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else pa.nulls(size, pa.int64()) for c in names], names=names)
 
     def successors(prev, cur, n):
         """Rows of contexts from bigrams, each once with its count."""
@@ -296,6 +304,7 @@ def counted(pairs: DataFrame, held, k: int, longest: int) -> DataFrame:
         n, times = np.repeat(n, np.diff(np.append(first, len(prev)))), np.abs(times)
         seen = n > 0
         keys, out = sums(row[seen], n[seen], times[seen], times[seen] * np.log10(n[seen]), k)
+        del out[f"c{k + 1}"]  # only contexts need it
         yield batch(TEXT, len(keys), row=keys, **out)
         new = ~seen
         yield batch(UNSEEN, int(new.sum()), row=row[new], prev=prev[new], cur=cur[new], times=times[new])
@@ -481,42 +490,42 @@ def texts_scored(rows: DataFrame, words, model, d: list[float]) -> DataFrame:
     def run(batches):
         u, h = words.value, model.value
         of = np.log10(np.array([1.0, *[x * r for r, x in enumerate(d, 1)]]))
+        # the scores of the bigrams held, NaN where never seen; of the words held after a context without them, and as tokens
+        pairs = np.where(h.counts > k, np.log10(np.maximum(h.counts, 1)), np.where(h.counts > 0, of[np.minimum(h.counts, k)], np.nan))
+        gone, units, common_ = h.lt + h.la, np.log10(h.units / u.total), u.base(u.counts.astype(float))
         other = 0.0 if u.inside is None else float(np.log10(max(u.other, 1) / u.total))
         for batch in batches:
             texts = utf8(batch.column(3))
             for lo, hi in slices(texts, 2 << 20):
                 n = hi - lo
                 w = Words(texts[lo:hi])
-                at, there = u.find(w.hash)
-                names, prev, cur, doc = u.chain(w)
+                words_, which = np.unique(w.hash, return_inverse=True)
+                at, there = u.find(words_)
+                names, prev, cur, doc = u.chain(w, words_, which)
                 (p, p_held), (i, hot) = h.find(names), h.frequent(names)
                 value = np.where(p_held, -h.lt[p], 0.0)[prev]
                 both = np.flatnonzero(hot[prev] & hot[cur])
                 prev, cur = prev[both], cur[both]
-                times = h.counts[i[prev], i[cur]]
-                gone = (h.lt + h.la)[p[prev]] + np.log10(h.units[p[cur]] / u.total)
-                value[both] += np.where(times > k, np.log10(np.maximum(times, 1)), np.where(times > 0, of[np.minimum(times, k)], gone))
+                seen = pairs[i[prev], i[cur]]
+                value[both] += np.where(np.isnan(seen), gone[p][prev] + units[p][cur], seen)
                 score = np.bincount(doc, value, n)
                 # unigrams: the end, common words, and the hashes of the others
                 base = np.full(n, float(u.base(np.array(u.ends))))
-                common_ = u.base(u.counts[at[there]].astype(float)) if len(u.keys) else np.zeros(0)
-                base += np.bincount(w.doc[there], common_, n)
-                # of words outside the vocabulary the share of their class
-                classed = u.classed(at, there)
-                score -= np.bincount(w.doc[classed], minlength=n) * other
-                score += np.bincount(w.doc[there][classed[there]], common_[classed[there]], n)
-                rare, rare_doc = w.hash[~there], w.doc[~there]
-                order = np.lexsort((rare, rare_doc))
-                rare, rare_doc = rare[order], rare_doc[order]
-                first = np.ones(len(rare), bool)
-                first[1:] = (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-                begin = np.flatnonzero(first)
-                times = np.diff(np.append(begin, len(rare)))
-                seen = np.bincount(w.doc[there], minlength=n) + int(u.ends > 0)
+                of_word = np.where(there, common_[at], 0.0) if len(u.keys) else np.zeros(len(words_))
+                base += np.bincount(w.doc, of_word[which], n)
+                if u.inside is not None:
+                    # of words outside the vocabulary the share of their class
+                    classed = u.classed(at, there)[which]
+                    score -= np.bincount(w.doc[classed], minlength=n) * other
+                    score += np.bincount(w.doc[classed], of_word[which[classed]], n)
+                known = there[which]
+                code, times = np.unique(w.doc[~known] * len(words_) + which[~known], return_counts=True)
+                rare_doc, rare = code // max(len(words_), 1), words_[code % max(len(words_), 1)]
+                seen = np.bincount(w.doc[known], minlength=n) + int(u.ends > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c).slice(lo, n) for c in range(3)], pa.array(w.counts + 1), pa.array(seen), pa.array(base), pa.array(score),
-                        *lists(rare_doc[begin], n, rare[begin].view(np.int64), times),
+                        *lists(rare_doc, n, rare.view(np.int64), times),
                     ],
                     names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
                 )
