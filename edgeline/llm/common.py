@@ -15,25 +15,34 @@ from edgeline.session import scratch_path
 
 
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-def keep(df: DataFrame, label: str, drop_shuffles: bool = False, compression: str = "snappy") -> DataFrame:
+def keep(df: DataFrame, label: str, drop_shuffles: bool = False, compression: str = "snappy", apart: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
     ``drop_shuffles`` frees the shuffle files of the job as soon as the table is
-    written, for plans whose shuffles are large and not read again.
+    written, for plans whose shuffles are large and not read again. ``apart`` is a
+    column and how many values it has at most: each gets files of its own, so
+    readers of one value read no others.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(FILE_CLEANUP, "false")
-    if drop_shuffles:
-        spark.conf.set(FILE_CLEANUP, "true")
+    settings = {FILE_CLEANUP: "true"} if drop_shuffles else {}
+    write = df.write.option("compression", compression)
+    if apart:
+        # a task writes all values at once, so its rows need no sort
+        write, settings[WRITERS] = write.partitionBy(apart[0]), str(apart[1])
+    before = {k: spark.conf.get(k, d) for k, d in ((FILE_CLEANUP, "false"), (WRITERS, "0"))}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", compression).parquet(path)
+        write.parquet(path)
     finally:
-        if drop_shuffles:
-            spark.conf.set(FILE_CLEANUP, before)
+        for k in settings:
+            spark.conf.set(k, before[k])
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if apart else out
     out._kept_at = path
     return out
 

@@ -411,7 +411,7 @@ def score_texts(
     words, h = broadcast(u), Held(u, cached)
     held = broadcast(h)
     h.counts = frequent_bigrams(rows.where("train"), words, held)
-    found = [keep(counted(bigrams(rows, words, held, i, shares), held, k, longest), "counted", drop_shuffles=True) for i in range(shares)]
+    found = [keep(counted(bigrams(rows, words, held, i, shares), held, k, longest), "counted", drop_shuffles=True, apart=("kind", COUNT + 1)) for i in range(shares)]
     tables, found = found, reduce(DataFrame.union, found)
 
     # contexts; the held bigrams' share of them is summed up here
